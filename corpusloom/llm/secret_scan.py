@@ -98,7 +98,8 @@ def as_text(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     base = [i for i, r in enumerate(rules) if r.base]
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind_no"] == i)).cast("long").alias(f"n_{rules[i].kind}") for i in base]
+    kinds = F.transform("spans", lambda s: s["kind_no"])
+    counts = [F.size(F.filter(kinds, F.lit(i).__eq__)).cast("long").alias(f"n_{rules[i].kind}") for i in base]
     only = F.filter("spans", lambda s: s["kind_no"].isin(base))
     return found.select("doc_id", *counts, F.sha2(as_text(only, rules), 256).alias("base_sha256"), as_text(F.col("spans"), rules).alias("spans"))
 
