@@ -15,6 +15,7 @@ files; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import id_text, new_path, partitions, small_batches
 
 BLOCK = "shard int, block int, start long, n_tokens long, width int, doc_ids array<long>, offsets array<long>, payload binary"
-_SPACE = re.compile("[ \t\r\n]+")
+_SPACE = re.compile(r"[ \t\r\n]+")
 _tokenizers: dict = {}
 
 
@@ -58,29 +59,57 @@ def unpack(payload: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
 class WordMemo:
     """ids of a text by the tokenizers library, each distinct blank-separated piece encoded once.
 
-    The tokenizer must treat ASCII white space as a boundary that it drops, as word-level BPE files
-    do; then the ids of a text are those of its pieces in turn. The memo is emptied at `most` pieces.
+    The tokenizer must treat white space as a boundary that it drops, as word-level BPE files do;
+    then the ids of a text are those of its pieces in turn, and new pieces can be encoded many at
+    once, with a blank between them. The memo has two generations of `most` pieces; those not met
+    in the newer one are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.memo = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.memo, self.older = {}, {}
         self.vocabulary = self.tokenizer.get_vocab_size()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode pieces, 1000 to a line, and cut the ids at the pieces' offsets."""
+        new = [*pieces]
+        lines = [new[k : k + 1000] for k in range(0, len(new), 1000)]
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4").tobytes()
+            begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            ends = np.cumsum([len(p) + 1 for p in line])
+            cuts = [0, *(4 * np.searchsorted(begins, ends)).tolist()]
+            self.memo.update(zip(line, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """uint32 ids of each text."""
-        memo = self.memo
-        for text in texts:
-            pieces = _SPACE.split(text)
-            new = [p for p in {*pieces} if p not in memo]
-            if new:
-                if len(memo) + len(new) > self.most:
-                    memo.clear()
-                    new = [*{*pieces}]
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    memo[p] = np.asarray(e.ids, "<u4").tobytes()
-            yield b"".join(map(memo.__getitem__, pieces))
+        out = []
+        for k in range(0, len(texts), 250):
+            pieces = [_pieces(t) for t in texts[k : k + 250]]
+            if len(self.memo) > self.most:
+                self.memo, self.older = {}, self.memo
+            memo, older = self.memo, self.older
+            whole, new, cut = set().union(*pieces).difference(memo), set(), []
+            for p in whole:
+                if p in older:
+                    memo[p] = older[p]
+                elif (stem := p.rstrip(".,;:!?")) != p and stem[-1:].lower().isalnum():
+                    cut.append((p, stem, p[len(stem) :]))  # a run of letters or digits ends at a punctuation mark
+                    new.update(cut[-1][1:])
+                else:
+                    new.add(p)
+            self._learn(new.difference(memo))
+            memo.update((p, memo[stem] + memo[marks]) for p, stem, marks in cut)
+            out += [b"".join(map(memo.__getitem__, x)) for x in pieces]
+        return out
+
+
+def _pieces(text: str) -> list[str]:
+    """Parts between white space; str.split also splits at four control characters that are none."""
+    return _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
 def _memo(path: str) -> WordMemo:
