@@ -81,8 +81,8 @@ def scan(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, version: s
     spark = docs.sparkSession
     keyed = id_text(docs).withColumn("blob", F.sha2("text", 256))
     known = ledger(spark, path).where(F.col("rule_version") == version).select("blob")
-    # Copies meet before and after the shuffle, so a text is scanned once however often it occurs.
-    unseen = keyed.join(known, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    # Copies meet in each partition before the shuffle, then after it, so a text is scanned once however often it occurs.
+    unseen = keyed.groupBy("blob").agg(F.first("text").alias("text")).join(known, "blob", "left_anti")
     found = F.array_sort(F.concat(*(spans(F.col("text"), r, i) for i, r in enumerate(rules))))
     unseen.select("blob", found.alias("spans"), F.lit(version).alias("rule_version")).write.mode("append").partitionBy("rule_version").parquet(path)
     hits = ledger(spark, path).where((F.col("rule_version") == version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
