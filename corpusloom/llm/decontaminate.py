@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_text, written
+from corpusloom.llm.common import id_text, let, written
 
 WORD_GAPS = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -36,10 +36,13 @@ def words_of(text: Column) -> Column:
 
 def shingle_hashes(words: Column, width: int) -> Column:
     """A hash for each run of `width` words, from the words' own hashes."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(hashed)
-    ends = F.when(n >= width, F.sequence(F.lit(width), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(ends, lambda i: F.xxhash64(*(F.get(hashed, i - F.lit(width - k)) for k in range(width))))
+
+    def runs(hashed: Column) -> Column:
+        n = F.size(hashed)
+        ends = F.when(n >= width, F.sequence(F.lit(width), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(ends, lambda i: F.xxhash64(*(F.get(hashed, i - F.lit(width - k)) for k in range(width))))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
 def items_of(benchmark: DataFrame, width: int, least: float) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, secret_scan, token_files
+from corpusloom.llm import byte_bpe, decontaminate, language_id, secret_scan, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_simhash": simhash.op5_simhash,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
-ORACLE_SQL = {"op7_secret_scan": secret_scan.SQL}
+ORACLE_SQL = {"op7_secret_scan": secret_scan.SQL, "op9_decontaminate": decontaminate.SQL}
