@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, decontaminate, language_id, secret_scan, simhash, token_files, toxicity
+from corpusloom.llm import byte_bpe, decontaminate, language_id, line_dedup, secret_scan, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_secret_scan": secret_scan.op7_secret_scan,
