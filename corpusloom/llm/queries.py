@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, decontaminate, language_id, line_dedup, secret_scan, simhash, token_files, toxicity
+from corpusloom.llm import byte_bpe, decontaminate, language_id, line_dedup, secret_scan, simhash, token_files, topk_search, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_topk_search": topk_search.op2_topk_search,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_simhash": simhash.op5_simhash,
@@ -14,4 +15,4 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
-ORACLE_SQL = {"op7_secret_scan": secret_scan.SQL, "op9_decontaminate": decontaminate.SQL}
+ORACLE_SQL = {"op2_topk_search": topk_search.SQL, "op7_secret_scan": secret_scan.SQL, "op9_decontaminate": decontaminate.SQL}
