@@ -1,12 +1,34 @@
-"""Every query over the reference's own operators, with its SQL."""
+"""Every query over the engine's own operators, with its SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows (None: not in SQL)."""
+
+    def put(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").groupBy().count()
+    """Retrieval quality report: metrics of keyword search for every question."""
+    return QUERIES["rag_metrics_at_5"](spark, sf_dir)
+
+
+from corpusloom.plans import compile_queries, graph_queries, lifecycle_queries, manifest_queries, ops_queries, retrieval_queries, segment_queries  # noqa: E402, F401
