@@ -1 +1,174 @@
-"""Queries."""
+"""Queries over search, candidates, context and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as X
+from corpusloom.operators import compile as C
+from corpusloom.operators import quality as Q
+from corpusloom.operators import retrieval as R
+from corpusloom.plans.compile_queries import COMP, compiled
+from corpusloom.plans.manifest_queries import SRC, sources
+from corpusloom.plans.registry import query, table
+
+# Abbreviations of the example plug-in.
+ABBREVIATIONS = {"kb": "knowledge base", "llm": "large language model", "rag": "retrieval augmented generation"}
+TERMS = """qt AS (SELECT item_id AS query_id, text AS question, lower(text) AS q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+', 0)) AS terms FROM benchmark), te AS (SELECT query_id, unnest(terms) AS t FROM qt)"""
+KEY = f"""{SRC}, {TERMS}, low AS (SELECT src_id, lower(title) AS stem, lower(text) AS body FROM src),
+pts AS (SELECT query_id, src_id, CASE WHEN contains(stem, t) THEN 5 ELSE 0 END + least((length(body) - length(replace(body, t, ''))) // length(t), 3) AS p FROM te, low
+ UNION ALL SELECT query_id, src_id, 10 FROM qt, low WHERE stem <> '' AND contains(q, stem)),
+sc AS (SELECT query_id, src_id, CAST(sum(p) AS INTEGER) AS score FROM pts GROUP BY query_id, src_id HAVING sum(p) > 0),
+kw AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 5)"""
+NORM = "least(1.0::DOUBLE, round(1 - exp(-score / 5.0::DOUBLE), 3))"
+
+
+def questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def keyword(spark, sf_dir):
+    return R.keyword_search(questions(spark, sf_dir), sources(spark, sf_dir), 5)
+
+
+def expected(spark, sf_dir):
+    """Which documents hold a question's text: by the hash of every line run would miss parts of lines, so by containment of its rarest piece."""
+    docs = sources(spark, sf_dir).select("src_id", "text")
+    asked = questions(spark, sf_dir)
+    lists = asked.agg(F.collect_list(F.struct("query_id", "question")).alias("qs"))
+    held = F.filter("qs", lambda q: F.contains(F.col("text"), q["question"]))
+    return docs.crossJoin(F.broadcast(lists)).select("src_id", F.explode(held).alias("q")).select("q.query_id", "src_id")
+
+
+@query("WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+', 0)) AS terms FROM benchmark) SELECT query_id, unnest(terms) AS term FROM q")
+def query_terms(spark, sf_dir):
+    return questions(spark, sf_dir).select("query_id", F.explode(X.query_terms(F.col("question"))).alias("term"))
+
+
+@query(f"WITH {KEY} SELECT query_id, src_id, score, {NORM} AS normalized_score, rank FROM kw")
+def keyword_search_topk(spark, sf_dir):
+    return keyword(spark, sf_dir)
+
+
+EVAL = f"""{KEY}, ex AS (SELECT query_id, src_id FROM qt, src WHERE contains(src.text, question)), met AS (SELECT ex.query_id, ex.src_id, rank FROM ex LEFT JOIN kw USING (query_id, src_id)),
+ev AS (SELECT query_id, count(*) AS n, count(rank) AS found, min(rank) AS first, coalesce(sum(1 / log2(rank + 1)), 0) AS dcg, array_to_string(list_sort(list(src_id) FILTER (rank IS NULL)), ',') AS missed FROM met GROUP BY query_id),
+em AS (SELECT query_id, round(found / n, 4) AS recall, round(found / 5, 4) AS precision, round(coalesce(1 / first, 0), 4)::DOUBLE AS mrr, round(dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))), 4) AS ndcg, coalesce(missed, '') AS missed FROM ev)"""
+
+
+@query(f"WITH {EVAL} SELECT * FROM em")
+def rag_metrics_at_5(spark, sf_dir):
+    return R.metrics(keyword(spark, sf_dir), expected(spark, sf_dir), 5).withColumn("missed", F.array_join("missed", ","))
+
+
+@query(f"WITH {EVAL} SELECT count(*) AS samples, round(avg(recall), 4) AS avg_recall, round(avg(precision), 4) AS avg_precision, round(avg(mrr), 4) AS avg_mrr, round(avg(ndcg), 4) AS avg_ndcg FROM em")
+def rag_metrics_avg(spark, sf_dir):
+    rows = R.metrics(keyword(spark, sf_dir), expected(spark, sf_dir), 5)
+    return rows.agg(F.count("*").alias("samples"), *(F.round(F.avg(c), 4).alias(f"avg_{c}") for c in ("recall", "precision", "mrr", "ndcg")))
+
+
+@query(f"WITH {EVAL} SELECT query_id, src_id AS missed FROM met WHERE rank IS NULL")
+def retrieval_misses(spark, sf_dir):
+    return expected(spark, sf_dir).join(keyword(spark, sf_dir), ["query_id", "src_id"], "left_anti").select("query_id", F.col("src_id").alias("missed"))
+
+
+CON = f"""{COMP}, {TERMS}, cp AS (SELECT query_id, src_id, place, name, sum(CASE WHEN contains(lower(name), t) THEN 5 ELSE 0 END + CASE WHEN contains(lower(explanation), t) THEN 2 ELSE 0 END) AS score FROM te, con GROUP BY query_id, src_id, place, name),
+ck AS (SELECT * FROM (SELECT query_id, src_id, name, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src_id, place) AS INTEGER) AS rank FROM cp WHERE score > 0) WHERE rank <= 5)"""
+
+
+@query(f"WITH {CON} SELECT query_id, src_id, name, score, rank FROM ck")
+def concept_search_topk(spark, sf_dir):
+    return R.concept_search(questions(spark, sf_dir), C.concept_rows(compiled(spark, sf_dir)), 5)
+
+
+HYB = f"""{CON}, low AS (SELECT src_id, lower(title) AS stem, lower(text) AS body FROM src), {KEY.split('low AS', 1)[1].split('),', 1)[1].strip()},
+ch AS (SELECT query_id, 'concept' AS channel, src_id AS manifest_id, name AS text, {NORM} AS normalized_score FROM ck UNION ALL SELECT query_id, 'summary', src_id, one_line, {NORM} FROM kw JOIN comp USING (src_id)),
+dd AS (SELECT *, left(md5(text), 12) AS text_hash FROM ch), d1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, manifest_id, text_hash ORDER BY normalized_score DESC, channel) AS r FROM dd),
+hy AS (SELECT query_id, channel, manifest_id, text, normalized_score, text_hash, CAST(row_number() OVER (PARTITION BY query_id ORDER BY normalized_score DESC, channel, manifest_id, text_hash) AS INTEGER) AS rank FROM d1 WHERE r = 1)"""
+
+
+def hybrid(spark, sf_dir):
+    comp = compiled(spark, sf_dir)
+    concept = R.concept_search(questions(spark, sf_dir), C.concept_rows(comp), 5)
+    concept = concept.select("query_id", F.lit("concept").alias("channel"), F.col("src_id").alias("manifest_id"), F.col("name").alias("text"), R.keyword_points(F.col("score")).alias("normalized_score"))
+    summary = keyword(spark, sf_dir).join(comp.select("src_id", "one_line"), "src_id")
+    summary = summary.select("query_id", F.lit("summary").alias("channel"), F.col("src_id").alias("manifest_id"), F.col("one_line").alias("text"), "normalized_score")
+    return R.candidates(concept.union(summary))
+
+
+@query(f"WITH {HYB} SELECT query_id, channel, manifest_id, text, normalized_score, text_hash, rank FROM hy")
+def hybrid_candidates(spark, sf_dir):
+    return hybrid(spark, sf_dir).select("query_id", "channel", "manifest_id", "text", "normalized_score", "text_hash", "rank")
+
+
+OVER = "len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+', 0)), terms)) / greatest(len(terms), 1)"
+
+
+@query(f"""WITH {HYB}, rr AS (SELECT query_id, channel, manifest_id, rank, {OVER} AS overlap FROM hy JOIN (SELECT query_id, terms FROM qt) USING (query_id)),
+mm AS (SELECT *, min(overlap) OVER (PARTITION BY query_id) AS lo, max(overlap) OVER (PARTITION BY query_id) AS hi FROM rr) SELECT query_id, channel, manifest_id, rank, CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE round((overlap - lo) / (hi - lo), 4) END AS rerank_score FROM mm""")
+def rerank_minmax(spark, sf_dir):
+    """Candidates scored anew by the share of the question's terms that they hold."""
+    asked = questions(spark, sf_dir).select("query_id", X.query_terms(F.col("question")).alias("terms"))
+    share = F.size(F.array_intersect(X.query_terms(F.col("text")), "terms")) / F.greatest(F.size("terms"), F.lit(1))
+    rows = hybrid(spark, sf_dir).join(asked, "query_id").withColumn("overlap", share)
+    return R.rescaled(rows, "overlap").select("query_id", "channel", "manifest_id", "rank", "rerank_score")
+
+
+CTX = f"{HYB}, cx AS (SELECT query_id, string_agg('[S' || rank || '] ' || manifest_id || ': ' || left(text, 300), chr(10) || chr(10) ORDER BY rank) AS context FROM hy WHERE rank <= 5 GROUP BY query_id)"
+
+
+@query(f"WITH {CTX} SELECT query_id, context, sha256(question || chr(10) || '---' || chr(10) || context) AS cache_key FROM cx JOIN (SELECT query_id, question FROM qt) USING (query_id)")
+def answer_context(spark, sf_dir):
+    rows = R.context(hybrid(spark, sf_dir).where("rank <= 5")).join(questions(spark, sf_dir), "query_id")
+    return rows.select("query_id", "context", R.answer_key(F.col("question"), F.col("context")).alias("cache_key"))
+
+
+@query(f"""WITH {CON}, low AS (SELECT src_id, lower(title) AS stem, lower(text) AS body FROM src), {KEY.split('low AS', 1)[1].split('),', 1)[1].strip()},
+al AS (SELECT query_id, 1 AS tier, src_id, score FROM ck WHERE score >= 10 UNION ALL SELECT query_id, 2, src_id, score FROM kw), mt AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS m FROM al) SELECT query_id, tier, src_id, score FROM mt WHERE tier = m""")
+def tiered_search(spark, sf_dir):
+    """Strong concept hits; for questions without any, documents."""
+    concept = R.concept_search(questions(spark, sf_dir), C.concept_rows(compiled(spark, sf_dir)), 5).where("score >= 10")
+    rows = concept.select("query_id", F.lit(1).alias("tier"), "src_id", "score").union(keyword(spark, sf_dir).select("query_id", F.lit(2), "src_id", "score"))
+    return R.first_tier(rows)
+
+
+def _knn(distance: str) -> str:
+    return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round({distance}, 5) AS distance FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT * FROM (SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 5"""
+
+
+@query(_knn("pow(list_distance(q.v, c.v), 2)"))
+def knn_l2_top5(spark, sf_dir):
+    return R.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 5, "l2")
+
+
+@query(_knn("list_cosine_distance(q.v, c.v)"))
+def knn_cosine_top5(spark, sf_dir):
+    return R.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 5, "cosine")
+
+
+@query("SELECT item_id AS query_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\bkb\\b', 'knowledge base', 'g'), '(?i)\\bllm\\b', 'large language model', 'g'), '(?i)\\brag\\b', 'retrieval augmented generation', 'g') AS question FROM benchmark")
+def query_expansion(spark, sf_dir):
+    return questions(spark, sf_dir).select("query_id", X.expand_abbreviations(F.col("question"), ABBREVIATIONS).alias("question"))
+
+
+PAIRS = """pr AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+_LOW = "lower(answer)"
+_ASCORE = (
+    "least(100, 50 + CASE WHEN length(answer) >= 1000 THEN 20 WHEN length(answer) >= 500 THEN 15 WHEN length(answer) >= 200 THEN 10 ELSE 0 END + least(10, 2 * ("
+    + " + ".join(f"contains({_LOW}, '{w.lower()}')::INT" for w in Q.LEARNING_KEYWORDS) + ")) + least(5, 2 * (" + " + ".join(f"contains({_LOW}, '{w.lower()}')::INT" for w in Q.INFO_KEYWORDS)
+    + ")) + least(10, 3 * len(regexp_extract_all(answer, '\\[\\[[^\\]]+\\]\\]', 0))) + CASE WHEN regexp_matches(answer, '\\n[-*•]|\\n\\d+\\.|\\n#{1,3} ') THEN 5 ELSE 0 END)"
+)
+
+
+@query(f"""WITH {PAIRS}, h AS (SELECT *, sha256(question || chr(10) || answer) AS content_hash FROM pr WHERE length(answer) >= 100), f AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY conv_id, turn) AS r FROM h)
+SELECT 'QRY-' || left(content_hash, 12) AS id, conv_id, turn, CAST({_ASCORE} AS INTEGER) AS quality_score, CASE WHEN {_ASCORE} >= 90 THEN 'promoted' ELSE 'candidate' END AS status FROM f WHERE r = 1""")
+def contributed_answers(spark, sf_dir):
+    """Answers of conversations as knowledge candidates: each content once, scored, the best promoted."""
+    from corpusloom.operators.manifest import first_per
+
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    given = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    rows = asked.join(given, ["conv_id", "turn"]).where(F.length("answer") >= 100).withColumn("content_hash", F.sha2(F.concat("question", F.lit("\n"), "answer"), 256))
+    rows = first_per(rows, ["content_hash"], F.col("conv_id"), F.col("turn")).withColumn("quality_score", Q.answer_score(F.col("answer"), F.lit(False)))
+    return rows.select(F.concat(F.lit("QRY-"), F.left("content_hash", F.lit(12))).alias("id"), "conv_id", "turn", "quality_score", F.when(F.col("quality_score") >= 90, "promoted").otherwise("candidate").alias("status"))
