@@ -27,54 +27,41 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import let, written
 
-#: Where a line ends; a lookbehind, so the text's characters all stay.
-LINE_ENDS = r"(?<=\n)|(?<=[.!?;:,] )"
+#: A line: up to a newline, or up to marks that end a clause and the blank after them. Every character is in a line.
+LINE = r"[^\n.!?;:,]++(?:\n|[.!?;:,]++ ?+)?+|\n|[.!?;:,]++ ?+"
 
 
-def chunks_of(text: Column, least: int) -> Column:
-    """array<struct<hash, start, n, first>>: every multi-line chunk of at least `least` characters.
-
-    start (from 1) and n are in characters; first tells whether the text has the chunk here first.
-    """
+def parts_of(text: Column) -> Column:
+    """array<struct<body, lines>>: the chunks of a text, in order, and how many lines each has. Joined, the bodies are the text."""
 
     def cut(lines: Column) -> Column:
         hashed = F.transform(lines, lambda x: F.xxhash64(F.rtrim(x)))
-        return let(hashed, lambda h: let(F.transform(h, lambda x, i: F.xxhash64(F.get(h, i - 1), x)), lambda roll: let(_ends(roll), lambda ends: _chunks(lines, ends, least))))
+        rolling = let(hashed, lambda h: F.transform(h, lambda x, i: F.xxhash64(F.get(h, i - 1), x)))
+        return let(rolling, lambda roll: let(_ends(roll), lambda ends: _parts(lines, ends)))
 
-    return let(F.split(text, LINE_ENDS, -1), cut)
+    return let(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), cut)
 
 
 def _ends(roll: Column) -> Column:
     """The last lines (from 0) of the chunks."""
     n = F.size(roll)
-    inner = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | ((i > 0) & (F.get(roll, i) < F.get(roll, i - 1)) & (F.get(roll, i) < F.get(roll, i + 1))))
-    return inner
+    lines = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(lines, lambda i: (i == n - 1) | ((F.get(roll, i) < F.get(roll, i - 1)) & (F.get(roll, i) < F.get(roll, i + 1))))
 
 
-def _chunks(lines: Column, ends: Column, least: int) -> Column:
-    def with_texts(bodies: Column) -> Column:
-        lengths = F.transform(bodies, F.length)
-        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all"))
-        starts = F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
-        hashes = F.transform(bodies, lambda b: F.xxhash64(F.rtrim(b)))
-        return let(hashes, lambda h: let(starts, lambda at: _kept(bodies, h, at, ends, least)))
-
-    def body(e: Column, i: Column) -> Column:
+def _parts(lines: Column, ends: Column) -> Column:
+    def part(end: Column, i: Column) -> Column:
         before = F.coalesce(F.get(ends, i - 1), F.lit(-1))
-        return F.array_join(F.slice(lines, before + 2, e - before), "")
+        return F.struct(F.array_join(F.slice(lines, before + 2, end - before), "").alias("body"), (end - before).alias("lines"))
 
-    return let(F.transform(ends, body), with_texts)
+    return F.transform(ends, part)
 
 
-def _kept(bodies: Column, hashes: Column, starts: Column, ends: Column, least: int) -> Column:
-    made = F.transform(
-        bodies,
-        lambda b, i: F.struct(
-            F.get(hashes, i).alias("hash"), F.get(starts, i).alias("start"), F.length(b).alias("n"), (F.array_position(hashes, F.get(hashes, i)) == i + 1).alias("first"),
-            (F.get(ends, i) - F.coalesce(F.get(ends, i - 1), F.lit(-1))).alias("lines"),
-        ),
-    )
-    return F.transform(F.filter(made, lambda c: (c["lines"] > 1) & (c["n"] >= least)), lambda c: F.struct(c["hash"], c["start"], c["n"], c["first"]))
+def chunks_of(text: Column, least: int) -> Column:
+    """array<struct<hash, place>>: every chunk of two lines or more and at least `least` characters."""
+    numbered = F.transform(parts_of(text), lambda p, i: F.struct(p["body"].alias("body"), p["lines"].alias("lines"), i.alias("place")))
+    enough = F.filter(numbered, lambda p: (p["lines"] > 1) & (F.length(p["body"]) >= least))
+    return F.transform(enough, lambda p: F.struct(F.xxhash64(F.rtrim(p["body"])).alias("hash"), p["place"].alias("place")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -84,25 +71,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, least: int = 40) -> DataFrame:
-    """row_key, gone: the (start, n) of each chunk that goes, in order of place."""
+    """row_key, gone: the places of the chunks that go."""
     table = written(_keyed(docs).select("doc_id", "row_key", chunks_of(F.col("text"), least).alias("chunks")).where(F.size("chunks") > 0), "chunks")
     places = table.select("doc_id", "row_key", F.explode("chunks").alias("c")).select("doc_id", "row_key", "c.*")
     often = places.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("times")).where("times > 1").drop("times")
-    met = places.join(often, "hash").withColumn("stays", F.col("first") & F.col("doc_id").eqNullSafe(F.col("keeper")))
-    met = written(met.select("hash", "row_key", "start", "n", "stays").dropDuplicates(["row_key", "start"]), "repeats")
-    wanted = met.groupBy("row_key").agg(F.collect_list(F.struct("hash", "start", "n", "stays")).alias("c"))
-    shown = _keyed(docs).join(wanted, "row_key").select("row_key", "text", F.explode("c").alias("c"))
-    shown = written(shown.select("row_key", "c.*", F.rtrim(F.expr("substring(text, c.start, c.n)")).alias("body")), "bodies")
-    kept = shown.where("stays").select("hash", "body").distinct()
-    gone = shown.where("NOT stays").join(kept, ["hash", "body"], "left_semi")
-    return gone.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("gone"))
+    met = places.join(often, "hash").withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("keeper")))
+    met = written(met.select("hash", "row_key", "place", "keeps").dropDuplicates(["row_key", "place"]), "repeats")
+    first = met.where("keeps").groupBy("hash").agg(F.min("place").alias("first"))
+    met = met.join(first, "hash").withColumn("stays", F.col("keeps") & (F.col("place") == F.col("first")))
+    wanted = met.groupBy("row_key").agg(F.collect_list(F.struct("hash", "place", "stays")).alias("c"))
+    body = lambda x, parts: F.struct(x["hash"].alias("hash"), x["place"].alias("place"), x["stays"].alias("stays"), F.rtrim(F.get(parts, x["place"])["body"]).alias("body"))
+    shown = _keyed(docs).join(wanted, "row_key").select("row_key", F.explode(let(parts_of(F.col("text")), lambda parts: F.transform("c", lambda x: body(x, parts)))).alias("c"))
+    shown = written(shown.select("row_key", "c.*"), "bodies")
+    gone = shown.where("NOT stays").join(shown.where("stays").select("hash", "body"), ["hash", "body"], "left_semi")
+    return gone.groupBy("row_key").agg(F.collect_set("place").alias("gone"))
 
 
 def without(text: Column, gone: Column) -> Column:
-    """text without the stretches (start, n) in gone, which are in order and do not overlap."""
-    begin = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, g: F.struct((g["start"] + g["n"]).alias("at"), F.concat(acc["out"], F.substr(text, acc["at"], g["start"] - acc["at"])).alias("out"))
-    return F.aggregate(gone, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"], F.length(text))))
+    """text without its chunks at the places in gone."""
+    left = F.filter(parts_of(text), lambda p, i: ~F.array_contains(gone, i))
+    return F.array_join(F.transform(left, lambda p: p["body"]), "")
 
 
 def dedup_lines(docs: DataFrame, least: int = 40) -> DataFrame:
