@@ -22,7 +22,7 @@ def keyword_scores(queries: DataFrame, docs: DataFrame, most_terms: int = 200_00
     base = docs.select("src_id", F.lower("title").alias("stem"), F.lower("text").alias("body"))
 
     def hit(t: Column) -> Column:
-        return F.struct(t.alias("term"), (F.contains(F.col("stem"), t).cast("int") * 5 + F.least(count_of(F.col("body"), t), F.lit(3))).alias("points"))
+        return F.struct(t.alias("term"), (F.contains(F.col("stem"), t).cast("int") * 5 + F.when(F.contains(F.col("body"), t), F.least(count_of(F.col("body"), t), F.lit(3))).otherwise(0)).alias("points"))
 
     # One row per block of terms, so this pairs a document with each block, not with each query.
     found = base.join(F.broadcast(lists), F.lit(True)).select("src_id", F.explode(F.filter(F.transform("terms", hit), lambda x: x["points"] > 0)).alias("h"))
