@@ -1 +1,80 @@
-"""Queries."""
+"""Queries over the knowledge graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.operators import graph as G
+from corpusloom.plans.compile_queries import COMP, compiled
+from corpusloom.plans.registry import query
+
+_SLUG = "regexp_replace(replace(regexp_replace(trim(title), '[<>:\"/\\\\|?*\\x00-\\x1f]', '', 'g'), ' ', '-'), '-{2,}', '-', 'g')"
+_BARE = f"regexp_replace(regexp_replace({_SLUG}, '^-+', ''), '-+$', '')"
+SLUG = f"CASE WHEN {_BARE} = '' THEN trim(title) ELSE {_BARE} END"
+PAIR = "SELECT DISTINCT x.src_id AS source, y.src_id AS target, '{1}' AS relation, {2}::DOUBLE AS weight FROM {0} x JOIN {0} y ON x.k = y.k AND x.r < y.r WHERE x.r <= 50 AND y.r <= 50"
+GRAPH = f"""{COMP}, nod AS (SELECT src_id AS id, title AS label, 'source' AS node_type FROM comp UNION ALL SELECT DISTINCT 'concept:' || name, name, 'concept' FROM con UNION ALL SELECT DISTINCT 'summary:' || ({SLUG}), {SLUG}, 'summary' FROM comp),
+byc AS (SELECT name AS k, src_id, row_number() OVER (PARTITION BY name ORDER BY src_id) AS r FROM (SELECT DISTINCT name, src_id FROM con)), byt AS (SELECT type AS k, src_id, row_number() OVER (PARTITION BY type ORDER BY src_id) AS r FROM (SELECT DISTINCT type, src_id FROM comp)),
+edg AS (SELECT src_id AS source, 'summary:' || ({SLUG}) AS target, 'compiled_to' AS relation, 1.0::DOUBLE AS weight FROM comp UNION ALL SELECT DISTINCT src_id, 'concept:' || name, 'contains_concept', 1.0::DOUBLE FROM con
+ UNION ALL {PAIR.format('byc', 'related_to', 0.3)} UNION ALL {PAIR.format('byt', 'same_type', 0.1)}),
+nb AS (SELECT source AS id, target AS neighbour, relation, weight FROM edg UNION ALL SELECT target, source, 'reverse_' || relation, weight FROM edg)"""
+
+
+def graph(spark, sf_dir):
+    comp = compiled(spark, sf_dir)
+    return G.nodes(comp), G.edges(comp)
+
+
+@query(f"WITH {GRAPH} SELECT id, label, node_type FROM nod")
+def graph_nodes(spark, sf_dir):
+    return G.nodes(compiled(spark, sf_dir))
+
+
+@query(f"WITH {GRAPH} SELECT source, target, relation, weight FROM edg")
+def graph_edges(spark, sf_dir):
+    return G.edges(compiled(spark, sf_dir))
+
+
+@query(f"WITH {GRAPH} SELECT 'node' AS kind, node_type AS name, count(*) AS n FROM nod GROUP BY node_type UNION ALL SELECT 'edge', relation, count(*) FROM edg GROUP BY relation")
+def graph_stats(spark, sf_dir):
+    return G.stats(*graph(spark, sf_dir))
+
+
+@query(f"WITH {GRAPH} SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edg UNION ALL SELECT target FROM edg) GROUP BY id ORDER BY degree DESC, id LIMIT 10")
+def graph_top_connected(spark, sf_dir):
+    return G.degrees(graph(spark, sf_dir)[1]).orderBy(F.desc("degree"), "id").limit(10)
+
+
+@query(f"""WITH {GRAPH} SELECT id, label, CAST(CASE WHEN lower(label) = 'that' THEN 2 ELSE 1 END AS INTEGER) AS score FROM nod WHERE contains(lower(label), 'that') OR contains(lower(id), 'that') ORDER BY score DESC, id LIMIT 20""")
+def graph_search(spark, sf_dir):
+    """The first 20 nodes for a term: the limit is the feature."""
+    return G.search(graph(spark, sf_dir)[0], "that")
+
+
+@query(f"WITH {GRAPH} SELECT id, neighbour, relation, weight, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, relation, neighbour) AS r FROM nb) WHERE r <= 10")
+def graph_relations_top10(spark, sf_dir):
+    return G.strongest(graph(spark, sf_dir)[1])
+
+
+@query(f"WITH {GRAPH}, k AS (SELECT id FROM nod WHERE node_type IN ('source', 'concept')) SELECT source, target, relation, weight FROM edg WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)")
+def graph_view(spark, sf_dir):
+    return G.view(*graph(spark, sf_dir), ["source", "concept"])
+
+
+COOC = f"{COMP}, dc AS (SELECT DISTINCT src_id, name FROM con), co AS (SELECT x.name AS a, y.name AS b, count(*) AS n FROM dc x JOIN dc y ON x.src_id = y.src_id AND x.name < y.name GROUP BY 1, 2 HAVING count(*) >= 2)"
+
+
+@query(f"WITH {COOC} SELECT a, b, n, least(0.3::DOUBLE * n, 1.0::DOUBLE) AS weight FROM co")
+def concept_cooccurrence(spark, sf_dir):
+    rows = G.cooccurrences(compiled(spark, sf_dir))
+    return rows.withColumn("weight", F.least(F.lit(0.3) * F.col("n"), F.lit(1.0)))
+
+
+@query(f"WITH {COMP} SELECT lower(trim(name)) AS key, count(DISTINCT src_id) AS sources, arg_min(explanation, src_id || lpad(place::VARCHAR, 4, '0')) FILTER (explanation <> '') AS explanation FROM con GROUP BY 1")
+def concept_clusters(spark, sf_dir):
+    return G.clusters(compiled(spark, sf_dir))
+
+
+@query(f"""WITH {COOC}, tb AS (SELECT a AS name, b AS tag FROM co UNION ALL SELECT b, a FROM co), fo AS (SELECT src_id, tag, 2 AS o FROM dc JOIN tb USING (name) UNION ALL SELECT src_id, name, 1 FROM dc),
+be AS (SELECT src_id, tag, min(o) AS o FROM fo GROUP BY src_id, tag), rr AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY o, tag) AS r FROM be) SELECT src_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM rr WHERE r <= 10 GROUP BY src_id""")
+def auto_tags(spark, sf_dir):
+    return G.tags(compiled(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))

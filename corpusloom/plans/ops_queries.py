@@ -1 +1,75 @@
-"""Queries."""
+"""Queries over usage, cost, alerts, sessions, and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.operators import ops as O
+from corpusloom.plans.registry import query, table
+from corpusloom.streaming import jobs as J
+
+_B = ", ".join(f"({b}::DOUBLE)" for b in O.BUCKETS)
+
+
+@query(f"""WITH b(le) AS (VALUES {_B}), t AS (SELECT DISTINCT event_type FROM events) SELECT t.event_type, le, count(e.value) FILTER (e.value <= le) AS n FROM t, b JOIN events e ON true WHERE e.event_type = t.event_type GROUP BY 1, 2
+UNION ALL SELECT event_type, NULL, count(*) FROM events GROUP BY 1""")
+def usage_histogram(spark, sf_dir):
+    return O.histogram(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("""WITH p(name, place, price) AS (VALUES ('click', 0, 0.5::DOUBLE), ('v', 1, 0.25::DOUBLE), ('view', 2, 0.125::DOUBLE), ('sign', 3, 2.0::DOUBLE)), m AS (SELECT event_type AS model, arg_min(price, CASE WHEN event_type = name THEN 0 ELSE 1000 END + place) AS price
+ FROM (SELECT DISTINCT event_type FROM events) JOIN p ON starts_with(event_type, name) GROUP BY 1) SELECT event_id, event_type AS model, round(CAST(round(value) AS BIGINT) / 1000 * price, 6) AS cost FROM events LEFT JOIN m ON model = event_type""")
+def usage_cost(spark, sf_dir):
+    prices = spark.createDataFrame([("click", 0, 0.5), ("v", 1, 0.25), ("view", 2, 0.125), ("sign", 3, 2.0)], "name string, place int, price double")
+    usage = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("model"), F.round("value").cast("long").alias("tokens"))
+    return O.priced(usage, prices).select("event_id", "model", "cost")
+
+
+@query("SELECT event_type, user_id % 10 AS team, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ROLLUP (event_type, user_id % 10)")
+def usage_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("team", F.col("user_id") % 10)
+    return rows.rollup("event_type", "team").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""WITH m AS (SELECT user_id AS scope, count(*) FILTER (event_type = 'error') / count(*) AS error_rate, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1)
+SELECT scope, 'errors' AS alert FROM m WHERE error_rate > 0.25 UNION ALL SELECT scope, 'idle' FROM m WHERE n < 20 UNION ALL SELECT scope, 'costly' FROM m WHERE mean > 12""")
+def alerts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scope"))
+    rows = rows.agg((F.count_if(F.expr("event_type = 'error'")) / F.count("*")).alias("error_rate"), F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return O.alerts(rows, {"errors": ("error_rate", 0.25, True), "idle": ("n", 20, False), "costly": ("mean", 12, True)})
+
+
+SESSIONS = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM s GROUP BY user_id, k"""
+
+
+@query(SESSIONS)
+def user_sessions(spark, sf_dir):
+    return O.sessions(table(spark, sf_dir, "events"))
+
+
+HOURLY = "SELECT date_trunc('hour', ts) AS \"start\", event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query(HOURLY)
+def stream_hourly_counts(spark, sf_dir):
+    """Tumbling windows with a watermark, over the events as a stream of files."""
+    return J.drained(J.hourly_counts(J.file_stream(spark, sf_dir, "events")), "complete")
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY 2")
+def stream_ingest_dedup(spark, sf_dir):
+    """Each content once, over the documents as a stream of files."""
+    return J.drained(J.first_contents(J.file_stream(spark, sf_dir, "documents")), "complete")
+
+
+@query("""WITH w AS (SELECT to_timestamp(0)::TIMESTAMP + INTERVAL 1 HOUR * (CAST(floor(epoch(ts) / 3600) AS BIGINT) - k) AS "start", event_type FROM events, (VALUES (0), (1)) AS t(k)) SELECT "start", count(*) FILTER (event_type = 'error') AS errors, count(*) AS n FROM w GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 0.3 * count(*)""")
+def stream_alert_rates(spark, sf_dir):
+    """Sliding windows of two hours with too many errors."""
+    return J.drained(J.error_rates(J.file_stream(spark, sf_dir, "events")), "complete").where("errors > 0.3 * n")
+
+
+@query("SELECT user_id AS src_id, count(*) FILTER (event_type <> 'error') AS successes, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1")
+def stream_state_machine(spark, sf_dir):
+    """A state kept for every user across batches, by a stateful operator."""
+    return J.last_state(J.drained(J.tracked(J.file_stream(spark, sf_dir, "events")), "update"))
