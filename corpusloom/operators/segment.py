@@ -62,14 +62,14 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
 
 
 def packed(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Pieces joined up to `size` characters; a new chunk begins with the last pieces, up to `overlap` characters."""
+    """Pieces joined up to `size` characters; a new chunk begins with the last pieces, up to `overlap` characters where there is room."""
     out, held, n = [], [], 0
     for piece in pieces:
         if held and n + len(piece) > size:
             out.append("".join(held))
             tail, m = [], 0
             for p in reversed(held):
-                if m + len(p) > overlap:
+                if m + len(p) > min(overlap, size - len(piece)):
                     break
                 tail.append(p)
                 m += len(p)
