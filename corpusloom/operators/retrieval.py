@@ -8,25 +8,35 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import count_of, query_terms
 
 
-def keyword_scores(queries: DataFrame, docs: DataFrame, most_terms: int = 200_000) -> DataFrame:
-    """query_id, src_id, score: +10 if the title is in the query, +5 for each term in the title, and each term's count in the text, 3 at most.
+RUN = r"[a-z0-9_]+|[\x{4e00}-\x{9fff}]+"
 
-    Every distinct term of all queries is sought once in a document, whichever queries share it; the
-    terms found then meet the queries by equality. Terms travel as arrays of a bounded size, one row
-    each, so the queries may be many.
+
+def _term_points(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """src_id, term, n: occurrences of terms (term) in docs (src_id, body), as parts of words too.
+
+    A term has no character that ends a word, so it can only be inside one. Terms meet the corpus's
+    vocabulary, each word once, through the word's parts by equality; documents then meet the few
+    words that hold a term. Nothing pairs documents with queries.
     """
+    words = docs.select("src_id", F.explode(F.regexp_extract_all("body", F.lit(RUN), F.lit(0))).alias("word")).groupBy("src_id", "word").agg(F.count("*").alias("tf"))
+    longest = terms.agg(F.max(F.length("term")).alias("most"))
+    vocabulary = words.select("word").distinct().crossJoin(F.broadcast(longest)).where("most IS NOT NULL")
+    at = F.sequence(F.lit(1), F.length("word"))
+    parts = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.col("most"), F.length("word") - i + 1)), lambda n: F.substring(F.col("word"), i, n))))
+    held = vocabulary.select("word", F.explode(F.array_distinct(parts)).alias("term")).join(terms, "term")
+    held = held.select("word", "term", count_of(F.col("word"), F.col("term")).alias("times"))
+    return words.join(held, "word").groupBy("src_id", "term").agg(F.sum(F.col("tf") * F.col("times")).alias("n"))
+
+
+def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, src_id, score: +10 if the title is in the query, +5 for each term in the title, and each term's count in the text, 3 at most."""
     asked = queries.select("query_id", F.lower("question").alias("question"))
     terms = asked.select("query_id", F.explode(query_terms(F.col("question"))).alias("term"))
-    block = F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("term"), F.lit(16))).orderBy("term")) - 1) / (most_terms // 16))
-    lists = terms.select("term").distinct().withColumn("block", block).groupBy("block").agg(F.collect_list("term").alias("terms"))
+    known = terms.select("term").distinct()
     base = docs.select("src_id", F.lower("title").alias("stem"), F.lower("text").alias("body"))
-
-    def hit(t: Column) -> Column:
-        return F.struct(t.alias("term"), (F.contains(F.col("stem"), t).cast("int") * 5 + F.when(F.contains(F.col("body"), t), F.least(count_of(F.col("body"), t), F.lit(3))).otherwise(0)).alias("points"))
-
-    # One row per block of terms, so this pairs a document with each block, not with each query.
-    found = base.join(F.broadcast(lists), F.lit(True)).select("src_id", F.explode(F.filter(F.transform("terms", hit), lambda x: x["points"] > 0)).alias("h"))
-    by_term = found.select("src_id", "h.term", "h.points").join(terms, "term").select("query_id", "src_id", "points")
+    in_text = _term_points(base.select("src_id", "body"), known).select("src_id", "term", F.least("n", F.lit(3)).alias("points"))
+    in_title = _term_points(base.select("src_id", F.col("stem").alias("body")), known).select("src_id", "term", F.lit(5).alias("points"))
+    by_term = in_text.union(in_title).join(terms, "term").select("query_id", "src_id", "points")
     whole = _titles_inside(asked, base.where("stem <> ''").select("src_id", "stem"))
     return by_term.union(whole).groupBy("query_id", "src_id").agg(F.sum("points").cast("int").alias("score"))
 
