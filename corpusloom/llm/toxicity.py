@@ -101,7 +101,7 @@ def _rows(sample: DataFrame, place: dict[str, int]) -> DataFrame:
     return sample.mapInArrow(run, "toxic int, here array<int>, swapped array<int>")
 
 
-def fit(rows: list, n: int, swap_weight: float = 1.0, decay: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(rows: list, n: int, swap_weight: float = 1.0, decay: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept by full-batch Adam on log loss + swap_weight * mean squared logit change + decay * |w|^2."""
 
     def sparse(lists):
