@@ -10,8 +10,8 @@ and the others go, once their bytes have been compared with the first one's.
 
 Only Spark SQL functions run. A text is cut once; the table of its chunks' hashes and lengths is
 written, and counting works on that. Counts and first places are aggregates that Spark combines
-before the shuffle, so a chunk with any share of the rows is no hot spot; the joins are ones that
-Spark splits. Texts are shuffled twice: for documents with a repeated chunk, to compare bytes, and
+before the shuffle, so a chunk with any share of the rows is no hot spot; they are written, so that
+the joins with them are ones that Spark splits. Texts are shuffled twice: for documents with a repeated chunk, to compare bytes, and
 to take the chunks out.
 
 Cases: a null text stays null, an empty one empty; a text of one line, or of chunks below `least`
@@ -74,10 +74,12 @@ def removals(docs: DataFrame, least: int = 40) -> DataFrame:
     """row_key, gone: the places of the chunks that go."""
     table = written(_keyed(docs).select("doc_id", "row_key", chunks_of(F.col("text"), least).alias("chunks")).where(F.size("chunks") > 0), "chunks")
     places = table.select("doc_id", "row_key", F.explode("chunks").alias("c")).select("doc_id", "row_key", "c.*")
+    # Written first: then both sides of the joins are plain shuffles, and Spark can split a chunk that has very many rows.
     often = places.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("times")).where("times > 1").drop("times")
+    often = written(often, "often")
     met = places.join(often, "hash").withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("keeper")))
     met = written(met.select("hash", "row_key", "place", "keeps").dropDuplicates(["row_key", "place"]), "repeats")
-    first = met.where("keeps").groupBy("hash").agg(F.min("place").alias("first"))
+    first = written(met.where("keeps").groupBy("hash").agg(F.min("place").alias("first")), "first")
     met = met.join(first, "hash").withColumn("stays", F.col("keeps") & (F.col("place") == F.col("first")))
     wanted = met.groupBy("row_key").agg(F.collect_list(F.struct("hash", "place", "stays")).alias("c"))
     body = lambda x, parts: F.struct(x["hash"].alias("hash"), x["place"].alias("place"), x["stays"].alias("stays"), F.rtrim(F.get(parts, x["place"])["body"]).alias("body"))
