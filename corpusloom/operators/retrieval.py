@@ -41,13 +41,18 @@ def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return by_term.union(whole).groupBy("query_id", "src_id").agg(F.sum("points").cast("int").alias("score"))
 
 
-def _titles_inside(asked: DataFrame, stems: DataFrame) -> DataFrame:
-    """query_id, src_id, 10 where the whole title is a part of the question: every part of a question, by its hash, met with titles."""
-    lengths = stems.select(F.length("stem").alias("n")).distinct()
+def _titles_inside(asked: DataFrame, stems: DataFrame, most: int = 12) -> DataFrame:
+    """query_id, src_id, points 10 where the whole title is a part of the question.
+
+    Titles are met through their first `most` characters: a question's parts of that length (and of
+    the shorter titles' lengths, at most `most` of them) are joined with these by equality.
+    """
+    stems = stems.withColumn("anchor", F.left("stem", F.lit(most)))
+    lengths = stems.select(F.length("anchor").alias("n")).distinct()
     parts = asked.join(F.broadcast(lengths), F.col("n") <= F.length("question"))
-    parts = parts.select("query_id", "question", "n", F.explode(F.sequence(F.lit(1), F.length("question") - F.col("n") + 1)).alias("i"))
-    parts = parts.select("query_id", F.substring("question", F.col("i"), F.col("n")).alias("stem")).distinct()
-    return parts.join(stems, "stem").select("query_id", "src_id", F.lit(10).alias("points"))
+    places = F.explode(F.sequence(F.lit(1), F.length("question") - F.col("n") + 1))
+    parts = parts.select("query_id", "question", "n", places.alias("i")).select("query_id", "question", F.substring("question", F.col("i"), F.col("n")).alias("anchor")).distinct()
+    return parts.join(stems, "anchor").where(F.contains(F.col("question"), F.col("stem"))).select("query_id", "src_id", F.lit(10).alias("points"))
 
 
 def keyword_points(score: Column) -> Column:

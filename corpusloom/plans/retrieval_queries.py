@@ -32,7 +32,7 @@ def keyword(spark, sf_dir):
 
 
 def expected(spark, sf_dir):
-    """Which documents hold a question's text: by the hash of every line run would miss parts of lines, so by containment of its rarest piece."""
+    """Which documents hold a question's whole text. The questions are a test set: they go along as one row."""
     docs = sources(spark, sf_dir).select("src_id", "text")
     asked = questions(spark, sf_dir)
     lists = asked.agg(F.collect_list(F.struct("query_id", "question")).alias("qs"))
