@@ -1,67 +1,81 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by repeated runs of lines.
 
 A text is cut into lines: after each newline, and inside a long line after each mark that ends a
-clause. Each line is hashed, a rolling hash covers a line and the one before it, and a chunk ends at
-every local minimum of the rolling hash. Boundaries hang on nearby lines alone, so a passage that is
-moved, or gets other text before it, is cut in the same places; and two minima are never
-neighbours, so each chunk but a text's first and last holds two lines or more. Of every multi-line
-chunk that occurs again, in any document, the first occurrence (smallest doc_id, first place) stays
-and the others go, once their bytes have been compared with the first one's.
-
-Only Spark SQL functions run. A text is cut once; the table of its chunks' hashes and lengths is
-written, and counting works on that. Counts and first places are aggregates that Spark combines
-before the shuffle, so a chunk with any share of the rows is no hot spot; they are written, so that
-the joins with them are ones that Spark splits. Texts are shuffled twice: for documents with a repeated chunk, to compare bytes, and
-to take the chunks out.
-
-Cases: a null text stays null, an empty one empty; a text of one line, or of chunks below `least`
-characters, stays as it is; rows that repeat a doc_id and text count as one and keep the same text;
-rows with one doc_id and different texts do not take chunks from each other; a null doc_id sorts
-last; an empty table gives an empty result; other columns are kept as they are.
+clause, ASCII or not. Of every pair of neighbouring lines that occurs again, in any document, the
+first occurrence (smallest doc_id, first place) stays and the others go, so a passage that repeats
+goes from its first whole line to its last, whatever stands around it. A line goes if a pair that
+goes holds it and no pair that stays does; runs of such lines below `least` characters stay.
+
+To find them not every pair is counted. Among every SPAN neighbouring lines the one with the least
+hash starts a seed, the pair of it and the next line; which lines those are hangs on the SPAN lines
+alone. So two texts that share more than SPAN whole lines in a row share a seed, at most SPAN - 1
+lines from either end and SPAN lines from the next seed. Seeds are counted by hash, and every pair
+near a repeated seed is then compared by its bytes with every other such pair. Shorter common runs
+are found where a seed falls into them.
+
+Only Spark SQL functions run. The table of the seeds' hashes is written, and counting works on that.
+Counts and first places are aggregates that Spark combines before the shuffle, so a pair with any
+share of the rows is no hot spot; they are written, so that the joins with them are ones that Spark
+splits. Texts are shuffled twice: for documents with a repeated seed, to show the pairs near it, and
+to take the lines out.
+
+Cases: a null text stays null, an empty one empty; a text of one line stays as it is; rows that
+repeat a doc_id and text count as one and keep the same text; rows with one doc_id and different
+texts do not share places; white space at a line's end is not compared; a null doc_id sorts last; an
+empty table gives an empty result; other columns are kept as they are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import let, written
 
 #: A line: up to a newline, or up to marks that end a clause and the blank after them. Every character is in a line.
-LINE = r"[^\n.!?;:,]++(?:\n|[.!?;:,]++ ?+)?+|\n|[.!?;:,]++ ?+"
+LINE = r"[^\n{0}]++(?:\n|[{0}]++ ?+)?+|\n|[{0}]++ ?+"
+MARKS, MORE_MARKS = ".!?;:,", "。！？；：，、．؟؛،।"
+SPAN = 4
 
 
-def parts_of(text: Column) -> Column:
-    """array<struct<body, lines>>: the chunks of a text, in order, and how many lines each has. Joined, the bodies are the text."""
+def lines_of(text: Column) -> Column:
+    """array<string>: the lines of a text. Joined, they are the text."""
+    found = lambda marks: F.regexp_extract_all(text, F.lit(LINE.format(marks)), F.lit(0))
+    # Java matches a class of ASCII marks several times faster, and gives the same lines where no other mark is.
+    more = (F.octet_length(text) > F.length(text)) & reduce(or_, (F.contains(text, F.lit(m)) for m in MORE_MARKS))
+    return F.when(more, found(MARKS + MORE_MARKS)).otherwise(found(MARKS))
 
-    def cut(lines: Column) -> Column:
-        hashed = F.transform(lines, lambda x: F.xxhash64(F.rtrim(x)))
-        rolling = let(hashed, lambda h: F.transform(h, lambda x, i: F.xxhash64(F.get(h, i - 1), x)))
-        return let(rolling, lambda roll: let(_ends(roll), lambda ends: _parts(lines, ends)))
 
-    return let(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), cut)
+def parts_of(text: Column) -> Column:
+    """array<struct<body>>: the lines of a text, in order."""
+    return F.transform(lines_of(text), lambda x: F.struct(x.alias("body")))
 
 
-def _ends(roll: Column) -> Column:
-    """The last lines (from 0) of the chunks."""
-    n = F.size(roll)
-    lines = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(lines, lambda i: (i == n - 1) | ((F.get(roll, i) < F.get(roll, i - 1)) & (F.get(roll, i) < F.get(roll, i + 1))))
+def with_seeds(rows: DataFrame) -> DataFrame:
+    """rows (text) with seeds: array<struct<hash, place>>, the pairs of lines, by the place (from 0) of the first, that start at a least hash of SPAN lines.
 
+    Step by step in columns: Spark works out types anew for each element of nested higher-order functions.
+    """
+    h, m, n = F.col("__h"), F.col("__m"), F.size("__h")
+    rows = rows.withColumn("__h", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.rtrim(x)))).where(n > 1)
+    rows = rows.withColumn("__m", F.transform(F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0))), lambda s: F.least(*(F.get(h, s + k) for k in range(SPAN)))))
+    # A hash is the least of some span with it if it equals the greatest of these spans' least ones.
+    chosen = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(h, i) == F.greatest(*(F.get(m, i - k) for k in range(SPAN))))
+    rows = rows.withColumn("__at", F.array_distinct(F.transform(chosen, lambda i: F.least(i, n - 2))))
+    return rows.withColumn("seeds", F.transform("__at", lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1)).alias("hash"), i.alias("place")))).drop("__h", "__m", "__at")
 
-def _parts(lines: Column, ends: Column) -> Column:
-    def part(end: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(ends, i - 1), F.lit(-1))
-        return F.struct(F.array_join(F.slice(lines, before + 2, end - before), "").alias("body"), (end - before).alias("lines"))
 
-    return F.transform(ends, part)
+def pairs_near(text: Column, places: Column) -> Column:
+    """array<struct<place, body>>: the pairs of lines less than SPAN lines from the seeds at these places."""
 
+    def shown(lines: Column) -> Column:
+        near = F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(i - (SPAN - 1), F.lit(0)), F.least(i + (SPAN - 1), F.size(lines) - 2)))))
+        return F.transform(near, lambda i: F.struct(i.alias("place"), F.concat(F.rtrim(F.get(lines, i)), F.lit("\n"), F.rtrim(F.get(lines, i + 1))).alias("body")))
 
-def chunks_of(text: Column, least: int) -> Column:
-    """array<struct<hash, place>>: every chunk of two lines or more and at least `least` characters."""
-    numbered = F.transform(parts_of(text), lambda p, i: F.struct(p["body"].alias("body"), p["lines"].alias("lines"), i.alias("place")))
-    enough = F.filter(numbered, lambda p: (p["lines"] > 1) & (F.length(p["body"]) >= least))
-    return F.transform(enough, lambda p: F.struct(F.xxhash64(F.rtrim(p["body"])).alias("hash"), p["place"].alias("place")))
+    return let(lines_of(text), shown)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -70,38 +84,47 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return base.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
-def removals(docs: DataFrame, least: int = 40) -> DataFrame:
-    """row_key, gone: the places of the chunks that go."""
-    table = written(_keyed(docs).select("doc_id", "row_key", chunks_of(F.col("text"), least).alias("chunks")).where(F.size("chunks") > 0), "chunks")
-    places = table.select("doc_id", "row_key", F.explode("chunks").alias("c")).select("doc_id", "row_key", "c.*")
-    # Written first: then both sides of the joins are plain shuffles, and Spark can split a chunk that has very many rows.
-    often = places.groupBy("hash").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("times")).where("times > 1").drop("times")
-    often = written(often, "often")
-    met = places.join(often, "hash").withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("keeper")))
-    met = written(met.select("hash", "row_key", "place", "keeps").dropDuplicates(["row_key", "place"]), "repeats")
-    first = written(met.where("keeps").groupBy("hash").agg(F.min("place").alias("first")), "first")
-    met = met.join(first, "hash").withColumn("stays", F.col("keeps") & (F.col("place") == F.col("first")))
-    wanted = met.groupBy("row_key").agg(F.collect_list(F.struct("hash", "place", "stays")).alias("c"))
-    body = lambda x, parts: F.struct(x["hash"].alias("hash"), x["place"].alias("place"), x["stays"].alias("stays"), F.rtrim(F.get(parts, x["place"])["body"]).alias("body"))
-    shown = _keyed(docs).join(wanted, "row_key").select("row_key", F.explode(let(parts_of(F.col("text")), lambda parts: F.transform("c", lambda x: body(x, parts)))).alias("c"))
-    shown = written(shown.select("row_key", "c.*"), "bodies")
-    gone = shown.where("NOT stays").join(shown.where("stays").select("hash", "body"), ["hash", "body"], "left_semi")
-    return gone.groupBy("row_key").agg(F.collect_set("place").alias("gone"))
-
-
-def without(text: Column, gone: Column) -> Column:
-    """text without its chunks at the places in gone."""
-    left = F.filter(parts_of(text), lambda p, i: ~F.array_contains(gone, i))
-    return F.array_join(F.transform(left, lambda p: p["body"]), "")
+def removals(docs: DataFrame) -> DataFrame:
+    """row_key, gone, held: the places of the pairs that go, and of those that occur again and stay."""
+    table = written(with_seeds(_keyed(docs)).select("row_key", "seeds"), "seeds")
+    seeds = table.select("row_key", F.explode("seeds").alias("s")).select("row_key", "s.*")
+    # Written first: then both sides of the joins are plain shuffles, and Spark can split a pair that has very many rows.
+    often = written(seeds.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "often")
+    wanted = seeds.join(often, "hash").groupBy("row_key").agg(F.collect_set("place").alias("places"))
+    shown = _keyed(docs).join(wanted, "row_key").select("doc_id", "row_key", F.explode(pairs_near(F.col("text"), F.col("places"))).alias("p"))
+    shown = written(shown.select("doc_id", "row_key", "p.*"), "pairs")
+    again = shown.groupBy("body").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("times")).where("times > 1").drop("times")
+    met = shown.join(written(again, "again"), "body").withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("keeper")))
+    met = written(met.select("body", "row_key", "place", "keeps"), "repeats")
+    first = written(met.where("keeps").groupBy("body").agg(F.min("place").alias("first")), "first")
+    stays = F.col("keeps") & (F.col("place") == F.col("first"))
+    met = met.join(first, "body").groupBy("row_key").agg(F.collect_set(F.when(~stays, F.col("place"))).alias("gone"), F.collect_set(F.when(stays, F.col("place"))).alias("held"))
+    return met.where(F.size("gone") > 0)
+
+
+def without(rows: DataFrame, least: int) -> DataFrame:
+    """rows (__text, __gone, __held) with __left: the text without the lines of the pairs in __gone that no pair in __held has, where at least `least` characters in a row go.
+
+    Step by step in columns: Spark works out types anew for each element of nested higher-order functions.
+    """
+    both = lambda places: F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1))))
+    lines, g, runs = F.col("__lines"), F.col("__goes"), F.col("__runs")
+    rows = rows.withColumns({"__lines": lines_of(F.col("__text")), "__goes": F.array_sort(F.array_except(both("__gone"), both("__held")))})
+    starts = F.filter(g, lambda x, k: (k == 0) | (F.get(g, k - 1) != x - 1))
+    ends = F.filter(g, lambda x, k: (k == F.size(g) - 1) | (F.get(g, k + 1) != x + 1))
+    rows = rows.withColumn("__runs", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    rows = rows.withColumn("__runs", F.filter(runs, lambda r: F.length(F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), "")) >= least))
+    firsts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["b"] + 1))
+    lasts = F.concat(F.transform(runs, lambda r: r["a"]), F.array(F.size(lines)))
+    return rows.withColumn("__left", F.array_join(F.zip_with(firsts, lasts, lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "")), ""))
 
 
 def dedup_lines(docs: DataFrame, least: int = 40) -> DataFrame:
-    """docs with all its columns and rows, text without repeated chunks."""
-    gone = written(removals(docs, least), "gone").withColumnRenamed("row_key", "__key").withColumnRenamed("gone", "__gone")
+    """docs with all its columns and rows, text without repeated runs of lines."""
+    gone = written(removals(docs), "gone").select(*(F.col(c).alias(f"__{c}") for c in ("row_key", "gone", "held")))
     key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
-    joined = docs.join(gone, key == gone["__key"], "left")
-    text = F.when(F.col("__gone").isNull() | docs["text"].isNull(), docs["text"]).otherwise(without(docs["text"], F.col("__gone")))
-    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
+    joined = docs.join(gone, key == gone["__row_key"], "left").withColumn("__text", F.when(F.col("__gone").isNotNull(), docs["text"]))
+    return without(joined, least).select(*(F.coalesce("__left", "text").alias(c) if c == "text" else c for c in docs.columns))
 
 
 def with_length(docs: DataFrame) -> DataFrame:

@@ -98,3 +98,26 @@ def test_chunks_join_to_the_text_and_copies(spark, docs, no_docs):
     copy = next(t for n, i, t in out if i == 4)
     assert len(copy) < 0.5 * len(docs.where("doc_id = 4").first().text)
     assert L.dedup_lines(no_docs).collect() == []
+
+
+def sentences_of(seed, n, words=8, end=". "):
+    return "".join(re.sub("[.,]", "", prose(seed * 1000 + i, words)) + end for i in range(n))
+
+
+def test_short_passages_go_whole(spark):
+    """Just over 50 words, between other texts; all that was there before and after stays."""
+    rows, want = [], {}
+    for k in range(40):
+        passage = sentences_of(500 + k, 7) if k % 4 else sentences_of(500 + k, 7, end="。").replace(" ", "字")
+        for j in range(3):
+            i = 10 * k + j
+            before, after = sentences_of(2000 + i, 1 + (k + j) % 5), sentences_of(4000 + i, 1 + (k + 2 * j) % 3)
+            rows.append((i, before + passage + after))
+            want[i] = before + (passage if j == 0 else "") + after
+    # a passage of which an earlier text has a part only, and a text that repeats itself
+    half, rest, line = sentences_of(900, 7), sentences_of(901, 7), sentences_of(902, 1)
+    for i, t, w in ((1000, half, half), (1001, "x y. " + half + rest, "x y. " + rest), (1002, line * 9, line * 2), (1003, "ab, cd. ef", "ab, cd. ef"), (1004, "ab, cd. gh", "ab, cd. gh")):
+        rows.append((i, t))
+        want[i] = w
+    out = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == want
