@@ -5,27 +5,53 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the context's own.
 
-    Only where neither is set (tests on one machine) a temporary folder is made and set.
+    Where neither is set, a session on one machine (tests) gets a temporary folder; on a cluster that
+    would scatter the files over the executors' own disks, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="spark-corpusloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{tag}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has yet; inside `scratch`, in the folder that goes at its end."""
+    folder = _folders[-1] if _folders else f"{shared_dir(spark)}/corpusloom"
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside go when the block ends; write the result elsewhere before that."""
+    _folders.append(f"{shared_dir(spark)}/corpusloom/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        removed(spark, _folders.pop())
 
 
 def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
@@ -48,12 +74,16 @@ def find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches of whole texts small, so that a Python worker's memory stays bounded."""
+def small_batches(spark: SparkSession, rows: int = 2000, most_bytes: int = 16 << 20) -> None:
+    """Keep Arrow batches of whole texts small, in rows and in bytes, so that a Python worker's memory stays bounded by its longest text.
+
+    Lowers two settings of the session, which hold when a plan is made, so they stay lowered.
+    """
     find_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        now = spark.conf.get(key)
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,3 +99,23 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once a row; inside a higher-order function it would be once an element."""
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, ...) as row (all their columns), id, no_id and body: what tells one row's decision from another's.
+
+    body is a digest of the text of 128 bits, so rows with one doc_id, or with none, are told apart by
+    their texts, and rows that repeat both have the same decision. Joins on the three are plain
+    equalities, and spread rows without an id by their texts. Whatever rows' columns are called, they
+    are inside `row`.
+    """
+    key = rows["doc_id"].cast("long")
+    return rows.select(F.struct(*(rows[f"`{c}`"] for c in rows.columns)).alias("row"), F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("no_id"), body_of(rows["text"]).alias("body"))
+
+
+IDENTITY = ["id", "no_id", "body"]
+
+
+def body_of(text: Column) -> Column:
+    """Digest of a text; a null text has one of its own."""
+    return F.unhex(F.coalesce(F.md5(text), F.lit("00")))

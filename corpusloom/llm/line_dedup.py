@@ -1,10 +1,12 @@
 """Line dedup by repeated runs of lines.
 
 A text is cut into lines: after each newline, and inside a long line after each mark that ends a
-clause, ASCII or not. Of every pair of neighbouring lines that occurs again, in any document, the
-first occurrence (smallest doc_id, first place) stays and the others go, so a passage that repeats
-goes from its first whole line to its last, whatever stands around it. A line goes if a pair that
-goes holds it and no pair that stays does; runs of such lines below `least` characters stay.
+clause. An ASCII mark ends one only before a blank or the line's end, so addresses, times and decimals
+are whole. Of every pair of neighbouring lines that occurs again, in any document, the first occurrence
+(smallest doc_id, then by a hash of the text, first place) stays and the others go, so a passage that
+repeats goes from its first whole line to its last, whatever stands around it. A line goes if a pair
+that goes holds it and no pair that stays does; runs of such lines below `least` characters stay, as
+they are turns of phrase ("no, thanks."), not copied passages; with least = 0 they go too.
 
 To find them not every pair is counted. Among every SPAN neighbouring lines the one with the least
 hash starts a seed, the pair of it and the next line; which lines those are hangs on the SPAN lines
@@ -20,9 +22,10 @@ splits. Texts are shuffled twice: for documents with a repeated seed, to show th
 to take the lines out.
 
 Cases: a null text stays null, an empty one empty; a text of one line stays as it is; rows that
-repeat a doc_id and text count as one and keep the same text; rows with one doc_id and different
-texts do not share places; white space at a line's end is not compared; a null doc_id sorts last; an
-empty table gives an empty result; other columns are kept as they are.
+repeat a doc_id and text count as one and keep the same text; of rows with one doc_id and different
+texts, or without a doc_id, each is a document of its own; white space at a line's end is not compared;
+a null doc_id sorts last; an empty table gives an empty result; other columns are kept as they are,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,22 +36,28 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import let, written
+from corpusloom.llm.common import let, new_path, removed, written
 
 #: A line: up to a newline, or up to marks that end a clause and the blank after them. Every character is in a line.
-LINE = r"[^\n{0}]++(?:\n|[{0}]++ ?+)?+|\n|[{0}]++ ?+"
+#: {0} are marks that need a blank after them, {1} all marks. A line has at most 200 marks inside it, which bounds Java's stack.
+LINE = r"(?!\z)[^\n{1}]*+(?:[{0}]++(?![ \n{1}]|\z)[^\n{1}]*+){{0,200}}+(?:[{1}]++ ?+)?+\n?+"
 MARKS, MORE_MARKS = ".!?;:,", "。！？；：，、．؟؛،।"
 SPAN = 4
 
 
 def lines_of(text: Column) -> Column:
     """array<string>: the lines of a text. Joined, they are the text."""
-    found = lambda marks: F.regexp_extract_all(text, F.lit(LINE.format(marks)), F.lit(0))
+    found = lambda marks: F.regexp_extract_all(text, F.lit(LINE.format(MARKS, marks)), F.lit(0))
     # Java matches a class of ASCII marks several times faster, and gives the same lines where no other mark is.
     more = (F.octet_length(text) > F.length(text)) & reduce(or_, (F.contains(text, F.lit(m)) for m in MORE_MARKS))
     return F.when(more, found(MARKS + MORE_MARKS)).otherwise(found(MARKS))
 
 
+def bare(line: Column) -> Column:
+    """A line as it is compared: without blanks and newlines at its end."""
+    return F.rtrim(line, F.lit(" \n"))
+
+
 def parts_of(text: Column) -> Column:
     """array<struct<body>>: the lines of a text, in order."""
     return F.transform(lines_of(text), lambda x: F.struct(x.alias("body")))
@@ -60,7 +69,7 @@ def with_seeds(rows: DataFrame) -> DataFrame:
     Step by step in columns: Spark works out types anew for each element of nested higher-order functions.
     """
     h, m, n = F.col("__h"), F.col("__m"), F.size("__h")
-    rows = rows.withColumn("__h", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.rtrim(x)))).where(n > 1)
+    rows = rows.withColumn("__h", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(bare(x)))).where(n > 1)
     rows = rows.withColumn("__m", F.transform(F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0))), lambda s: F.least(*(F.get(h, s + k) for k in range(SPAN)))))
     # A hash is the least of some span with it if it equals the greatest of these spans' least ones.
     chosen = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(h, i) == F.greatest(*(F.get(m, i - k) for k in range(SPAN))))
@@ -73,58 +82,79 @@ def pairs_near(text: Column, places: Column) -> Column:
 
     def shown(lines: Column) -> Column:
         near = F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(i - (SPAN - 1), F.lit(0)), F.least(i + (SPAN - 1), F.size(lines) - 2)))))
-        return F.transform(near, lambda i: F.struct(i.alias("place"), F.concat(F.rtrim(F.get(lines, i)), F.lit("\n"), F.rtrim(F.get(lines, i + 1))).alias("body")))
+        return F.transform(near, lambda i: F.struct(i.alias("place"), F.concat(bare(F.get(lines, i)), F.lit("\n"), bare(F.get(lines, i + 1))).alias("body")))
 
     return let(lines_of(text), shown)
 
 
+KEY = ["doc_id", "row_key"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key of the two."""
-    base = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return base.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    """row (all columns of docs), doc_id and row_key, a hash of the text: two texts are taken for one only if doc_id, hash and length agree."""
+    key = F.xxhash64(docs["text"], F.length(docs["text"]))
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), key.alias("row_key"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row_key"] == b["row_key"])
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """row_key, gone, held: the places of the pairs that go, and of those that occur again and stay."""
-    table = written(with_seeds(_keyed(docs)).select("row_key", "seeds"), "seeds")
-    seeds = table.select("row_key", F.explode("seeds").alias("s")).select("row_key", "s.*")
+    """doc_id, row_key, gone, held: the places of the pairs that go, and of those that occur again and stay. Intermediate tables go as soon as the next one is there."""
+    spark = docs.sparkSession
+    at = {tag: new_path(spark, tag) for tag in ("seeds", "often", "pairs", "again", "repeats", "first", "gone")}
+    texts = _keyed(docs).select(*KEY, F.col("row.text").alias("text")).where("text IS NOT NULL")
+    table = written(with_seeds(texts).select(*KEY, "seeds"), "seeds", at["seeds"])
+    seeds = table.select(*KEY, F.explode("seeds").alias("s")).select(*KEY, "s.*")
     # Written first: then both sides of the joins are plain shuffles, and Spark can split a pair that has very many rows.
-    often = written(seeds.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "often")
-    wanted = seeds.join(often, "hash").groupBy("row_key").agg(F.collect_set("place").alias("places"))
-    shown = _keyed(docs).join(wanted, "row_key").select("doc_id", "row_key", F.explode(pairs_near(F.col("text"), F.col("places"))).alias("p"))
-    shown = written(shown.select("doc_id", "row_key", "p.*"), "pairs")
+    often = written(seeds.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "often", at["often"])
+    wanted = seeds.join(often, "hash").groupBy(*KEY).agg(F.collect_set("place").alias("places"))
+    shown = texts.join(wanted, _same(texts, wanted)).select(texts["doc_id"], texts["row_key"], F.explode(pairs_near(F.col("text"), F.col("places"))).alias("p"))
+    shown = written(shown.select(*KEY, "p.*"), "pairs", at["pairs"])
+    _drop(spark, at, "seeds", "often")
     again = shown.groupBy("body").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("times")).where("times > 1").drop("times")
-    met = shown.join(written(again, "again"), "body").withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("keeper")))
-    met = written(met.select("body", "row_key", "place", "keeps"), "repeats")
-    first = written(met.where("keeps").groupBy("body").agg(F.min("place").alias("first")), "first")
-    stays = F.col("keeps") & (F.col("place") == F.col("first"))
-    met = met.join(first, "body").groupBy("row_key").agg(F.collect_set(F.when(~stays, F.col("place"))).alias("gone"), F.collect_set(F.when(stays, F.col("place"))).alias("held"))
-    return met.where(F.size("gone") > 0)
+    met = shown.join(written(again, "again", at["again"]), "body").withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("keeper")))
+    met = written(met.select("body", *KEY, "place", "keeps"), "repeats", at["repeats"])
+    _drop(spark, at, "pairs", "again")
+    # One number for text and place: a minimum of a number is worked out by hash, one of a pair by sorting.
+    order = F.col("row_key").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("place").cast("decimal(10,0)")
+    first = written(met.where("keeps").groupBy("body").agg(F.min(order).alias("first")), "first", at["first"])
+    stays = F.col("keeps") & (order == F.col("first"))
+    met = met.join(first, "body").groupBy(*KEY).agg(F.collect_set(F.when(~stays, F.col("place"))).alias("gone"), F.collect_set(F.when(stays, F.col("place"))).alias("held"))
+    out = written(met.where(F.size("gone") > 0), "gone", at["gone"])
+    _drop(spark, at, "repeats", "first")
+    return out
+
+
+def _drop(spark: SparkSession, at: dict[str, str], *tags: str) -> None:
+    for tag in tags:
+        removed(spark, at[tag])
 
 
 def without(rows: DataFrame, least: int) -> DataFrame:
-    """rows (__text, __gone, __held) with __left: the text without the lines of the pairs in __gone that no pair in __held has, where at least `least` characters in a row go.
+    """rows (text, gone, held, ...) with left: the text without the lines of the pairs in gone that no pair in held has, where at least `least` characters in a row go.
 
     Step by step in columns: Spark works out types anew for each element of nested higher-order functions.
     """
     both = lambda places: F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1))))
-    lines, g, runs = F.col("__lines"), F.col("__goes"), F.col("__runs")
-    rows = rows.withColumns({"__lines": lines_of(F.col("__text")), "__goes": F.array_sort(F.array_except(both("__gone"), both("__held")))})
+    lines, g, runs = F.col("lines"), F.col("goes"), F.col("runs")
+    rows = rows.withColumns({"lines": lines_of(F.col("text")), "goes": F.array_sort(F.array_except(both("gone"), both("held")))})
     starts = F.filter(g, lambda x, k: (k == 0) | (F.get(g, k - 1) != x - 1))
     ends = F.filter(g, lambda x, k: (k == F.size(g) - 1) | (F.get(g, k + 1) != x + 1))
-    rows = rows.withColumn("__runs", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    rows = rows.withColumn("__runs", F.filter(runs, lambda r: F.length(F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), "")) >= least))
+    rows = rows.withColumn("runs", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    if least:
+        rows = rows.withColumn("runs", F.filter(runs, lambda r: F.length(F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), "")) >= least))
     firsts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["b"] + 1))
     lasts = F.concat(F.transform(runs, lambda r: r["a"]), F.array(F.size(lines)))
-    return rows.withColumn("__left", F.array_join(F.zip_with(firsts, lasts, lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "")), ""))
+    return rows.withColumn("left", F.array_join(F.zip_with(firsts, lasts, lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "")), ""))
 
 
 def dedup_lines(docs: DataFrame, least: int = 40) -> DataFrame:
     """docs with all its columns and rows, text without repeated runs of lines."""
-    gone = written(removals(docs), "gone").select(*(F.col(c).alias(f"__{c}") for c in ("row_key", "gone", "held")))
-    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
-    joined = docs.join(gone, key == gone["__row_key"], "left").withColumn("__text", F.when(F.col("__gone").isNotNull(), docs["text"]))
-    return without(joined, least).select(*(F.coalesce("__left", "text").alias(c) if c == "text" else c for c in docs.columns))
+    gone, rows = removals(docs), _keyed(docs)
+    joined = rows.join(gone, _same(rows, gone), "left").withColumn("text", F.when(F.col("gone").isNotNull(), F.col("row.text")))
+    return without(joined, least).select(*(F.coalesce("left", "row.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def with_length(docs: DataFrame) -> DataFrame:

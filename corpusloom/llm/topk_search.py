@@ -111,22 +111,25 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, nodes: int = 2, query_
     seeds = local.withColumn("r", place).where(F.col("r") <= k + 1).select("qid", "cid").distinct()
     order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cid"))
     cutoff = _exact(seeds, queries, distinct).withColumn("r", order).where(F.col("r") == k + 1).select("qid", F.col("score").alias("cutoff"))
-    informed = written(queries.join(cutoff, "qid", "left"), "cutoffs")
+    # Without k + 1 candidates there is no cutoff: every entry is above the lowest number.
+    informed = queries.join(cutoff, "qid", "left").withColumns({"open": F.col("cutoff").isNull(), "cutoff": F.coalesce("cutoff", F.lit(-(1 << 62)))})
+    informed = written(informed, "cutoffs")
 
     def enough(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"qid": [], "cid": [], "part": []})
-        scores, least = _products(_matrix(q.part), _matrix(c.part)), pd.to_numeric(q.cutoff).astype(float).fillna(-np.inf).values
-        i, j = np.nonzero(scores * nodes >= (least - 1)[:, None])
+        # In whole numbers: a node's share of the cutoff, rounded up, is no more than what one of the nodes must reach.
+        scores, least = _products(_matrix(q.part), _matrix(c.part)), -(-q.cutoff.values // nodes)
+        i, j = np.nonzero(scores >= least[:, None])
         return pd.DataFrame({"qid": q.qid.values[i], "cid": c.cid.values[j], "part": scores[i, j].astype(np.int64)})
 
-    # Phase 2: entries at or above the cutoff's share (a unit lower, for floating point); known sums.
+    # Phase 2: entries at or above the cutoff's share; known sums.
     entries = dealt(informed, "qid", q_blocks, c_blocks, "cutoff").groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(enough, "qid long, cid long, part long")
     known = written(entries.groupBy("qid", "cid").agg(F.sum("part").alias("score"), F.count("*").alias("n")), "known")
     # Phase 3: the rest, exactly.
     whole = known.where(F.col("n") == nodes).select("qid", "cid", "score")
     full = whole.union(_exact(known.where(F.col("n") < nodes).select("qid", "cid"), queries, distinct))
-    full = full.join(informed.select("qid", "cutoff"), "qid").where("cutoff IS NULL OR score >= cutoff")
+    full = full.join(informed.select("qid", "open", "cutoff"), "qid").where("open OR score >= cutoff")
     listed = full.join(distinct.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     listed = listed.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1)

@@ -4,11 +4,13 @@ A logistic regression over words and word beginnings. Besides the log loss it pa
 change of a training text's logit when an identity term in it is swapped for another term, so that
 a neutral mention of a group does not raise a score. It is fitted on a bounded sample of labelled
 rows (`most_rows`, in the order of a hash of the id; the default is far above what the features
-need); Spark counts the features' document frequencies, selects the telling ones, turns the sample
-into sparse rows, and scores every text in one pass without a shuffle.
+need); Spark counts the features' document frequencies, selects the telling ones (`least_texts`,
+`least_z`, `most_features`: the model's size, as the rows it is fitted on are bounded too), turns the
+sample into sparse rows, and scores every text in one pass without a shuffle.
 
 Cases: a null or empty text gets the score of the intercept; rows that repeat are each scored and
-teach once per id; an id with several labels counts as toxic if one of them says so; rows without
+teach once per id (of texts that share an id the least one); an id with several labels counts as toxic
+if one of them says so; rows without
 a label teach nothing; with no labelled row, or labels of one kind alone, every score is that kind's
 share (0 without rows); other columns are ignored.
 """
@@ -128,13 +130,18 @@ def fit(rows: list, n: int, swap_weight: float = 1.0, decay: float = 1e-4, steps
     return w, float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 4096) -> Model:
-    """docs (doc_id, text), labels (doc_id, toxic): the rows to learn from, at most most_rows of them."""
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 16_384, least_texts: int = 3, least_z: float = 3.0, swap_weight: float = 1.0) -> Model:
+    """docs (doc_id, text), labels (doc_id, toxic): the rows to learn from, at most most_rows of them.
+
+    Features are those in at least `least_texts` texts whose log odds between the labels lie `least_z`
+    standard errors from 0, the most telling first. swap_weight is the price of a logit's change when
+    identity terms are swapped; 0 gives a plain classifier.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)  # a few bytes each: the bound that lets it be broadcast
-    texts = id_text(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
+    texts = id_text(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     texts = written(texts.repartition(2 * spark.sparkContext.defaultParallelism), "toxic-sample")
     kinds = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = kinds.get(1, 0), kinds.get(0, 0)
@@ -143,10 +150,10 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_feat
     p, q = (F.col("pos") + 0.5) / (pos + 1), (F.col("neg") + 0.5) / (neg + 1)
     # How far the log odds of a feature between the labels lie from 0, in standard errors.
     z = F.abs(F.log(p / q)) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    picked = _frequencies(texts).where("pos + neg >= 3").withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "feature").limit(most_features).select("feature")
+    picked = _frequencies(texts).where(F.col("pos") + F.col("neg") >= least_texts).withColumn("z", z).where(F.col("z") > least_z).orderBy(F.desc("z"), "feature").limit(most_features).select("feature")
     identity = {f for t in SWAP for f in features(t)}
     place = {f: i for i, f in enumerate(dict.fromkeys([*(r.feature for r in picked.collect()), *sorted(identity)]))}
-    w, b = fit(_rows(texts, place).collect(), len(place))
+    w, b = fit(_rows(texts, place).collect(), len(place), swap_weight)
     return Model({f: float(w[i]) for f, i in place.items() if w[i]}, b)
 
 

@@ -30,6 +30,17 @@ def docs(spark):
     return spark.createDataFrame(rows, DOCS)
 
 
+CLASHES = "doc_id long, text string, row int, id string, no_id boolean, body string, gone int, held int, row_key long, fp long, line string, words string, hits int, item long, lines int, `a.b` int"
+
+
+@pytest.fixture(scope="session")
+def hard_docs(spark):
+    """Rows without an id, ids with several texts, repeated rows, and columns with names that the operators use inside."""
+    a, b, c = prose(61, 150), prose(62, 150), prose(63, 150)
+    ids = [(None, a), (None, b), (None, c), (None, a), (3, a), (5, a), (5, b), (5, c), (5, c), (1, prose(64, 90) + ". " + a), (1, prose(65, 90) + ". " + a), (None, None), (7, None), (8, "")]
+    return spark.createDataFrame([(i, t, 1, "x", False, "y", 2, 3, 4, 5, "z", "w", 6, 7, 8, 9) for i, t in ids], CLASHES)
+
+
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)

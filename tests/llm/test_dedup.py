@@ -1,6 +1,11 @@
+import hashlib
+import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -65,17 +70,137 @@ def test_split_groups_lose_no_link(spark):
 
 
 def test_keep_one_and_empty(spark, docs, no_docs):
-    kept = S.keep_one(docs)
+    kept = S.keep_one(docs, 4)
     assert kept.columns == docs.columns and 3 in {r.doc_id for r in kept.collect()} and not {4, 10} & {r.doc_id for r in kept.collect()}
     assert S.near_duplicates(no_docs).collect() == [] and S.keep_one(no_docs).collect() == []
 
 
-LINE = re.compile(r"[^\n.!?;:,]++(?:\n|[.!?;:,]++ ?+)?+|\n|[.!?;:,]++ ?+")
-
-
-def test_lines_hold_every_character():
-    for text in ("", "\n", "a", "a. b,c\n\n.,; d ", prose(7, 200)):
-        assert "".join(LINE.findall(text)) == text
+def test_keep_one_of_hard_rows(hard_docs):
+    """Of each text's copies the row with the least id stays; texts under one id, or under none, are not mixed up."""
+    kept = S.keep_one(hard_docs)
+    assert kept.columns == hard_docs.columns
+    rows = [tuple(r)[:2] for r in hard_docs.collect()]
+    want = []
+    prints = [S.fingerprint(t or "", 5) for _, t in rows]
+    root = roots(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    for k in {*root.values()}:
+        group = [rows[i] for i in range(len(rows)) if root[i] == k]
+        want.append(min(group, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(x[1].encode()).digest() if x[1] is not None else b"\0")))
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_stars_in_stripes():
+    rng = np.random.default_rng(5)
+    group = np.unique(rng.integers(0, 2**63, 300, np.uint64) & np.uint64(0x3FF))
+    links = [(int(a), int(b)) for i, a in enumerate(group) for b in group[:i] if (int(a) ^ int(b)).bit_count() <= 1]
+    want = roots([int(x) for x in group], links)
+    assert {int(a): int(b) for a, b in zip(group, S.stars(group, 1, stripe=7), strict=True)} == want
+
+
+def own_lines(text):
+    """The rule in plain Python: a line ends after a newline, after marks before a blank (and one run of blanks), and after marks that are not ASCII."""
+    out, i = [], 0
+    while i < len(text):
+        j, inner = i, 0
+        while j < len(text) and text[j] != "\n":
+            if text[j] not in L.MARKS + L.MORE_MARKS:
+                j += 1
+                continue
+            k = j
+            while k < len(text) and text[k] in L.MARKS:
+                k += 1
+            ends = k == j or k == len(text) or text[k] in " \n" + L.MORE_MARKS
+            if ends or inner == 200:
+                while k < len(text) and text[k] in L.MARKS + L.MORE_MARKS:
+                    k += 1
+                k += text[k : k + 1] == " "
+                j = k
+                break
+            j, inner = k, inner + 1
+        j += text[j : j + 1] == "\n"
+        out.append(text[i:j])
+        i = j
+    return out
+
+
+def test_lines_against_the_rule(spark):
+    r = random.Random(3)
+    texts = ["", "\n", "a", "3,000 at 12:30 on a.b.org, or\nnot.  So。还，是", prose(7, 200), "a.b" * 999]
+    texts += ["".join(r.choice("ab .,:;!?\n。，") for _ in range(r.randint(0, 30))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", L.lines_of(F.col("text")).alias("l")).collect()
+    for row in rows:
+        assert row.l == own_lines(row.text) and "".join(row.l) == row.text
+
+
+def brute_removals(rows, least):
+    """Line dedup of rows (doc_id, text) in plain Python: seeds, the pairs near them, first occurrences, removals."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keyed = {(i, t): [x.rstrip(" \n") for x in own_lines(t)] for i, t in rows if t is not None}
+    times = Counter()
+    near = {}
+    for key, lines in keyed.items():
+        h, n, seeds = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in lines], len(lines), set()
+        if n > 1:
+            for s in range(max(n - L.SPAN, 0) + 1):
+                least_hash = min(h[s : s + L.SPAN])
+                seeds |= {min(i, n - 2) for i in range(s, min(s + L.SPAN, n)) if h[i] == least_hash}
+        near[key] = seeds
+    copies = Counter((i, t) for i, t in rows if t is not None)
+    for key, seeds in near.items():
+        for i in seeds:
+            times[tuple(keyed[key][i : i + 2])] += copies[key]
+    pairs = {}
+    for key, seeds in near.items():
+        lines = keyed[key]
+        for i in seeds:
+            if times[tuple(lines[i : i + 2])] > 1:
+                for j in range(max(i - L.SPAN + 1, 0), min(i + L.SPAN - 1, len(lines) - 2) + 1):
+                    pairs.setdefault(tuple(lines[j : j + 2]), set()).add((key, j))
+    gone, held = {}, {}
+    for places in pairs.values():
+        if len(places) > 1 or copies[next(iter(places))[0]] > 1:
+            order = lambda p: (p[0][0] is None, p[0][0] or 0, 0 if sum(k[0] == p[0][0] for k, _ in places) == 1 else ROW_KEY[p[0]], p[1])
+            first = min(places, key=order)
+            for p in places:
+                (held if p == first else gone).setdefault(p[0], set()).add(p[1])
+    out = {}
+    for key in keyed:
+        lines = own_lines(key[1])
+        both = lambda x: {p + d for p in x.get(key, ()) for d in (0, 1)}
+        goes, at = sorted(both(gone) - both(held)), 0
+        while at < len(goes):
+            end = at
+            while end + 1 < len(goes) and goes[end + 1] == goes[end] + 1:
+                end += 1
+            if sum(map(len, lines[goes[at] : goes[end] + 1])) >= least:
+                lines = [None if goes[at] <= k <= goes[end] else x for k, x in enumerate(lines)]
+            at = end + 1
+        out[key] = "".join(x for x in lines if x is not None)
+    return out
+
+
+ROW_KEY = {}
+
+
+@pytest.mark.parametrize("least", [0, 40])
+def test_removals_against_brute_force(spark, hard_docs, least):
+    r = random.Random(9)
+    pool = [prose(300 + k, r.randint(2, 9)).replace(".", "") + r.choice([". ", ", ", "\n", "。"]) for k in range(40)]
+    rows = [(i // 2 if i % 7 else None, "".join(r.choice(pool) for _ in range(r.randint(1, 14))) if i % 3 else "".join(pool[(i + k) % 40] for k in range(12))) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").union(hard_docs.select("doc_id", "text"))
+    rows = [tuple(x) for x in docs.collect()]
+    ROW_KEY.update({(x.doc_id, x.text): x.k for x in docs.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("k")).collect()})
+    want = brute_removals(rows, least)
+    got = L.dedup_lines(docs, least).collect()
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(map(tuple, got), key=key) == sorted(((i, None if t is None else want[i, t]) for i, t in rows), key=key)
+
+
+def test_line_dedup_of_hard_rows(spark, hard_docs):
+    out = L.dedup_lines(hard_docs)
+    assert out.columns == hard_docs.columns and out.count() == hard_docs.count()
+    lost = [sum(len(r.text or "") for r in x.collect()) for x in (hard_docs, out)]
+    assert lost[1] < lost[0]
 
 
 def test_passages_that_repeat_go_once(spark):

@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -42,6 +43,48 @@ def test_toxicity_swaps_and_edges(spark, docs, no_docs):
     assert X.keep_clean(docs, model).columns == docs.columns
 
 
+def test_fit_against_a_plain_solver():
+    """Dense gradient descent on the same loss ends no lower, and the price of swaps pulls swapped terms together."""
+    rng, n = np.random.default_rng(2), 8
+    rows = []
+    for _ in range(120):
+        here = sorted(rng.choice(n, 3, replace=False).tolist())
+        swapped = sorted({1 if f == 0 else 0 if f == 1 else f for f in here}) if {0, 1} & {*here} else None
+        rows.append(SimpleNamespace(here=here, swapped=swapped, toxic=int(0 in here or rng.random() < 0.2)))
+    x = np.array([[f in r.here for f in range(n)] for r in rows], float)
+    y = np.array([r.toxic for r in rows], float)
+    pairs = [r for r in rows if r.swapped is not None]
+    d = np.array([[(f in r.here) - float(f in r.swapped) for f in range(n)] for r in pairs], float)
+
+    def loss(w, b, price):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + price * np.mean((d @ w) ** 2) + 1e-4 * (w @ w)
+
+    gaps = []
+    for price in (0.0, 1.0):
+        w, b = np.zeros(n), 0.0
+        for _ in range(20_000):
+            miss = 1 / (1 + np.exp(-(x @ w + b))) - y
+            w, b = w - 0.2 * (x.T @ miss / len(y) + 2e-4 * w + 2 * price / len(pairs) * d.T @ (d @ w)), b - 0.2 * miss.mean()
+        got = X.fit(rows, n, price)
+        assert loss(*got, price) < 1.02 * loss(w, b, price)
+        gaps.append(abs(got[0][0] - got[0][1]))
+    assert gaps[1] < 0.2 * gaps[0]
+
+
+def test_swap_price_lowers_scores_of_neutral_mentions(spark, docs):
+    rows = [doc(i, prose(i, 20) + (" vile muslims" if i % 4 == 0 else " christians" if i % 4 == 1 else "")) for i in range(240)]
+    train, labels = spark.createDataFrame(rows, docs.schema), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    plain, priced = (X.learn(train, labels, swap_weight=p).logit("the muslims in the city") for p in (0.0, 1.0))
+    assert priced < plain - 0.5
+
+
+def test_texts_that_share_an_id_teach_the_least_one(spark):
+    rows = spark.createDataFrame([(i, t) for i in range(40) for t in (("awful b", "zz zz") if i % 2 else ("fine a", "zz zz"))], "doc_id long, text string")
+    model = X.learn(rows, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert model.score("awful") > 0.5 > model.score("fine")
+
+
 def test_toxicity_held_out(spark):
     rows = X.op3_toxicity(spark, SMALL_DIR.replace("0.001", "0.01")).join(spark.read.parquet(f"{SMALL_DIR.replace('0.001', '0.01')}/labels.parquet"), "doc_id")
     bad = rows.where("held_out AND toxic = 0 AND predicted = 1").count()
@@ -60,6 +103,35 @@ def test_language_held_out_and_edges(spark, docs, no_docs):
     assert {r.lang_pred for r in G.predict(docs, *G.learn(no_docs.select("text", "lang"))).collect()} == {"und"}
 
 
+def test_prediction_against_plain_loops(spark):
+    """Learning and predicting letter by letter, with dictionaries of bound vectors."""
+    dim, texts = 64, [("en", "the cat, the dog"), ("en", "this and that"), ("fr", "l'été est là"), ("fr", "où est le chat"), ("de", "der Hund und die Katze"), (None, "xyz")]
+
+    def bundle(text):
+        words, total = "".join(c if c.isalpha() else " " for c in text.lower()).split(), np.zeros(dim, int)
+        spaced = f" {' '.join(words)} "
+        for a, b, c in zip(spaced, spaced[1:], spaced[2:], strict=False):
+            v = [G.letter_vector(0 if x == " " else ord(x), dim).astype(int) for x in (a, b, c)]
+            total += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return total
+
+    names = sorted({lang for lang, _ in texts if lang})
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    sums = unit(np.array([sum(bundle(t) for lang, t in texts if lang == x) for x in names], float))
+    prototypes = unit(sums - sums.mean(axis=0))
+    languages, learnt = G.learn(spark.createDataFrame([(t, lang) for lang, t in texts], "text string, lang string"), dim)
+    assert languages == names and np.allclose(learnt, prototypes)
+    asked = [(1, "der Hut"), (2, "the hat"), (3, "l'âne"), (4, "12 !"), (5, None), (6, "a")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in G.predict(spark.createDataFrame(asked, "doc_id long, text string"), languages, learnt).collect()}
+    for i, t in asked:
+        v = bundle(t or "")
+        if not any(c.isalpha() for c in t or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        cosines = prototypes @ v / np.linalg.norm(v)
+        assert got[i][0] == names[int(cosines.argmax())] and abs(got[i][1] - (1 + cosines.max()) / 2) < 1e-5
+
+
 def test_bundles_add_bound_letters():
     (found,) = G.bundles([G.grams("ab")], 64)
     a, b, blank = (G.letter_vector(c, 64).astype(int) for c in (97, 98, 0))

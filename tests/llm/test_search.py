@@ -32,6 +32,14 @@ def brute(vectors, k):
     return sorted(out)
 
 
+def test_scores_beyond_a_float(spark):
+    """Scores that only differ in bits that a float cannot hold."""
+    rows = [(0, [2.0**21, 1.0, 3.0])] + [(i, [2.0**21, i / 256, (100 - i) / 256]) for i in range(1, 60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted((0, r + 1, c, s) for r, (s, c) in enumerate(sorted(((int((np.floor(256 * np.array(rows[0][1])).astype(int) * np.floor(256 * np.array(v)).astype(int)).sum()), i) for i, v in rows[1:]), key=lambda x: (-x[0], x[1]))[:5]))
+    assert want[0][3] > 2**53 and sorted(map(tuple, K.top_k(table.where("vec_id < 50 OR vec_id > 50"), F.col("vec_id") == 0, 5).collect())) == want
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=7)]) for i in range(230)]
@@ -60,6 +68,29 @@ def test_containment(spark, docs, no_docs):
     assert D.contained(no_docs, bench).collect() == [] and D.contained(texts, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_containment_of_hard_rows(spark, hard_docs, most):
+    """Both ways of the search against brute force: rows without an id, several texts under one id, items that repeat, short items."""
+    a = prose(61, 150).split()
+    items = [(1, " ".join(a[10:60])), (1, " ".join(a[10:60])), (2, " ".join(a[3:6])), (2, " ".join(prose(62, 150).split()[:20])), (3, a[0]), (4, None), (None, " ".join(a[100:120]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    want = []
+    for i, text in ((r.doc_id, r.text) for r in hard_docs.collect()):
+        for item, t in {*items}:
+            w = words(t)
+            k = min(5, len(w))
+            shingles = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+            held = {tuple(words(text)[j : j + k]) for j in range(len(words(text)) - k + 1)}
+            if shingles and len(shingles & held) / len(shingles) >= 0.8:
+                want.append((i, item))
+    assert want and sorted(((r.doc_id, r.item_id) for r in D.contained(hard_docs, bench, most_sketch=most).collect()), key=str) == sorted(want, key=str)
+    kept = D.keep_uncontaminated(hard_docs, spark.createDataFrame([(1, " ".join(a[10:60]))], "item_id long, text string"), most_sketch=most)
+    bad = " ".join(words(prose(61, 150))[10:60])
+    clean = [(r.doc_id, r.text) for r in hard_docs.collect() if bad not in " ".join(words(r.text))]
+    assert kept.columns == hard_docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(clean, key=str)
+
+
 def test_sketch_finds_every_item_above_the_bar():
     for n in range(1, 200):
         top = 2 ** int(np.ceil(np.log2(n)))
@@ -89,6 +120,13 @@ def test_secrets_against_regular_expressions(spark, docs, no_docs):
     assert S.scan(no_docs, new_path(spark, "ledger")).collect() == []
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"é token={'x' * (5 + i % 3)}{i}" for i in range(3000))
+    row = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), new_path(spark, "ledger")).first()
+    pattern, ok = KINDS["assign"]
+    assert [(s.start, s.end) for s in row.spans if s.kind_no == 0] == [m.span() for m in pattern.finditer(text) if ok(m)]
+
+
 def test_ledger_scans_only_what_is_new(spark, docs):
     path = new_path(spark, "ledger")
     S.scan(docs.where("doc_id < 5"), path)
