@@ -15,10 +15,12 @@ files; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +61,15 @@ def unpack(payload: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
 class WordMemo:
     """ids of a text by the tokenizers library, each distinct blank-separated piece encoded once.
 
-    The tokenizer must treat white space as a boundary that it drops, as word-level BPE files do;
-    then the ids of a text are those of its pieces in turn, and new pieces can be encoded many at
-    once, with a blank between them. The memo has two generations of `most` pieces; those not met
-    in the newer one are forgotten.
+    The tokenizer must treat white space as a boundary that it drops, and end a run of letters or
+    digits at a punctuation mark, as word-level BPE files do; then the ids of a text are those of its
+    pieces in turn. `lowers` says whether it ignores the case of Latin letters. The memo has two
+    generations of `most` pieces; those not met in the newer one are forgotten.
     """
 
+    MARKS = ".,;:!?"
+    PARTING = "|"  # stands between pieces that are encoded together; its id comes from nothing else
+
     def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
@@ -72,41 +77,100 @@ class WordMemo:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.memo, self.older = {}, {}
         self.vocabulary = self.tokenizer.get_vocab_size()
+        (self.parting,) = self._ids(self.PARTING)
+        self.bare = self._without_steps()
+        latin = "".join(map(chr, range(256)))
+        self.lowers = all(self._ids(c) == self._ids(c.lower()) for c in latin) and self._ids(latin) == self._ids(latin.lower())
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _without_steps(self):
+        """A tokenizer that skips normalising and splitting, for words of a to z alone; None if that gives other ids."""
+        from tokenizers import Tokenizer
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode pieces, 1000 to a line, and cut the ids at the pieces' offsets."""
-        new = [*pieces]
-        lines = [new[k : k + 1000] for k in range(0, len(new), 1000)]
-        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, "<u4").tobytes()
-            begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-            ends = np.cumsum([len(p) + 1 for p in line])
-            cuts = [0, *(4 * np.searchsorted(begins, ends)).tolist()]
-            self.memo.update(zip(line, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+        steps = json.loads(self.tokenizer.to_str())
+        words = sorted(w for w in (t.removesuffix("</w>") for t in self.tokenizer.get_vocab()) if _is_plain(w))
+        bare = Tokenizer.from_str(json.dumps(steps | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        probes = [*words[:: max(1, len(words) // 500)], *(a + b for a, b in zip(words[::97], words[::89], strict=False)), self.PARTING]
+        return bare if all(bare.encode(w, add_special_tokens=False).ids == self._ids(w) for w in probes) else None
+
+    def _encode_all(self, pieces: list[str]) -> None:
+        """Encode pieces, 250 to a line, and cut the ids where the parting mark stands."""
+        memo, mark, plain = self.memo, self.PARTING, set()
+        if self.bare is not None:
+            plain = {*filter(_is_plain, pieces)}
+        apart = [p for p in pieces if mark in p]
+        for tokenizer, some in ((self.bare, [*plain]), (self.tokenizer, [p for p in pieces if p not in plain and mark not in p])):
+            lines = [some[k : k + 250] for k in range(0, len(some), 250)]
+            for line, e in zip(lines, tokenizer.encode_batch_fast([f" {mark} ".join(x) for x in lines], add_special_tokens=False) if lines else (), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = 4 * np.flatnonzero(ids == self.parting)
+                starts, ends, ids = [0, *(cuts + 4).tolist()], [*cuts.tolist(), 4 * len(ids)], ids.tobytes()
+                memo.update(zip(line, map(ids.__getitem__, map(slice, starts, ends)), strict=True))
+        memo.update((p, np.array(self._ids(p), "<u4").tobytes()) for p in apart)
+
+    def _learn(self, new: set[str]) -> None:
+        """Put ids of pieces into the memo: those of an older generation, those of parts, and the rest by the library."""
+        memo = self.memo
+        self._recall(new)
+        parts = []
+        for p in [p for p in new if p[-1:] in self.MARKS]:
+            stem = p.rstrip(self.MARKS)
+            if stem[-1:].lower().isalnum():  # a run of letters or digits ends at a punctuation mark
+                parts.append((p, stem, p[len(stem) :]))
+        unknown = {stem for _, stem, _ in parts}.union(marks for _, _, marks in parts).difference(memo)
+        self._recall(unknown)
+        unknown.update(new)
+        unknown.difference_update([p for p, _, _ in parts])
+        self._encode_all([*unknown])
+        memo.update([(p, memo[stem] + memo[marks]) for p, stem, marks in parts])
+
+    def _recall(self, pieces: set[str]) -> None:
+        """Move what the older generation knows of pieces to the newer one, and out of pieces."""
+        if self.older:
+            known = [p for p in pieces if p in self.older]
+            self.memo.update(zip(known, map(self.older.__getitem__, known), strict=True))
+            pieces.difference_update(known)
+
+    def _folded(self, text: str) -> str:
+        """A text in lower case, where that is what the tokenizer makes of it: Latin-1 letters, no marked-up special token."""
+        if not self.lowers or "<|" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """uint32 ids of each text."""
         out = []
         for k in range(0, len(texts), 250):
-            pieces = [_pieces(t) for t in texts[k : k + 250]]
+            pieces = [_pieces(self._folded(t)) for t in texts[k : k + 250]]
             if len(self.memo) > self.most:
                 self.memo, self.older = {}, self.memo
-            memo, older = self.memo, self.older
-            whole, new, cut = set().union(*pieces).difference(memo), set(), []
-            for p in whole:
-                if p in older:
-                    memo[p] = older[p]
-                elif (stem := p.rstrip(".,;:!?")) != p and stem[-1:].lower().isalnum():
-                    cut.append((p, stem, p[len(stem) :]))  # a run of letters or digits ends at a punctuation mark
-                    new.update(cut[-1][1:])
-                else:
-                    new.add(p)
-            self._learn(new.difference(memo))
-            memo.update((p, memo[stem] + memo[marks]) for p, stem, marks in cut)
-            out += [b"".join(map(memo.__getitem__, x)) for x in pieces]
+            flat, memo = [*chain.from_iterable(pieces)], self.memo
+            found = [*map(memo.get, flat)]
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            if missing:
+                names = [flat[i] for i in missing]
+                self._learn({*names})
+                for i, p in zip(missing, names, strict=True):
+                    found[i] = memo[p]
+            at = 0
+            for x in pieces:
+                out.append(b"".join(found[at : at + len(x)]))
+                at += len(x)
         return out
 
 
+def _is_plain(word: str) -> bool:
+    """Of the letters a to z alone."""
+    return word.isascii() and word.isalpha() and word.islower()
+
+
 def _pieces(text: str) -> list[str]:
     """Parts between white space; str.split also splits at four control characters that are none."""
     return _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()

@@ -80,8 +80,8 @@ def test_swap_price_lowers_scores_of_neutral_mentions(spark, docs):
 
 
 def test_texts_that_share_an_id_teach_the_least_one(spark):
-    rows = spark.createDataFrame([(i, t) for i in range(40) for t in (("awful b", "zz zz") if i % 2 else ("fine a", "zz zz"))], "doc_id long, text string")
-    model = X.learn(rows, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    rows = spark.createDataFrame([(i, t) for i in range(400) for t in (("awful b", "zz zz") if i % 2 else ("fine a", "zz zz"))], "doc_id long, text string")
+    model = X.learn(rows, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
     assert model.score("awful") > 0.5 > model.score("fine")
 
 
