@@ -40,22 +40,24 @@ from corpusloom.llm.common import let, new_path, removed, written
 
 #: A line: up to a newline, or up to marks that end a clause and the blank after them. Every character is in a line.
 #: {0} are marks that need a blank after them, {1} all marks. A line has at most 200 marks inside it, which bounds Java's stack.
-LINE = r"(?!\z)[^\n{1}]*+(?:[{0}]++(?![ \n{1}]|\z)[^\n{1}]*+){{0,200}}+(?:[{1}]++ ?+)?+\n?+"
+LINE = r"[^\n{1}]*+(?:[{0}]++(?=[^ \n{1}])[^\n{1}]*+){{0,200}}+(?:[{1}]++ ?+)?+\n?+"
 MARKS, MORE_MARKS = ".!?;:,", "。！？；：，、．؟؛،।"
 SPAN = 4
 
 
 def lines_of(text: Column) -> Column:
     """array<string>: the lines of a text. Joined, they are the text."""
-    found = lambda marks: F.regexp_extract_all(text, F.lit(LINE.format(MARKS, marks)), F.lit(0))
-    # Java matches a class of ASCII marks several times faster, and gives the same lines where no other mark is.
-    more = (F.octet_length(text) > F.length(text)) & reduce(or_, (F.contains(text, F.lit(m)) for m in MORE_MARKS))
+    # What is found last is the empty line at the text's end.
+    found = lambda marks: let(F.regexp_extract_all(text, F.lit(LINE.format(MARKS, marks)), F.lit(0)), lambda x: F.slice(x, F.lit(1), F.size(x) - 1))
+    # Java matches a class of ASCII marks faster, and gives the same lines where no other mark is; none is where their first bytes are not.
+    raw = text.cast("binary")
+    more = (F.octet_length(text) > F.length(text)) & reduce(or_, (F.contains(raw, F.lit(bytes([b]))) for b in sorted({m.encode()[0] for m in MORE_MARKS})))
     return F.when(more, found(MARKS + MORE_MARKS)).otherwise(found(MARKS))
 
 
 def bare(line: Column) -> Column:
     """A line as it is compared: without blanks and newlines at its end."""
-    return F.rtrim(line, F.lit(" \n"))
+    return F.rtrim(F.replace(line, F.lit("\n"), F.lit(" ")))  # trimming blanks alone is many times faster than trimming a set
 
 
 def parts_of(text: Column) -> Column:
@@ -64,16 +66,17 @@ def parts_of(text: Column) -> Column:
 
 
 def with_seeds(rows: DataFrame) -> DataFrame:
-    """rows (text) with seeds: array<struct<hash, place>>, the pairs of lines, by the place (from 0) of the first, that start at a least hash of SPAN lines.
+    """rows (text) with seeds: array<struct<hash, place>>, the pairs of lines, by the place (from 0) of the first, that start at a least hash of SPAN lines; none in a text of one line.
 
-    Step by step in columns: Spark works out types anew for each element of nested higher-order functions.
+    Step by step in columns, so that each is worked out once; a filter here would be moved before them, and repeat them.
     """
     h, m, n = F.col("__h"), F.col("__m"), F.size("__h")
-    rows = rows.withColumn("__h", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(bare(x)))).where(n > 1)
-    rows = rows.withColumn("__m", F.transform(F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0))), lambda s: F.least(*(F.get(h, s + k) for k in range(SPAN)))))
+    rows = rows.withColumn("__h", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(bare(x))))
+    rows = rows.withColumn("__m", F.transform(h, lambda x, i: F.least(x, *(F.get(h, i + k) for k in range(1, SPAN)))))
+    rows = rows.withColumn("__m", F.slice(m, F.lit(1), F.greatest(n - (SPAN - 1), F.lit(1))))  # of whole spans alone
     # A hash is the least of some span with it if it equals the greatest of these spans' least ones.
-    chosen = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(h, i) == F.greatest(*(F.get(m, i - k) for k in range(SPAN))))
-    rows = rows.withColumn("__at", F.array_distinct(F.transform(chosen, lambda i: F.least(i, n - 2))))
+    at = F.transform(h, lambda x, i: F.when((x == F.greatest(*(F.get(m, i - k) for k in range(SPAN)))) & (n > 1), F.least(i, n - 2)))
+    rows = rows.withColumn("__at", F.array_distinct(F.array_compact(at)))
     return rows.withColumn("seeds", F.transform("__at", lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1)).alias("hash"), i.alias("place")))).drop("__h", "__m", "__at")
 
 
