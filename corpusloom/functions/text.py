@@ -47,6 +47,33 @@ def slug(c: Column) -> Column:
     return F.when(bare == "", F.trim(c)).otherwise(bare)
 
 
+def safe_name(c: Column, replacement: str = "_", most: int = 255) -> Column:
+    """File name: control characters out, path parts and all but letters, digits, marks and `._- ()[]{}` replaced, runs of the replacement to one, no dots or blanks at the ends."""
+    bare = F.regexp_replace(c, r"\p{C}", "")
+    flat = F.regexp_replace(F.regexp_replace(bare, r"\.\.|/|\\", replacement), r"[^\p{L}\p{N}\p{M}._\- ()\[\]{}]", replacement)
+    one = F.regexp_replace(flat, f"(?:{replacement}){{2,}}", replacement)
+    cut = F.left(F.regexp_replace(one, r"^[. ]+|[. ]+$", ""), F.lit(most))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit(replacement)).when(cut == "", F.lit("unnamed")).otherwise(cut)
+
+
+def artifact_name(c: Column, most: int) -> Column:
+    """Name of an artifact's file from a title or concept: unsafe characters out, at most so many letters."""
+    return F.left(F.trim(F.regexp_replace(c, r'[<>:"/\\|?*]', "")), F.lit(most))
+
+
+def shortened(c: Column, most: int, suffix: str = "...") -> Column:
+    """A text of more than `most` letters, cut to that length with a suffix in it."""
+    return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most - len(suffix))), F.lit(suffix))).otherwise(c)
+
+
+def clean_references(c: Column) -> Column:
+    """Text for a note vault: source ids in brackets as a reference, front matter and compile dates out, blank lines to one."""
+    c = F.regexp_replace(c, r"\(SRC-(\d{4})\)", "📚 来源: SRC-$1")
+    c = F.regexp_replace(c, r"(?s)^---\n.*?\n---\n", "")
+    c = F.regexp_replace(c, r"(?m)^> 编译时间：.*$", "")
+    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
 def base_stem(c: Column) -> Column:
     """A file stem without the suffix that its source's id gave it."""
     return F.regexp_replace(c, r"_SRC-\d+$", "")

@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sentences, strip
+from corpusloom.plugins import Registry
 
 # Fixed value: stands for an explanation that was not found.
 DEFAULT_EXPLANATION = "（详细解释请参阅原文）"
+# Fixed value: the section of chunks without a title.
+NO_SECTION = "未分类"
 
 
 def tfidf_terms(docs: DataFrame, top: int = 5) -> DataFrame:
@@ -30,26 +33,28 @@ def tfidf_terms(docs: DataFrame, top: int = 5) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("doc_id", "word", "tf", "score", "rank")
 
 
-def concept_context(name: Column, text: Column, most: int = 200) -> Column:
-    """Up to two sentences of text that hold the name, else its part before a dash or colon, else it without blanks."""
-    parts = F.filter(F.transform(F.split(text, r"[。！？\n]"), strip), lambda s: F.length(s) > 5)
-    core = F.trim(F.element_at(F.split(name, r"[:：\-—–(（]"), 1))
+def context_parts(text: Column) -> Column:
+    """array<string>: the parts of a text in which concepts are looked for."""
+    return F.filter(F.transform(F.split(text, r"[。！？\n]"), strip), lambda s: F.length(s) > 5)
+
 
-    def hits(word: Column) -> Column:
-        return F.slice(F.filter(parts, lambda s: F.contains(s, word)), 1, 2)
+def concept_context(name: Column, parts: Column, most: int = 200) -> Column:
+    """Up to two parts of a text (see context_parts) that hold the name, else its part before a dash or colon, else it without blanks."""
+    core = F.trim(F.element_at(F.split(name, r"[:：\-—–(（]"), 1))
 
-    def shown(found: Column) -> Column:
+    def shown(word: Column) -> Column:
+        found = F.slice(F.filter(parts, lambda s: F.contains(s, word)), 1, 2)
         return F.when(F.size(found) > 0, F.left(F.array_join(found, "。"), F.lit(most)))
 
-    by_core = F.when((F.length(core) >= 2) & (core != name), shown(hits(core)))
-    return F.coalesce(shown(hits(name)), by_core, shown(hits(F.replace(name, F.lit(" "), F.lit("")))), F.concat(name, F.lit(DEFAULT_EXPLANATION)))
+    by_core = F.when((F.length(core) >= 2) & (core != name), shown(core))
+    return F.coalesce(shown(name), by_core, shown(F.replace(name, F.lit(" "), F.lit(""))), F.concat(name, F.lit(DEFAULT_EXPLANATION)))
 
 
 def extractive(docs: DataFrame) -> DataFrame:
-    """docs (src_id, doc_id, title, type, text) with one_line, key_points, detailed_summary, concepts."""
+    """docs (src_id, doc_id, title, type, text) with one_line, key_points, detailed_summary, concepts; explanations are looked for in the whole text."""
     found = tfidf_terms(docs).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("names"))
-    rows = docs.join(found, "doc_id", "left").withColumns({"s": sentences(F.col("text")), "detailed_summary": F.left("text", F.lit(1500))})
-    concepts = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), concept_context(n, F.col("detailed_summary")).alias("explanation")))
+    rows = docs.join(found, "doc_id", "left").withColumns({"s": sentences(F.col("text")), "parts": context_parts(F.col("text")), "detailed_summary": F.left("text", F.lit(1500))})
+    concepts = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), concept_context(n, F.col("parts")).alias("explanation")))
     return rows.select(
         "src_id", "doc_id", "title", "type", "text", F.coalesce(F.get("s", F.lit(0)), F.lit("")).alias("one_line"),
         F.slice(F.filter("s", lambda x: F.length(x) >= 15), 1, 5).alias("key_points"), "detailed_summary", concepts.alias("concepts"),
@@ -91,8 +96,46 @@ def concept_rows(compiled: DataFrame) -> DataFrame:
 def concept_artifacts(compiled: DataFrame) -> DataFrame:
     """src_id, name, file_name: a name that an earlier source has taken gets its source's id as suffix."""
     rows = concept_rows(compiled)
-    taken = F.row_number().over(Window.partitionBy("name").orderBy("src_id", "place")) > 1
-    return rows.select("src_id", "name", F.when(taken, F.concat("name", F.lit("_"), "src_id")).otherwise(F.col("name")).alias("file_name"))
+    # The first is a minimum that combines before the shuffle; a concept with any number of sources is no hot window.
+    first = rows.groupBy("name").agg(F.min(F.struct("src_id", "place")).alias("first"))
+    taken = F.struct("src_id", "place") != F.col("first")
+    return rows.join(first, "name").select("src_id", "name", F.when(taken, F.concat("name", F.lit("_"), "src_id")).otherwise(F.col("name")).alias("file_name"))
+
+
+def concept_markdown(compiled: DataFrame) -> DataFrame:
+    """src_id, name, markdown: a concept with its explanation and links to the concepts beside it."""
+    links = lambda own: F.array_join(F.transform(F.filter("concepts", lambda c: c["name"] != own), lambda c: F.concat(F.lit("[["), c["name"], F.lit("]]"))), ", ")
+    rows = compiled.select("src_id", "concepts", F.explode("concepts").alias("c"))
+    return rows.select("src_id", F.col("c.name").alias("name"), F.concat(F.lit("# "), "c.name", F.lit("\n\n"), "c.explanation", F.lit("\n\n"), links(F.col("c.name")), F.lit("\n")).alias("markdown"))
+
+
+def parsed_concept(files: DataFrame) -> DataFrame:
+    """files (src_id, markdown) -> src_id, name, definition: the title, and the lines up to the next heading or quotation."""
+    name = F.trim(F.regexp_extract("markdown", r"(?m)^# (.*)$", 1))
+    lines = F.transform(F.split("markdown", "\n"), strip)
+    body = F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("#")) & ~F.startswith(x, F.lit(">")))
+    return files.select("src_id", name.alias("name"), F.coalesce(F.get(body, F.lit(0)), F.lit("")).alias("definition"))
+
+
+def section_groups(parts: DataFrame) -> DataFrame:
+    """parts (src_id, index, title, summary) -> src_id, section, chunks, summary: chunk summaries by section, those without a title together."""
+    name = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", F.lit(NO_SECTION)).otherwise(F.trim("title"))
+    rows = parts.groupBy("src_id", name.alias("section")).agg(F.array_sort(F.collect_list(F.struct("index", "summary"))).alias("p"))
+    return rows.select("src_id", "section", F.size("p").alias("chunks"), F.get("p", F.lit(0))["index"].alias("first"), F.array_join(F.transform("p", lambda x: x["summary"]), "\n").alias("summary"))
+
+
+def preferred(results: DataFrame) -> DataFrame:
+    """results (src_id, model, priority, summary) -> src_id, model, summary: the first model in order of priority that gave one."""
+    given = F.when(F.col("summary").isNotNull() & (F.trim("summary") != ""), F.struct("priority", "model", "summary"))
+    return results.groupBy("src_id").agg(F.min(given).alias("r")).where("r IS NOT NULL").select("src_id", "r.model", "r.summary")
+
+
+def compile_job(docs: DataFrame, plugins: Registry) -> DataFrame:
+    """Compile docs through plug-ins: parsers of the text, steps before, the model or the extracts, steps after."""
+    text = plugins.first("ingest_parser", F.col("text"), F.col("text"))
+    rows = plugins.apply("pre_compile", docs.withColumn("text", text))
+    model = plugins.active("compile_model")
+    return plugins.apply("post_compile", model[0](rows) if model else extractive(rows))
 
 
 def vector_documents(compiled: DataFrame) -> DataFrame:

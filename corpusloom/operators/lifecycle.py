@@ -29,6 +29,22 @@ def downgraded(manifests: DataFrame, least: int) -> DataFrame:
     return rows.select("src_id", F.col("status").alias("was"), F.element_at(step, F.col("status")).alias("status"), F.format_string("score %d < %d", F.col("quality_score"), F.lit(least)).alias("reason"))
 
 
+def promoted_artifacts(moves: DataFrame, artifacts: DataFrame, before: str, after: str) -> tuple[DataFrame, DataFrame]:
+    """moves (src_id, ...) with moved: whether the layer before has an artifact (src_id, layer, ...) of the source; and the rows that a move copies to the layer after."""
+    own = artifacts.where(F.col("layer") == before)
+    there = own.select("src_id").distinct().withColumn("moved", F.lit(True))
+    rows = moves.join(there, "src_id", "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
+    return rows, own.join(moves.select("src_id"), "src_id", "left_semi").withColumn("layer", F.lit(after))
+
+
+def withdrawn(artifacts: DataFrame, downgrades: DataFrame) -> DataFrame:
+    """artifacts (layer, stem) without those that a downgrade (title, layer) takes away: of that name, or of it and a number."""
+    gone = downgrades.select("layer", F.col("title").alias("stem")).distinct()
+    rows = artifacts.withColumn("__bare", F.regexp_replace("stem", r"_\d+$", ""))
+    rows = rows.join(gone, ["layer", "stem"], "left_anti")
+    return rows.join(gone.withColumnRenamed("stem", "__bare"), ["layer", "__bare"], "left_anti").select(*artifacts.columns)
+
+
 def polluted(artifacts: DataFrame, manifests: DataFrame) -> DataFrame:
     """Artifacts (stem) that no promoted source's title accounts for, with or without a number after it."""
     titles = manifests.where(F.col("status").isin("promoted_to_wiki", "promoted")).select(F.col("title").alias("stem")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Bounds of latency buckets.
 BUCKETS = (1.0, 2.5, 5.0, 10.0, 25.0, 50.0)
 
 
@@ -26,6 +27,16 @@ def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return usage.join(best, "model", "left").withColumn("cost", F.round(F.col("tokens") / 1000 * F.col("price"), 6))
 
 
+def rolled_up(costs: DataFrame, *by: str) -> DataFrame:
+    """by, calls, tokens, cost with subtotals (null in what is summed over)."""
+    return costs.rollup(*by).agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+def counters(usage: DataFrame, *by: str) -> DataFrame:
+    """by, calls, tokens, cache_hits, mean_value."""
+    return usage.groupBy(*by).agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.count_if("cache_hit").alias("cache_hits"), F.round(F.avg("value"), 4).alias("mean_value"))
+
+
 def alerts(metrics: DataFrame, rules: dict[str, tuple[str, float, bool]]) -> DataFrame:
     """metrics (scope, columns) -> scope, alert: rules name a column, a bound, and whether above it is bad."""
     hits = F.array_compact(F.array(*(F.when(F.col(c) > b if above else F.col(c) < b, F.lit(name)) for name, (c, b, above) in rules.items())))

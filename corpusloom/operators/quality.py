@@ -22,9 +22,12 @@ COMPOUND_SUFFIXES = "词性化者论学"
 # What a template's opening holds.
 TEMPLATES = ("这里是一个摘要", "这是一个概括", "summary", "概括", "总结")
 PROVENANCE_TEMPLATES = ("该文档", "本文档", "这份文件", "the document", "this document", "以下是对", "以下是关于", "以下是总结")
+# How a text speaks of itself, for lint and for provenance.
 SELF_REFERENCE = r"本文(?:档|件|章|节)|该(?:文档|文件|章节|文章)|这篇文章|(?:本|该|此)(?:书|资料|材料)"
 PROVENANCE_SELF_REFERENCE = r"本文(?:档|件|章|节)|该(?:文档|文件|章节|文章)|这篇文章|我们(?:将|可以|会)"
+# What is left out before texts are compared.
 PUNCTUATION = "[，。！？、；：\"'（）{}【】\\s]+"
+# Confidence of each label.
 CONFIDENCE = {"extracted": 0.9, "merged": 0.7, "inferred": 0.5, "ambiguous": 0.2}
 # Fixed values: (least value, points), from the highest on.
 TIERS = {
@@ -44,7 +47,10 @@ def tier(value: Column, name: str) -> Column:
 
 
 def keyword_hits(text: Column, words: list[str]) -> Column:
-    return reduce(add, (text.rlike(f"{w}([^{COMPOUND_SUFFIXES}]|$)").cast("int") for w in words))
+    """How many of the words a text holds, outside longer words: one pass that stands at every place where a word may begin, so words that share a letter all count; each counts once."""
+    begins = "".join(dict.fromkeys(w[0] for w in words))
+    found = F.regexp_extract_all(text, F.lit(f"(?=[{begins}])(?=({'|'.join(words)})(?![{COMPOUND_SUFFIXES}]))"), F.lit(1))
+    return F.size(F.array_distinct(found))
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:

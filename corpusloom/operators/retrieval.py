@@ -5,39 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import count_of, query_terms
-
+from corpusloom.functions.text import WIKI_LINK, count_of, manifest_id, query_terms
+from corpusloom.operators.lifecycle import LAYERS
 
 RUN = r"[a-z0-9_]+|[\x{4e00}-\x{9fff}]+"
+ANCHOR = 3
+
+
+def _runs(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(RUN), F.lit(0))
+
 
+def _grams(word: Column, n: int) -> Column:
+    """The word's distinct parts of n letters."""
+    last = F.length(word) - (n - 1)
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
-def _term_points(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """src_id, term, n: occurrences of terms (term) in docs (src_id, body), as parts of words too.
+
+def term_points(docs: DataFrame, key: list[str], fields: dict[str, Column], terms: DataFrame, most_anchors: int = 20_000) -> DataFrame:
+    """key, field, term, n: occurrences of terms (term) in the fields of docs, as parts of words too.
 
     A term has no character that ends a word, so it can only be inside one. Terms meet the corpus's
-    vocabulary, each word once, through the word's parts by equality; documents then meet the few
-    words that hold a term. Nothing pairs documents with queries.
+    vocabulary, each word once, through their first ANCHOR letters (shorter terms through all of them),
+    and are then looked for in the word itself; documents then meet the few words that hold a term.
+    Nothing pairs documents with queries, and words without an anchor leave no row.
     """
-    words = docs.select("src_id", F.explode(F.regexp_extract_all("body", F.lit(RUN), F.lit(0))).alias("word")).groupBy("src_id", "word").agg(F.count("*").alias("tf"))
-    longest = terms.agg(F.max(F.length("term")).alias("most"))
-    vocabulary = words.select("word").distinct().crossJoin(F.broadcast(longest)).where("most IS NOT NULL")
-    at = F.sequence(F.lit(1), F.length("word"))
-    parts = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.col("most"), F.length("word") - i + 1)), lambda n: F.substring(F.col("word"), i, n))))
-    held = vocabulary.select("word", F.explode(F.array_distinct(parts)).alias("term")).join(terms, "term")
-    held = held.select("word", "term", count_of(F.col("word"), F.col("term")).alias("times"))
-    return words.join(held, "word").groupBy("src_id", "term").agg(F.sum(F.col("tf") * F.col("times")).alias("n"))
+    def named(field: str, c: Column) -> Column:
+        return F.transform(_runs(c), lambda w: F.struct(F.lit(field).alias("field"), w.alias("word")))
+
+    words = F.concat(*(named(f, c) for f, c in fields.items()))
+    tokens = docs.select(*key, F.explode(words).alias("t")).select(*key, "t.field", "t.word")
+    terms = terms.withColumn("anchor", F.left("term", F.lit(ANCHOR)))
+    lengths = sorted(r.n for r in terms.select(F.length("anchor").alias("n")).distinct().collect())  # of 1 .. ANCHOR
+    parts = F.flatten(F.array(*(_grams(F.col("word"), n) for n in lengths))) if lengths else F.array().cast("array<string>")
+    anchors = [r.anchor for r in terms.select("anchor").distinct().limit(most_anchors + 1).collect()]
+    if anchors and len(anchors) <= most_anchors:  # tested where the words are; with more of them, the join alone does it
+        parts = F.filter(parts, lambda p: p.isin(anchors))
+    vocabulary = tokens.select("word").distinct().select("word", F.explode(parts).alias("anchor"))
+    held = vocabulary.join(terms, "anchor").where(F.contains("word", F.col("term"))).select("word", "term", count_of(F.col("word"), F.col("term")).alias("times"))
+    return tokens.join(held, "word").groupBy(*key, "field", "term").agg(F.sum("times").alias("n"))
+
+
+def question_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term."""
+    return queries.select("query_id", F.explode(query_terms(F.col("question"))).alias("term"))
 
 
 def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, src_id, score: +10 if the title is in the query, +5 for each term in the title, and each term's count in the text, 3 at most."""
-    asked = queries.select("query_id", F.lower("question").alias("question"))
-    terms = asked.select("query_id", F.explode(query_terms(F.col("question"))).alias("term"))
-    known = terms.select("term").distinct()
-    base = docs.select("src_id", F.lower("title").alias("stem"), F.lower("text").alias("body"))
-    in_text = _term_points(base.select("src_id", "body"), known).select("src_id", "term", F.least("n", F.lit(3)).alias("points"))
-    in_title = _term_points(base.select("src_id", F.col("stem").alias("body")), known).select("src_id", "term", F.lit(5).alias("points"))
-    by_term = in_text.union(in_title).join(terms, "term").select("query_id", "src_id", "points")
-    whole = _titles_inside(asked, base.where("stem <> ''").select("src_id", "stem"))
+    terms = question_terms(queries)
+    found = term_points(docs, ["src_id"], {"text": F.col("text"), "title": F.col("title")}, terms.select("term").distinct())
+    points = F.when(F.col("field") == "title", 5).otherwise(F.least("n", F.lit(3)))
+    by_term = found.withColumn("points", points).join(terms, "term").select("query_id", "src_id", "points")
+    stems = docs.select("src_id", F.lower("title").alias("stem")).where("stem <> ''")
+    whole = _titles_inside(queries.select("query_id", F.lower("question").alias("question")), stems)
     return by_term.union(whole).groupBy("query_id", "src_id").agg(F.sum("points").cast("int").alias("score"))
 
 
@@ -77,18 +98,37 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame
 
 
 def concept_search(queries: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, src_id, name, score, rank over concepts (src_id, place, name, explanation): +5 for a term in the name, +2 in the explanation."""
-    terms = queries.select("query_id", F.explode(query_terms(F.col("question"))).alias("term"))
-    lists = terms.select("term").distinct().agg(F.collect_list("term").alias("terms"))
-    low, text = F.lower("name"), F.lower("explanation")
+    """query_id, src_id, name, text, score, rank over concepts (src_id, place, name, explanation): +5 for a term in the name, +2 in the explanation."""
+    terms = question_terms(queries)
+    found = term_points(concepts, ["src_id", "place"], {"name": F.col("name"), "explanation": F.col("explanation")}, terms.select("term").distinct())
+    points = found.withColumn("points", F.when(F.col("field") == "name", 5).otherwise(2))
+    scored = points.join(terms, "term").groupBy("query_id", "src_id", "place").agg(F.sum("points").cast("int").alias("score"))
+    best = top_per(scored, "query_id", k, F.desc("score"), F.col("src_id"), F.col("place"))
+    return best.join(concepts.select("src_id", "place", "name", F.col("explanation").alias("text")), ["src_id", "place"]).select("query_id", "src_id", "name", "text", "score", "rank")
+
+
+def holders(queries: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
+    """query_id, src_id: the documents that hold a question's whole text.
 
-    def hit(t: Column) -> Column:
-        return F.struct(t.alias("term"), (F.contains(F.col("low"), t).cast("int") * 5 + F.contains(F.col("body"), t).cast("int") * 2).alias("points"))
+    The question's words between its first and its last are words of such a document too; so a run
+    of up to `run` of them meets the documents' runs by equality, and what met is tested on the texts.
+    Questions of fewer than three words have no such run; each is looked for as it is.
+    """
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    asked = queries.select("query_id", "question", split(F.col("question")).alias("w")).withColumn("n", F.least(F.size("w") - 2, F.lit(run)))
+    known = asked.where("n >= 1").select("query_id", "question", "n", F.xxhash64("n", F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("anchor"))
+    widths = sorted(r.n for r in known.select("n").distinct().collect())  # of 1 .. run
+    words = docs.select("src_id", split(F.col("text")).alias("w"))
+
+    def runs(n: int) -> Column:
+        last = F.size("w") - (n - 1)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("w", i, F.lit(n)), " ")))).otherwise(F.array().cast("array<long>"))
 
-    rows = concepts.withColumns({"low": low, "body": text}).crossJoin(F.broadcast(lists))
-    rows = rows.select("src_id", "place", "name", F.explode(F.filter(F.transform("terms", hit), lambda x: x["points"] > 0)).alias("h")).select("src_id", "place", "name", "h.term", "h.points")
-    scored = rows.join(terms, "term").groupBy("query_id", "src_id", "place", "name").agg(F.sum("points").cast("int").alias("score"))
-    return top_per(scored, "query_id", k, F.desc("score"), F.col("src_id"), F.col("place")).select("query_id", "src_id", "name", "score", "rank")
+    hashes = F.array_distinct(F.flatten(F.array(*map(runs, widths)))) if widths else F.array().cast("array<long>")
+    met = words.select("src_id", F.explode(hashes).alias("anchor")).join(known, "anchor").select("query_id", "question", "src_id")
+    long = met.join(docs.select("src_id", "text"), "src_id").where(F.contains("text", F.col("question"))).select("query_id", "src_id")
+    short = asked.where("n < 1").select("query_id", "question")
+    return long.union(docs.join(F.broadcast(short), F.contains("text", F.col("question"))).select("query_id", "src_id"))
 
 
 def candidates(channels: DataFrame, k: int | None = None) -> DataFrame:
@@ -116,11 +156,78 @@ def rescaled(rows: DataFrame, score: str) -> DataFrame:
     return rows.withColumn("rerank_score", F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.round((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")), 4))).drop("lo", "hi")
 
 
-def context(ranked: DataFrame) -> DataFrame:
-    """ranked (query_id, rank, manifest_id, text) -> query_id, context: `[S1] source: text` blocks in order."""
-    block = F.format_string("[S%d] %s: %s", F.col("rank"), F.col("manifest_id"), F.left("text", F.lit(300)))
-    rows = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("x"))
-    return rows.select("query_id", F.array_join(F.transform("x", lambda x: x["b"]), "\n\n").alias("context"))
+def context(ranked: DataFrame, most: int = 300) -> DataFrame:
+    """ranked (query_id, rank, manifest_id, text) -> query_id, context: `[S1] source: text` blocks in order, and sources: a map of S1, S2, ... to source, digest and score."""
+    shown = F.left("text", F.lit(most))
+    block = F.format_string("[S%d] %s: %s", F.col("rank"), F.col("manifest_id"), shown)
+    ref = F.struct(F.format_string("S%d", "rank").alias("key"), F.struct("manifest_id", "channel", F.left(F.sha2(shown, 256), F.lit(12)).alias("text_hash"), F.col("normalized_score").alias("score")).alias("value"))
+    rows = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b"), ref.alias("ref")))).alias("x"))
+    return rows.select("query_id", F.array_join(F.transform("x", lambda x: x["b"]), "\n\n").alias("context"), F.map_from_entries(F.transform("x", lambda x: x["ref"])).alias("sources"))
+
+
+def searched(queries: DataFrame, concepts: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, channel, manifest_id, name, text, raw_score, normalized_score, channel_rank of the channels that each query's `mode` selects.
+
+    concepts (src_id, place, name, explanation), docs (src_id, title, text, one_line), vectors
+    (query_id, id, text, distance, rank) as found. concept, summary and vector name one channel;
+    combined and all select every one.
+    """
+    of = lambda mode: queries.where(F.col("mode").isin(mode, "combined", "all"))
+    concept = concept_search(of("concept"), concepts, k)
+    concept = concept.select("query_id", F.lit("concept").alias("channel"), F.col("src_id").alias("manifest_id"), "name", "text", F.col("score").cast("double").alias("raw_score"), keyword_points(F.col("score")).alias("normalized_score"), F.col("rank").alias("channel_rank"))
+    summary = keyword_search(of("summary"), docs, k).join(docs.select("src_id", "title", "one_line"), "src_id")
+    summary = summary.select("query_id", F.lit("summary"), "src_id", "title", "one_line", F.col("score").cast("double"), "normalized_score", "rank")
+    vector = vectors.where(F.col("rank") <= k).join(of("vector").select("query_id"), "query_id", "left_semi")
+    vector = vector.select("query_id", F.lit("vector"), manifest_id(F.col("id")), "id", F.left("text", F.lit(500)), "distance", distance_points(F.col("distance")), "rank")
+    return concept.union(summary).union(vector)
+
+
+def sources_used(found: DataFrame) -> DataFrame:
+    """query_id, search_sources: the channels with a hit, in order."""
+    return found.groupBy("query_id").agg(F.array_sort(F.collect_set("channel")).alias("search_sources"))
+
+
+def reranked(candidates: DataFrame, score: Column, candidate_k: int = 20, final_k: int = 5) -> DataFrame:
+    """Candidates cut to candidate_k by rank, scored anew (rerank_score on 0 to 1 for each query), and cut to final_k."""
+    rows = rescaled(candidates.where(F.col("rank") <= candidate_k).withColumn("__s", score.cast("double")), "__s").drop("__s").withColumnRenamed("rank", "first_rank")
+    return top_per(rows, "query_id", final_k, F.desc("rerank_score"), F.col("first_rank"))
+
+
+def by_channel(candidates: DataFrame) -> DataFrame:
+    """query_id, channel, manifest_id, score, place: candidates back in their channels; without a rerank score vectors show their raw one, others the normalised one."""
+    own = F.when(F.col("channel") == "vector", F.col("raw_score")).otherwise(F.col("normalized_score"))
+    rows = candidates.withColumn("score", F.coalesce("rerank_score", own))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "channel").orderBy("rank"))).select("query_id", "channel", "manifest_id", "score", "place")
+
+
+def evidence(found: DataFrame) -> DataFrame:
+    """query_id, src_id, rank: hits of all channels one after the other, concepts first, then summaries, then vectors."""
+    order = F.when(F.col("channel") == "concept", 0).when(F.col("channel") == "summary", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "channel_rank"))
+    return found.where("manifest_id <> ''").withColumn("rank", place).select("query_id", F.col("manifest_id").alias("src_id"), "rank")
+
+
+def averages(per_query: DataFrame, *by: str) -> DataFrame:
+    """samples and the mean of each metric over queries with expectations."""
+    return per_query.groupBy(*by).agg(F.count("*").alias("samples"), *(F.round(F.avg(c), 4).alias(f"avg_{c}") for c in ("recall", "precision", "mrr", "ndcg")))
+
+
+def linked_names(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """texts (id, text), known (name) -> id, name, known: every [[name]] of a text, and whether there is such a concept."""
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(WIKI_LINK), F.lit(1)))
+    rows = texts.select("id", F.explode(names).alias("name"))
+    return rows.join(known.select("name").distinct().withColumn("k", F.lit(True)), "name", "left").select("id", "name", F.coalesce("k", F.lit(False)).alias("known"))
+
+
+def sanitised_links(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """texts (id, text) with the brackets of links to unknown concepts taken away."""
+    good = linked_names(texts, known).where("known").groupBy("id").agg(F.collect_set("name").alias("names"))
+    rows = texts.join(good, "id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    # Pieces around links and the links' names alternate.
+    pieces, links = F.split("text", WIKI_LINK), F.regexp_extract_all("text", F.lit(WIKI_LINK), F.lit(1))
+    shown = F.transform(links, lambda n: F.when(F.array_contains("names", n), F.concat(F.lit("[["), n, F.lit("]]"))).otherwise(n))
+    text = F.array_join(F.zip_with(pieces, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return rows.select("id", text.alias("text"))
 
 
 def answer_key(question: Column, text: Column) -> Column:
@@ -128,43 +235,77 @@ def answer_key(question: Column, text: Column) -> Column:
     return F.sha2(F.concat(question, F.lit("\n---\n"), text), 256)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, kind: str = "l2", query_block: int = 512, candidate_block: int = 8192) -> DataFrame:
-    """query_id, vec_id, distance, rank: exact nearest other vectors, squared L2 or cosine distance.
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, kind: str = "l2", query_block: int = 512, candidate_block: int = 8192, among: Column | None = None, ids: str = "long") -> DataFrame:
+    """query_id, vec_id, distance, rank: exact nearest other vectors, squared L2 or cosine distance; ranked on the exact distance, which is shown with 5 places.
 
     Blocks of queries meet blocks of candidates, one pair to a task; each task sends the best k of
-    its candidates for its queries, and these are merged.
+    its candidates for its queries, and these are merged. Vectors that are null, or hold a null or
+    non-finite component, take no part; those of another length than the query's are not its neighbours.
     """
     import numpy as np
     import pandas as pd
 
-    rows = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    asked = rows.where(is_query)
+    rows = vectors.where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("vec_id", "embedding")
+    rows = rows.withColumn("width", F.size("embedding"))
+    asked, rows = rows.where(is_query), rows if among is None else rows.where(among)
     n_q, n_c = (max(1, -(-t.count() // size)) for t, size in ((asked, query_block), (rows, candidate_block)))
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
         a, b = np.stack(q.embedding).astype(np.float64), np.stack(c.embedding).astype(np.float64)
-        dots = a @ b.T
-        if kind == "l2":
-            d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * dots, 0)
-        else:
-            d = 1 - dots / np.maximum(np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)[None, :]), 1e-30)
-        d = np.round(d, 5)
-        own = q.vec_id.values[:, None] == c.vec_id.values[None, :]
-        d[own] = np.inf
+        near = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+        if kind == "cosine":
+            near = 1 - (a @ b.T) / np.maximum(np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)[None, :]), 1e-30)
+        near[q.vec_id.values[:, None] == c.vec_id.values[None, :]] = np.inf
         out = []
-        for i, row in enumerate(d):
-            at = np.lexsort((c.vec_id.values, row))[:k]
-            at = at[np.isfinite(row[at])]
-            out.append(pd.DataFrame({"query_id": q.vec_id.values[i], "vec_id": c.vec_id.values[at], "distance": row[at]}))
+        for i, row in enumerate(near):
+            # A few more than k by the fast formula; of these the distance is then worked out term by term.
+            some = np.argpartition(row, min(k + 8, len(row)) - 1)[: k + 8] if len(row) > k + 8 else np.arange(len(row))
+            some = some[np.isfinite(row[some])]
+            d = ((a[i] - b[some]) ** 2).sum(1) if kind == "l2" else row[some]
+            at = np.lexsort((c.vec_id.values[some], d))[:k]
+            out.append(pd.DataFrame({"query_id": q.vec_id.values[i], "vec_id": c.vec_id.values[some[at]], "distance": d[at]}))
         return pd.concat(out)
 
-    dealt_q = asked.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"))
-    dealt_c = rows.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_c)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))
-    dealt_q = dealt_q.withColumn("q", F.col("q").cast("int"))
-    found = dealt_q.groupBy("q", "c").cogroup(dealt_c.groupBy("q", "c")).applyInPandas(best, "query_id long, vec_id long, distance double")
-    return top_per(found, "query_id", k, F.col("distance"), F.col("vec_id"))
+    # New names for the same columns: the two sides come from one table.
+    dealt_q = asked.select(*(F.col(c).alias(c) for c in ("vec_id", "embedding", "width")), F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"))
+    dealt_c = rows.select("vec_id", "embedding", "width", F.pmod(F.xxhash64("vec_id"), F.lit(n_c)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))
+    keys = ("width", "q", "c")
+    found = dealt_q.groupBy(*keys).cogroup(dealt_c.groupBy(*keys)).applyInPandas(best, f"query_id {ids}, vec_id {ids}, distance double")
+    return top_per(found, "query_id", k, F.col("distance"), F.col("vec_id")).withColumn("distance", F.round("distance", 5))
+
+
+def approximately_nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 24, bits: int = 6, seed: int = 7) -> DataFrame:
+    """query_id, vec_id, distance, rank: nearest other vectors by squared L2 among those that share a bucket in one of `tables` tables.
+
+    A bucket is the side on which a vector lies of `bits` random planes through the vectors' mean.
+    Every vector is in one bucket of every table; more tables find more neighbours, more bits make
+    buckets smaller. Recall against `nearest` is measured in the tests and by the query.
+    """
+    import numpy as np
+
+    rows = vectors.where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    rows = rows.where(F.size("v") == width)
+    centre = rows.select(*(F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(width))).first()
+    centre = [x or 0.0 for x in centre]
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    side = lambda p: dot(F.col("v"), F.array(*map(F.lit, p.tolist()))) > float(p @ np.array(centre))
+    code = lambda t: sum(F.when(side(planes[t, j]), 1 << j).otherwise(0) for j in range(bits))
+    keyed = rows.select("vec_id", "v", F.posexplode(F.array(*(code(t) for t in range(tables)))).alias("t", "code"))
+    asked = keyed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "t", "code")
+    pairs = asked.join(keyed, ["t", "code"]).where("query_id <> vec_id").dropDuplicates(["query_id", "vec_id"])
+    distance = F.aggregate(F.zip_with("qv", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    found = top_per(pairs.select("query_id", "vec_id", distance.alias("distance")), "query_id", k, F.col("distance"), F.col("vec_id"))
+    return found.withColumn("distance", F.round("distance", 5))
+
+
+def checked_rows(rows: DataFrame) -> DataFrame:
+    """rows (collection, id, document, ...) of an upsert; it is an error if one lacks its id or document."""
+    good = F.col("id").isNotNull() & F.col("document").isNotNull()
+    return rows.withColumn("id", F.when(good, F.col("id")).otherwise(F.raise_error(F.lit("a row without id or document"))))
 
 
 def upserted(store: DataFrame, rows: DataFrame) -> DataFrame:
@@ -174,6 +315,53 @@ def upserted(store: DataFrame, rows: DataFrame) -> DataFrame:
     return both.withColumn("__r", last).where("__r = 1").drop("__v", "__r")
 
 
+def deleted(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """store without the rows of ids (collection, id)."""
+    return store.join(ids.select("collection", "id"), ["collection", "id"], "left_anti")
+
+
+def with_metadata(store: DataFrame, changes: DataFrame) -> DataFrame:
+    """store (collection, id, ..., metadata map) with changes (collection, id, metadata) laid over: a changed key has the new value, others stay."""
+    rows = store.join(changes.select("collection", "id", F.col("metadata").alias("__new")), ["collection", "id"], "left")
+    kept = F.map_filter("metadata", lambda k, _: ~F.array_contains(F.map_keys("__new"), k))
+    return rows.withColumn("metadata", F.when(F.col("__new").isNull(), F.col("metadata")).otherwise(F.map_concat(kept, "__new"))).select(*store.columns)
+
+
+def collections(store: DataFrame) -> DataFrame:
+    """collection, n."""
+    return store.groupBy("collection").agg(F.count("*").alias("n"))
+
+
+def source_statistics(store: DataFrame) -> DataFrame:
+    """collection, source, n by the metadata's source; `unknown` where there is none."""
+    return store.groupBy("collection", F.coalesce(F.try_element_at("metadata", F.lit("source")), F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
+
+
+def matching(store: DataFrame, where: dict[str, str]) -> DataFrame:
+    """Rows whose metadata has all these values."""
+    for key, value in where.items():
+        store = store.where(F.try_element_at("metadata", F.lit(key)) == value)
+    return store
+
+
+def trusted(store: DataFrame, least: str, exact: bool = False) -> DataFrame:
+    """Rows of trust layer `least` or higher (of that layer alone if exact); other collections than chunks are not touched."""
+    level = F.try_element_at("metadata", F.lit("trust_level"))
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in zip(LAYERS, range(len(LAYERS)), strict=True) for x in pair)), level), F.lit(-1))
+    good = (level == least) if exact else (rank >= LAYERS.index(least))
+    return store.where((F.col("collection") != "chunks") | F.coalesce(good, F.lit(False)))
+
+
+def across_collections(found: DataFrame, k: int = 5) -> DataFrame:
+    """found (query_id, collection, id, distance) of several collections -> the k nearest of all."""
+    return top_per(found, "query_id", k, F.col("distance"), F.col("collection"), F.col("id"))
+
+
+def without_weak(rows: DataFrame, least: float = 0.1) -> DataFrame:
+    """Hits of a score of `least` or more; one without a score counts as 1."""
+    return rows.where(F.coalesce("score", F.lit(1.0)) >= least)
+
+
 def metrics(ranked: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     """ranked (query_id, src_id, rank), expected (query_id, src_id) -> recall, precision, mrr, ndcg and misses of each query with expectations."""
     want = expected.distinct()

@@ -14,9 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import SENTENCE, sentences
+from corpusloom.functions.text import SENTENCE, sentences, strip
 
+# Where texts are cut, the coarsest separator first.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", " ")
+# Heading lines, and lines that begin a numbered part.
+HEADING = r"^(#{1,6})\s+(.*)$"
+NUMBERING = r"^(?:(\d+|[一二三四五六七八九十]+)[.、]\s*(.+)|[（(]\s*\d+\s*[)）]\s*(.+))$"
 CHUNK = "src_id string, index int, start int, end int, content string"
 
 
@@ -38,22 +42,57 @@ def fixed(docs: DataFrame, size: int = 4000, overlap: int = 200) -> DataFrame:
     return rows.select("src_id", "index", (F.col("index") * step).alias("start"), F.substring("text", F.col("index") * step + 1, F.lit(size)).alias("content"))
 
 
-def sections(docs: DataFrame, heading: str = r"^(#{1,6})\s+(.*)$") -> DataFrame:
+def sections(docs: DataFrame, heading: str = HEADING) -> DataFrame:
     """src_id, index, level, title, content: a heading and the lines up to the next one."""
+    rows = _cut_at(docs, lambda lines: F.col("line").rlike(heading))
+    return rows.select("src_id", "index", F.length(F.regexp_extract("head", heading, 1)).alias("level"), strip(F.regexp_extract("head", heading, 2)).alias("title"), "content")
+
+
+def numbered_sections(docs: DataFrame, numbering: str = NUMBERING) -> DataFrame:
+    """src_id, index, level, title, content: a numbered line and the lines up to the next one; only of texts that have more than one part.
+
+    The first line that is not blank begins the first part, whatever it is; its title is empty.
+    """
+    begins = Window.partitionBy("src_id")
+    first = F.min(F.when(strip(F.col("line")) != "", F.col("line_no"))).over(begins)
+    rows = _cut_at(docs, lambda lines: F.col("line").rlike(numbering) & (F.col("line_no") > first))
+    title = F.coalesce(*(F.nullif(strip(F.regexp_extract("head", numbering, g)), F.lit("")) for g in (1, 2, 3)), F.lit(""))
+    rows = rows.withColumn("parts", F.count("*").over(begins)).where("parts > 1")
+    return rows.select("src_id", "index", F.lit(1).alias("level"), F.when(F.col("section") == 0, "").otherwise(title).alias("title"), "content")
+
+
+def _cut_at(docs: DataFrame, heads) -> DataFrame:
+    """src_id, section, index, head, content of texts cut before the lines that heads(lines) marks; windows are per document."""
     lines = docs.select("src_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    is_head = F.col("line").rlike(heading)
     upto = Window.partitionBy("src_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("section", F.sum(is_head.cast("int")).over(upto))
+    lines = lines.withColumn("is_head", heads(lines)).withColumn("section", F.sum(F.col("is_head").cast("int")).over(upto))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    head = F.min_by("line", "line_no")
-    rows = lines.groupBy("src_id", "section").agg(head.alias("head"), body.alias("content")).withColumn("content", F.regexp_replace("content", r"^\s+|\s+$", "")).where("content <> ''")
-    return rows.select(
-        "src_id",
-        (F.row_number().over(Window.partitionBy("src_id").orderBy("section")) - 1).alias("index"),
-        F.length(F.regexp_extract("head", heading, 1)).alias("level"),
-        F.regexp_replace(F.regexp_extract("head", heading, 2), r"^\s+|\s+$", "").alias("title"),
-        "content",
-    )
+    rows = lines.groupBy("src_id", "section").agg(F.min_by("line", "line_no").alias("head"), body.alias("content")).withColumn("content", strip(F.col("content"))).where("content <> ''")
+    return rows.withColumn("index", F.row_number().over(Window.partitionBy("src_id").orderBy("section")) - 1)
+
+
+def structured(docs: DataFrame, size: int = 4000, overlap: int = 200) -> DataFrame:
+    """src_id, index, level, title, content: sections at headings where a text has more than one, else numbered parts, else the whole text; longer ones packed from paragraphs and sentences."""
+    many = lambda rows: rows.withColumn("n", F.count("*").over(Window.partitionBy("src_id"))).where("n > 1").drop("n")
+    by_heading = many(sections(docs))
+    rest = docs.join(by_heading.select("src_id").distinct(), "src_id", "left_anti")
+    by_number = numbered_sections(rest)
+    whole = rest.join(by_number.select("src_id").distinct(), "src_id", "left_anti").where(strip(F.col("text")) != "")
+    whole = whole.select("src_id", F.lit(0).alias("index"), F.lit(0).alias("level"), F.lit("").alias("title"), strip(F.col("text")).alias("content"))
+    parts = by_heading.union(by_number).union(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                pieces = [r["content"][a:b] for a, b in by_paragraphs(r["content"], size, overlap)] if len(r["content"]) > size else [r["content"]]
+                rows += [r | {"sub": i, "content": x} for i, x in enumerate(pieces)]
+            schema = pa.schema([("src_id", pa.string()), ("index", pa.int32()), ("sub", pa.int32()), ("level", pa.int32()), ("title", pa.string()), ("content", pa.string())])
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    rows = parts.mapInArrow(run, "src_id string, index int, sub int, level int, title string, content string")
+    place = F.row_number().over(Window.partitionBy("src_id").orderBy("index", "sub")) - 1
+    return rows.select("src_id", place.alias("index"), "level", "title", "content")
 
 
 def sentence_rows(docs: DataFrame) -> DataFrame:
@@ -61,22 +100,25 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
     return docs.select("src_id", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
 
 
-def packed(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Pieces joined up to `size` characters; a new chunk begins with the last pieces, up to `overlap` characters where there is room."""
-    out, held, n = [], [], 0
+Span = tuple[int, int]
+
+
+def packed(pieces: list[str], size: int, overlap: int, begin: int = 0) -> list[Span]:
+    """Pieces of a text, which follow each other from `begin` on, joined up to `size` characters; a new chunk begins with the last pieces, up to `overlap` characters where there is room. Chunks as spans of the text."""
+    ends, at = [], begin
     for piece in pieces:
-        if held and n + len(piece) > size:
-            out.append("".join(held))
-            tail, m = [], 0
-            for p in reversed(held):
-                if m + len(p) > min(overlap, size - len(piece)):
-                    break
-                tail.append(p)
-                m += len(p)
-            held, n = tail[::-1], m
-        held.append(piece)
-        n += len(piece)
-    return [*out, "".join(held)] if held else out
+        at += len(piece)
+        ends.append(at)
+    out, start = [], begin
+    for i, piece in enumerate(pieces):
+        if ends[i] - start > size and ends[i] - len(piece) > start:
+            out.append((start, ends[i] - len(piece)))
+            room = min(overlap, size - len(piece))
+            j = i
+            while j > 0 and ends[i - 1] - (ends[j - 1] - len(pieces[j - 1])) <= room and ends[j - 1] - len(pieces[j - 1]) >= start:
+                j -= 1
+            start = ends[i - 1] if j == i else ends[j] - len(pieces[j])
+    return [*out, (start, at)] if pieces and at > start else out
 
 
 def pieces_of(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -90,54 +132,68 @@ def pieces_of(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) ->
     return [text[k : k + size] for k in range(0, len(text), size)]
 
 
-def by_separators(text: str, size: int = 800, overlap: int = 120) -> list[str]:
+def by_separators(text: str, size: int = 800, overlap: int = 120) -> list[Span]:
     return packed(pieces_of(text, size), size, overlap)
 
 
-def by_sentences(text: str, size: int = 4000, overlap: int = 200) -> list[str]:
-    """Whole sentences (with what stands between them) packed to size."""
+def sentence_pieces(text: str, size: int) -> list[str]:
+    """Sentences with what stands between them; joined they give text. Longer ones than size are cut."""
     ends = [m.end() for m in re.finditer(SENTENCE, text)]
     cuts = [0, *ends[:-1], len(text)] if ends else [0, len(text)]
     pieces = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    return packed([p for x in pieces for p in (pieces_of(x, size) if len(x) > size else [x]) if p], size, overlap)
+    return [p for x in pieces for p in (pieces_of(x, size) if len(x) > size else [x]) if p]
+
 
+def by_sentences(text: str, size: int = 4000, overlap: int = 200) -> list[Span]:
+    """Whole sentences packed to size."""
+    return packed(sentence_pieces(text, size), size, overlap)
 
-def by_lines(text: str, size: int = 4000, overlap: int = 200) -> list[str]:
+
+def by_paragraphs(text: str, size: int = 4000, overlap: int = 200) -> list[Span]:
+    """Paragraphs packed to size; a text without blank lines is cut at lines; paragraphs above size are cut at sentences."""
+    gap = "\n\n" if "\n\n" in text or len(text) <= size else "\n"
+    parts = re.split(f"(?<={gap})", text)
+    return packed([p for x in parts for p in (sentence_pieces(x, size) if len(x) > size else [x]) if p], size, overlap)
+
+
+def by_lines(text: str, size: int = 4000, overlap: int = 200) -> list[Span]:
     """Windows that end at a line's end if there is one in their second half."""
     out, start = [], 0
     while start < len(text):
-        end = start + size
+        end = min(start + size, len(text))
         if end < len(text):
             at = text.rfind("\n", start, end)
             end = at + 1 if at > start + size // 2 else end
         if text[start:end].strip():
-            out.append(text[start:end])
+            out.append((start, end))
         start = max(end - overlap, start + 1) if end < len(text) else end
     return out
 
 
-SPLITTERS: dict[str, Callable[[str, int, int], list[str]]] = {"recursive": by_separators, "sentence": by_sentences, "line": by_lines}
+SPLITTERS: dict[str, Callable[[str, int, int], list[Span]]] = {"recursive": by_separators, "sentence": by_sentences, "line": by_lines, "paragraph": by_paragraphs}
 
 
 def chunks(docs: DataFrame, splitter: str, size: int = 800, overlap: int = 120) -> DataFrame:
-    """src_id, index, start, end, content of every document by one of SPLITTERS; start and end are in the text."""
+    """src_id, index, start, end, content of every document by one of SPLITTERS; content is the text from start to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = SPLITTERS[splitter]
         for batch in batches:
             rows = []
             for src_id, text in zip(batch.column("src_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                at = 0
-                for i, content in enumerate(split(text or "", size, overlap)):
-                    at = text.find(content, at)
-                    rows.append({"src_id": src_id, "index": i, "start": at, "end": at + len(content), "content": content})
-                    at += 1
+                rows += [{"src_id": src_id, "index": i, "start": a, "end": b, "content": text[a:b]} for i, (a, b) in enumerate(split(text or "", size, overlap))]
             schema = pa.schema([("src_id", pa.string()), ("index", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("content", pa.string())])
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return docs.select("src_id", "text").mapInArrow(run, CHUNK)
 
 
+def adaptive_size(n: Column) -> Column:
+    """Chunk size for a text of n characters, so that chunks stay few."""
+    eighth = F.floor(n / 8).cast("int")
+    return F.when(n > 100_000, F.greatest(F.lit(20_000), eighth)).when(n > 50_000, F.greatest(F.lit(12_000), eighth)).otherwise(F.least(F.lit(16_000), F.greatest(F.lit(4_000), eighth)))
+
+
 def with_ids(rows: DataFrame, name: str) -> DataFrame:
     """Chunks with their id and metadata."""
     return rows.select(F.concat("src_id", F.lit("_chunk_"), F.lpad(F.col("index").cast("string"), 4, "0")).alias("id"), "src_id", F.lit(name).alias("strategy"), "content")
@@ -149,6 +205,49 @@ def breakpoints(vectors: DataFrame, share: float = 0.95) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     v, w = F.col("v"), F.col("w")
     rows = vectors.withColumn("w", F.lead("v").over(ordered)).where("w IS NOT NULL")
-    rows = rows.select("doc", "place", F.round(1 - dot(v, w) / F.sqrt(dot(v, v) * dot(w, w)), 6).alias("distance"))
+    rows = rows.select("doc", "place", F.round(1 - F.coalesce(dot(v, w) / F.nullif(F.sqrt(dot(v, v) * dot(w, w)), F.lit(0.0)), F.lit(0.0)), 6).alias("distance"))
     bar = F.percentile("distance", share).over(Window.partitionBy("doc"))
     return rows.withColumn("bar", F.round(bar, 6)).select("doc", "place", "distance", (F.col("distance") > F.col("bar")).alias("breaks"))
+
+
+def long_sentences(docs: DataFrame, least: int = 20) -> DataFrame:
+    """src_id, place, sentence: sentences at 。！？!? with shorter ones than `least` joined to the one before."""
+    parts = F.filter(F.transform(F.split(strip(F.col("text")), r"(?<=[。！？!?])\s*"), strip), lambda s: s != "")
+    rows = docs.select("src_id", F.posexplode(parts).alias("i", "s"))
+    upto = Window.partitionBy("src_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("place", F.sum(((F.length("s") >= least) | (F.col("i") == 0)).cast("int")).over(upto) - 1)
+    return rows.groupBy("src_id", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "").alias("sentence"))
+
+
+def letter_vector(text: Column, letters: str = "aeioulnrst") -> Column:
+    """A stand-in for an embedder: how often each of a few letters occurs."""
+    low = F.lower(text)
+    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in letters))
+
+
+def semantic(sentences: DataFrame, size: int = 800, overlap: int = 120, share: float = 0.95) -> DataFrame:
+    """sentences (src_id, place, sentence, v) -> src_id, index, content: sentences together up to a turn of topic (see breakpoints); groups above size in windows that overlap."""
+    turns = breakpoints(sentences.select(F.col("src_id").alias("doc"), "place", "v"), share)
+    rows = sentences.join(turns.select(F.col("doc").alias("src_id"), (F.col("place") + 1).alias("place"), "breaks"), ["src_id", "place"], "left")
+    upto = Window.partitionBy("src_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("group", F.sum(F.coalesce(F.col("breaks").cast("int"), F.lit(0))).over(upto))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]), "")
+    groups = rows.groupBy("src_id", "group").agg(text.alias("text"))
+    step = size - overlap
+    last = F.when(F.length("text") <= size, 0).otherwise(F.floor((F.length("text") - 1) / step).cast("int"))
+    pieces = groups.select("src_id", "group", "text", F.explode(F.sequence(F.lit(0), last)).alias("i")).select("src_id", "group", "i", F.substring("text", F.col("i") * step + 1, F.lit(size)).alias("content"))
+    return pieces.select("src_id", (F.row_number().over(Window.partitionBy("src_id").orderBy("group", "i")) - 1).alias("index"), "content")
+
+
+def merged_sentences(sentences: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
+    """sentences (src_id, place, sentence) -> src_id, index, content: without vectors, sentences joined up to size, each chunk after the first begun with the last characters of the one before."""
+    rows = sentences.groupBy("src_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]).alias("s"))
+    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
+
+    def step(acc: Column, s: Column) -> Column:
+        full = (F.length(acc["now"]) + F.length(s) > size) & (acc["now"] != "")
+        out = F.when(full, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.when(full, F.concat(F.right(acc["now"], F.lit(overlap)), s)).otherwise(F.concat(acc["now"], s)).alias("now"))
+
+    found = F.aggregate("s", begin, step, lambda acc: F.when(acc["now"] != "", F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]))
+    return rows.select("src_id", F.posexplode(found).alias("index", "content"))

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import compile as C
 from corpusloom.operators import quality as Q
-from corpusloom.plans.manifest_queries import ERROR, SRC, STATUS, sources
-from corpusloom.plans.registry import query
+from corpusloom.operators import state as T
+from corpusloom.plans.manifest_queries import SRC, sources
+from corpusloom.plans.registry import query, table
 from corpusloom.plans.segment_queries import SENTENCES, STRIP
+from corpusloom.plugins import Registry
+from corpusloom.sources import store
 
-_CTX = f"list_filter(list_transform(string_split_regex(detailed_summary, '[。！？\\n]'), lambda s: {STRIP.format('s')}), lambda s: length(s) > 5 AND contains(s, w))"
+_CTX = f"list_filter(list_transform(string_split_regex(text, '[。！？\\n]'), lambda s: {STRIP.format('s')}), lambda s: length(s) > 5 AND contains(s, w))"
 COMP = f"""{SRC}, tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}', 0)) AS w FROM src) GROUP BY doc_id, w),
 df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), nd AS (SELECT count(*) AS n FROM src),
 top AS (SELECT * FROM (SELECT doc_id, w, tf, round(tf * ln(n / df), 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln(n / df), 6) DESC, w) AS r FROM tf JOIN df USING (w), nd) WHERE r <= 5),
@@ -21,7 +24,9 @@ comp AS (SELECT src_id, doc_id, title, type, text, coalesce(s[1], '') AS one_lin
 
 
 def compiled(spark, sf_dir):
-    return C.extractive(sources(spark, sf_dir).select("src_id", "doc_id", "title", "type", "text"))
+    """What the compile job gives; written the first time in an application, as a compile run writes it for what follows."""
+    docs = sources(spark, sf_dir).select("src_id", "doc_id", "title", "type", "text")
+    return store.once(spark, f"compiled {sf_dir}", lambda: C.compile_job(docs, Registry()))
 
 
 @query(f"WITH {COMP} SELECT doc_id, w AS word, tf, score, CAST(r AS INTEGER) AS rank FROM top")
@@ -31,7 +36,9 @@ def concept_tfidf_top5(spark, sf_dir):
 
 @query(f"WITH {COMP} SELECT src_id, one_line, array_to_string(key_points, '|') AS key_points, detailed_summary, array_to_string(names, '|') AS names FROM comp")
 def extractive_compile(spark, sf_dir):
-    return compiled(spark, sf_dir).select("src_id", "one_line", F.array_join("key_points", "|").alias("key_points"), "detailed_summary", F.array_join("concepts.name", "|").alias("names"))
+    """The compile job itself, not its written table."""
+    docs = sources(spark, sf_dir).select("src_id", "doc_id", "title", "type", "text")
+    return C.compile_job(docs, Registry()).select("src_id", "one_line", F.array_join("key_points", "|").alias("key_points"), "detailed_summary", F.array_join("concepts.name", "|").alias("names"))
 
 
 @query(f"WITH {COMP} SELECT src_id, CAST(place AS INTEGER) AS place, name, explanation FROM con")
@@ -169,14 +176,28 @@ def trust_level(spark, sf_dir):
     return Q.traced(Q.linted(compiled(spark, sf_dir))).select("src_id", Q.trust().alias("trust_level"))
 
 
+#: Scores from which the corpus's sources are promoted; the extracts reach 70 at most, as the keyword lists are Chinese.
+WIKI, CURATED = 60, 70
+MAN = f"""{COMP}, fst AS (SELECT content_hash, min(doc_id) AS first_id FROM src GROUP BY content_hash), sco AS (SELECT src_id, doc_id, title, type, text, src.size_bytes, src.content_hash, one_line, key_points, names, concepts, detailed_summary, CAST({SCORE} AS INTEGER) AS quality_score, first_id
+ FROM comp JOIN (SELECT src_id, size_bytes, content_hash FROM src) src USING (src_id) JOIN fst USING (content_hash)),
+man AS (SELECT *, CASE WHEN status = 'failed' THEN CASE WHEN length(trim(text)) < 100 THEN 'no_text' ELSE 'llm_failed: empty key points' END END AS error_message, CASE status WHEN 'promoted' THEN 'curated' WHEN 'promoted_to_wiki' THEN 'wiki' END AS promoted_to
+ FROM (SELECT *, CASE WHEN length(trim(text)) < 100 THEN 'failed' WHEN first_id <> doc_id THEN 'ingested' WHEN len(key_points) = 0 THEN 'failed' WHEN quality_score >= {CURATED} THEN 'promoted' WHEN quality_score >= {WIKI} THEN 'promoted_to_wiki' ELSE 'compiled' END AS status FROM sco))"""
+
+
+def manifests(spark, sf_dir):
+    """The state of every source after the compile run, with what was compiled."""
+    rows = store.once(spark, f"state {sf_dir}", lambda: T.compiled_state(compiled(spark, sf_dir), WIKI, CURATED))
+    return rows.withColumn("size_bytes", F.octet_length("text").cast("long"))
+
+
 def assessed(spark, sf_dir):
     """Compiled rows with status, score, lint and the number of default explanations."""
-    rows = Q.linted(compiled(spark, sf_dir))
+    rows = Q.linted(manifests(spark, sf_dir))
     odd = F.size(F.filter("issues", lambda x: (x["rule"] == "concept_quality") & (x["severity"] == "warning")))
-    return rows.withColumns({"status": F.expr(STATUS), "error_message": F.expr(ERROR), "quality_score": Q.score(), "default_concepts": odd, "summary_there": F.col("one_line") != ""})
+    return rows.withColumns({"default_concepts": odd, "summary_there": F.col("one_line") != ""})
 
 
-ASSESSED = f"{ISSUES}, ass AS (SELECT comp.*, {STATUS} AS status, {ERROR} AS error_message, CAST({SCORE} AS INTEGER) AS quality_score, errors = 0 AS lint_passed, defaults, one_line <> '' AS summary_there FROM comp JOIN lint USING (src_id))"
+ASSESSED = f"{MAN}, {ISSUES.removeprefix(COMP + ', ')}, ass AS (SELECT man.*, errors = 0 AS lint_passed, defaults, one_line <> '' AS summary_there FROM man JOIN lint USING (src_id))"
 GATE = f"""{ASSESSED}, gate AS (SELECT src_id, doc_id, title, type, status, quality_score, status = 'compiled' AS c1, error_message IS NULL AS c2, summary_there AS c3, lint_passed AND defaults = 0 AS c4 FROM ass)"""
 
 
@@ -189,8 +210,6 @@ def quality_gate(spark, sf_dir):
 @query(f"""WITH {ASSESSED} SELECT quality_score >= 50 AS passed, quality AS label, count(*) AS n FROM ass JOIN labels USING (doc_id) GROUP BY 1, 2""")
 def gate_label_agreement(spark, sf_dir):
     """How the score's threshold agrees with the labels."""
-    from corpusloom.plans.registry import table
-
     rows = compiled(spark, sf_dir).select("doc_id", (Q.score() >= 50).alias("passed")).join(table(spark, sf_dir, "labels"), "doc_id")
     return rows.groupBy("passed", F.col("quality").alias("label")).agg(F.count("*").alias("n"))
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from corpusloom.operators import lifecycle as L
 from corpusloom.operators import quality as Q
 from corpusloom.operators import segment as S
-from corpusloom.plans.compile_queries import PROV, TRUST, compiled
-from corpusloom.plans.manifest_queries import MAN, manifests, sources
+from corpusloom.plans.compile_queries import CURATED, MAN, PROV, TRUST, WIKI, compiled, manifests
+from corpusloom.plans.manifest_queries import sources
 from corpusloom.plans.registry import query, table
 
 
-@query(f"WITH {MAN} SELECT src_id, quality_score, 'promoted_to_wiki' AS status, 'wiki' AS promoted_to FROM man WHERE status = 'compiled' AND quality_score >= 85")
+@query(f"WITH {MAN} SELECT src_id, quality_score, 'promoted_to_wiki' AS status, 'wiki' AS promoted_to FROM man WHERE status = 'compiled' AND quality_score >= 55")
 def batch_promote(spark, sf_dir):
-    return L.promoted(manifests(spark, sf_dir), "wiki")
+    return L.promoted(manifests(spark, sf_dir), "wiki", 55)
 
 
 @query(f"WITH {MAN} SELECT src_id, quality_score, 'promoted' AS status, 'curated' AS promoted_to FROM man WHERE status = 'promoted_to_wiki' AND quality_score >= 60 ORDER BY quality_score DESC, src_id LIMIT 20")
@@ -23,10 +23,10 @@ def promote_to_curated(spark, sf_dir):
     return L.promoted(manifests(spark, sf_dir), "curated", 60, 20)
 
 
-@query(f"""WITH {MAN} SELECT src_id, status AS was, CASE status WHEN 'promoted' THEN 'promoted_to_wiki' ELSE 'compiled' END AS status, 'score ' || quality_score || ' < 50' AS reason
-FROM man WHERE status IN ('promoted', 'promoted_to_wiki') AND quality_score < 50""")
+@query(f"""WITH {MAN} SELECT src_id, status AS was, CASE status WHEN 'promoted' THEN 'promoted_to_wiki' ELSE 'compiled' END AS status, 'score ' || quality_score || ' < 65' AS reason
+FROM man WHERE status IN ('promoted', 'promoted_to_wiki') AND quality_score < 65""")
 def auto_downgrade(spark, sf_dir):
-    return L.downgraded(manifests(spark, sf_dir), 50)
+    return L.downgraded(manifests(spark, sf_dir), 65)
 
 
 @query(f"""WITH {MAN}, art AS (SELECT src_id, title || CASE WHEN doc_id % 3 = 0 THEN '_1' ELSE '' END AS stem FROM man WHERE status <> 'failed'), t AS (SELECT DISTINCT title FROM man WHERE status IN ('promoted_to_wiki', 'promoted'))
@@ -38,7 +38,8 @@ def pollution_check(spark, sf_dir):
 
 
 NOW, OLD = L.fingerprint({"prompt": 5, "chunk": 4000}), L.fingerprint({"prompt": 4, "chunk": 4000})
-CONFIG = f"CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN '{NOW}' WHEN 1 THEN '{OLD}' END"
+#: Failed sources have no configuration; longer texts were compiled before the prompt changed.
+CONFIG = f"CASE WHEN status = 'failed' THEN NULL WHEN length(text) > 1500 THEN '{OLD}' ELSE '{NOW}' END"
 
 
 @query(f"WITH {MAN} SELECT src_id, CASE WHEN {CONFIG} IS NULL THEN 'no_config' WHEN {CONFIG} = '{NOW}' THEN 'up_to_date' ELSE 'stale' END AS state FROM man")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -14,22 +13,10 @@ SRC = (
     "src AS (SELECT printf('SRC-%04d', doc_id) AS src_id, doc_id, split_part(text, chr(10), 1) AS title, "
     "source AS type, text, strlen(text)::BIGINT AS size_bytes, sha256(text) AS content_hash FROM documents)"
 )
-#: State of a source: a stand-in that the tables give for a pipeline's own record.
-STATUS = "CASE CAST(doc_id % 10 AS INT) WHEN 0 THEN 'failed' WHEN 1 THEN 'ingested' WHEN 2 THEN 'promoted_to_wiki' WHEN 3 THEN 'promoted' ELSE 'compiled' END"
-ERROR = "CASE WHEN doc_id % 10 = 0 THEN CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'no_text' ELSE 'llm_failed: 429 rate limit' END END"
-SCORE = "CAST((length(text) * 7 + doc_id) % 101 AS INT)"
-MAN = f"{SRC}, man AS (SELECT *, {STATUS} AS status, {ERROR} AS error_message, {SCORE} AS quality_score, CAST(NULL AS VARCHAR) AS promoted_to FROM src)"
-
-
 def sources(spark, sf_dir):
     return M.sources(table(spark, sf_dir, "documents"))
 
 
-def manifests(spark, sf_dir):
-    null = F.lit(None).cast("string")
-    return sources(spark, sf_dir).withColumns({"status": F.expr(STATUS), "error_message": F.expr(ERROR), "quality_score": F.expr(SCORE), "promoted_to": null})
-
-
 @query(f"WITH {SRC} SELECT src_id, doc_id, title, type, size_bytes, content_hash FROM src")
 def manifest_table(spark, sf_dir):
     return sources(spark, sf_dir).drop("text")
@@ -54,55 +41,12 @@ def exact_dup_dedup(spark, sf_dir):
 SELECT type, count(*) AS total, count(*) FILTER (size_bytes > 0 AND r = 1) AS linked, count(*) FILTER (size_bytes > 0 AND r > 1) AS skipped, count(*) FILTER (size_bytes = 0) AS failed FROM r GROUP BY type""")
 def ingest_stats(spark, sf_dir):
     """Outcome counts of taking in every document in order of its id."""
-    rows = sources(spark, sf_dir)
-    first = rows.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"))
-    out = rows.join(first, "content_hash").withColumn("r", F.col("doc_id") == F.col("first_id"))
-    return out.groupBy("type").agg(F.count("*").alias("total"), F.count_if(F.expr("size_bytes > 0 AND r")).alias("linked"), F.count_if(F.expr("size_bytes > 0 AND NOT r")).alias("skipped"), F.count_if(F.expr("size_bytes = 0")).alias("failed"))
-
-
-@query(f"WITH {MAN} SELECT status, type, count(*) AS n FROM man GROUP BY GROUPING SETS ((status), (type), (status, type))")
-def source_status_counts(spark, sf_dir):
-    manifests(spark, sf_dir).createOrReplaceTempView("corpusloom_manifests")
-    return spark.sql("SELECT status, type, count(*) AS n FROM corpusloom_manifests GROUP BY GROUPING SETS ((status), (type), (status, type))")
-
-
-@query(f"WITH {MAN} SELECT type, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, type) AS INTEGER) AS place FROM man GROUP BY type")
-def type_counts(spark, sf_dir):
-    """Categories by frequency."""
-    counts = manifests(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "type")))
-
-
-BUCKET = "CASE WHEN coalesce(quality_score, 0) <= 40 THEN '0-40' WHEN quality_score <= 60 THEN '41-60' WHEN quality_score <= 84 THEN '61-84' ELSE '85-100' END"
-
-
-@query(f"WITH {MAN} SELECT {BUCKET} AS bucket, count(*) AS n, count(*) FILTER (status = 'compiled' AND quality_score >= 85) AS promotable FROM man GROUP BY 1")
-def score_histogram(spark, sf_dir):
-    return manifests(spark, sf_dir).groupBy(F.expr(BUCKET).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.expr("status = 'compiled' AND quality_score >= 85")).alias("promotable"))
-
-
-@query(f"""WITH {MAN} SELECT type, count(*) AS total, count(*) FILTER (status = 'compiled') AS compiled, count(*) FILTER (status = 'failed') AS failed,
-  round(100.0 * count(*) FILTER (status = 'compiled') / count(*), 2)::DOUBLE AS compiled_pct, round(avg(quality_score) FILTER (quality_score > 0), 4) AS avg_score,
-  max(quality_score) AS max_score, min(quality_score) FILTER (quality_score > 0) AS min_score FROM man GROUP BY type""")
-def progress_report(spark, sf_dir):
-    scored = F.when(F.col("quality_score") > 0, F.col("quality_score"))
-    done = F.count_if(F.expr("status = 'compiled'"))
-    return manifests(spark, sf_dir).groupBy("type").agg(
-        F.count("*").alias("total"), done.alias("compiled"), F.count_if(F.expr("status = 'failed'")).alias("failed"),
-        F.round(100.0 * done / F.count("*"), 2).alias("compiled_pct"), F.round(F.avg(scored), 4).alias("avg_score"), F.max("quality_score").alias("max_score"), F.min(scored).alias("min_score"),
-    )
+    return M.ingest_outcomes(sources(spark, sf_dir), "type")
 
 
 @query(f"WITH {SRC} SELECT src_id, length(trim(text)) AS n FROM src WHERE length(trim(text)) >= 100")
 def text_meaningful_filter(spark, sf_dir):
-    n = F.length(F.trim("text"))
-    return sources(spark, sf_dir).where(n >= 100).select("src_id", n.cast("long").alias("n"))
-
-
-@query(f"WITH {MAN} SELECT src_id, title, type, status, quality_score FROM man WHERE status = 'compiled' ORDER BY quality_score DESC, src_id LIMIT 50 OFFSET 10")
-def manifest_page(spark, sf_dir):
-    """A page of the listing: the page size is the feature."""
-    return M.listing(manifests(spark, sf_dir), F.desc("quality_score"), F.col("src_id"), offset=10, limit=50, status="compiled")
+    return sources(spark, sf_dir).where(M.meaningful(F.col("text"))).select("src_id", F.length(F.trim("text")).cast("long").alias("n"))
 
 
 def _sql_category() -> str:
@@ -125,13 +69,12 @@ def extension_category(spark, sf_dir):
 @query(f"""WITH {SRC} SELECT type, count(*) AS files, CAST(sum(CASE WHEN size_bytes > 102400 THEN 3 WHEN size_bytes > 51200 THEN 2 ELSE 1 END) AS BIGINT) AS calls,
   round(sum(CASE WHEN size_bytes > 102400 THEN 3 WHEN size_bytes > 51200 THEN 2 ELSE 1 END) * 0.001, 3)::DOUBLE AS cost FROM src GROUP BY type""")
 def compile_cost_estimate(spark, sf_dir):
-    calls = F.when(F.col("size_bytes") > 102400, 3).when(F.col("size_bytes") > 51200, 2).otherwise(1)
-    return sources(spark, sf_dir).groupBy("type").agg(F.count("*").alias("files"), F.sum(calls).cast("long").alias("calls"), F.round(F.sum(calls) * F.lit(0.001).cast("double"), 3).alias("cost"))
+    return M.cost_estimate(sources(spark, sf_dir), "type")
 
 
 @query(f"WITH {SRC}, n AS (SELECT src_id, title, row_number() OVER (PARTITION BY title ORDER BY src_id) - 1 AS k FROM src) SELECT src_id, CASE WHEN k = 0 THEN title ELSE title || '_' || k END AS unique_name FROM n")
 def name_allocation(spark, sf_dir):
-    return M.allocated_names(sources(spark, sf_dir), "title", F.col("src_id")).select("src_id", "unique_name")
+    return M.allocated_names(sources(spark, sf_dir).select("src_id", "title"), "title", "src_id").select("src_id", "unique_name")
 
 
 @query(f"""WITH {SRC}, s AS (SELECT src_id, title || CASE WHEN doc_id % 2 = 0 THEN '_' || src_id ELSE '' END AS stem FROM src), b AS (SELECT *, regexp_replace(stem, '_SRC-\\d+$', '') AS base FROM s),
@@ -142,33 +85,20 @@ def first_file_per_stem(spark, sf_dir):
     return M.first_per(rows, ["base"], F.col("stem"), F.col("src_id"))
 
 
-@query(f"""WITH {SRC}, k AS (SELECT DISTINCT content_hash FROM src WHERE doc_id % 7 = 0), m AS (SELECT src_id, title, content_hash, contains(lower(title), 'the') AS in_name FROM src
-  WHERE contains(lower(title), 'the') OR contains(lower(left(text, 2000)), 'idiot')) SELECT src_id, title, in_name FROM m WHERE content_hash NOT IN (SELECT content_hash FROM k)""")
+@query(f"""WITH {SRC}, k AS (SELECT DISTINCT content_hash FROM src WHERE type = 'src1'), m AS (SELECT src_id, title, content_hash, CASE WHEN contains(lower(title), 'the') OR contains(lower(title), 'idiot') THEN 'filename' WHEN contains(lower(left(text, 2000)), 'the') OR contains(lower(left(text, 2000)), 'idiot') THEN 'content' END AS match_type FROM src)
+ SELECT src_id, title, match_type, CAST(CASE match_type WHEN 'filename' THEN 0 ELSE 1 END AS INTEGER) AS place, 'vault,seed,the idiot' AS tags FROM m WHERE match_type IS NOT NULL AND content_hash NOT IN (SELECT content_hash FROM k)""")
 def vault_seed(spark, sf_dir):
-    """Notes on a topic (in the name, or in the first 2000 characters) whose content is not known yet."""
+    """Notes on a topic (in the name, or in the first 2000 characters) whose content one of the sources does not hold yet."""
     rows = sources(spark, sf_dir)
-    named = F.contains(F.lower("title"), F.lit("the"))
-    found = rows.where(named | F.contains(F.lower(F.left("text", F.lit(2000))), F.lit("idiot")))
-    known = rows.where("doc_id % 7 = 0").select("content_hash")
-    return found.join(known, "content_hash", "left_anti").select("src_id", "title", named.alias("in_name"))
-
-
-@query(f"""WITH {MAN}, p AS (SELECT src_id, CASE WHEN doc_id % 2 = 0 THEN 'failed' ELSE 'compiled' END AS status, CAST(doc_id % 3 * 40 AS INT) AS quality_score, CASE WHEN doc_id % 2 = 0 THEN 'late error' END AS error_message,
-  CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'wiki' END AS promoted_to FROM man WHERE doc_id % 3 <> 1)
-SELECT m.src_id, CASE WHEN p.src_id IS NULL OR ig THEN m.status ELSE coalesce(p.status, m.status) END AS status,
-  CASE WHEN p.src_id IS NULL OR ig THEN m.quality_score WHEN p.quality_score > 0 THEN p.quality_score ELSE m.quality_score END AS quality_score,
-  CASE WHEN p.src_id IS NULL OR ig THEN m.error_message ELSE coalesce(p.error_message, m.error_message) END AS error_message,
-  CASE WHEN p.src_id IS NULL OR ig THEN m.promoted_to WHEN p.promoted_to = '' THEN NULL ELSE coalesce(p.promoted_to, m.promoted_to) END AS promoted_to
-FROM man m LEFT JOIN p USING (src_id), LATERAL (SELECT coalesce(p.status = 'failed' AND m.status IN ('compiled', 'promoted_to_wiki', 'promoted'), false) AS ig)""")
-def manifest_patch(spark, sf_dir):
-    """Patches from a later run, two per source, the last of which counts."""
-    man = manifests(spark, sf_dir).select("src_id", "doc_id", "status", "quality_score", "error_message", "promoted_to")
-    last = man.where("doc_id % 3 <> 1").selectExpr(
-        "src_id", "2 AS seq", "CASE WHEN doc_id % 2 = 0 THEN 'failed' ELSE 'compiled' END AS status", "CAST(doc_id % 3 * 40 AS INT) AS quality_score",
-        "CASE WHEN doc_id % 2 = 0 THEN 'late error' END AS error_message", "CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'wiki' END AS promoted_to",
-    )
-    earlier = last.selectExpr("src_id", "1 AS seq", "'ingested' AS status", "1 AS quality_score", "'x' AS error_message", "'y' AS promoted_to")
-    return M.patched(man, last.union(earlier)).drop("doc_id")
+    found = M.seeded(rows, rows.where("type = 'src1'").select("content_hash").distinct(), "the idiot")
+    return found.select("src_id", "title", "match_type", "place", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {SRC}, k AS (SELECT DISTINCT title FROM src WHERE type = 'src0') SELECT src_id, title AS name FROM src WHERE title NOT IN (SELECT title FROM k)")
+def name_skip(spark, sf_dir):
+    """Documents of all sources but one whose name that one has not taken in."""
+    rows = sources(spark, sf_dir).withColumn("name", F.col("title"))
+    return M.without_known_names(rows, rows.where("type = 'src0'").select("name").distinct()).select("src_id", "name")
 
 
 @query(P.SQL_TEXT)
@@ -179,19 +109,3 @@ def page_text_extract(spark, sf_dir):
 @query(P.SQL_PARAGRAPHS)
 def page_paragraphs(spark, sf_dir):
     return P.paragraphs(table(spark, sf_dir, "pages"))
-
-
-@query(f"""WITH {MAN} SELECT src_id, error_message, CASE WHEN contains(error_message, 'llm_failed') THEN 'llm' WHEN contains(error_message, 'no_text') THEN 'text' ELSE 'other' END AS route,
-  CASE WHEN contains(lower(error_message), '429') OR contains(lower(error_message), 'rate') THEN 'rate_limit' WHEN contains(lower(error_message), 'timeout') OR contains(lower(error_message), 'timed out') THEN 'timeout' ELSE 'other' END AS kind
-  FROM man WHERE status = 'failed' AND NOT contains(lower(title), 'idiot')""")
-def recoverable_failures(spark, sf_dir):
-    """Failed sources that can be tried again, by route and kind of error; risky titles are left out."""
-    e = F.col("error_message")
-    route = F.when(e.contains("llm_failed"), "llm").when(e.contains("no_text"), "text").otherwise("other")
-    rows = manifests(spark, sf_dir).where((F.col("status") == "failed") & ~F.lower("title").contains("idiot"))
-    return rows.select("src_id", "error_message", route.alias("route"), X.error_kind(e).alias("kind"))
-
-
-@query(f"WITH {MAN} SELECT error_message, count(*) AS n FROM man WHERE error_message IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")
-def error_top10(spark, sf_dir):
-    return manifests(spark, sf_dir).where("error_message IS NOT NULL").groupBy("error_message").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error_message").limit(10)

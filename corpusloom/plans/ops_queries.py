@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import ops as O
 from corpusloom.plans.registry import query, table
+from corpusloom.sources.store import new_path
 from corpusloom.streaming import jobs as J
 
 _B = ", ".join(f"({b}::DOUBLE)" for b in O.BUCKETS)
@@ -31,6 +32,22 @@ def usage_rollup(spark, sf_dir):
     return rows.rollup("event_type", "team").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("""WITH p(name, price) AS (VALUES ('click', 0.5::DOUBLE), ('view', 0.125::DOUBLE), ('signup', 2.0::DOUBLE)), c AS (SELECT event_type AS model, user_id % 10 AS team, CAST(round(value) AS BIGINT) AS tokens, round(CAST(round(value) AS BIGINT) / 1000 * price, 6) AS cost FROM events LEFT JOIN p ON event_type = name)
+SELECT model, team, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost FROM c GROUP BY ROLLUP (model, team)""")
+def cost_rollup(spark, sf_dir):
+    """Cost by kind of event and team, with subtotals."""
+    prices = spark.createDataFrame([("click", 0, 0.5), ("view", 1, 0.125), ("signup", 2, 2.0)], "name string, place int, price double")
+    usage = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("model"), (F.col("user_id") % 10).alias("team"), F.round("value").cast("long").alias("tokens"))
+    return O.rolled_up(O.priced(usage, prices), "model", "team")
+
+
+@query("SELECT event_type, count(*) AS calls, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS tokens, count(*) FILTER (value > 5) AS cache_hits, round(avg(value), 4) AS mean_value FROM events GROUP BY 1")
+def usage_counters(spark, sf_dir):
+    """Counters by kind of event; a value above 5 stands for an answer from the cache."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.round("value").cast("long").alias("tokens"), (F.col("value") > 5).alias("cache_hit"), "value")
+    return O.counters(rows, "event_type")
+
+
 @query("""WITH m AS (SELECT user_id AS scope, count(*) FILTER (event_type = 'error') / count(*) AS error_rate, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1)
 SELECT scope, 'errors' AS alert FROM m WHERE error_rate > 0.25 UNION ALL SELECT scope, 'idle' FROM m WHERE n < 20 UNION ALL SELECT scope, 'costly' FROM m WHERE mean > 12""")
 def alerts(spark, sf_dir):
@@ -57,10 +74,10 @@ def stream_hourly_counts(spark, sf_dir):
     return J.drained(J.hourly_counts(J.file_stream(spark, sf_dir, "events")), "complete")
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY 2")
+@query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def stream_ingest_dedup(spark, sf_dir):
-    """Each content once, over the documents as a stream of files."""
-    return J.drained(J.first_contents(J.file_stream(spark, sf_dir, "documents")), "complete")
+    """Each content once, over the documents as a stream of files; which of its documents brings it hangs on the order of arrival."""
+    return J.drained(J.first_contents(J.file_stream(spark, sf_dir, "documents")), "append").select("content_hash")
 
 
 @query("""WITH w AS (SELECT to_timestamp(0)::TIMESTAMP + INTERVAL 1 HOUR * (CAST(floor(epoch(ts) / 3600) AS BIGINT) - k) AS "start", event_type FROM events, (VALUES (0), (1)) AS t(k)) SELECT "start", count(*) FILTER (event_type = 'error') AS errors, count(*) AS n FROM w GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 0.3 * count(*)""")
@@ -73,3 +90,14 @@ def stream_alert_rates(spark, sf_dir):
 def stream_state_machine(spark, sf_dir):
     """A state kept for every user across batches, by a stateful operator."""
     return J.last_state(J.drained(J.tracked(J.file_stream(spark, sf_dir, "events")), "update"))
+
+
+@query()
+def stream_failure_stops(spark, sf_dir):
+    """Days of a user's events as batches of a run, with the streak of bad ones kept as state."""
+    day = F.floor(F.unix_timestamp(F.date_trunc("day", "ts")) / 86400).cast("long")
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run"), day.alias("batch"))
+    rows = rows.agg(F.count_if(F.expr("event_type <> 'error'")).alias("success"), F.count_if(F.expr("event_type = 'error'")).alias("failed"))
+    path = new_path(spark, "batches")
+    rows.repartition(1).write.parquet(path)  # one arrival: a run's days are in order inside it
+    return J.drained(J.failure_stops(spark.readStream.schema(rows.schema).parquet(path)), "append")

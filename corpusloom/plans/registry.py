@@ -31,4 +31,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rag_metrics_at_5"](spark, sf_dir)
 
 
-from corpusloom.plans import compile_queries, graph_queries, lifecycle_queries, manifest_queries, ops_queries, retrieval_queries, segment_queries  # noqa: E402, F401
+from corpusloom.plans import compile_queries, graph_queries, lifecycle_queries, manifest_queries, ops_queries, retrieval_queries, segment_queries, state_queries  # noqa: E402, F401

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 class Registry:
     """Plug-ins by point. Parsers and scorers are Column -> Column; pre and post steps DataFrame -> DataFrame."""
@@ -26,13 +29,48 @@ class Registry:
         return [f for _, f, on in self._points.get(point, []) if on]
 
     def first(self, point: str, value: Column, otherwise: Column | None = None) -> Column:
-        """The first plug-in's result that is not null, row by row."""
-        found = [f(value) for f in self.active(point)]
+        """The first plug-in's result that is not null, row by row; one that fails to give a column is skipped."""
+        found = [x for f in self.active(point) if (x := self._tried(point, f, value)) is not None]
         found += [] if otherwise is None else [otherwise]
         return F.coalesce(*found) if found else F.lit(None)
 
     def apply(self, point: str, rows: DataFrame) -> DataFrame:
-        """All plug-ins, one after the other."""
+        """All plug-ins, one after the other; one that fails, or gives a plan that Spark cannot analyse, is skipped."""
         for f in self.active(point):
-            rows = rows.transform(f)
+            found = self._tried(point, lambda x, f=f: _analysed(f(x)), rows)
+            rows = rows if found is None else found
         return rows
+
+    def _tried(self, point: str, f: Callable, value):
+        try:
+            return f(value)
+        except Exception:  # a plug-in is foreign code: whatever it raises is its own failure
+            log.warning("plug-in at %s failed and is skipped", point, exc_info=True)
+            return None
+
+
+def _analysed(rows: DataFrame) -> DataFrame:
+    rows.schema  # noqa: B018
+    return rows
+
+
+#: Kinds of a component by name, so that a setting can choose one.
+BACKENDS: dict[str, dict[str, Callable]] = {}
+
+
+def backend(kind: str, name: str) -> Callable[[Callable], Callable]:
+    """Register a function as the backend `name` of a kind."""
+
+    def put(f: Callable) -> Callable:
+        BACKENDS.setdefault(kind, {})[name] = f
+        return f
+
+    return put
+
+
+def chosen(kind: str, name: str) -> Callable:
+    """The backend of that name; the error for an unknown one lists those that there are."""
+    known = BACKENDS.get(kind, {})
+    if name not in known:
+        raise ValueError(f"unknown {kind} {name!r}; there are: {', '.join(sorted(known))}")
+    return known[name]

@@ -69,15 +69,38 @@ def recent(rows: DataFrame, ts: str, days: int = 30) -> DataFrame:
 
 
 def _object(text: str | None) -> str | None:
-    """The first JSON object inside a text."""
-    decoder = json.JSONDecoder()
-    at = (text or "").find("{")
-    while text and at >= 0:
+    """The first JSON object inside a text: from a brace to the one that closes it, braces in strings not counted.
+
+    One pass finds the pairs of braces. Where an outer pair is no object, inner ones are tried, but
+    none that holds the place at which parsing failed before. An object nested deeper than the parser
+    follows is not a response to use.
+    """
+    starts, quoted, escaped, pairs = [], False, False, []
+    for i, c in enumerate(text or ""):
+        if quoted and starts:
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
+            elif c == '"':
+                quoted = False
+        elif c == '"' and starts:
+            quoted = True
+        elif c == "{":
+            starts.append(i)
+        elif c == "}" and starts:
+            pairs.append((starts.pop(), i + 1))
+    failed, decoder = -1, json.JSONDecoder()
+    for a, b in sorted(pairs):
+        if a < failed < b:
+            continue
         try:
-            end = decoder.raw_decode(text, at)[1]
-            return text[at:end]
-        except ValueError:
-            at = text.find("{", at + 1)
+            if decoder.raw_decode(text, a)[1] == b:
+                return text[a:b]
+        except json.JSONDecodeError as e:
+            failed = e.pos
+        except RecursionError:
+            return None
     return None
 
 
@@ -89,3 +112,15 @@ def first_objects(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(_object, batch.column("text").to_pylist()), pa.string())], ["id", "json"])
 
     return rows.select("id", "text").mapInArrow(run, "id long, json string")
+
+
+def write_report(rows: DataFrame, path: str, most_failures: int = 10) -> None:
+    """An evaluation report: every row as JSON, and the first failures (rows with misses) as Markdown; the limit is the report's feature."""
+    rows.write.mode("overwrite").json(f"{path}/results")
+    bad = rows.where(F.size("missed") > 0).orderBy("query_id").limit(most_failures)
+    bad.select(F.concat(F.lit("- "), F.col("query_id").cast("string"), F.lit(": "), F.array_join("missed", ", ")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/failures")
+
+
+def without_failed(manifests: DataFrame) -> DataFrame:
+    """Manifests of sources that have not failed."""
+    return manifests.where(F.col("status") != "failed")

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-corpusloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/corpusloom-stream"
+from corpusloom.sources.store import new_path
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,22 +33,52 @@ def error_rates(events: DataFrame) -> DataFrame:
 
 
 def first_contents(documents: DataFrame) -> DataFrame:
-    """content_hash, doc_id: each content with the smallest id that brought it."""
-    return documents.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"))
+    """content_hash, doc_id: each content once, with the id that brought it first. In append mode a batch writes its new contents alone."""
+    return documents.select(F.sha2("text", 256).alias("content_hash"), "doc_id").dropDuplicates(["content_hash"])
+
+
+def failure_stops(batches: DataFrame, share: float = 0.5, most: int = 3) -> DataFrame:
+    """batches (run, batch, success, failed), in order -> run, batch, streak, stops: the length of the streak of bad batches up to it; a run stops at `most`."""
+
+    class Streaks(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.streak = handle.getValueState("streak", "n int")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            n = self.streak.get()[0] if self.streak.exists() else 0
+            for part in rows:
+                out = []
+                for r in part.sort_values("batch").itertuples():
+                    n = n + 1 if r.failed > share * (r.success + r.failed) else 0
+                    out.append((key[0], r.batch, n, n >= most))
+                yield pd.DataFrame(out, columns=["run", "batch", "streak", "stops"])
+            self.streak.update((n,))
+
+        def close(self) -> None:
+            pass
+
+    return batches.groupBy("run").transformWithStateInPandas(Streaks(), "run long, batch long, streak int, stops boolean", "Append", "None")
 
 
 def tracked(events: DataFrame) -> DataFrame:
     """src_id, successes, failures, state after each batch: a failure does not overwrite a success."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        good, bad = state.get if state.exists else (0, 0)
-        for rows in batches:
-            bad += int((rows.event_type == "error").sum())
-            good += int((rows.event_type != "error").sum())
-        state.update((good, bad))
-        yield pd.DataFrame({"src_id": [key[0]], "successes": [good], "failures": [bad], "state": ["compiled" if good else "failed"]})
+    class Counts(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.counts = handle.getValueState("counts", "good long, bad long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            good, bad = self.counts.get() if self.counts.exists() else (0, 0)
+            for part in rows:
+                bad += int((part.event_type == "error").sum())
+                good += int((part.event_type != "error").sum())
+            self.counts.update((good, bad))
+            yield pd.DataFrame({"src_id": [key[0]], "successes": [good], "failures": [bad], "state": ["compiled" if good else "failed"]})
+
+        def close(self) -> None:
+            pass
 
-    return events.select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(step, "src_id long, successes long, failures long, state string", "good long, bad long", "update", "NoTimeout")
+    return events.select("user_id", "event_type").groupBy("user_id").transformWithStateInPandas(Counts(), "src_id long, successes long, failures long, state string", "Update", "None")
 
 
 def last_state(updates: DataFrame) -> DataFrame:
@@ -66,13 +89,21 @@ def last_state(updates: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all files there are, then return what it wrote.
 
-    In complete mode the last batch is the result; in update and append mode all batches are.
+    Each batch has a folder of its own, by its id, so a batch that is run again replaces what it
+    wrote. In complete mode the last batch is the result; in update and append mode all batches are.
     """
     spark = stream.sparkSession
-    out = f"{_shared(spark)}/{uuid.uuid4().hex}"
-
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
-
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    out, last = new_path(spark, "stream"), []
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        last.append(batch_id)
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    folders = f"{out}/rows/batch={max(last)}" if mode == "complete" and last else f"{out}/rows/*"
+    return spark.read.schema(stream.schema).parquet(folders)

@@ -1,14 +1,15 @@
 """Operators on small literal tables: cases that the test data do not hold."""
 
 import math
-import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import compile as C
+from corpusloom.operators import contribute as K
 from corpusloom.operators import graph as G
 from corpusloom.operators import lifecycle as L
 from corpusloom.operators import manifest as M
@@ -16,7 +17,8 @@ from corpusloom.operators import ops as O
 from corpusloom.operators import quality as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import segment as S
-from corpusloom.plugins import Registry
+from corpusloom.operators import state as T
+from corpusloom.plugins import Registry, backend, chosen
 from corpusloom.sources import files
 from corpusloom.streaming import jobs as J
 
@@ -65,19 +67,71 @@ def test_provenance(spark):
 def test_concept_context(spark):
     text = "第一句话没有它。机器学习是这样的！再说机器学习一次。机器学习第三次"
     rows = spark.createDataFrame([("机器学习", text), ("机器学习：定义", text), ("机器 学习", text), ("别的", text)], "n string, t string")
-    assert [r[0] for r in rows.select(C.concept_context(F.col("n"), F.col("t"))).collect()] == ["机器学习是这样的。再说机器学习一次"] * 3 + ["别的（详细解释请参阅原文）"]
+    assert [r[0] for r in rows.select(C.concept_context(F.col("n"), C.context_parts(F.col("t")))).collect()] == ["机器学习是这样的。再说机器学习一次"] * 3 + ["别的（详细解释请参阅原文）"]
 
 
 @given(st.text("ab .\n。!", max_size=300), st.integers(5, 60))
 @settings(max_examples=150, deadline=None)
 def test_pieces_and_chunks(text, size):
+    """Chunks are spans of the text, no longer than size; each begins where the one before ends or inside it, and only white space is left out."""
     assert "".join(S.pieces_of(text, size)) == text
     for name, split in S.SPLITTERS.items():
-        chunks, at = split(text, size, size // 4), 0
-        assert all(len(c) <= size for c in chunks), name
-        for c in chunks:
-            at = text.index(c, at)
-        assert {*re.findall(r"\S", text)} == {*re.findall(r"\S", "".join(chunks))}
+        at = 0
+        for a, b in split(text, size, size // 4):
+            assert 0 < b - a <= size, name
+            assert a <= at or not text[at:a].strip(), name
+            assert b > at, name
+            at = b
+        assert not text[at:].strip(), name
+
+
+def greedy(pieces, size, overlap):
+    """What packing does, piece by piece."""
+    out, held = [], []
+    for p in pieces:
+        if held and sum(map(len, held)) + len(p) > size:
+            out.append("".join(held))
+            tail = []
+            while len(tail) < len(held) and len(held[-1 - len(tail)]) + sum(map(len, tail)) <= min(overlap, size - len(p)):
+                tail.insert(0, held[-1 - len(tail)])
+            held = tail
+        held.append(p)
+    return [*out, "".join(held)] if held else out
+
+
+@given(st.lists(st.text("ab .", min_size=1, max_size=9), max_size=40), st.integers(9, 40), st.integers(0, 20))
+@settings(max_examples=200, deadline=None)
+def test_packing_against_greedy_lists(pieces, size, overlap):
+    text = "".join(pieces)
+    assert [text[a:b] for a, b in S.packed(pieces, size, overlap)] == greedy(pieces, size, overlap)
+
+
+def test_offsets_of_repetitive_texts(spark):
+    text = "the same phrase again. " * 200
+    for name in S.SPLITTERS:
+        rows = S.chunks(spark.createDataFrame([("s", text)], "src_id string, text string"), name, 800, 120).orderBy("index").collect()
+        assert rows[-1].end == len(text) and all(r.content == text[r.start : r.end] for r in rows) and [r.start for r in rows] == sorted(r.start for r in rows)
+
+
+def test_merged_sentences_against_a_loop(spark):
+    parts = [f"s{i} " + "x" * (i * 7 % 40) for i in range(30)]
+    out, now = [], ""
+    for p in parts:
+        if len(now) + len(p) > 60 and now:
+            out.append(now)
+            now = now[-10:] + p
+        else:
+            now += p
+    rows = spark.createDataFrame([("d", i, p) for i, p in enumerate(parts)], "src_id string, place int, sentence string")
+    assert [r.content for r in S.merged_sentences(rows, 60, 10).orderBy("index").collect()] == [*out, now]
+
+
+def test_structured_texts(spark):
+    rows = [("h", "# A\nx\n# B\n" + "y. " * 50), ("n", "intro\n1. one\na\n2. two\nb"), ("p", "just text"), ("e", "  ")]
+    got = sorted((r["src_id"], r["index"], r["level"], r["title"], r["content"]) for r in S.structured(spark.createDataFrame(rows, "src_id string, text string"), 60, 10).collect())
+    assert [g[:4] for g in got if g[0] == "h"][:2] == [("h", 0, 1, "A"), ("h", 1, 1, "B")] and all(len(g[4]) <= 60 for g in got)
+    assert [g[1:] for g in got if g[0] == "n"] == [(0, 1, "", "intro"), (1, 1, "1", "1. one\na"), (2, 1, "2", "2. two\nb")]
+    assert [g[1:] for g in got if g[0] == "p"] == [(0, 0, "", "just text")] and not [g for g in got if g[0] == "e"]
 
 
 def test_numbered_and_markdown_sections(spark):
@@ -85,9 +139,21 @@ def test_numbered_and_markdown_sections(spark):
     assert sorted((r["src_id"], r["index"], r["level"], r["title"], r["content"]) for r in rows) == [("s", 0, 0, "", "intro"), ("s", 1, 1, "One", "# One\na"), ("s", 2, 2, "Two", "## Two \nb\nc"), ("t", 0, 0, "", "plain")]
 
 
-def test_sequential_ids_have_no_gaps(spark):
-    rows = M.with_sequential_ids(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")), "k", 5, 13).collect()
-    assert sorted((r.k, r.seq) for r in rows) == [(i, i + 5) for i in range(1000)]
+def test_sequential_ids_have_no_gaps(spark, tmp_path):
+    """Many rows with a payload, written out: a plan that dealt them twice would give other ranges."""
+    rows = spark.range(1_000_000).select((F.col("id") * 7 % 1_000_000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    M.with_sequential_ids(rows, "k", 5).write.parquet(str(tmp_path / "ids"))
+    got = spark.read.parquet(str(tmp_path / "ids"))
+    assert got.where("seq <> k + 5").count() == 0 and got.count() == 1_000_000
+    assert M.with_sequential_ids(rows.limit(0), "k").collect() == []
+
+
+def test_numbers_in_hot_groups(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 6 == 0, None).otherwise(F.col("id").cast("string")).alias("g"))
+    seen, want = {}, {}
+    for r in rows.orderBy("id").collect():
+        want[r.id] = seen[r.g] = seen.get(r.g, 0) + 1
+    assert {r.id: r.n for r in M.numbered(rows, ["g"], ["id"]).collect()} == want
 
 
 def test_categories(spark):
@@ -125,9 +191,14 @@ def test_lifecycle(spark):
 def test_graph_limits_and_validity(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "z")], "source string, target string")
     assert G.valid(edges, spark.createDataFrame([("a",), ("b",)], "id string")).count() == 1
-    many = spark.createDataFrame([(f"s{i:03}", i, "t", "same", "", "", [], "", [("c", "")]) for i in range(60)], COMPILED)
+    many = spark.createDataFrame([(f"s{i:03}", i, "t", "same", "", "", [], "", [("c", ""), (f"d{i % 2}", "")]) for i in range(60)], COMPILED)
     counts = {r.relation: r["count"] for r in G.edges(many).groupBy("relation").count().collect()}
-    assert counts == {"compiled_to": 60, "contains_concept": 60, "related_to": 1225, "same_type": 1225}
+    assert counts == {"compiled_to": 60, "contains_concept": 120, "same_type": 1225}
+    assert sorted((r.name, r.sources, r.links) for r in G.mention_classes(many).collect()) == [("c", 60, 1770), ("d0", 30, 435), ("d1", 30, 435)]
+    assert {r.links for r in G.related_counts(many).collect()} == {59 + 29}
+    assert G.related_pairs(many, spark.createDataFrame([("s000",)], "src_id string")).agg(F.sum("shared")).first()[0] == 59 + 29
+    near = {(r.neighbour, r.relation) for r in G.related_nearby(many, 3).where("id = 's004'").collect()}
+    assert near == {("s005", "related_to"), ("s006", "related_to"), ("s007", "related_to"), ("s008", "related_to"), ("s010", "related_to"), *((f"s00{i}", "reverse_related_to") for i in range(3))}
 
 
 def test_prices_prefer_the_exact_name(spark):
@@ -137,7 +208,7 @@ def test_prices_prefer_the_exact_name(spark):
 
 
 def test_first_json_object(spark):
-    rows = [('say {"a": {"b": "}"}} more', '{"a": {"b": "}"}}'), ("none", None), ('{"x": 1', None), (None, None)]
+    rows = [('say {"a": {"b": "}"}} more', '{"a": {"b": "}"}}'), ("none", None), ('{"x": 1', None), (None, None), ('{not json} then {"a": 1}', '{"a": 1}'), ('{"bad": {"in": 1}, oops}', '{"in": 1}'), ("{" * 50_000 + "}" * 50_000, "{}"), ('{"a": ' * 20_000 + "1" + "}" * 20_000, None)]
     got = files.first_objects(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id long, text string")).orderBy("id").collect()
     assert [r.json for r in got] == [want for _, want in rows]
 
@@ -165,6 +236,85 @@ def test_plugins(spark):
     assert r.apply("post_compile", spark.range(1)).first().seen
     r.enable("post_compile", "mark", False)
     assert r.apply("post_compile", spark.range(1)).columns == ["id"]
+    # one that fails, in Python or in Spark's analysis, is skipped
+    r.add("post_compile", "bad", lambda df: 1 / 0)
+    r.add("post_compile", "unknown", lambda df: df.select("nothing"))
+    r.add("post_compile", "good", lambda df: df.withColumn("g", F.lit(1)))
+    assert r.apply("post_compile", spark.range(1)).columns == ["id", "g"]
+    job = Registry()
+    job.add("ingest_parser", "upper", F.upper)
+    job.add("post_compile", "mark", lambda df: df.withColumn("seen", F.lit(True)))
+    docs = spark.createDataFrame([("s", 1, "t", "a", "some words here. more words there.")], "src_id string, doc_id long, title string, type string, text string")
+    row = C.compile_job(docs, job).first()
+    assert row.seen and row.one_line.isupper()
+    backend("scorer", "length")(F.length)
+    assert chosen("scorer", "length") is F.length
+    with pytest.raises(ValueError, match="length"):
+        chosen("scorer", "none")
+
+
+def test_nearest_with_bad_rows_and_recall(spark):
+    rows = [(i, [float(i % 7), float(i), 1.0]) for i in range(40)] + [(100, None), (101, [1.0, None, 2.0]), (102, [float("nan")] * 3), (103, [1.0])]
+    got = R.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 3).collect()
+    good = dict(rows[:40])
+    for q in range(0, 40, 10):
+        want = sorted((round(sum((a - b) ** 2 for a, b in zip(good[q], v)), 5), i) for i, v in good.items() if i != q)[:3]
+        assert [(r.distance, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    exact, found = ({(r.query_id, r.vec_id) for r in f(vectors, F.col("vec_id") % 20 == 0, 5).collect()} for f in (R.nearest, R.approximately_nearest))
+    assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_vector_collections(spark):
+    schema = "collection string, id string, document string, metadata map<string,string>"
+    store = spark.createDataFrame([("chunks", "1", "a", {"source": "x", "trust_level": "wiki"}), ("chunks", "2", "b", {"source": "x", "trust_level": "outputs"}), ("summaries", "1", "c", {"source": "y"})], schema)
+    changed = R.with_metadata(store, spark.createDataFrame([("chunks", "1", {"source": "z", "new": "1"})], "collection string, id string, metadata map<string,string>"))
+    assert {r.id: r.metadata for r in changed.where("collection = 'chunks'").collect()} == {"1": {"source": "z", "trust_level": "wiki", "new": "1"}, "2": {"source": "x", "trust_level": "outputs"}}
+    assert R.deleted(store, store.where("id = '1'").select("collection", "id")).count() == 1
+    assert sorted((r.collection, r.id) for r in R.trusted(store, "wiki").collect()) == [("chunks", "1"), ("summaries", "1")]
+    assert R.trusted(store, "curated").count() == 1 and R.trusted(store, "wiki", exact=True).count() == 2
+    assert R.matching(store, {"source": "x", "trust_level": "wiki"}).count() == 1
+    with pytest.raises(Exception, match="without id or document"):
+        R.checked_rows(spark.createDataFrame([("c", None, "d", {})], schema)).collect()
+
+
+def test_links_and_answers(spark):
+    texts = spark.createDataFrame([(1, "a [[x]] b [[y]]"), (2, "none"), (3, "[[y]][[x]]")], "id int, text string")
+    assert {r.id: r.text for r in R.sanitised_links(texts, spark.createDataFrame([("x",)], "name string")).collect()} == {1: "a [[x]] b y", 2: "none", 3: "y[[x]]"}
+    known = spark.createDataFrame([("机器", "机器学习 方法 数据")], "name string, text string")
+    answers = spark.createDataFrame([("q", "[[机器]] 机器学习 方法 数据"), ("r", "[[机器]] 别的 东西")], "id string, text string")
+    assert [(r.id, r.overlap) for r in K.conflicts(answers, known, 0.5).collect()] == [("q", 0.75)]
+    kept = K.new_concepts(spark.createDataFrame([("1", "a/b", "x"), ("2", "ab", "y"), ("3", "k", "z")], "id string, name string, explanation string"), spark.createDataFrame([("k",)], "file_name string"))
+    assert [(r.id, r.file_name) for r in kept.collect()] == [("1", "ab")]
+    found = spark.createDataFrame([(1, "concept", "S2", 1), (1, "summary", "S1", 1), (1, "concept", "S1", 2), (1, "vector", "S9", 1)], "query_id int, channel string, manifest_id string, channel_rank int")
+    assert K.from_results(spark.createDataFrame([(1, "q", "a" * 100), (2, "q", "short")], "query_id int, question string, answer string"), found).collect()[0].source_ids == ["S2", "S1"]
+
+
+def test_code_and_references(spark):
+    code = '"""Doc\nmore"""\ndef f(x):\n    # note\n    return x\nclass A:\n    pass'
+    row = K.code_facts(spark.createDataFrame([("a.py", code)], "path string, content string")).first()
+    assert (row.language, row.functions, row.classes, row.text) == ("python", ["f"], ["A"], '"""Doc\n    # note')
+    text = "---\ncreated: x\n---\nsee (SRC-0012)\n\n\n\nend\n> 编译时间：now\n"
+    assert one(spark.createDataFrame([(text,)], "t string").select(X.clean_references(F.col("t")))) == "see 📚 来源: SRC-0012\n\nend"
+    names = spark.createDataFrame([("../etc/passwd",), ("file\x00name",), ("报告: a",), ("",), ("..",)], "n string").select(X.safe_name(F.col("n"))).collect()
+    assert [r[0] for r in names] == ["_etc_passwd", "filename", "报告_ a", "_", "_"]
+
+
+def test_transcripts(spark):
+    rows = spark.createDataFrame([("1", "talk one"), ("2", "Lecture: Part 2"), ("3", "zzz")], "src_id string, stem string")
+    files = spark.createDataFrame([("talk one", 500), ("Lecture Part2 final", 500), ("zzz", 10)], "name string, size long")
+    assert sorted(map(tuple, T.transcripts_for(rows, files).collect())) == [("1", "talk one", True), ("2", "Lecture Part2 final", False)]
+
+
+def test_keywords_that_share_a_letter(spark):
+    text = spark.createDataFrame([("原理解 技能力 关键词 关键。学习学习",)], "t string")
+    assert one(text.select(Q.keyword_hits(F.col("t"), Q.LEARNING_KEYWORDS))) == 6  # 原理 理解 技能 能力 关键 学习
+
+
+def test_questions_and_their_holders(spark):
+    docs = spark.createDataFrame([("a", "x the quick brown fox jumps over y"), ("b", "the quick brown fox jumps"), ("c", "hi there"), ("d", "")], "src_id string, text string")
+    asked = spark.createDataFrame([(1, "quick brown fox jumps"), (2, "hi"), (3, "own fox jumps over"), (4, "missing words are these")], "query_id int, question string")
+    assert sorted(map(tuple, R.holders(asked, docs).collect())) == [(1, "a"), (1, "b"), (2, "c"), (3, "a")]
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
