@@ -162,7 +162,7 @@ def dedup_lines(docs: DataFrame, least: int = 40) -> DataFrame:
 
 def with_length(docs: DataFrame) -> DataFrame:
     """docs with n_chars, if it has that column, as the length of its text."""
-    return docs.select(*(F.length(docs["text"]).cast(t).alias(c) if c == "n_chars" else docs[c] for c, t in docs.dtypes))
+    return docs.select(*(F.length(docs["text"]).cast(t).alias(c) if c == "n_chars" else docs[f"`{c}`"] for c, t in docs.dtypes))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

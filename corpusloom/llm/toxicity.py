@@ -183,11 +183,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, that score below 0.5; decided row by row, without a join."""
     small_batches(docs.sparkSession)
-    fields = docs.schema
+    # All columns as one, whatever they are called.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [model.score(t or "") < 0.5 for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            keep = [model.score(t) < 0.5 for t in batch.column("text").to_pylist()]
+            yield batch.select(["row"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, fields)
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
