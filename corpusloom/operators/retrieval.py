@@ -276,11 +276,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, kind: str = "l2",
     return top_per(found, "query_id", k, F.col("distance"), F.col("vec_id")).withColumn("distance", F.round("distance", 5))
 
 
-def approximately_nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 24, bits: int = 6, seed: int = 7) -> DataFrame:
+def approximately_nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 20, bits: int = 4, seed: int = 7) -> DataFrame:
     """query_id, vec_id, distance, rank: nearest other vectors by squared L2 among those that share a bucket in one of `tables` tables.
 
     A bucket is the side on which a vector lies of `bits` random planes through the vectors' mean.
-    Every vector is in one bucket of every table; more tables find more neighbours, more bits make
+    Every vector is in one bucket of every table; more tables find more neighbours, more bits (for more rows) make
     buckets smaller. Recall against `nearest` is measured in the tests and by the query.
     """
     import numpy as np
