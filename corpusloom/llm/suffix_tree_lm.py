@@ -1,47 +1,54 @@
 """LM scoring by a probabilistic suffix tree.
 
 Symbols are words and one end per text. The root's distribution is the smoothed share of each symbol
-in the training texts. A context of one or two words is a state of the tree if a divergence test says
-that what follows it differs from what its longest shorter state foretells; its distribution is
-discounted, and what is left over goes to the shorter state's distribution. Texts are scored from the
-longest suffix state at each place.
-
-Everything is counted over all training texts. Words, and runs of two and three words, go into the
-tree from a share of 2^-20 of the training tokens on; so each order has at most 2^20 entries whatever
-the corpus (that bounds what is sent to the tasks), and the counts behind it grow with the input. Rarer
-words are looked up, not left out: their counts stay in a bucketed table, which meets the texts' rare
-tokens bucket by bucket. No bucket can be hot, for every word in it is below that share.
-
-What is shuffled is packed: one row holds the sorted 64-bit codes of one bucket from one task, and
-numpy counts, merges and looks up whole arrays. There are three passes over the texts: words, runs of
-words, scores.
-
-Cases: a null or empty text is its end alone; rows that repeat count and are scored each; an unknown
-word has count 0; without training texts every probability is that of an unknown word; an empty table
-gives an empty result; other columns are ignored.
+in the training texts. A context of up to `depth` words is a state of the tree if a divergence test
+says that what follows it differs from what its longest shorter state foretells: its occurrences times
+the divergence in bits must reach `least_bits`. A state's distribution is discounted, and what is left
+over goes to the shorter state's distribution. Texts are scored from the longest suffix state at each
+place.
+
+Whatever occurs often enough is in the tree: runs of words from `least_count` occurrences on, contexts
+from `least_context` on. Both are fixed numbers, so the tree grows with the corpus, and no task and not
+the driver ever holds it. Texts are cut into blocks of about `block_tokens` symbols, written once as a
+table bucketed by block; a block knows its own distinct runs. For each order of runs two exchanges
+follow. In the first, a block sends the codes of its runs and its counts, packed by ranges of codes;
+a task adds up one range over all blocks and answers each block, in the order in which it asked, with
+the runs' counts in the whole corpus and which of them the block is to speak for. In the second,
+blocks send for each of their contexts the sums over the followers that they speak for, and are told
+whether it is a state, and its weight. A run is asked for only if its parts occur often enough by
+themselves. A block sends a run or context once however often it has it, so none is a hot spot.
+
+Words and runs are told apart by 64-bit hashes; two that share one are counted together.
+
+Cases: a null or empty text is its end alone; rows that repeat count and are scored each; a null
+doc_id is kept; an unknown word has count 0; without training texts every probability is that of an
+unknown word; a text longer than a block is a block of its own; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold_of, partitions, small_batches, written
+from corpusloom.llm.common import fold_of, new_path, partitions, small_batches, written
 
 #: Words hold no newline, so this stands for the end of a text.
 END = b"\n"
-SHARE = 20  # entries of the tree have at least 2^-SHARE of the training tokens
-PACKED = "bucket int, codes binary, counts binary"
-_memos: dict[str, dict[bytes, int]] = {}
+WORDS, RUNS, CONTEXTS = 0, 1, 2  # what is asked about
+ALL = -1  # the block that stands for the whole corpus
+BLOCK = "block long, train_tokens long, doc_ids binary, no_ids binary, held_out binary, lengths binary, words binary, ids binary"
+ASKED = "kind int, length int, bucket int, block long, codes binary, at binary, sums binary"
+TOLD = "block long, kind int, length int, bucket int, told binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def tokens(text: str) -> list[bytes]:
@@ -53,285 +60,287 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _spread(codes: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = (codes ^ (codes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Code of a run from the code of its context and the hash of its last word."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
-def _packed(codes: np.ndarray, other: np.ndarray, buckets: int, names: tuple[str, ...] = ("bucket", "codes", "counts")) -> pa.RecordBatch:
-    """A row per bucket: its codes and what belongs to each."""
-    at = _spread(codes, buckets)
-    order = np.argsort(at, kind="stable")
-    at, codes, other = at[order], codes[order], other[order]
-    cut = np.flatnonzero(np.diff(at)) + 1
-    rows = [(int(b[0]), c.tobytes(), o.tobytes()) for b, c, o in zip(np.split(at, cut), np.split(codes, cut), np.split(other, cut), strict=True) if len(b)]
-    columns = list(zip(*rows, strict=True)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], list(names))
+def planes(values: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, byte by byte of the same weight and packed: what is small or repeats takes little."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values, dtype=None if values.dtype == np.float64 else "<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def from_planes(data: bytes, kind: str = "<u8") -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct codes of a bucket's rows and their summed counts."""
-    codes, counts = _joined(table, "codes", "<u8"), _joined(table, "counts", "<i8")
-    if not len(codes):
-        return codes, counts
-    order = np.argsort(codes)
-    codes, counts = codes[order], counts[order]
-    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-    return codes[first], np.add.reduceat(counts, first)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and each place's key."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begins = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(begins) - 1
+    return ordered[begins], order[begins], inverse
 
 
-def count_words(texts: DataFrame, buckets: int) -> DataFrame:
-    """texts (text) -> bucket, codes (hashes of its words, sorted), counts, n, v; a row per bucket."""
+def cut_blocks(texts: DataFrame, block_tokens: int) -> DataFrame:
+    """texts (doc_id, held_out, text) -> a row per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
+        numbers: dict[bytes, int] = {}  # of the block's words as they come
 
         def flush() -> pa.RecordBatch:
-            out = _packed(word_hashes([*seen]), np.fromiter(seen.values(), np.int64, len(seen)), buckets)
-            seen.clear()
-            return out
+            places, ids, out, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+            hashes = word_hashes([*numbers])
+            words, _, place = distinct(hashes)
+            null = np.array([i is None for i in ids])
+            row = {
+                "block": (part << 32) + seq, "train_tokens": int(lengths[~out].sum()), "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "no_ids": null.tobytes(), "held_out": out.tobytes(),
+                "lengths": lengths.astype("<i4").tobytes(), "words": words.tobytes(), "ids": place[places].astype("<i4").tobytes(),
+            }
+            return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, pa.schema([("block", pa.int64()), ("train_tokens", pa.int64()), *((k, pa.binary()) for k in list(row)[2:])]))
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(tokens(text))
-            if len(seen) > 500_000:
+            found = [tokens(x) for x in batch.column("text").to_pylist()]
+            flat = [w for x in found for w in x]
+            numbers.update(zip({*flat}.difference(numbers), range(len(numbers), 1 << 62)))  # noqa: B905
+            held.append((np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat)), np.array(batch.column("doc_id").to_pylist(), object), np.array(batch.column("held_out").to_pylist(), bool), np.array([len(x) for x in found], np.int64)))
+            n += len(flat)
+            if n >= block_tokens:
                 yield flush()
-        yield flush()
+                seq, held, n = seq + 1, [], 0
+                numbers.clear()
+        if n:
+            yield flush()
 
-    def merge(table: pa.Table) -> pa.Table:
-        codes, counts = _merged(table)
-        return pa.table({"bucket": table.column("bucket")[:1], "codes": pa.array([codes.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "n": [int(counts.sum())], "v": [len(codes)]})
+    return texts.mapInArrow(run, BLOCK)
 
-    return texts.mapInArrow(run, PACKED).groupBy("bucket").applyInArrow(merge, f"{PACKED}, n long, v long")
 
+class Settings:
+    """What tasks need to know besides a block: numbers of the whole corpus and the tree's parameters."""
 
-@dataclass
-class Tree:
-    """Sorted arrays, at most 2^SHARE long each."""
-
-    train_tokens: int
-    distinct: int
-    words: np.ndarray  # hashes of the frequent words, sorted; a word's place is its number
-    counts: np.ndarray
-    buckets: int  # of the table of all words' counts
-    entries: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # length of context -> codes, log10 probability
-    states: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # length -> codes, log10 weight of the shorter state
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+    def __init__(self, depth: int, least_count: int, least_context: int, discount: float, least_bits: float, buckets: int):
+        self.depth, self.least_count, self.least_context, self.discount, self.least_bits, self.buckets = depth, least_count, least_context, discount, least_bits, buckets
+        self.train_tokens = self.distinct = 0
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the smoothed share of symbols with these counts."""
         return np.log10((counts + 0.5) / (self.train_tokens + 0.5 * (self.distinct + 1)))
 
-    def numbers(self, words: list[bytes], most: int = 500_000) -> np.ndarray:
-        """Number of each word, -1 for rare ones."""
-        memo = _memos.setdefault(self.name, {})
-        new = [*{*words}.difference(memo)]
-        if len(memo) + len(new) > most:
-            memo.clear()
-            new = [*{*words}]
-        if new:
-            memo.update(zip(new, find(self.words, word_hashes(new)).tolist(), strict=True))
-        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-
-
-def find(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Place of each code in the sorted table, or -1."""
-    if not len(table):
-        return np.full(len(codes), -1)
-    at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
-    return np.where(table[at] == codes, at, -1)
-
-
-def contexts(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the one and two words before each symbol; 0 where a text's start or a rare word is in the way.
-
-    A code holds the words' numbers + 1, 21 bits each, the nearest word lowest.
-    """
-    near = np.append(0, np.where(ids == end, -1, ids)[:-1] + 1).astype(np.uint64)
-    far = np.append(0, near[:-1]).astype(np.uint64)
-    return near, np.where((near > 0) & (far > 0), (far << np.uint64(21)) | near, np.uint64(0))
-
-
-def count_runs(texts: DataFrame, tree, least: int, buckets: int, step: int = 3_000_000) -> DataFrame:
-    """texts (text) -> bucket, codes, counts: runs of two and three symbols with at least `least` occurrences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Tree = tree.value
-        end = int(find(t.words, word_hashes([END]))[0])
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            ids = np.concatenate(held or [np.zeros(0, np.int64)])
-            codes = [(c[ok] << np.uint64(21)) | (ids[ok] + 1).astype(np.uint64) for c in contexts(ids, end) if (ok := (c > 0) & (ids >= 0)).any()]
-            return _packed(*np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_counts=True), buckets)
 
-        for batch in batches:
-            held.append(t.numbers([w for text in batch.column("text").to_pylist() for w in tokens(text)]))
-            n += len(held[-1])
-            if n > step:
-                yield flush()
-                held, n = [], 0
-        yield flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        codes, counts = _merged(table)
-        ok = counts >= least
-        return pa.table({"bucket": table.column("bucket")[:1], "codes": pa.array([codes[ok].tobytes()], pa.binary()), "counts": pa.array([counts[ok].tobytes()], pa.binary())})
-
-    return texts.mapInArrow(run, PACKED).groupBy("bucket").applyInArrow(merge, PACKED)
-
-
-def grow(tree: Tree, codes: np.ndarray, counts: np.ndarray, discount: float = 0.5, least_bits: float = 0.01) -> Tree:
-    """Fill in states and entries from the frequent runs (codes as count_runs gives them).
-
-    A context is a state if what follows it diverges by at least least_bits from the shorter state.
-    """
-    order = np.argsort(codes)
-    codes, counts = codes[order], counts[order].astype(float)
-    low = np.uint64((1 << 21) - 1)
-    two = codes < (np.uint64(1) << np.uint64(42))
-    for length, mine in ((1, two), (2, ~two)):
-        code, count = codes[mine], counts[mine]
-        context, symbol = code >> np.uint64(21), (code & low).astype(np.int64) - 1
-        if length == 1:
-            total = tree.counts[context.astype(np.int64) - 1].astype(float)
-            below = tree.root(tree.counts[symbol])
-        else:
-            total = counts[two][find(codes[two], context)]
-            below = shorter(tree, context & low, symbol, tree.root(tree.counts[symbol]), 1)
-        own, below = (count - discount) / total, 10.0**below
-        states, first = np.unique(context, return_index=True)
-        if not len(states):
-            tree.states[length], tree.entries[length] = (states, np.zeros(0)), (code, np.zeros(0))
-            continue
-        left, rest = 1 - np.add.reduceat(own, first), np.maximum(1 - np.add.reduceat(below, first), 1e-9)
-        bits = np.add.reduceat(own * np.log2(own / below), first) + left * np.log2(left / rest)
-        keep = bits >= least_bits
-        tree.states[length] = states[keep], np.log10(left / rest)[keep]
-        kept = keep[np.repeat(np.arange(len(states)), np.diff(np.append(first, len(code))))]
-        tree.entries[length] = code[kept], np.log10(own[kept])
-    return tree
-
-
-def shorter(tree: Tree, context: np.ndarray, symbol: np.ndarray, below: np.ndarray, length: int) -> np.ndarray:
-    """log10 probability of symbols (-1: rare) after contexts of this length, `below` that after the shorter one."""
-    states, weights = tree.states[length]
-    codes, logs = tree.entries[length]
-    out, here = below.copy(), np.flatnonzero(context > 0)
-    at = find(states, context[here])
-    here, at = here[at >= 0], at[at >= 0]
-    out[here] += weights[at]
-    known = here[symbol[here] >= 0]
-    hit = find(codes, (context[known] << np.uint64(21)) | (symbol[known] + 1).astype(np.uint64))
-    out[known[hit >= 0]] = logs[hit[hit >= 0]]
-    return out
-
-
-def learn(train: DataFrame, share: int = SHARE) -> tuple[Tree, DataFrame]:
-    """train (text) -> the tree, and the bucketed table of all words' counts."""
-    spark = train.sparkSession
+class Block:
+    """One block, and what it has been told so far, order by order."""
+
+    def __init__(self, row: dict, told: pa.Table | None, settings: Settings):
+        self.name, self.settings = row["block"], settings
+        self.doc_ids, self.no_ids, self.held_out = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["no_ids"], bool), np.frombuffer(row["held_out"], bool)
+        lengths = np.frombuffer(row["lengths"], "<i4").astype(np.int64)
+        self.words, self.ids = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["ids"], "<i4").astype(np.int64)
+        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        self.train = ~self.held_out[self.doc]
+        self.end = int(np.searchsorted(self.words, word_hashes([END])[0]))
+        self.told: dict[tuple[int, int], list] = {}
+        for r in sorted(told.to_pylist(), key=lambda r: r["bucket"]) if told is not None else ():
+            self.told.setdefault((r["kind"], r["length"]), []).append(from_planes(r["told"], "<f8" if r["kind"] == CONTEXTS else "<u8"))
+
+    def answer(self, kind: int, length: int, order: np.ndarray) -> np.ndarray:
+        """What was told of the codes that were asked for in this order, back in their own."""
+        found = self.told.get((kind, length), [])
+        out = np.empty(len(order), np.float64 if kind == CONTEXTS else np.uint64)
+        out[order] = np.concatenate(found) if found else out[:0]
+        return out
+
+    def ask(self, kind: int, length: int, codes: np.ndarray, order: np.ndarray, at: np.ndarray, sums: np.ndarray) -> list[dict]:
+        """Rows of one question, a row per range of codes: the sorted codes, and what is known of those at these places (of contexts) or of each (their counts)."""
+        codes, s = codes[order], self.settings
+        width = (1 << 64) // s.buckets + 1
+        cuts = np.searchsorted(codes, np.array([width * b for b in range(1, s.buckets)], np.uint64))
+        inner = np.searchsorted(at, cuts) if kind == CONTEXTS else cuts
+        bounds = zip([0, *cuts.tolist()], [*cuts.tolist(), len(codes)], [0, *inner.tolist()], [*inner.tolist(), len(sums)], strict=True)
+        return [
+            {"kind": kind, "length": length, "bucket": b, "block": self.name, "codes": planes(np.diff(codes[i:j], prepend=np.uint64(0))), "at": planes(at[k:m] - i), "sums": planes(sums[k:m].T.ravel())}
+            for b, (i, j, k, m) in enumerate(bounds) if j > i
+        ]
+
+    def ask_words(self) -> list[dict]:
+        order = np.arange(len(self.words))
+        return self.ask(WORDS, 0, self.words, order, order[:0], np.bincount(self.ids, self.train, len(self.words)).astype(np.uint64))
+
+    def levels(self, upto: int, weights: int) -> None:
+        """Work out runs of up to `upto` words after their context, and log10 probabilities over states of up to `weights` words.
+
+        Tables that are looked up by a place have one entry more, for place -1: none.
+        """
+        s = self.settings
+        counts = (self.answer(WORDS, 0, np.arange(len(self.words))) >> np.uint64(1)).astype(np.int64)
+        self.counts, run, codes = counts, self.ids, self.words
+        self.base = logs = s.root(counts)[self.ids]
+        begins = np.append(0, np.flatnonzero(self.ids[:-1] == self.end) + 1)
+        self.order: dict[int, dict] = {}
+        for length in range(1, upto + 1):
+            before = np.empty_like(run)
+            before[1:] = run[:-1]
+            before[begins] = -1
+            # Contexts that tokens are in, and each token's place among them.
+            met = np.zeros(len(counts) + 1, bool)
+            met[before] = True
+            known = np.flatnonzero(met[:-1] & (counts >= s.least_context))
+            place = np.full(len(counts) + 1, -1)
+            place[known] = np.arange(len(known))
+            own, often = place[before], np.append(counts >= s.least_count, False)
+            ok = np.flatnonzero((own >= 0) & often[run])
+            key, first, inverse = distinct(own[ok] * len(self.words) + self.ids[ok])
+            holder = key // max(len(self.words), 1)
+            run_codes = mixed(codes[known][holder], self.words[key - holder * len(self.words)])
+            by_code, total = np.argsort(codes[known]), counts[known].astype(float)
+            run = np.full(len(run), -1)
+            run[ok] = inverse
+            here = {"contexts": codes[known], "by_code": by_code, "total": total, "holder": holder, "first": ok[first], "codes": run_codes, "order": np.argsort(run_codes), "logs": logs}
+            self.order[length] = here
+            if (RUNS, length) not in self.told and len(key) and length == upto:
+                here["local"] = np.bincount(inverse, self.train[ok], len(key))
+                return  # these are to be asked for
+            answer = self.answer(RUNS, length, here["order"])
+            here["counts"], here["mine"] = (answer >> np.uint64(1)).astype(np.int64), (answer & np.uint64(1)).astype(bool)
+            counts, codes = here["counts"], run_codes
+            if length <= weights:
+                weight = self.answer(CONTEXTS, length, by_code)
+                state = ~np.isnan(weight)
+                logs = logs + np.append(np.where(state, weight, 0), 0)[own]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    value = np.append(np.where(state[holder] & (counts >= s.least_count), np.log10((counts - s.discount) / total[holder]), np.nan), np.nan)[run]
+                logs = np.where(np.isnan(value), logs, value)
+        self.logs = logs
+
+    def ask_runs(self, length: int) -> list[dict]:
+        x = self.order[length]
+        return self.ask(RUNS, length, x["codes"], x["order"], x["order"][:0], x["local"][x["order"]].astype(np.uint64)) if "local" in x else []
+
+    def ask_contexts(self, length: int) -> list[dict]:
+        """For each context, over the followers that this block speaks for: their number and occurrences, the sums of their probability after the shorter state and of the divergence's terms; and the context's occurrences."""
+        x, s = self.order[length], self.settings
+        mine = np.flatnonzero(x["mine"] & (x["counts"] >= s.least_count))
+        holder, n = x["holder"][mine], len(x["total"])
+        own = (x["counts"][mine] - s.discount) / x["total"][holder]
+        below = 10 ** x["logs"][x["first"][mine]]
+        whole = np.stack([np.bincount(holder, minlength=n), np.bincount(holder, x["counts"][mine], n), x["total"]]).astype(np.uint64)
+        parts = np.stack([np.bincount(holder, below, n), np.bincount(holder, own * np.log2(own / below), n)])
+        # Sums with 24 bits: the other bytes pack to nothing.
+        sums = np.concatenate([whole, parts.astype(np.float32).astype(np.float64).view(np.uint64)]).T[x["by_code"]]
+        at = np.flatnonzero(sums[:, 0] > 0)
+        return self.ask(CONTEXTS, length, x["contexts"], x["by_code"], at, sums[at])
+
+    def scores(self) -> pa.Table:
+        n, s = len(self.doc_ids), self.settings
+        per = lambda x: np.bincount(self.doc, x, n)
+        return pa.table({
+            "doc_id": pa.array(self.doc_ids, pa.int64(), mask=self.no_ids), "held_out": self.held_out, "n_tokens": per(None).astype(np.int64), "n_known": per(self.counts[self.ids] > 0).astype(np.int64),
+            "train_tokens": np.full(n, s.train_tokens, np.int64), "base_score": per(self.base), "score": per(self.logs),
+        })
+
+
+def told_of(asked: pa.Table, settings: Settings) -> pa.Table:
+    """Answers to all blocks' questions about one range of codes."""
+    rows = sorted(asked.to_pylist(), key=lambda r: r["block"])
+    kind, length, bucket = (rows[0][c] for c in ("kind", "length", "bucket"))
+    codes = [np.cumsum(from_planes(r["codes"])) for r in rows]
+    sizes = [len(c) for c in codes]
+    codes, start = np.concatenate(codes), np.append(0, np.cumsum(sizes))
+    order = np.argsort(codes, kind="stable")
+    begins = np.append(True, codes[order][1:] != codes[order][:-1])
+    group = np.empty(len(codes), np.int64)
+    group[order] = np.cumsum(begins) - 1
+    n = int(begins.sum())
+    if kind == CONTEXTS:
+        at = np.concatenate([from_planes(r["at"]).astype(np.int64) + i for r, i in zip(rows, start[:-1].tolist(), strict=True)])
+        sums = np.concatenate([from_planes(r["sums"]).reshape(5, -1) for r in rows], axis=1)
+        followers, times = (np.bincount(group[at], sums[k], n) for k in (0, 1))
+        below, bits = (np.bincount(group[at], sums[k].view(np.float64), n) for k in (3, 4))
+        total = np.ones(n)
+        total[group[at]] = sums[2]
+        own = (times - settings.discount * followers) / total
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left, rest = 1 - own, np.maximum(1 - below, 1e-9)
+            state = (followers > 0) & (total * (bits + left * np.log2(left / rest)) >= settings.least_bits)
+            # Rounded to what a 4-byte number holds: the other bytes pack to nothing.
+            out = np.where(state, np.log10(left / rest), np.nan).astype(np.float32).astype(np.float64)[group]
+        out = [planes(out[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)]
+    else:
+        counts = np.bincount(group, np.concatenate([from_planes(r["sums"]) for r in rows]), n).astype(np.uint64)
+        first = np.zeros(len(codes), np.uint64)
+        first[order[begins]] = 1
+        out = (counts[group] << np.uint64(1)) | first
+        out = [planes(out[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)]
+    blocks = [r["block"] for r in rows]
+    if kind == WORDS:
+        blocks, out = [*blocks, ALL], [*out, planes(np.array([(counts > 0).sum()]))]
+    return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([kind] * len(out), pa.int32()), "length": pa.array([length] * len(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "told": pa.array(out, pa.binary())})
+
+
+_ASKED = pa.schema([("kind", pa.int32()), ("length", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("codes", pa.binary()), ("at", pa.binary()), ("sums", pa.binary())])
+
+
+def scored(texts: DataFrame, depth: int = 2, least_count: int = 2, least_context: int = 4, discount: float = 0.6, least_bits: float = 8.0, block_tokens: int = 1_500_000) -> DataFrame:
+    """texts (doc_id, held_out, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the texts that are not held out."""
+    spark = texts.sparkSession
     small_batches(spark, 1000)
-    buckets = partitions(spark) + train.count() // 5000
-    words = written(count_words(train, buckets), "word-counts")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    least = max(1, -(-n >> share))
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, name, path = partitions(spark), f"corpusloom_blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
+    # Bucketed as groups by block are dealt: no stage moves the texts again.
+    cut_blocks(texts, block_tokens).write.bucketBy(n, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    blocks = spark.table(name)
+    count, train = blocks.agg(F.count("*"), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
+    settings = Settings(depth, least_count, least_context, discount, least_bits, max(n, count // 4))
+    settings.train_tokens = train
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, counts = (_joined(batch, x, "<i8") for x in ("codes", "counts"))
-            yield pa.RecordBatch.from_arrays([pa.array(codes[counts >= least]), pa.array(counts[counts >= least])], ["code", "count"])
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(Block(row, None, settings).ask_words(), schema=_ASKED)
 
-    # At most 2^share words can have 2^-share of the tokens each.
-    top = words.select("codes", "counts").mapInArrow(frequent, "code long, count long").toArrow()
-    codes, counts = top.column("code").to_numpy().view(np.uint64), top.column("count").to_numpy()
-    order = np.argsort(codes)
-    tree = Tree(n, v, codes[order], counts[order], buckets)
-    runs = count_runs(train, spark.sparkContext.broadcast(tree), max(2, least), buckets).toArrow()
-    return grow(tree, _joined(runs, "codes", "<u8"), _joined(runs, "counts", "<i8")), words
+    def answered(asked: DataFrame, tag: str) -> DataFrame:
+        return written(asked.groupBy("kind", "length", "bucket").applyInArrow(lambda t: told_of(t, settings), TOLD), tag)
 
+    def step(told: DataFrame, f: Callable[[Block], pa.Table], schema: str) -> DataFrame:
+        def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+            return f(Block(rows.to_pylist()[0], answers, settings)) if rows.num_rows else empty
 
-SCORED = "block int, row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, codes binary, keys binary"
+        empty = pa.table({c.name: pa.array([], c.type) for c in (_ASKED if schema == ASKED else _SCORED)})
+        return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
+    told = answered(blocks.mapInArrow(words, ASKED), "told-words")
+    of_ranges = told.where(F.col("block") == ALL).select("told").toArrow().column("told").to_pylist()  # a number for each range of codes
+    settings.distinct = int(sum(from_planes(x)[0] for x in of_ranges))
+    told = told.where(F.col("block") != ALL)
+    for length in range(1, depth + 2):
 
-def score(docs: DataFrame, tree: Tree, words: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark, 1000)
-    model, buckets = spark.sparkContext.broadcast(tree), tree.buckets
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+        def ask(block: Block, length: int = length) -> pa.Table:
+            block.levels(min(length, depth), length - 2)
+            rows = block.ask_runs(length) if length <= depth else []
+            rows += block.ask_contexts(length - 1) if length > 1 else []
+            return pa.Table.from_pylist(rows, schema=_ASKED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per text with what the tree knows of it, and packed rows of its rare tokens."""
-        t: Tree = model.value
-        end = int(find(t.words, word_hashes([END]))[0])
-        block, seq, rare, keys = TaskContext.get().partitionId(), 0, [], []
-        kinds = pa.schema([("block", pa.int32()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("bucket", pa.int32()), ("codes", pa.binary()), ("keys", pa.binary())])
+        told = told.union(answered(step(told, ask, ASKED), f"told-{length}"))
 
-        def full(n: int, columns: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in kinds], schema=kinds)
-
-        def flush() -> pa.RecordBatch:
-            packed = _packed(np.concatenate(rare or [np.zeros(0, np.uint64)]), np.concatenate(keys or [np.zeros(0, np.int64)]), buckets, ("bucket", "codes", "keys"))
-            rare.clear(), keys.clear()
-            return full(packed.num_rows, {c: packed.column(c) for c in packed.schema.names})
-
-        for batch in batches:
-            texts = [tokens(x) for x in batch.column("text").to_pylist()]
-            n, lengths = len(texts), [len(x) for x in texts]
-            flat = [w for x in texts for w in x]
-            ids, at = t.numbers(flat), np.repeat(np.arange(n), lengths)
-            known = ids >= 0
-            base = np.zeros(len(ids))
-            base[known] = t.root(t.counts[ids[known]])
-            logs = base
-            for length, context in enumerate(contexts(ids, end), 1):
-                logs = shorter(t, context, ids, logs, length)
-            row_keys = (block << 32) + seq + np.arange(n)
-            seq += n
-            yield full(n, {"block": np.full(n, block), "row_key": row_keys, "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": lengths, "n_known": np.bincount(at, known, n).astype(np.int64), "base": np.bincount(at, base, n), "score": np.bincount(at, logs, n)})
-            unknown = np.flatnonzero(~known)
-            rare.append(word_hashes([flat[i] for i in unknown.tolist()]))
-            keys.append(row_keys[at[unknown]])
-            if sum(map(len, rare)) > 2_000_000:
-                yield flush()
-        yield flush()
+    def final(block: Block) -> pa.Table:
+        block.levels(depth, depth)
+        return block.scores()
 
-    scored = written(rows.mapInArrow(run, SCORED), "scored")
+    return step(told, final, SCORED)
 
-    def look_up(tokens_of: pa.Table, counted: pa.Table) -> pa.Table:
-        """Sums over the rare tokens of one bucket, packed by block of texts."""
-        t: Tree = model.value
-        codes, keys = _joined(tokens_of, "codes", "<u8"), _joined(tokens_of, "keys", "<i8")
-        counts, place = np.zeros(len(codes), np.int64), find(_joined(counted, "codes", "<u8"), codes)
-        counts[place >= 0] = _joined(counted, "counts", "<i8")[place[place >= 0]]
-        rows_of, at = np.unique(keys, return_inverse=True)
-        base, known = np.bincount(at, t.root(counts), len(rows_of)), np.bincount(at, counts > 0, len(rows_of)).astype(np.int64)
-        blocks = rows_of >> 32
-        cut = np.flatnonzero(np.diff(blocks)) + 1
-        parts = [x for x in zip(*(np.split(y, cut) for y in (blocks, rows_of, base, known)), strict=True) if len(x[0])]
-        return pa.table({"block": pa.array([int(b[0]) for b, *_ in parts], pa.int32())} | {c: pa.array([x[i].tobytes() for x in parts], pa.binary()) for i, c in ((1, "keys"), (2, "base"), (3, "known"))})
 
-    rare = scored.where("bucket IS NOT NULL").select("bucket", "codes", "keys").groupBy("bucket")
-    sums = rare.cogroup(words.select("bucket", "codes", "counts").groupBy("bucket")).applyInArrow(look_up, "block int, keys binary, base binary, known binary")
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def add(texts: pa.Table, found: pa.Table) -> pa.Table:
-        keys = texts.column("row_key").to_numpy()
-        order = np.argsort(keys)
-        at = order[np.searchsorted(keys[order], _joined(found, "keys", "<i8"))] if len(keys) else np.zeros(0, np.int64)
-        base, known = np.bincount(at, _joined(found, "base", "<f8"), len(keys)), np.bincount(at, _joined(found, "known", "<i8"), len(keys)).astype(np.int64)
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": texts.column("n_tokens"), "n_known": texts.column("n_known").to_numpy() + known, "train_tokens": np.full(len(keys), model.value.train_tokens), "base_score": texts.column("base").to_numpy() + base, "score": texts.column("score").to_numpy() + base})
 
-    texts = scored.where("bucket IS NULL").select("block", "row_key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").groupBy("block")
-    return texts.cogroup(sums.groupBy("block")).applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def score(docs: DataFrame, held_out: Column, **settings) -> DataFrame:
+    """docs (doc_id, text) scored; learnt from those that held_out is not true of."""
+    return scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")), **settings)
 
 
 def op10_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored; learnt from the folds 0, 2, 3 and 4 of 5."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = fold_of(F.col("doc_id"), 5) == 1
-    tree, words = learn(docs.where(~held_out).select(F.coalesce("text", F.lit("")).alias("text")))
-    return score(docs, tree, words, held_out)
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), fold_of(F.col("doc_id"), 5) == 1)

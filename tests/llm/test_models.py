@@ -1,9 +1,11 @@
 import math
+import random
 import zlib
 from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import language_id as G
@@ -139,26 +141,76 @@ def test_bundles_add_bound_letters():
     assert found.tolist() == want.tolist()
 
 
-def test_suffix_tree_against_counts(spark, docs, no_docs):
-    held = fold_of(F.col("doc_id"), 5) == 1
-    rows = [*docs.collect(), *docs.collect()]
-    many = spark.createDataFrame(rows, docs.schema)
-    tree, words = M.learn(many.where(~held).select(F.coalesce("text", F.lit("")).alias("text")), share=14)
-    got = M.score(many, tree, words, held).collect()
-    counts = Counter(w for r in rows if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 != 1 for w in M.tokens(r.text or ""))
-    n, v = sum(counts.values()), len(counts)
-    want = sorted((str(r.doc_id), len(t := M.tokens(r.text or "")), sum(w in counts for w in t), round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)) for r in rows)
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert {r.train_tokens for r in got} == {n} and sum(r.score for r in got) > sum(r.base_score for r in got)
-    # after any context the distribution sums to one
-    symbols, base = np.arange(len(tree.words)), tree.root(tree.counts)
-    rare = math.log10(1 - (10**base).sum())
-    assert len(tree.states[1][0])
-    for context in [*tree.states[2][0][:9], *tree.states[1][0][:9]]:
-        near = np.full(len(symbols) + 1, context & np.uint64((1 << 21) - 1))
-        both = np.full(len(symbols) + 1, context if context >> np.uint64(21) else 0, np.uint64)
-        logs = M.shorter(tree, near, np.append(symbols, -1), np.append(base, rare), 1)
-        assert abs((10 ** M.shorter(tree, both, np.append(symbols, -1), logs, 2)).sum() - 1) < 1e-6
-    assert M.score(no_docs, tree, words, held).collect() == []
-    none, table_of = M.learn(no_docs.select("text"))
-    assert none.train_tokens == 0 and {r.n_known for r in M.score(docs, none, table_of, held).collect()} == {0}
+def brute_tree(rows, held, depth, least_count=2, least_context=4, discount=0.6, least_bits=2.0):
+    """The suffix tree over dictionaries: its states, and every text's figures."""
+    texts = [M.tokens(t or "") for _, t in rows]
+    counts = [Counter() for _ in range(depth + 1)]
+    for words, out in zip(texts, held, strict=True):
+        for k in range(0 if out else len(words)):
+            for d in range(min(depth, k) + 1):
+                counts[d][tuple(words[k - d : k + 1])] += 1
+    n, v = sum(counts[0].values()), len(counts[0])
+    times = lambda run: counts[len(run) - 1][run]
+    entry = lambda run: times(run) >= least_count and times(run[1:]) >= least_count and usable(run[:-1])
+    usable = lambda c: times(c) >= least_context and (len(c) == 1 or entry(c))
+    states = {}
+
+    def log(context, word):
+        if not context:
+            return math.log10((times((word,)) + 0.5) / (n + 0.5 * (v + 1)))
+        below = log(context[1:], word)
+        if context not in states:
+            return below
+        run = (*context, word)
+        return math.log10((times(run) - discount) / times(context)) if entry(run) else below + states[context]
+
+    for d in range(1, depth + 1):
+        followers = {}
+        for run in counts[d]:
+            if entry(run):
+                followers.setdefault(run[:-1], []).append(run[-1])
+        found = {}
+        for c, words in followers.items():
+            own = [(times((*c, w)) - discount) / times(c) for w in words]
+            below = [10 ** log(c[1:], w) for w in words]
+            left, rest = 1 - sum(own), max(1 - sum(below), 1e-9)
+            if times(c) * (sum(o * math.log2(o / b) for o, b in zip(own, below, strict=True)) + left * math.log2(left / rest)) >= least_bits:
+                found[c] = math.log10(left / rest)
+        states |= found
+    figures = [
+        (str(i), out, len(t), sum(times((w,)) > 0 for w in t), n, sum(log((), w) for w in t), sum(log(tuple(t[max(0, k - depth) : k]), w) for k, w in enumerate(t)))
+        for (i, _), t, out in zip(rows, texts, held, strict=True)
+    ]
+    return states, figures, log, counts
+
+
+@pytest.mark.parametrize(("depth", "block_tokens"), [(2, 10**6), (3, 300)])
+def test_suffix_tree_against_brute_force(spark, docs, depth, block_tokens):
+    r = random.Random(4)
+    names = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(names[min(29, int(r.expovariate(0.15)))] if r.random() < 0.6 else names[(i + j) % 5] for j in range(r.randint(0, 60)))) for i in range(200)]
+    rows += [(None, "w1 w2 w3"), (None, None), (7, ""), (8, "w0 w1 w2 w3"), (8, "w0 w1 w2 w3"), *((x.doc_id, x.text) for x in docs.select("doc_id", "text").collect() if len(x.text or "") < 9999)]
+    held = [zlib.crc32(str("" if i is None else i).encode()) % 5 == 1 for i, _ in rows]
+    states, want, log, counts = brute_tree(rows, held, depth)
+    assert {len(c) for c in states} == {*range(1, depth + 1)}
+    got = M.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), fold_of(F.col("doc_id"), 5) == 1, depth=depth, block_tokens=block_tokens, least_bits=2.0).collect()
+    assert [x[:5] for x in sorted((str(x.doc_id), *x[1:]) for x in got)] == [x[:5] for x in sorted(want)]
+    assert all(abs(a[k] - b[k]) < 1e-5 for a, b in zip(sorted((str(x.doc_id), *x[1:]) for x in got), sorted(want), strict=True) for k in (5, 6))
+    # after any state the words of the corpus and all unknown ones together have probability one
+    unknown = 1 - sum(10 ** log((), w) for (w,) in counts[0])
+    for c in [*states][:20]:
+        weight = math.prod(10 ** states[c[k:]] for k in range(len(c)) if c[k:] in states)
+        assert abs(sum(10 ** log(c, w) for (w,) in counts[0]) + unknown * weight - 1) < 1e-9
+
+
+def test_suffix_tree_without_texts(docs, no_docs):
+    assert M.score(no_docs, F.lit(False)).collect() == []
+    got = M.score(docs, F.lit(True)).collect()
+    assert len(got) == docs.count() and {(r.n_known, r.train_tokens) for r in got} == {(0, 0)}
+
+
+def test_packed_numbers():
+    x = np.array([0, 1, 255, 256, 2**63, 2**64 - 1], np.uint64)
+    y = np.array([0.5, -1e300, 0.0])
+    assert M.from_planes(M.planes(y), "<f8").tolist() == y.tolist()
+    assert M.from_planes(M.planes(x)).tolist() == x.tolist() and M.from_planes(M.planes(x[:0])).tolist() == []
