@@ -28,7 +28,7 @@ def scan(spark: SparkSession, path: str, most_bytes: int = 500 << 20) -> DataFra
 
 def vault(spark: SparkSession, path: str) -> DataFrame:
     """path, modified, text of the Markdown files under a folder."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return rows.select("_metadata.file_path", F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
 
 
