@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, decontaminate, language_id, line_dedup, periodic_runs, piece_bpe, secret_scan, simhash, suffix_tree_lm, token_files, topk_search, toxicity
+from corpusloom.llm import byte_bpe, decontaminate, language_id, line_dedup, merkle_manifest, periodic_runs, piece_bpe, secret_scan, simhash, suffix_tree_lm, token_files, topk_search, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_suffix_tree_lm": suffix_tree_lm.op10_suffix_tree_lm,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_piece_bpe": piece_bpe.op12_piece_bpe,
+    "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLE_SQL = {"op2_topk_search": topk_search.SQL, "op7_secret_scan": secret_scan.SQL, "op9_decontaminate": decontaminate.SQL}
