@@ -260,10 +260,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, kind: str = "l2",
         near[q.vec_id.values[:, None] == c.vec_id.values[None, :]] = np.inf
         out = []
         for i, row in enumerate(near):
-            # A few more than k by the fast formula; of these the distance is then worked out term by term.
-            some = np.argpartition(row, min(k + 8, len(row)) - 1)[: k + 8] if len(row) > k + 8 else np.arange(len(row))
-            some = some[np.isfinite(row[some])]
-            d = ((a[i] - b[some]) ** 2).sum(1) if kind == "l2" else row[some]
+            # All that may be among the k nearest by the fast formula, ties included; of these the distance is then worked out term by term.
+            bound = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+            some = np.flatnonzero((row <= bound + 1e-9 * (1 + abs(bound) + (a[i] * a[i]).sum())) & np.isfinite(row))
+            if kind == "l2":
+                d = ((a[i] - b[some]) ** 2).sum(1)
+            else:
+                d = 1 - (a[i] * b[some]).sum(1) / np.maximum(np.sqrt((a[i] * a[i]).sum() * (b[some] * b[some]).sum(1)), 1e-30)
             at = np.lexsort((c.vec_id.values[some], d))[:k]
             out.append(pd.DataFrame({"query_id": q.vec_id.values[i], "vec_id": c.vec_id.values[some[at]], "distance": d[at]}))
         return pd.concat(out)
@@ -276,43 +279,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, kind: str = "l2",
     return top_per(found, "query_id", k, F.col("distance"), F.col("vec_id")).withColumn("distance", F.round("distance", 5))
 
 
-def approximately_nearest(vectors: DataFrame, is_query: Column, k: int = 5, tables: int = 20, bits: int = 4, seed: int = 7) -> DataFrame:
-    """query_id, vec_id, distance, rank: nearest other vectors by squared L2 among those that share a bucket in one of `tables` tables.
-
-    A bucket is the side on which a vector lies of `bits` random planes through the vectors' mean.
-    Every vector is in one bucket of every table; more tables find more neighbours, more bits (for more rows) make
-    buckets smaller. Recall against `nearest` is measured in the tests and by the query.
-    """
-    import numpy as np
-
-    rows = vectors.where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
-    rows = rows.where(F.size("v") == width)
-    centre = rows.select(*(F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(width))).first()
-    centre = [x or 0.0 for x in centre]
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    side = lambda p: dot(F.col("v"), F.array(*map(F.lit, p.tolist()))) > float(p @ np.array(centre))
-    code = lambda t: sum(F.when(side(planes[t, j]), 1 << j).otherwise(0) for j in range(bits))
-    keyed = rows.select("vec_id", "v", F.posexplode(F.array(*(code(t) for t in range(tables)))).alias("t", "code"))
-    asked = keyed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "t", "code")
-    pairs = asked.join(keyed, ["t", "code"]).where("query_id <> vec_id").dropDuplicates(["query_id", "vec_id"])
-    distance = F.aggregate(F.zip_with("qv", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    found = top_per(pairs.select("query_id", "vec_id", distance.alias("distance")), "query_id", k, F.col("distance"), F.col("vec_id"))
-    return found.withColumn("distance", F.round("distance", 5))
-
-
 def checked_rows(rows: DataFrame) -> DataFrame:
     """rows (collection, id, document, ...) of an upsert; it is an error if one lacks its id or document."""
     good = F.col("id").isNotNull() & F.col("document").isNotNull()
     return rows.withColumn("id", F.when(good, F.col("id")).otherwise(F.raise_error(F.lit("a row without id or document"))))
 
 
-def upserted(store: DataFrame, rows: DataFrame) -> DataFrame:
-    """store with rows (collection, id, ...) in it; of one id the later row stays."""
-    both = store.withColumn("__v", F.lit(0)).unionByName(rows.withColumn("__v", F.lit(1)), allowMissingColumns=True)
-    last = F.row_number().over(Window.partitionBy("collection", "id").orderBy(F.desc("__v")))
-    return both.withColumn("__r", last).where("__r = 1").drop("__v", "__r")
+def upserted(store: DataFrame, rows: DataFrame, order: Column | None = None) -> DataFrame:
+    """store with rows (collection, id, ...) in it; of one id the row that is last in `order` stays, without an order the one of greatest contents."""
+    later = F.to_json(F.struct(*(c for c in rows.columns if c not in ("collection", "id")))) if order is None else order
+    last = F.row_number().over(Window.partitionBy("collection", "id").orderBy(F.desc("__o")))
+    rows = rows.withColumn("__o", later).withColumn("__r", last).where("__r = 1").drop("__o", "__r")
+    return store.join(rows.select("collection", "id"), ["collection", "id"], "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
 def deleted(store: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import quality as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import segment as S
+from corpusloom.operators import vector_index as V
 from corpusloom.plans.compile_queries import COMP, MAN, compiled, manifests
 from corpusloom.plans.manifest_queries import SRC, sources
 from corpusloom.plans.registry import query, table
@@ -332,11 +333,19 @@ def multi_collection_search(spark, sf_dir):
 
 @query()
 def knn_approximate(spark, sf_dir):
-    """Recall of the approximate search for every query against the exact one."""
-    vectors = table(spark, sf_dir, "embeddings")
-    exact, found = (f(vectors, F.col("vec_id") % 100 == 0, 5).select("query_id", "vec_id") for f in (R.nearest, R.approximately_nearest))
-    met = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
-    return met.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+    """Approximate search against the exact one: recall, the share of pairs whose vectors are tested, and the share whose codes are compared, for every query."""
+    vectors, asked, refine = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 50
+    rows = V.finite(vectors)
+    lists = V.fitted(rows)
+    if lists is None:
+        return spark.createDataFrame([], "query_id long, recall double, tested double, compared double")
+    exact = R.nearest(vectors, asked, 5).select("query_id", "vec_id")
+    found = V.approximately_nearest(vectors, asked, 5, refine, lists).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    sizes = V.indexed(rows, lists).groupBy("list").agg(F.count("*").alias("size"))
+    seen = V.probed(rows.where(asked), lists).drop("v").join(sizes, "list").groupBy("query_id").agg(F.sum("size").alias("seen"))
+    met = exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+    n = rows.agg(F.count("*").alias("n"))
+    return met.join(seen, "query_id").join(F.broadcast(n)).select("query_id", "recall", F.least(F.lit(1.0), refine / F.col("n")).alias("tested"), (F.col("seen") / F.col("n")).alias("compared"))
 
 
 @query(f"WITH {HYB}, b AS (SELECT query_id, channel, manifest_id, CASE WHEN channel = 'concept' AND normalized_score < 0.5 THEN NULL ELSE normalized_score END AS score FROM hy) SELECT query_id, channel, manifest_id, score FROM b WHERE coalesce(score, 1) >= 0.7")

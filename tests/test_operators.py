@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,6 +19,7 @@ from corpusloom.operators import quality as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import segment as S
 from corpusloom.operators import state as T
+from corpusloom.operators import vector_index as V
 from corpusloom.plugins import Registry, backend, chosen
 from corpusloom.sources import files
 from corpusloom.streaming import jobs as J
@@ -253,16 +255,37 @@ def test_plugins(spark):
         chosen("scorer", "none")
 
 
-def test_nearest_with_bad_rows_and_recall(spark):
+def test_nearest_with_bad_rows(spark):
     rows = [(i, [float(i % 7), float(i), 1.0]) for i in range(40)] + [(100, None), (101, [1.0, None, 2.0]), (102, [float("nan")] * 3), (103, [1.0])]
     got = R.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 3).collect()
     good = dict(rows[:40])
     for q in range(0, 40, 10):
         want = sorted((round(sum((a - b) ** 2 for a, b in zip(good[q], v)), 5), i) for i, v in good.items() if i != q)[:3]
         assert [(r.distance, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
-    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    exact, found = ({(r.query_id, r.vec_id) for r in f(vectors, F.col("vec_id") % 20 == 0, 5).collect()} for f in (R.nearest, R.approximately_nearest))
-    assert len(exact & found) / len(exact) >= 0.9
+
+def test_nearest_of_many_equal_vectors(spark):
+    vectors = spark.createDataFrame([(i, [0.3, 0.7, 0.1]) for i in range(300)] + [(i, [float(i), 0.5, 2.0]) for i in range(300, 320)], "vec_id long, embedding array<double>")
+    for kind in ("l2", "cosine"):
+        got = R.nearest(vectors, F.col("vec_id").isin(30, 2), 5, kind, candidate_block=64).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(2, i + 1, v) for i, v in enumerate([0, 1, 3, 4, 5])] + [(30, i + 1, i) for i in range(5)]
+
+
+def test_approximate_search(spark):
+    """Without clusters half of the lists are probed, but few vectors are tested; with clusters few lists are probed."""
+    vectors, asked = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), F.col("vec_id") % 100 == 0
+    exact, found = ({(r.query_id, r.vec_id) for r in f(vectors, asked, 5).collect()} for f in (R.nearest, V.approximately_nearest))
+    assert len(exact & found) / len(exact) >= 0.9 and 50 / vectors.count() <= 0.1
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=16) + 30 * np.eye(16)[i % 16]).tolist()) for i in range(1600)] + [(9001, None), (9002, [1.0]), (9003, [float("nan")] * 16)]
+    clustered = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    lists = V.fitted(V.finite(clustered.where("vec_id < 9000")), lists=32)
+    assert lists.probe <= 8
+    exact, found = ({(r.query_id, r.vec_id, r.rank, r.distance) for r in f(clustered, asked, 5, **x).collect()} for f, x in ((R.nearest, {}), (V.approximately_nearest, {"lists": lists})))
+    assert len(exact & found) / len(exact) >= 0.9 and {r[0] for r in found} == set(range(0, 1600, 100))
+    blocks = V.close_by_code(V.probed(V.finite(clustered).where(asked & (F.size("v") == 16)), lists), V.indexed(V.finite(clustered).where(F.size("v") == 16), lists), lists, 20, query_block=3, list_block=10)
+    whole = V.close_by_code(V.probed(V.finite(clustered).where(asked & (F.size("v") == 16)), lists), V.indexed(V.finite(clustered).where(F.size("v") == 16), lists), lists, 20)
+    assert {(r.query_id, r.vec_id) for r in blocks.collect()} == {(r.query_id, r.vec_id) for r in whole.collect()}
+    assert V.approximately_nearest(clustered.limit(0), asked).collect() == []
 
 
 def test_vector_collections(spark):
