@@ -6,6 +6,8 @@ columns (see `plugins`).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,11 +112,15 @@ def concept_markdown(compiled: DataFrame) -> DataFrame:
 
 
 def parsed_concept(files: DataFrame) -> DataFrame:
-    """files (src_id, markdown) -> src_id, name, definition: the title, and the lines up to the next heading or quotation."""
+    """files (src_id, markdown) -> src_id, name, definition: the title, and all lines with text that are no headings, up to the first section that is not the definition's."""
     name = F.trim(F.regexp_extract("markdown", r"(?m)^# (.*)$", 1))
-    lines = F.transform(F.split("markdown", "\n"), strip)
-    body = F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("#")) & ~F.startswith(x, F.lit(">")))
-    return files.select("src_id", name.alias("name"), F.coalesce(F.get(body, F.lit(0)), F.lit("")).alias("definition"))
+    # Fixed value: the section of the definition.
+    other = lambda x: F.startswith(x, F.lit("## ")) & ~F.startswith(x, F.lit("## 定义"))
+    rows = files.select("src_id", name.alias("name"), F.split("markdown", "\n").alias("lines"))
+    rows = rows.withColumn("stop", F.array_position(F.transform("lines", other), True).cast("int"))
+    own = F.when(F.col("stop") > 0, F.slice("lines", F.lit(1), F.col("stop") - 1)).otherwise(F.col("lines"))
+    body = F.filter(own, lambda x: (strip(x) != "") & ~F.startswith(x, F.lit("#")))
+    return rows.select("src_id", "name", strip(F.array_join(body, "\n")).alias("definition"))
 
 
 def section_groups(parts: DataFrame) -> DataFrame:
@@ -130,12 +136,12 @@ def preferred(results: DataFrame) -> DataFrame:
     return results.groupBy("src_id").agg(F.min(given).alias("r")).where("r IS NOT NULL").select("src_id", "r.model", "r.summary")
 
 
-def compile_job(docs: DataFrame, plugins: Registry) -> DataFrame:
-    """Compile docs through plug-ins: parsers of the text, steps before, the model or the extracts, steps after."""
+def compile_job(docs: DataFrame, plugins: Registry, compiler: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Compile docs through plug-ins: parsers of the text, steps before, the model, else `compiler` or the extracts, steps after."""
     text = plugins.first("ingest_parser", F.col("text"), F.col("text"))
     rows = plugins.apply("pre_compile", docs.withColumn("text", text))
     model = plugins.active("compile_model")
-    return plugins.apply("post_compile", model[0](rows) if model else extractive(rows))
+    return plugins.apply("post_compile", (model[0] if model else compiler or extractive)(rows))
 
 
 def vector_documents(compiled: DataFrame) -> DataFrame:

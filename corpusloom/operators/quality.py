@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.compile import DEFAULT_EXPLANATION
+from corpusloom.plugins import Registry
 
 # Words that show learning value; each counts once.
 LEARNING_KEYWORDS = (
@@ -79,6 +80,14 @@ def score() -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), reduce(add, dimensions().values())))
 
 
+def scored(compiled: DataFrame, plugins: Registry) -> DataFrame:
+    """compiled with quality_score and plugin_errors: a plug-in's score where it gives one (kept within 0 and 100), else the library's own."""
+    row = F.struct(*compiled.columns)
+    given = plugins.first("quality_score", row).cast("int")
+    own = F.greatest(F.lit(0), F.least(F.lit(100), given))
+    return compiled.withColumns({"quality_score": F.when(given.isNotNull(), own).otherwise(score()), "plugin_errors": plugins.errors("quality_score", row)})
+
+
 def dimension_rows(compiled: DataFrame) -> DataFrame:
     points = F.array(*(F.struct(F.lit(k).alias("dimension"), v.alias("points")) for k, v in dimensions().items()))
     return compiled.select("src_id", F.inline(points))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import WIKI_LINK, count_of, manifest_id, query_terms
 from corpusloom.operators.lifecycle import LAYERS
+from corpusloom.plugins import Registry
 
 RUN = r"[a-z0-9_]+|[\x{4e00}-\x{9fff}]+"
 ANCHOR = 3
@@ -165,13 +166,14 @@ def context(ranked: DataFrame, most: int = 300) -> DataFrame:
     return rows.select("query_id", F.array_join(F.transform("x", lambda x: x["b"]), "\n\n").alias("context"), F.map_from_entries(F.transform("x", lambda x: x["ref"])).alias("sources"))
 
 
-def searched(queries: DataFrame, concepts: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+def searched(queries: DataFrame, concepts: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 5, plugins: Registry | None = None) -> DataFrame:
     """query_id, channel, manifest_id, name, text, raw_score, normalized_score, channel_rank of the channels that each query's `mode` selects.
 
     concepts (src_id, place, name, explanation), docs (src_id, title, text, one_line), vectors
     (query_id, id, text, distance, rank) as found. concept, summary and vector name one channel;
-    combined and all select every one.
+    combined and all select every one. Plug-ins change the queries before (pre_query) and the hits after (post_query).
     """
+    queries = plugins.apply("pre_query", queries) if plugins else queries
     of = lambda mode: queries.where(F.col("mode").isin(mode, "combined", "all"))
     concept = concept_search(of("concept"), concepts, k)
     concept = concept.select("query_id", F.lit("concept").alias("channel"), F.col("src_id").alias("manifest_id"), "name", "text", F.col("score").cast("double").alias("raw_score"), keyword_points(F.col("score")).alias("normalized_score"), F.col("rank").alias("channel_rank"))
@@ -179,7 +181,8 @@ def searched(queries: DataFrame, concepts: DataFrame, docs: DataFrame, vectors:
     summary = summary.select("query_id", F.lit("summary"), "src_id", "title", "one_line", F.col("score").cast("double"), "normalized_score", "rank")
     vector = vectors.where(F.col("rank") <= k).join(of("vector").select("query_id"), "query_id", "left_semi")
     vector = vector.select("query_id", F.lit("vector"), manifest_id(F.col("id")), "id", F.left("text", F.lit(500)), "distance", distance_points(F.col("distance")), "rank")
-    return concept.union(summary).union(vector)
+    found = concept.union(summary).union(vector)
+    return plugins.apply("post_query", found) if plugins else found
 
 
 def sources_used(found: DataFrame) -> DataFrame:

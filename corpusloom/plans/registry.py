@@ -29,6 +29,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval quality report: metrics of keyword search for every question."""
     return QUERIES["rag_metrics_at_5"](spark, sf_dir)
-
-
-from corpusloom.plans import compile_queries, graph_queries, lifecycle_queries, manifest_queries, ops_queries, retrieval_queries, segment_queries, state_queries  # noqa: E402, F401

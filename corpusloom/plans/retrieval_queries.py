@@ -233,7 +233,7 @@ se AS (SELECT query_id, 'concept' AS channel, src_id AS manifest_id, con.explana
  UNION ALL SELECT query_id, 'vector', src_id, left(one_line, 500), distance, round(1 / (1 + distance), 3), rank FROM vn JOIN md USING (query_id) WHERE mode IN ('vector', 'combined', 'all'))"""
 
 
-def found(spark, sf_dir):
+def found(spark, sf_dir, plugins=None):
     """All channels for every question in its mode; vectors are letter counts of questions and first lines."""
     comp = compiled(spark, sf_dir)
     modes = F.array(*map(F.lit, MODES))
@@ -243,7 +243,7 @@ def found(spark, sf_dir):
     near = R.nearest(vectors, F.col("vec_id") < 0, 5, among=F.col("vec_id") >= 0)
     near = near.select((-1 - F.col("query_id")).alias("query_id"), F.col("vec_id").alias("doc_id"), "distance", "rank").join(comp.select("doc_id", "src_id", "one_line"), "doc_id")
     near = near.select("query_id", F.concat(F.lit("summary:"), "src_id").alias("id"), F.col("one_line").alias("text"), "distance", "rank")
-    return R.searched(asked, C.concept_rows(comp), comp, near, 5)
+    return R.searched(asked, C.concept_rows(comp), comp, near, 5, plugins)
 
 
 @query(f"WITH {SEARCH} SELECT query_id, channel, manifest_id, text, raw_score, normalized_score, channel_rank FROM se")

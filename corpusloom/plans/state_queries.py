@@ -315,7 +315,8 @@ def auto_samples(spark, sf_dir):
     return K.auto_samples(sources(spark, sf_dir)).select("id", "question", F.array_join("expected_source_ids", ",").alias("expected"))
 
 
-@query(f"""WITH {MD}, c AS (SELECT src_id, unnest(names) AS name, unnest(concepts).explanation AS e FROM comp) SELECT src_id, name, {STRIP.format("string_split(e, chr(10))[1]")} AS definition FROM c""")
+@query(f"""WITH {COMP}, c AS (SELECT src_id, names, unnest(names) AS name, unnest(concepts).explanation AS e FROM comp), d AS (SELECT src_id, name, e || chr(10) || chr(10) || array_to_string(list_transform(list_filter(names, lambda n: n <> name), lambda n: '[[' || n || ']]'), ', ') || chr(10) AS body FROM c)
+SELECT src_id, name, {STRIP.format("array_to_string(list_filter(string_split(body, chr(10)), lambda x: " + STRIP.format("x") + " <> '' AND x[1] <> '#'), chr(10))")} AS definition FROM d""")
 def concept_files_parsed(spark, sf_dir):
     """Concept files written and read back."""
     return C.parsed_concept(C.concept_markdown(compiled(spark, sf_dir)).select("src_id", "markdown"))
