@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ops as O
+from corpusloom.plans.lifecycle_queries import BATCHES
 from corpusloom.plans.registry import query, table
 from corpusloom.sources.store import new_path
 from corpusloom.streaming import jobs as J
@@ -65,39 +66,68 @@ def user_sessions(spark, sf_dir):
     return O.sessions(table(spark, sf_dir, "events"))
 
 
-HOURLY = "SELECT date_trunc('hour', ts) AS \"start\", event_type, count(*) AS n FROM events GROUP BY 1, 2"
+#: When the last batch of a stream of all events has passed, and how far its watermark of an hour is then.
+PASSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
-@query(HOURLY)
+@query(f"SELECT * FROM ({SESSIONS}) WHERE \"end\" <= {PASSED}")
+def stream_sessions(spark, sf_dir):
+    """Sessions of a stream that have closed."""
+    return J.drained(J.sessions(J.file_stream(spark, sf_dir, "events")), "append")
+
+
+@query(f"SELECT date_trunc('hour', ts) AS \"start\", event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {PASSED}")
 def stream_hourly_counts(spark, sf_dir):
-    """Tumbling windows with a watermark, over the events as a stream of files."""
-    return J.drained(J.hourly_counts(J.file_stream(spark, sf_dir, "events")), "complete")
+    """Tumbling windows that have closed, over the events as a stream of files."""
+    return J.drained(J.hourly_counts(J.file_stream(spark, sf_dir, "events")), "append")
 
 
 @query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def stream_ingest_dedup(spark, sf_dir):
-    """Each content once, over the documents as a stream of files; which of its documents brings it hangs on the order of arrival."""
-    return J.drained(J.first_contents(J.file_stream(spark, sf_dir, "documents")), "append").select("content_hash")
+    """Each content once in the store, over the documents as a stream of files, taken in twice."""
+    store, checkpoint = new_path(spark, "store"), new_path(spark, "checkpoint")
+    for _ in range(2):  # the second run finds nothing new
+        J.ingest(J.file_stream(spark, sf_dir, "documents", arrived=True), store, checkpoint)
+    return J.stored(spark, store).select("content_hash")
 
 
-@query("""WITH w AS (SELECT to_timestamp(0)::TIMESTAMP + INTERVAL 1 HOUR * (CAST(floor(epoch(ts) / 3600) AS BIGINT) - k) AS "start", event_type FROM events, (VALUES (0), (1)) AS t(k)) SELECT "start", count(*) FILTER (event_type = 'error') AS errors, count(*) AS n FROM w GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 0.3 * count(*)""")
+@query(f"""WITH w AS (SELECT to_timestamp(0)::TIMESTAMP + INTERVAL 1 HOUR * (CAST(floor(epoch(ts) / 3600) AS BIGINT) - k) AS "start", event_type FROM events, (VALUES (0), (1)) AS t(k)) SELECT "start", count(*) FILTER (event_type = 'error') AS errors, count(*) AS n FROM w GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 0.3 * count(*) AND "start" + INTERVAL 2 HOUR <= {PASSED}""")
 def stream_alert_rates(spark, sf_dir):
-    """Sliding windows of two hours with too many errors."""
-    return J.drained(J.error_rates(J.file_stream(spark, sf_dir, "events")), "complete").where("errors > 0.3 * n")
+    """Sliding windows of two hours, once closed, with too many errors."""
+    return J.drained(J.error_rates(J.file_stream(spark, sf_dir, "events")), "append").where("errors > 0.3 * n")
+
+
+@query("""WITH e AS (SELECT *, date_trunc('hour', ts) AS "start", event_id % 7 = 0 AS late FROM events), one AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM e WHERE event_id % 7 > 1), kept AS (SELECT e.* FROM e, one WHERE NOT late OR "start" + INTERVAL 1 HOUR > mark)
+SELECT "start", event_type, count(*) AS n FROM kept GROUP BY 1, 2 HAVING "start" + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_late_rows(spark, sf_dir):
+    """The events in another order: every seventh comes after all others, and counts only where its hour is still open.
+
+    Rows are dropped by the watermark that the batch before theirs ran with, so there is a batch between the first and the late one.
+    """
+    events = table(spark, sf_dir, "events")
+    path = new_path(spark, "replay")
+    for i, part in enumerate(("event_id % 7 > 1", "event_id % 7 = 1", "event_id % 7 = 0")):  # one file each, written one after the other
+        events.where(part).coalesce(1).write.parquet(f"{path}/{i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    return J.drained(J.hourly_counts(stream), "append")
 
 
-@query("SELECT user_id AS src_id, count(*) FILTER (event_type <> 'error') AS successes, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1")
+@query("SELECT user_id AS src_id, count(*) FILTER (event_type <> 'error') AS successes, count(*) FILTER (event_type = 'error') AS failures, CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN 'compiled' ELSE 'failed' END AS state FROM events GROUP BY 1")
 def stream_state_machine(spark, sf_dir):
-    """A state kept for every user across batches, by a stateful operator."""
+    """A state kept for every user across batches, by a stateful operator with a timer."""
     return J.last_state(J.drained(J.tracked(J.file_stream(spark, sf_dir, "events")), "update"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT *, failed > 0.5 * (success + failed) AS bad FROM ({BATCHES})), g AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY batch) AS gb FROM b),
+s AS (SELECT *, CASE WHEN bad THEN CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY run, gb ORDER BY batch) AS INTEGER) ELSE 0 END AS streak FROM g),
+l AS (SELECT run, arg_max(streak, batch) AS streak, max(batch) AS last FROM s GROUP BY run) SELECT run, batch, streak, streak >= 3 AS stops, false AS closed FROM s
+UNION ALL SELECT run, NULL, streak, streak >= 3, true FROM l WHERE last + 3 <= (SELECT max(batch) - 1 FROM s)""")
 def stream_failure_stops(spark, sf_dir):
-    """Days of a user's events as batches of a run, with the streak of bad ones kept as state."""
-    day = F.floor(F.unix_timestamp(F.date_trunc("day", "ts")) / 86400).cast("long")
-    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run"), day.alias("batch"))
+    """Days of a user's events as batches of a run, with the streak of bad ones kept as state, and runs closed after three idle days."""
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run"), day.alias("at"))
     rows = rows.agg(F.count_if(F.expr("event_type <> 'error'")).alias("success"), F.count_if(F.expr("event_type = 'error'")).alias("failed"))
+    rows = rows.withColumn("batch", F.floor(F.unix_timestamp("at") / 86400).cast("long"))
     path = new_path(spark, "batches")
     rows.repartition(1).write.parquet(path)  # one arrival: a run's days are in order inside it
     return J.drained(J.failure_stops(spark.readStream.schema(rows.schema).parquet(path)), "append")

@@ -22,7 +22,6 @@ from corpusloom.operators import state as T
 from corpusloom.operators import vector_index as V
 from corpusloom.plugins import Registry, backend, chosen
 from corpusloom.sources import files
-from corpusloom.streaming import jobs as J
 
 COMPILED = "src_id string, doc_id long, title string, type string, text string, one_line string, key_points array<string>, detailed_summary string, concepts array<struct<name:string,explanation:string>>"
 
@@ -338,43 +337,3 @@ def test_questions_and_their_holders(spark):
     docs = spark.createDataFrame([("a", "x the quick brown fox jumps over y"), ("b", "the quick brown fox jumps"), ("c", "hi there"), ("d", "")], "src_id string, text string")
     asked = spark.createDataFrame([(1, "quick brown fox jumps"), (2, "hi"), (3, "own fox jumps over"), (4, "missing words are these")], "query_id int, question string")
     assert sorted(map(tuple, R.holders(asked, docs).collect())) == [(1, "a"), (1, "b"), (2, "c"), (3, "a")]
-
-
-def test_late_rows_are_dropped(spark, tmp_path):
-    src = tmp_path / "ev"
-    for i, rows in enumerate([[("2024-01-01 10:05:00", "a")], [("2024-01-01 15:00:00", "a")], [("2024-01-01 15:30:00", "a")], [("2024-01-01 10:10:00", "a"), ("2024-01-01 18:00:00", "a")]]):
-        df = spark.createDataFrame(rows, "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type")
-        df.coalesce(1).write.parquet(str(src / f"f{i}.parquet"))
-    stream = spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{src}/*.parquet")
-    got = {r.start.hour: r.n for r in J.drained(J.hourly_counts(stream), "append").collect()}
-    assert got[10] == 1
-
-
-def test_streaks_in_a_stream_as_in_a_batch(spark, tmp_path):
-    rows = [(r, b, 1 + (r + b) % 3, (5 * b + r) % 7) for r in range(4) for b in range(12)]
-    batches = spark.createDataFrame(rows, "run long, batch long, success long, failed long")
-    batches.repartition(1).write.parquet(str(tmp_path / "b"))
-    stream = spark.readStream.schema(batches.schema).parquet(str(tmp_path / "b"))
-    got = sorted((r.run, r.batch, r.streak, r.stops) for r in J.drained(J.failure_stops(stream), "append").collect())
-    assert got == sorted((r.run, r.batch, r.streak, r.stops) for r in L.failure_streaks(batches).collect())
-
-
-def test_sinks(spark, tmp_path):
-    (tmp_path / "v").mkdir()
-    (tmp_path / "v" / "n.md").write_text("# N\n![x](data:image/png;base64,AAAA)")
-    note = files.vault(spark, str(tmp_path / "v")).select(X.without_embedded_images(F.col("text")).alias("t")).first()
-    assert note.t == "# N\n![x]()"
-    rows = spark.createDataFrame([("SRC-1", "t", "a", "p", "h", "2024-01-01", "compiled", 5), ("SRC-2", "u", "a", "p", "h", "2024-01-01", "failed", 0)], "id string, title string, type string, file_path string, content_hash string, date_ingested string, status string, quality_score int")
-    files.write_index(rows, str(tmp_path / "index"))
-    assert spark.read.option("header", "true").csv(str(tmp_path / "index")).count() == 2
-    assert [r.id for r in files.without_failed(rows).collect()] == ["SRC-1"]
-    files.write_layers(rows.withColumn("layer", F.lit("wiki")), str(tmp_path / "layers"))
-    assert spark.read.parquet(str(tmp_path / "layers")).where("layer = 'wiki'").count() == 2
-    for _ in range(2):
-        files.append_log(spark.range(3).select(F.current_timestamp().alias("ts"), F.col("id").alias("n")), str(tmp_path / "log"))
-    log = spark.read.parquet(str(tmp_path / "log"))
-    assert files.recent(log, "ts").count() == 6 and files.recent(log.withColumn("ts", F.expr("ts - INTERVAL 40 DAYS")), "ts").count() == 0
-    files.write_report(spark.createDataFrame([(1, ["a"]), (2, [])], "query_id int, missed array<string>"), str(tmp_path / "report"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "report" / "failures")).collect()] == ["- 1: a"]
-    text = spark.createDataFrame([("x" * 30,)], "t string").select(S.middle_cut(F.col("t"), 10).alias("c"), X.shortened(F.col("t"), 10).alias("s"), X.manifest_id(F.lit("summary:SRC-12")).alias("m")).first()
-    assert (len(text.c), text.s, text.m) == (10 + 9, "x" * 7 + "...", "SRC-12")
