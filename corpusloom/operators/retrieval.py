@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import WIKI_LINK, count_of, manifest_id, query_terms
 from corpusloom.operators.lifecycle import LAYERS
 from corpusloom.plugins import Registry
+from corpusloom.sources import bucketed
 
 RUN = r"[a-z0-9_]+|[\x{4e00}-\x{9fff}]+"
 ANCHOR = 3
@@ -238,6 +239,20 @@ def answer_key(question: Column, text: Column) -> Column:
     return F.sha2(F.concat(question, F.lit("\n---\n"), text), 256)
 
 
+def keep_answers(entries: DataFrame, store: str, run: int) -> None:
+    """Put answers (key, result, ts) into a store; rows without a key or a result are not kept."""
+    bucketed.put(entries.where("key <> '' AND result IS NOT NULL").select("key", "result", "ts"), store, "key", run)
+
+
+def known_answers(questions: DataFrame, store: str) -> DataFrame:
+    """questions (key, ...) with hit and result, the latest answer of the key; the store is not shuffled, whatever its size."""
+    spark = questions.sparkSession
+    if not spark.catalog.tableExists(store):
+        return questions.withColumns({"hit": F.lit(False), "result": F.lit(None).cast("string")})
+    found = bucketed.latest(spark.table(store), "key", "ts").select("key", "result")
+    return questions.join(found, "key", "left").withColumn("hit", F.col("result").isNotNull())
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, kind: str = "l2", query_block: int = 512, candidate_block: int = 8192, among: Column | None = None, ids: str = "long") -> DataFrame:
     """query_id, vec_id, distance, rank: exact nearest other vectors, squared L2 or cosine distance; ranked on the exact distance, which is shown with 5 places.
 

@@ -196,7 +196,7 @@ def adaptive_size(n: Column) -> Column:
 
 def with_ids(rows: DataFrame, name: str) -> DataFrame:
     """Chunks with their id and metadata."""
-    return rows.select(F.concat("src_id", F.lit("_chunk_"), F.lpad(F.col("index").cast("string"), 4, "0")).alias("id"), "src_id", F.lit(name).alias("strategy"), "content")
+    return rows.select(F.concat("src_id", F.lit("_chunk_"), F.format_string("%04d", "index")).alias("id"), "src_id", F.lit(name).alias("strategy"), "content")
 
 
 def breakpoints(vectors: DataFrame, share: float = 0.95) -> DataFrame:
@@ -239,6 +239,44 @@ def semantic(sentences: DataFrame, size: int = 800, overlap: int = 120, share: f
     return pieces.select("src_id", (F.row_number().over(Window.partitionBy("src_id").orderBy("group", "i")) - 1).alias("index"), "content")
 
 
+# A stretch up to its terminators and the blanks after them; stretches follow each other without a gap.
+STRETCH = r"(?s)[^。！？!?]*[。！？!?]+\s*|[^。！？!?]+$"
+
+
+def sentence_spans(docs: DataFrame, least: int = 20) -> DataFrame:
+    """src_id, place, start, end, sentence: the text cut after 。！？!? and the blanks behind, with shorter sentences than `least` joined to the one before; sentence is the text from start to end."""
+    pieces = F.filter(F.regexp_extract_all("text", F.lit(STRETCH), F.lit(0)), lambda s: s != "")
+    rows = docs.select("src_id", F.posexplode(pieces).alias("i", "s")).withColumn("n", F.length("s"))
+    upto = Window.partitionBy("src_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    long = (F.length(strip(F.col("s"))) >= least) | (F.col("i") == 0)
+    rows = rows.withColumns({"place": F.sum(long.cast("int")).over(upto) - 1, "stop": F.sum("n").over(upto)})
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "")
+    return rows.groupBy("src_id", "place").agg(F.min(F.col("stop") - F.col("n")).alias("start"), F.max("stop").alias("end"), text.alias("sentence"))
+
+
+def semantic_spans(docs: DataFrame, embedder: Callable[[Column], Column] = letter_vector, size: int = 800, overlap: int = 120, share: float = 0.95, least: int = 20) -> DataFrame:
+    """src_id, index, start, end, content: sentences together up to a turn of topic, groups above size in windows that overlap; content is the text from start to end, without blanks at its ends.
+
+    embedder gives the vector of a sentence (see `backends` for those that have a name). Cases: a null,
+    empty or blank text has no chunk; a text of one sentence has no turn.
+    """
+    rows = sentence_spans(docs, least)
+    turns = breakpoints(rows.select(F.col("src_id").alias("doc"), "place", embedder(F.col("sentence")).alias("v")), share)
+    rows = rows.join(turns.select(F.col("doc").alias("src_id"), (F.col("place") + 1).alias("place"), "breaks"), ["src_id", "place"], "left")
+    upto = Window.partitionBy("src_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("group", F.sum(F.coalesce(F.col("breaks").cast("int"), F.lit(0))).over(upto))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]), "")
+    groups = rows.groupBy("src_id", "group").agg(F.min("start").alias("start"), text.alias("text"))
+    step = size - overlap
+    last = F.when(F.length("text") <= size, 0).otherwise(F.ceil((F.length("text") - size) / step)).cast("int")
+    windows = groups.select("src_id", "start", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    windows = windows.select("src_id", (F.col("start") + F.col("i") * step).alias("start"), F.substring("text", F.col("i") * step + 1, F.lit(size)).alias("piece"))
+    lead = F.length("piece") - F.length(F.regexp_replace("piece", r"^\s+", ""))
+    windows = windows.select("src_id", (F.col("start") + lead).cast("int").alias("start"), strip(F.col("piece")).alias("content")).where("content <> ''")
+    place = F.row_number().over(Window.partitionBy("src_id").orderBy("start")) - 1
+    return windows.select("src_id", place.alias("index"), "start", (F.col("start") + F.length("content")).alias("end"), "content")
+
+
 def merged_sentences(sentences: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
     """sentences (src_id, place, sentence) -> src_id, index, content: without vectors, sentences joined up to size, each chunk after the first begun with the last characters of the one before."""
     rows = sentences.groupBy("src_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]).alias("s"))

@@ -26,7 +26,7 @@ comp AS (SELECT src_id, doc_id, title, type, text, coalesce(s[1], '') AS one_lin
 def compiled(spark, sf_dir):
     """What the compile job gives; written the first time in an application, as a compile run writes it for what follows."""
     docs = sources(spark, sf_dir).select("src_id", "doc_id", "title", "type", "text")
-    return store.once(spark, f"compiled {sf_dir}", lambda: C.compile_job(docs, Registry()))
+    return store.once(spark, f"compiled {sf_dir}", lambda: C.compile_job(docs, Registry()), f"{sf_dir}/documents.parquet")
 
 
 @query(f"WITH {COMP} SELECT doc_id, w AS word, tf, score, CAST(r AS INTEGER) AS rank FROM top")
@@ -186,7 +186,7 @@ man AS (SELECT *, CASE WHEN status = 'failed' THEN CASE WHEN length(trim(text))
 
 def manifests(spark, sf_dir):
     """The state of every source after the compile run, with what was compiled."""
-    rows = store.once(spark, f"state {sf_dir}", lambda: T.compiled_state(compiled(spark, sf_dir), WIKI, CURATED))
+    rows = store.once(spark, f"state {sf_dir}", lambda: T.compiled_state(compiled(spark, sf_dir), WIKI, CURATED), f"{sf_dir}/documents.parquet")
     return rows.withColumn("size_bytes", F.octet_length("text").cast("long"))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom import backends  # noqa: F401 - registers the embedders
 from corpusloom.functions.text import sentences
 from corpusloom.operators import segment as S
 from corpusloom.plans.manifest_queries import SRC, sources
 from corpusloom.plans.registry import query, table
+from corpusloom.plugins import configured
 from corpusloom.sources import pages as P
 
 STRIP = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
@@ -35,7 +37,7 @@ def chunk_fixed_plain(spark, sf_dir):
 
 
 @query(f"""WITH {SRC}, x AS (SELECT src_id, text, greatest(1, CAST(ceil((length(text) - 120) / 680.0) AS INTEGER)) AS k FROM src WHERE length(text) > 0), e AS (SELECT src_id, text, unnest(range(k)) AS i FROM x)
-SELECT src_id || '_chunk_' || lpad(i::VARCHAR, 4, '0') AS id, src_id, 'fixed' AS strategy, substring(text, i * 680 + 1, 800) AS content FROM e""")
+SELECT src_id || '_chunk_' || printf('%04d', i) AS id, src_id, 'fixed' AS strategy, substring(text, i * 680 + 1, 800) AS content FROM e""")
 def chunk_ids(spark, sf_dir):
     return S.with_ids(S.fixed(sources(spark, sf_dir), 800, 120), "fixed")
 
@@ -155,3 +157,19 @@ def section_groups(spark, sf_dir):
 
     rows = P.paragraphs(table(spark, sf_dir, "pages"), 0)
     return C.section_groups(rows.select(F.col("page_id").alias("src_id"), F.col("place").alias("index"), F.when(F.col("place") % 3 == 0, "").otherwise(F.left("text", F.lit(3))).alias("title"), F.left("text", F.lit(40)).alias("summary")))
+
+
+_T = STRIP.format("s")
+
+
+@query(f"""WITH {SRC}, pc AS (SELECT src_id, list_filter(regexp_extract_all(text, '[^。！？!?]*[。！？!?]+\\s*|[^。！？!?]+$', 0, 's'), lambda s: s <> '') AS p FROM src), pr AS (SELECT src_id, CAST(unnest(range(len(p))) AS BIGINT) AS i, unnest(p) AS s FROM pc),
+pl AS (SELECT *, sum(CASE WHEN length({_T}) >= 20 OR i = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY src_id ORDER BY i) - 1 AS place, sum(length(s)) OVER (PARTITION BY src_id ORDER BY i) AS stop FROM pr),
+ls AS (SELECT src_id, place, min(stop - length(s)) AS start, string_agg(s, '' ORDER BY i) AS sentence FROM pl GROUP BY 1, 2), v0 AS (SELECT src_id, place, {_V} AS v FROM ls), v1 AS (SELECT *, lead(v) OVER (PARTITION BY src_id ORDER BY place) AS w FROM v0),
+d AS (SELECT src_id, place, round(1 - coalesce(list_dot_product(v, w) / nullif(sqrt(list_dot_product(v, v) * list_dot_product(w, w)), 0), 0), 6) AS distance FROM v1 WHERE w IS NOT NULL), b AS (SELECT src_id, round(quantile_cont(distance, 0.95), 6) AS bar FROM d GROUP BY src_id),
+k AS (SELECT d.src_id, place + 1 AS place, CASE WHEN distance > bar THEN 1 ELSE 0 END AS br FROM d JOIN b USING (src_id)), g AS (SELECT ls.src_id, ls.place, start, sentence, sum(coalesce(br, 0)) OVER (PARTITION BY ls.src_id ORDER BY ls.place) AS grp FROM ls LEFT JOIN k USING (src_id, place)),
+t AS (SELECT src_id, grp, min(start) AS start, string_agg(sentence, '' ORDER BY place) AS text FROM g GROUP BY 1, 2), w AS (SELECT src_id, start, text, unnest(range(CASE WHEN length(text) <= 800 THEN 1 ELSE CAST(ceil((length(text) - 800) / 680) AS INTEGER) + 1 END)) AS i FROM t),
+s AS (SELECT src_id, start + i * 680 AS start, substring(text, i * 680 + 1, 800) AS s FROM w), c AS (SELECT src_id, CAST(start + length(s) - length(regexp_replace(s, '^\\s+', '')) AS INTEGER) AS start, {_T} AS content FROM s)
+SELECT src_id, CAST(row_number() OVER (PARTITION BY src_id ORDER BY start) - 1 AS INTEGER) AS "index", start, CAST(start + length(content) AS INTEGER) AS "end", content FROM c WHERE content <> ''""")
+def chunk_semantic_spans(spark, sf_dir):
+    """Documents cut where the topic turns, as spans of the text, by the embedder that the session's settings name."""
+    return S.semantic_spans(sources(spark, sf_dir), configured(spark, "embedder", "letters"), 800, 120)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: dict[tuple[str, str], DataFrame] = {}
+_made: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +46,24 @@ def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table that build gives, written the first time that this application asks for the name."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _made:
-        _made[key] = written(build(), "shared")
-    return _made[key]
+def version_of(spark: SparkSession, *paths: str) -> tuple:
+    """Names, sizes and times of the files under paths: another version of a table has another value."""
+    found = []
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def once(spark: SparkSession, name: str, build: Callable[[], DataFrame], *inputs: str) -> DataFrame:
+    """The table that build gives, written the first time that this application asks for the name, and again when the files under `inputs` have changed."""
+    key, version = (spark.sparkContext.applicationId, name), version_of(spark, *inputs)
+    if key not in _made or _made[key][0] != version:
+        _made[key] = (version, written(build(), "shared"))
+    return _made[key][1]
 
 
 def forget(spark: SparkSession) -> None:
