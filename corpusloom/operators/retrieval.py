@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,28 +28,25 @@ def _grams(word: Column, n: int) -> Column:
     return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(word, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def term_points(docs: DataFrame, key: list[str], fields: dict[str, Column], terms: DataFrame, most_anchors: int = 20_000) -> DataFrame:
-    """key, field, term, n: occurrences of terms (term) in the fields of docs, as parts of words too.
+def term_points(docs: DataFrame, key: list[str], fields: dict[str, Column], terms: DataFrame) -> DataFrame:
+    """key, field, term, n: occurrences of terms (term) in the fields of docs that do not overlap, as parts of words too.
 
     A term has no character that ends a word, so it can only be inside one. Terms meet the corpus's
     vocabulary, each word once, through their first ANCHOR letters (shorter terms through all of them),
     and are then looked for in the word itself; documents then meet the few words that hold a term.
-    Nothing pairs documents with queries, and words without an anchor leave no row.
+    Occurrences are counted where they are read, before they are shuffled.
     """
     def named(field: str, c: Column) -> Column:
-        return F.transform(_runs(c), lambda w: F.struct(F.lit(field).alias("field"), w.alias("word")))
+        return F.transform(F.coalesce(_runs(c), F.array().cast("array<string>")), lambda w: F.struct(F.lit(field).alias("field"), w.alias("word")))
 
     words = F.concat(*(named(f, c) for f, c in fields.items()))
-    tokens = docs.select(*key, F.explode(words).alias("t")).select(*key, "t.field", "t.word")
+    tokens = docs.select(*key, F.explode(words).alias("t")).groupBy(*key, "t.field", "t.word").agg(F.count("*").alias("many"))
     terms = terms.withColumn("anchor", F.left("term", F.lit(ANCHOR)))
     lengths = sorted(r.n for r in terms.select(F.length("anchor").alias("n")).distinct().collect())  # of 1 .. ANCHOR
     parts = F.flatten(F.array(*(_grams(F.col("word"), n) for n in lengths))) if lengths else F.array().cast("array<string>")
-    anchors = [r.anchor for r in terms.select("anchor").distinct().limit(most_anchors + 1).collect()]
-    if anchors and len(anchors) <= most_anchors:  # tested where the words are; with more of them, the join alone does it
-        parts = F.filter(parts, lambda p: p.isin(anchors))
     vocabulary = tokens.select("word").distinct().select("word", F.explode(parts).alias("anchor"))
     held = vocabulary.join(terms, "anchor").where(F.contains("word", F.col("term"))).select("word", "term", count_of(F.col("word"), F.col("term")).alias("times"))
-    return tokens.join(held, "word").groupBy(*key, "field", "term").agg(F.sum("times").alias("n"))
+    return tokens.join(held, "word").groupBy(*key, "field", "term").agg(F.sum(F.col("times") * F.col("many")).alias("n"))
 
 
 def question_terms(queries: DataFrame) -> DataFrame:
@@ -94,19 +95,148 @@ def top_per(rows: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, src_id, score, normalized_score, rank."""
-    found = top_per(keyword_scores(queries, docs), "query_id", k, F.desc("score"), F.col("src_id"))
+    """query_id, src_id, score, normalized_score, rank; see keyword_scores.
+
+    A set of questions of a checked size goes to every task, which sends its own k best for each; a larger one meets the documents by joins.
+    """
+    asked = term_index(queries)
+    if asked is None:
+        found = keyword_scores(queries, docs)
+    else:
+        found = best_in_batches(docs, ["src_id"], {"text": (F.col("text"), 1, 3), "title": (F.col("title"), 5, 1)}, asked, k, whole=F.col("title"))
+    found = top_per(found, "query_id", k, F.desc("score"), F.col("src_id"))
     return found.select("query_id", "src_id", "score", keyword_points(F.col("score")).alias("normalized_score"), "rank")
 
 
 def concept_search(queries: DataFrame, concepts: DataFrame, k: int = 5) -> DataFrame:
     """query_id, src_id, name, text, score, rank over concepts (src_id, place, name, explanation): +5 for a term in the name, +2 in the explanation."""
+    asked = term_index(queries)
+    if asked is None:
+        scored = concept_scores(queries, concepts)
+    else:
+        scored = best_in_batches(concepts, ["src_id", "place"], {"name": (F.col("name"), 5, 1), "explanation": (F.col("explanation"), 2, 1)}, asked, k)
+    best = top_per(scored, "query_id", k, F.desc("score"), F.col("src_id"), F.col("place"))
+    return best.join(concepts.select("src_id", "place", "name", F.col("explanation").alias("text")), ["src_id", "place"]).select("query_id", "src_id", "name", "text", "score", "rank")
+
+
+def concept_scores(queries: DataFrame, concepts: DataFrame) -> DataFrame:
+    """query_id, src_id, place, score of every concept that holds a term, by joins."""
     terms = question_terms(queries)
     found = term_points(concepts, ["src_id", "place"], {"name": F.col("name"), "explanation": F.col("explanation")}, terms.select("term").distinct())
     points = found.withColumn("points", F.when(F.col("field") == "name", 5).otherwise(2))
-    scored = points.join(terms, "term").groupBy("query_id", "src_id", "place").agg(F.sum("points").cast("int").alias("score"))
-    best = top_per(scored, "query_id", k, F.desc("score"), F.col("src_id"), F.col("place"))
-    return best.join(concepts.select("src_id", "place", "name", F.col("explanation").alias("text")), ["src_id", "place"]).select("query_id", "src_id", "name", "text", "score", "rank")
+    return points.join(terms, "term").groupBy("query_id", "src_id", "place").agg(F.sum("points").cast("int").alias("score"))
+
+
+@dataclass
+class TermIndex:
+    """Questions, their terms, and which question has which term."""
+
+    query_ids: list[int]
+    questions: list[str]
+    terms: list[str]
+    has: np.ndarray  # a row for each term, a column for each question
+
+
+def term_index(queries: DataFrame, most: int = 20_000_000) -> TermIndex | None:
+    """The index of a set of questions of at most `most` pairs of term and question; None for a larger one."""
+    rows = queries.select("query_id", F.lower("question").alias("question"), query_terms(F.col("question")).alias("terms"))
+    size = rows.agg(F.count("*").alias("q"), F.count_distinct(F.xxhash64("query_id")).alias("ids"), F.sum(F.size("terms")).alias("t")).first()
+    if size.q * (size.t or 0) > most or size.q != size.ids:
+        return None
+    found = sorted(rows.collect(), key=lambda r: r.query_id)
+    terms = sorted({t for r in found for t in r.terms or () if t})
+    place = {t: i for i, t in enumerate(terms)}
+    has = np.zeros((len(terms), len(found)))
+    for j, r in enumerate(found):
+        has[[place[t] for t in r.terms or () if t], j] = 1
+    return TermIndex([r.query_id for r in found], [r.question or "" for r in found], terms, has)
+
+
+def best_in_batches(docs: DataFrame, key: list[str], fields: dict[str, tuple[Column, int, int]], asked: TermIndex, k: int, whole: Column | None = None, most_cells: int = 4_000_000) -> DataFrame:
+    """query_id, key, score: the k best rows of every Arrow batch for each question, ties by key; scores above 0.
+
+    fields: for each a text, the points of a term's occurrence in it, and the most occurrences that
+    count. `whole` gives 10 more to the questions that hold all of that text. The distinct words of a
+    batch are looked through once, by an automaton over all terms; what was found is counted by
+    document and term, and multiplied with the table of terms and questions.
+    """
+    import ahocorasick
+    import pyarrow as pa
+
+    low = [F.lower(c).alias(f"__{i}") for i, (c, _, _) in enumerate(fields.values())]
+    rows = docs.select(*key, *low, (F.lit(None).cast("string") if whole is None else F.lower(whole)).alias("__whole"))
+    schema = ", ".join(["query_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema), "score int"])
+    points = [(weight, most) for _, weight, most in fields.values()]
+    word = re.compile(r"[a-z0-9_]+|[\u4e00-\u9fff]+")
+    n_terms, n_queries = len(asked.terms), len(asked.query_ids)
+
+    def held(automaton, sizes: list[int], words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word where its entries begin; entries: term, and how often it is in the word without overlaps."""
+        begins, term, times = [0], [], []
+        for w in words:
+            n: dict[int, int] = {}
+            after: dict[int, int] = {}
+            for end, i in automaton.iter(w):
+                if end - sizes[i] >= after.get(i, -1):
+                    n[i], after[i] = n.get(i, 0) + 1, end
+            term += n
+            times += n.values()
+            begins.append(len(term))
+        return np.array(begins), np.array(term, np.int64), np.array(times, np.int64)
+
+    def counted(automaton, sizes: list[int], texts: list[str | None]) -> np.ndarray:
+        """Occurrences by text and term."""
+        words = [word.findall(t) if t else [] for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        if not len(owner) or not n_terms:
+            return np.zeros((len(texts), n_terms))
+        coded = pa.array([w for ws in words for w in ws]).dictionary_encode()
+        begins, term, times = held(automaton, sizes, coded.dictionary.to_pylist())
+        pairs, many = np.unique(owner * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+        own, w = np.divmod(pairs, len(coded.dictionary))
+        n = np.diff(begins)[w]
+        at = np.repeat(begins[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(np.repeat(own, n) * n_terms + term[at], np.repeat(many, n) * times[at], len(texts) * n_terms).reshape(len(texts), n_terms)
+
+    def bonus(titles: list[str | None]) -> list[tuple[int, int]]:
+        """Places of titles and questions where the question holds the title."""
+        stems: dict[str, list[int]] = {}
+        for i, t in enumerate(titles):
+            if t:
+                stems.setdefault(t, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for t in stems:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+        return [(i, j) for j, q in enumerate(asked.questions) for t in {t for _, t in automaton.iter(q)} for i in stems[t]] if stems else []
+
+    def run(batches):
+        automaton = ahocorasick.Automaton()
+        for i, t in enumerate(asked.terms):
+            automaton.add_word(t, i)
+        automaton.make_automaton()
+        sizes = [len(t) for t in asked.terms]
+        step = max(1, most_cells // max(1, n_terms, n_queries))
+        for batch in batches:
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                total = np.zeros((part.num_rows, n_terms))
+                for i, (weight, most) in enumerate(points):
+                    if n_terms:
+                        total += weight * np.minimum(counted(automaton, sizes, part.column(f"__{i}").to_pylist()), most)
+                scores = total @ asked.has
+                for i, j in bonus(part.column("__whole").to_pylist()):
+                    scores[i, j] += 10
+                order = np.lexsort([pa.array(part.column(c)).dictionary_encode().dictionary.to_numpy(zero_copy_only=False).argsort().argsort()[pa.array(part.column(c)).dictionary_encode().indices.to_numpy()] for c in reversed(key)])
+                scores = scores[order]
+                best = np.argsort(-scores, axis=0, kind="stable")[:k]  # equal scores stay in the order of keys
+                j = np.broadcast_to(np.arange(n_queries), best.shape).ravel()
+                best = best.ravel()
+                good = scores[best, j] > 0
+                at = pa.array(order[best[good]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(asked.query_ids, np.int64)[j[good]]), *(part.column(c).take(at) for c in key), pa.array(scores[best[good], j[good]].astype(np.int32))], ["query_id", *key, "score"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def holders(queries: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
@@ -260,7 +390,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, kind: str = "l2",
     its candidates for its queries, and these are merged. Vectors that are null, or hold a null or
     non-finite component, take no part; those of another length than the query's are not its neighbours.
     """
-    import numpy as np
     import pandas as pd
 
     rows = vectors.where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("vec_id", "embedding")

@@ -333,6 +333,29 @@ def test_keywords_that_share_a_letter(spark):
     assert one(text.select(Q.keyword_hits(F.col("t"), Q.LEARNING_KEYWORDS))) == 6  # 原理 理解 技能 能力 关键 学习
 
 
+def test_terms_in_texts(spark):
+    texts = ["aaaa banana Ana", "the thethe other", None, "", "深度学习深度 x_1 X_1", "nothing"]
+    docs = spark.createDataFrame([(i, t, "Ana") for i, t in enumerate(texts)], "id long, text string, title string")
+    terms = ["aa", "ana", "the", "学习", "深", "x_1", "a", "zzz"]
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    want = sorted((i, f, t, v.lower().count(t)) for i, text in enumerate(texts) for f, v in (("text", text or ""), ("title", "Ana")) for t in terms if v.lower().count(t))
+    found = R.term_points(docs, ["id"], {"text": F.col("text"), "title": F.col("title")}, asked)
+    assert sorted((r.id, r.field, r.term, r.n) for r in found.collect()) == want
+
+
+def test_search_in_batches_as_by_joins(spark, monkeypatch):
+    words = ["aaaa", "banana", "Ana", "the", "thethe", "深度学习", "x_1", "学习", "zz", "é", "other."]
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(rng.choice(words, n)) if n else ""
+    docs = spark.createDataFrame([(f"s{i:02}", text(i % 3), text(i % 9) if i % 7 else None) for i in range(60)], "src_id string, title string, text string")
+    concepts = spark.createDataFrame([(f"s{i:02}", p, text(1), text(p + i % 4)) for i in range(30) for p in range(2)], "src_id string, place int, name string, explanation string")
+    queries = spark.createDataFrame([(1, "the banana ana"), (2, "深度学习 x_1"), (3, ""), (4, None), (5, "thethe other. zz aaaa aaaa"), (6, "nothing of it")], "query_id long, question string")
+    search = lambda: [sorted(map(tuple, f(queries, rows, 4).collect())) for f, rows in ((R.keyword_search, docs), (R.concept_search, concepts))]
+    together = search()
+    monkeypatch.setattr(R, "term_index", lambda queries: None)
+    assert together == search() and all(together)
+
+
 def test_questions_and_their_holders(spark):
     docs = spark.createDataFrame([("a", "x the quick brown fox jumps over y"), ("b", "the quick brown fox jumps"), ("c", "hi there"), ("d", "")], "src_id string, text string")
     asked = spark.createDataFrame([(1, "quick brown fox jumps"), (2, "hi"), (3, "own fox jumps over"), (4, "missing words are these")], "query_id int, question string")
