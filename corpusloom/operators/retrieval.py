@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -152,6 +153,13 @@ def term_index(queries: DataFrame, most: int = 20_000_000) -> TermIndex | None:
     return TermIndex([r.query_id for r in found], [r.question or "" for r in found], terms, has)
 
 
+def spread(rows: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
+    """A small input, which may be a single row group of one file, dealt to as many tasks as run at once; a large one has enough of its own."""
+    if int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > most_bytes:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def best_in_batches(docs: DataFrame, key: list[str], fields: dict[str, tuple[Column, int, int]], asked: TermIndex, k: int, whole: Column | None = None, most_cells: int = 4_000_000) -> DataFrame:
     """query_id, key, score: the k best rows of every Arrow batch for each question, ties by key; scores above 0.
 
@@ -170,33 +178,36 @@ def best_in_batches(docs: DataFrame, key: list[str], fields: dict[str, tuple[Col
     word = re.compile(r"[a-z0-9_]+|[\u4e00-\u9fff]+")
     n_terms, n_queries = len(asked.terms), len(asked.query_ids)
 
-    def held(automaton, sizes: list[int], words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word where its entries begin; entries: term, and how often it is in the word without overlaps."""
-        begins, term, times = [0], [], []
-        for w in words:
-            n: dict[int, int] = {}
-            after: dict[int, int] = {}
-            for end, i in automaton.iter(w):
-                if end - sizes[i] >= after.get(i, -1):
-                    n[i], after[i] = n.get(i, 0) + 1, end
-            term += n
-            times += n.values()
-            begins.append(len(term))
-        return np.array(begins), np.array(term, np.int64), np.array(times, np.int64)
-
-    def counted(automaton, sizes: list[int], texts: list[str | None]) -> np.ndarray:
+    def held(automata, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's entries begin, and entries: a term for each of its occurrences in the word without overlaps."""
+        single, bordered = automata
+        joined = "\n".join(words)
+        found = np.fromiter(chain.from_iterable(single.iter(joined)) if len(single) else (), np.int64).reshape(-1, 2)
+        after: dict[int, int] = {}  # where the next occurrence of a term may begin; no term goes across a word's end
+        rest = []
+        for end, i in bordered.iter(joined) if len(bordered) else ():
+            if end - len(asked.terms[i]) >= after.get(i, -1):
+                after[i] = end
+                rest.append((end, i))
+        found = np.concatenate([found, np.array(rest, np.int64).reshape(-1, 2)])
+        stops = np.cumsum([len(w) + 1 for w in words])
+        word = np.searchsorted(stops, found[:, 0], "right")
+        order = np.argsort(word, kind="stable")
+        return np.searchsorted(word[order], np.arange(len(words) + 1)), found[order, 1]
+
+    def counted(automata, texts: list[str | None]) -> np.ndarray:
         """Occurrences by text and term."""
         words = [word.findall(t) if t else [] for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
         if not len(owner) or not n_terms:
             return np.zeros((len(texts), n_terms))
         coded = pa.array([w for ws in words for w in ws]).dictionary_encode()
-        begins, term, times = held(automaton, sizes, coded.dictionary.to_pylist())
+        begins, term = held(automata, coded.dictionary.to_pylist())
         pairs, many = np.unique(owner * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
         own, w = np.divmod(pairs, len(coded.dictionary))
         n = np.diff(begins)[w]
         at = np.repeat(begins[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(np.repeat(own, n) * n_terms + term[at], np.repeat(many, n) * times[at], len(texts) * n_terms).reshape(len(texts), n_terms)
+        return np.bincount(np.repeat(own, n) * n_terms + term[at], np.repeat(many, n), len(texts) * n_terms).reshape(len(texts), n_terms)
 
     def bonus(titles: list[str | None]) -> list[tuple[int, int]]:
         """Places of titles and questions where the question holds the title."""
@@ -211,11 +222,12 @@ def best_in_batches(docs: DataFrame, key: list[str], fields: dict[str, tuple[Col
         return [(i, j) for j, q in enumerate(asked.questions) for t in {t for _, t in automaton.iter(q)} for i in stems[t]] if stems else []
 
     def run(batches):
-        automaton = ahocorasick.Automaton()
+        # Occurrences of a term can overlap only if it ends as it begins.
+        automata = ahocorasick.Automaton(), ahocorasick.Automaton()
         for i, t in enumerate(asked.terms):
-            automaton.add_word(t, i)
-        automaton.make_automaton()
-        sizes = [len(t) for t in asked.terms]
+            automata[any(t.endswith(t[:n]) for n in range(1, len(t)))].add_word(t, i)
+        for x in automata:
+            x.make_automaton()
         step = max(1, most_cells // max(1, n_terms, n_queries))
         for batch in batches:
             for begin in range(0, batch.num_rows, step):
@@ -223,7 +235,7 @@ def best_in_batches(docs: DataFrame, key: list[str], fields: dict[str, tuple[Col
                 total = np.zeros((part.num_rows, n_terms))
                 for i, (weight, most) in enumerate(points):
                     if n_terms:
-                        total += weight * np.minimum(counted(automaton, sizes, part.column(f"__{i}").to_pylist()), most)
+                        total += weight * np.minimum(counted(automata, part.column(f"__{i}").to_pylist()), most)
                 scores = total @ asked.has
                 for i, j in bonus(part.column("__whole").to_pylist()):
                     scores[i, j] += 10
@@ -236,7 +248,7 @@ def best_in_batches(docs: DataFrame, key: list[str], fields: dict[str, tuple[Col
                 at = pa.array(order[best[good]])
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(asked.query_ids, np.int64)[j[good]]), *(part.column(c).take(at) for c in key), pa.array(scores[best[good], j[good]].astype(np.int32))], ["query_id", *key, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def holders(queries: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
