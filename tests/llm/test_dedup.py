@@ -75,6 +75,62 @@ def test_keep_one_and_empty(spark, docs, no_docs):
     assert S.near_duplicates(no_docs).collect() == [] and S.keep_one(no_docs).collect() == []
 
 
+def jaccard(a, b, words=5):
+    a, b = (set(S.shingle_hashes(t.encode().lower().split(), words).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@given(st.lists(st.sets(st.integers(0, 30), max_size=12), min_size=1, max_size=14), st.sampled_from([0.3, 0.5, 0.8, 1.0]))
+@settings(max_examples=200, deadline=None)
+def test_alike_sets_against_all_pairs(sets, similarity):
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= similarity * len(a | b) - 1e-9:
+                    label[i] = label[j] = min(label[i], label[j])
+    got = S.alike([np.array(sorted(s), np.int64) for s in sets], similarity)
+    assert [label.index(x) for x in label] == [got.tolist().index(x) for x in got]
+
+
+def test_planted_near_copies_are_found(spark):
+    """Copies with one word in forty changed, or a passage added or cut, at a similarity of 0.8 or more; what is less alike stays."""
+    r = random.Random(9)
+    rows, want, alone = [], 0, 0
+    for i in range(120):
+        base = prose(1000 + i, r.randint(80, 400)).split()
+        near = list(base)
+        kind = i % 3
+        if kind == 0:
+            for k in r.sample(range(len(near)), max(1, len(near) // 60)):
+                near[k] = f"changed{k}"
+        elif kind == 1:
+            at = r.randrange(len(near))
+            near[at:at] = prose(5000 + i, len(near) // 12).split()
+        else:
+            near = near[len(near) // 12 :]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near).upper() if i % 2 else "\n".join(near))]
+        if jaccard(*(t for _, t in rows[-2:])) >= 0.8:
+            want += 1
+    rows += [(1000 + i, " ".join(w if k % 4 else f"x{k}" for k, w in enumerate(rows[2 * i][1].split()))) for i in range(40)]  # every fourth word changed
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in S.keep_one(docs).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert want > 60 and len(gone) >= 0.9 * want and all(i < 1000 and i % 2 and jaccard(rows[i - 1][1], rows[i][1]) >= 0.8 for i in gone)
+
+
+def test_one_class_of_many_near_copies(spark):
+    """Every copy is close to the base, many not to each other; parts meet pairwise."""
+    base = prose(77, 200).split()
+    r = random.Random(1)
+    texts = [" ".join(base)] + [" ".join(w if k not in at else f"z{n}" for k, w in enumerate(base)) for n in range(60) for at in [{*r.sample(range(200), 3)}]]
+    sets = spark.createDataFrame([(7, i, S.shingle_hashes(t.encode().split(), 5).view(np.int64).tolist()) for i, t in enumerate(texts)], "root long, node long, hashes array<long>")
+    for most in (10**6, 3000):
+        roots = {x.node: x.root for x in C.components(S.similar_links(sets, 0.8, most)).collect()}
+        assert roots == {i: 0 for i in range(61)}
+    assert [x.doc_id for x in S.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()] == [0]
+
+
 def test_keep_one_of_hard_rows(hard_docs):
     """Of each text's copies the row with the least id stays; texts under one id, or under none, are not mixed up."""
     kept = S.keep_one(hard_docs)
