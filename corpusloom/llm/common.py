@@ -119,3 +119,8 @@ IDENTITY = ["id", "no_id", "body"]
 def body_of(text: Column) -> Column:
     """Digest of a text; a null text has one of its own."""
     return F.unhex(F.coalesce(F.md5(text), F.lit("00")))
+
+
+#: SQL: `crc`, the unsigned crc32 (h) of every doc_id as text; DuckDB has no such function.
+SQL_CRC = """tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) AS r(i))),
+crc AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS h FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), tab)"""

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold_of, partitions, small_batches, written
+from corpusloom.llm.common import SQL_CRC, fold_of, partitions, small_batches, written
 
 STEP = "struct<place: int, siblings: array<string>>"  # the own place among its run, the run's other nodes
 
@@ -206,3 +206,21 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     proved = manifest(document_leaves(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     out = proved.select(F.col("ord").alias("doc_id"), "leaf", "subroot", "root", proof_digest().alias("proof_sha256"), folded("coalesce(changed, leaf)").alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _sql_leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in fields) + ")"
+
+
+#: Levels, and the folds along them, one row a node and a row at a time; doc_ids that are null or repeated are not told apart.
+SQL = f"""WITH RECURSIVE {SQL_CRC}, x AS (SELECT doc_id, lang, {_sql_leaf('n_chars')} AS leaf, CASE WHEN h % 7 = 0 AND n_chars IS NOT NULL THEN {_sql_leaf('(n_chars + 1)')} END AS changed FROM documents JOIN crc USING (doc_id)),
+lf AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM x),
+up AS (SELECT tree, 0 AS level, place, n, leaf AS node FROM lf UNION ALL SELECT tree, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY place)) FROM up WHERE n > 1 GROUP BY tree, level, place // 2, n),
+top AS (SELECT 0 AS level, tree AS place, (SELECT max(tree) + 1 FROM lf) AS n, node FROM up WHERE n = 1 UNION ALL SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY place)) FROM top WHERE n > 1 GROUP BY level, place // 2, n),
+fold AS (SELECT doc_id, tree, 0 AS level, place, n, false AS above, coalesce(changed, leaf) AS node, '' AS proof FROM lf
+ UNION ALL SELECT doc_id, tree, CASE WHEN fold.n > 1 THEN level + 1 ELSE 0 END, CASE WHEN fold.n > 1 THEN place // 2 ELSE tree END, CASE WHEN fold.n > 1 THEN (fold.n + 1) // 2 ELSE (SELECT max(tree) + 1 FROM lf) END, above OR fold.n = 1,
+  CASE WHEN fold.n = 1 THEN fold.node WHEN place % 2 = 0 THEN sha256(fold.node || coalesce(s.node, '')) ELSE sha256(s.node || fold.node) END, proof || CASE WHEN fold.n > 1 THEN coalesce(s.node, '') ELSE '' END
+  FROM fold LEFT JOIN (SELECT false AS up2, tree AS t2, level AS l2, place AS p2, node FROM up UNION ALL SELECT true, -1, level, place, node FROM top) s ON s.up2 = fold.above AND s.t2 = CASE WHEN fold.above THEN -1 ELSE tree END AND s.l2 = level AND s.p2 = xor(place, 1)
+  WHERE fold.n > 1 OR NOT above)
+SELECT lf.doc_id, leaf, sub.node AS subroot, root.node AS root, sha256(fold.proof) AS proof_sha256, fold.node AS folded_root, fold.node = root.node AS verified FROM lf JOIN fold ON fold.doc_id = lf.doc_id AND fold.above AND fold.n = 1 JOIN (SELECT tree, node FROM up WHERE n = 1) sub ON sub.tree = lf.tree, (SELECT node FROM top WHERE n = 1) root"""

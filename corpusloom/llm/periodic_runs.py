@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold_of, id_text, small_batches
+from corpusloom.llm.common import SQL_CRC, fold_of, id_text, small_batches
 
 SPACES = r"[ \x09-\x0D]+"
 SHORT_LAGS = 8  # lags below are scanned everywhere
@@ -251,3 +251,16 @@ def with_repeats(docs: DataFrame) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, after the contract's repeats: doc_id, n_runs, the longest run, digests of runs and of what is left."""
     return digests(periodic_runs(with_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
+#: All pairs of equal words of a text, those of one distance in unbroken rows.
+SQL = f"""WITH {SQL_CRC}, w0 AS (SELECT doc_id, h, h // 10 AS g, list_filter(string_split_regex(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents JOIN crc USING (doc_id)),
+w1 AS (SELECT *, len(w) AS n, g % greatest(len(w), 1) AS a, 1 + (len(w) - g % greatest(len(w), 1)) // (3 + g % 8) AS p FROM w0),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM w1),
+t AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM d), m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m), s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+dropped AS (SELECT DISTINCT doc_id, i FROM t SEMI JOIN r ON r.doc_id = t.doc_id AND t.i >= r.start + r.period AND t.i < r.start + r.length),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_max(struct_pack(s := start, l := length, q := period), (length, -start, -period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""

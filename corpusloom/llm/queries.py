@@ -19,4 +19,4 @@ QUERIES = {
     "op12_piece_bpe": piece_bpe.op12_piece_bpe,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
-ORACLE_SQL = {"op2_topk_search": topk_search.SQL, "op7_secret_scan": secret_scan.SQL, "op9_decontaminate": decontaminate.SQL}
+ORACLE_SQL = {"op2_topk_search": topk_search.SQL, "op7_secret_scan": secret_scan.SQL, "op9_decontaminate": decontaminate.SQL, "op11_periodic_runs": periodic_runs.SQL, "op13_merkle_manifest": merkle_manifest.SQL}

@@ -88,3 +88,9 @@ def test_hard_rows(spark, hard_docs, no_docs):
     got = sorted((str(r.key), str(r.ord), r.leaf, r.root, as_steps(r.proof)) for r in M.manifest(M.document_leaves(rows), 2, 2).collect())
     assert got == sorted((str(r.lang), str(r.doc_id), own, root, steps) for r, own, _, root, steps in brute(rows.collect()))
     assert M.manifest(M.document_leaves(no_docs.selectExpr("*", "1L AS n_chars"))).collect() == []
+
+
+def test_query_against_sql(spark, duck):
+    got = M.op13_merkle_manifest(spark, SMALL_DIR)
+    want = duck.sql(M.SQL)
+    assert want.columns == got.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)

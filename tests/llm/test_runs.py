@@ -126,3 +126,9 @@ def test_hard_rows(spark, docs, hard_docs, no_docs):
     odd = "a\x1cb \x1d \x85 c\x0bd\x0c\x0b " * 4
     row = R.periodic_runs(spark.createDataFrame([(1, odd)], "doc_id long, text string")).first()
     assert row.n_words == 5 * 4 and [tuple(x) for x in row.runs] == [(0, 20, 5)] and row.collapsed == "a\x1cb \x1d \x85 c d"
+
+
+def test_query_against_sql(spark, duck):
+    got = R.op11_periodic_runs(spark, SMALL_DIR)
+    want = duck.sql(R.SQL)
+    assert want.columns == got.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
