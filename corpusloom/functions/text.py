@@ -39,6 +39,17 @@ def count_of(text: Column, term: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("int")
 
 
+def running_sums(values: Column) -> Column:
+    """array<long>: the sum of an array of numbers up to each place, in parts of square-root size, so that a long array takes n to the power of 1.5 steps."""
+    k = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values)))).cast("int")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    empty = F.array().cast("array<int>")
+    parts = F.transform(F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / k).cast("int"))).otherwise(empty), lambda b: F.slice(values, b * k + 1, k))
+    sums = F.transform(parts, total)
+    begins = F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i)))
+    return F.flatten(F.zip_with(parts, begins, lambda part, begin: F.transform(part, lambda _, i: begin + total(F.slice(part, F.lit(1), i + 1)))))
+
+
 def slug(c: Column) -> Column:
     """File-name slug: unsafe characters out, blanks to hyphens, runs of hyphens to one."""
     safe = F.regexp_replace(F.trim(c), r'[<>:"/\\|?*\x00-\x1f]', "")

@@ -97,15 +97,23 @@ def patched(manifests: DataFrame, patches: DataFrame) -> DataFrame:
     """Apply patches (src_id, seq, status, quality_score, error_message, promoted_to), the last of each source.
 
     A null keeps a field; a score counts above 0 only; an empty promoted_to clears it; a failure does
-    not overwrite a compiled or promoted source.
+    not overwrite a compiled or promoted source. Patches with a column `at` also date the states that
+    they bring: date_compiled and date_failed, which otherwise stay as manifests has them (null if it has none).
     """
-    last = patches.groupBy("src_id").agg(F.max_by(F.struct("status", "quality_score", "error_message", "promoted_to"), "seq").alias("p"))
+    dated = "at" in patches.columns
+    last = patches.groupBy("src_id").agg(F.max_by(F.struct("status", "quality_score", "error_message", "promoted_to", *(["at"] if dated else [])), "seq").alias("p"))
     done = F.col("status").isin("compiled", "promoted_to_wiki", "promoted")
     ignored = (F.col("p.status") == "failed") & done
     take = lambda c, v: F.when(F.coalesce(ignored, F.lit(False)) | F.col("p").isNull(), F.col(c)).otherwise(v)
     promoted = F.when(F.col("p.promoted_to") == "", None).otherwise(F.coalesce("p.promoted_to", "promoted_to"))
+    dates = {}
+    for name, status in (("date_compiled", "compiled"), ("date_failed", "failed")) if dated else ():
+        before = F.col(name) if name in manifests.columns else F.lit(None).cast("timestamp")
+        dates[name] = F.when(F.col("p").isNull() | ignored | (F.coalesce("p.status", F.lit("")) != status), before).otherwise(F.coalesce("p.at", before))
+    patched_fields = ("status", "quality_score", "error_message", "promoted_to", *dates)
     return manifests.join(last, "src_id", "left").select(
-        *(c for c in manifests.columns if c not in ("status", "quality_score", "error_message", "promoted_to")),
+        *(c for c in manifests.columns if c not in patched_fields),
+        *(c.alias(name) for name, c in dates.items()),
         take("status", F.coalesce("p.status", "status")).alias("status"),
         take("quality_score", F.when(F.col("p.quality_score") > 0, F.col("p.quality_score")).otherwise(F.col("quality_score"))).alias("quality_score"),
         take("error_message", F.coalesce("p.error_message", "error_message")).alias("error_message"),

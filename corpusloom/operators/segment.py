@@ -280,12 +280,21 @@ def semantic_spans(docs: DataFrame, embedder: Callable[[Column], Column] = lette
 def merged_sentences(sentences: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
     """sentences (src_id, place, sentence) -> src_id, index, content: without vectors, sentences joined up to size, each chunk after the first begun with the last characters of the one before."""
     rows = sentences.groupBy("src_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]).alias("s"))
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
 
-    def step(acc: Column, s: Column) -> Column:
-        full = (F.length(acc["now"]) + F.length(s) > size) & (acc["now"] != "")
-        out = F.when(full, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.when(full, F.concat(F.right(acc["now"], F.lit(overlap)), s)).otherwise(F.concat(acc["now"], s)).alias("now"))
-
-    found = F.aggregate("s", begin, step, lambda acc: F.when(acc["now"] != "", F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]))
-    return rows.select("src_id", F.posexplode(found).alias("index", "content"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, places, out = [], [], []
+            for src_id, parts in zip(batch.column("src_id").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                now, done = "", []
+                for s in parts:
+                    if now and len(now) + len(s) > size:
+                        done.append(now)
+                        now = now[len(now) - min(overlap, len(now)) :]
+                    now += s
+                done += [now] if now else []
+                owners += [src_id] * len(done)
+                places += range(len(done))
+                out += done
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), pa.array(places, pa.int32()), pa.array(out, pa.string())], ["src_id", "index", "content"])
+
+    return rows.mapInArrow(run, "src_id string, index int, content string")

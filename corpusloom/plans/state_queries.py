@@ -310,6 +310,27 @@ def code_extract(spark, sf_dir):
     return rows.select("path", "language", F.array_join("functions", ",").alias("functions"), F.array_join("classes", ",").alias("classes"), "text")
 
 
+@query(f"""WITH {SRC}, x AS (SELECT src_id || '.py' AS path, string_split('class C' || doc_id || ':' || chr(10) || replace(text, '. ', '.\"\"\"' || chr(10)), chr(10)) AS ls FROM src), l AS (SELECT path, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM x),
+s AS (SELECT *, sum(CASE WHEN contains(line, '\"\"\"') OR contains(line, '''''''') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) % 2 = 1 AS inside FROM l)
+SELECT path, 'python' AS language, array_to_string(list_concat(list(regexp_extract_all(line, 'class\\s+([\\p{{L}}\\p{{N}}_]+)', 1) ORDER BY i)[1], []), ',') AS first_class, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (inside OR starts_with({STRIP.format('line')}, '#')), '') AS text FROM s GROUP BY path""")
+def code_extract_python(spark, sf_dir):
+    """Documents as Python files, each sentence's end with the quotes of a doc string."""
+    body = F.concat(F.lit("class C"), F.col("doc_id").cast("string"), F.lit(":\n"), F.replace("text", F.lit(". "), F.lit('."""\n')))
+    rows = K.code_facts(sources(spark, sf_dir).select(F.concat("src_id", F.lit(".py")).alias("path"), body.alias("content")))
+    return rows.select("path", "language", F.get("classes", F.lit(0)).alias("first_class"), "text")
+
+
+@query(f"""WITH {MAN}, p AS (SELECT src_id, CASE WHEN size_bytes > 1000 THEN 'failed' ELSE 'compiled' END AS status, to_timestamp(1704067200 + doc_id)::TIMESTAMP AS stamped FROM man WHERE type <> 'src1')
+SELECT m.src_id, CASE WHEN p.src_id IS NULL OR ig THEN m.status ELSE p.status END AS status, CASE WHEN NOT ig AND p.status = 'compiled' THEN stamped END AS date_compiled, CASE WHEN NOT ig AND p.status = 'failed' THEN stamped END AS date_failed
+FROM man m LEFT JOIN p USING (src_id), LATERAL (SELECT coalesce(p.status = 'failed' AND m.status IN ('compiled', 'promoted_to_wiki', 'promoted'), false) AS ig)""")
+def manifest_patch_dates(spark, sf_dir):
+    """The dates of the states that patches bring."""
+    man = manifests(spark, sf_dir)
+    at = F.timestamp_seconds(F.col("doc_id") + 1704067200).cast("timestamp_ntz").alias("at")
+    patches = man.where("type <> 'src1'").select("src_id", F.lit(1).alias("seq"), F.expr("CASE WHEN size_bytes > 1000 THEN 'failed' ELSE 'compiled' END AS status"), F.lit(0).alias("quality_score"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("string").alias("promoted_to"), at)
+    return M.patched(man.select("src_id", "status", "quality_score", "error_message", "promoted_to"), patches).select("src_id", "status", "date_compiled", "date_failed")
+
+
 @query(f"""WITH {SRC} SELECT 'auto_' || CASE WHEN row_number() OVER (ORDER BY src_id) - 1 < 10000 THEN lpad((row_number() OVER (ORDER BY src_id) - 1)::VARCHAR, 4, '0') ELSE (row_number() OVER (ORDER BY src_id) - 1)::VARCHAR END AS id, '什么是' || CASE WHEN title = '' THEN '文档 ' || src_id ELSE title END || '？' AS question, src_id AS expected FROM src""")
 def auto_samples(spark, sf_dir):
     return K.auto_samples(sources(spark, sf_dir)).select("id", "question", F.array_join("expected_source_ids", ",").alias("expected"))

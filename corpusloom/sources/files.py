@@ -121,6 +121,16 @@ def write_report(rows: DataFrame, path: str, most_failures: int = 10) -> None:
     bad.select(F.concat(F.lit("- "), F.col("query_id").cast("string"), F.lit(": "), F.array_join("missed", ", ")).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/failures")
 
 
+def write_progress(manifests: DataFrame, path: str) -> None:
+    """A progress report as JSON: a row for each status with its share, and one with the scores of all; there are as many rows as states."""
+    scored = F.when(F.col("quality_score") > 0, F.col("quality_score"))
+    total = manifests.agg(F.count("*").alias("total"), F.round(F.avg(scored), 1).alias("average"), F.max(scored).alias("max"), F.min(scored).alias("min"), F.count(scored).alias("samples"), F.round(100.0 * F.count_if(F.expr("status = 'compiled'")) / F.count("*"), 1).alias("compiled_percentage"))
+    by_status = manifests.groupBy("status").agg(F.count("*").alias("count")).crossJoin(F.broadcast(total.select("total")))
+    rows = by_status.select("status", "count", F.round(100.0 * F.col("count") / F.col("total"), 1).alias("percentage"))
+    both = rows.unionByName(total.withColumn("status", F.lit("all")), allowMissingColumns=True).withColumn("timestamp", F.current_timestamp())
+    both.coalesce(1).write.mode("overwrite").json(path)
+
+
 def without_failed(manifests: DataFrame) -> DataFrame:
     """Manifests of sources that have not failed."""
     return manifests.where(F.col("status") != "failed")

@@ -127,6 +127,21 @@ def test_merged_sentences_against_a_loop(spark):
     assert [r.content for r in S.merged_sentences(rows, 60, 10).orderBy("index").collect()] == [*out, now]
 
 
+def test_running_sums(spark):
+    for n in (0, 1, 2, 3, 10, 99, 100, 101):
+        values = [(7 * i) % 5 for i in range(n)]
+        got = one(spark.createDataFrame([(values,)], "v array<int>").select(X.running_sums(F.col("v"))))
+        assert got == [sum(values[: i + 1]) for i in range(n)]
+
+
+def test_progress_report(spark, tmp_path):
+    rows = spark.createDataFrame([("compiled", 80), ("compiled", 60), ("failed", 0), ("ingested", None)], "status string, quality_score int")
+    files.write_progress(rows, str(tmp_path / "r"))
+    got = {r.status: r for r in spark.read.json(str(tmp_path / "r")).collect()}
+    assert (got["compiled"]["count"], got["compiled"].percentage) == (2, 50.0)
+    assert (got["all"].total, got["all"].average, got["all"].max, got["all"].min, got["all"].samples, got["all"].compiled_percentage) == (4, 70.0, 80, 60, 2, 50.0)
+
+
 def test_structured_texts(spark):
     rows = [("h", "# A\nx\n# B\n" + "y. " * 50), ("n", "intro\n1. one\na\n2. two\nb"), ("p", "just text"), ("e", "  ")]
     got = sorted((r["src_id"], r["index"], r["level"], r["title"], r["content"]) for r in S.structured(spark.createDataFrame(rows, "src_id string, text string"), 60, 10).collect())
