@@ -161,3 +161,58 @@ def test_a_stored_table_follows_its_input(spark, tmp_path):
         spark.range(n).write.mode("overwrite").parquet(path)
         for _ in range(2):
             assert store.once(spark, f"rows of {path}", build, path).count() == n
+
+
+def sections_of(text, size):
+    """What `structured` gives for a text, written as loops."""
+    import re
+
+    def cut(is_head):
+        parts = []
+        for i, line in enumerate(text.split("\n")):
+            if not parts or is_head(i, line):
+                parts.append([line])
+            else:
+                parts[-1].append(line)
+        return [(k, p[0], "\n".join(p).strip()) for k, p in enumerate(parts) if "\n".join(p).strip()]
+
+    first = next((i for i, line in enumerate(text.split("\n")) if line.strip()), 0)
+    by_heading = cut(lambda i, line: re.match(S.HEADING, line))
+    by_number = cut(lambda i, line: re.match(S.NUMBERING, line) and i > first)
+    if len(by_heading) > 1:
+        heads = [re.match(S.HEADING, head) for _, head, _ in by_heading]
+        found = [(len(m.group(1)) if m else 0, m.group(2).strip() if m else "", body) for m, (_, _, body) in zip(heads, by_heading)]
+    elif len(by_number) > 1:
+        heads = [re.match(S.NUMBERING, head) if i else None for i, (_, head, _) in enumerate(by_number)]
+        found = [(1, next((g.strip() for g in m.groups() if g and g.strip()), "") if m else "", body) for m, (_, _, body) in zip(heads, by_number)]
+    else:
+        found = [(0, "", text.strip())] if text.strip() else []
+    out = []
+    for level, title, body in found:
+        pieces = [body[a:b] for a, b in S.by_paragraphs(body, size, 10)] if len(body) > size else [body]
+        out += [(level, title, p) for p in pieces]
+    return out
+
+
+def test_structured_against_loops(spark):
+    r = random.Random(12)
+    lines = ["# One", "## Two  parts", "1. first", "2、second point", "(3) third", "plain words here", "", "x" * 70, "一. 中文", "#no heading"]
+    texts = ["\n".join(r.choice(lines[: r.choice([2, 5, 6, 10])] if r.random() < 0.5 else lines[2:]) for _ in range(r.randint(0, 12))) for _ in range(150)]
+    docs = spark.createDataFrame([(f"s{i:03}", t) for i, t in enumerate(texts)], "src_id string, text string")
+    got = {}
+    for row in S.structured(docs, 60, 10).orderBy("src_id", "index").collect():
+        got.setdefault(row.src_id, []).append((row.level, row.title, row.content))
+    assert got == {f"s{i:03}": want for i, t in enumerate(texts) if (want := sections_of(t, 60))}
+
+
+def test_sample_check(spark):
+    from corpusloom.operators import state as T
+
+    rows = spark.createDataFrame([(f"s{i}", "" if i % 2 else "l", [] if i % 3 else ["k"], "d" if i % 5 else "", [("c", "")] if i % 7 else None) for i in range(40)], "src_id string, one_line string, key_points array<string>, detailed_summary string, concepts array<struct<name:string,explanation:string>>")
+    picks = [{r.src_id: r.lacks for r in T.sample_checked(rows, seed, 12).collect()} for seed in (1, 1, 2)]
+    assert picks[0] == picks[1] != picks[2] and all(len(p) == 12 for p in picks)
+    for p in picks:
+        for src_id, lacks in p.items():
+            i = int(src_id[1:])
+            assert lacks == ",".join(k for k, bad in (("one_line", i % 2), ("key_points", i % 3), ("detailed_summary", i % 5 == 0), ("concepts", i % 7 == 0)) if bad)
+    assert len(T.sample_checked(rows, 1, 100).collect()) == 40
