@@ -375,3 +375,12 @@ def test_questions_and_their_holders(spark):
     docs = spark.createDataFrame([("a", "x the quick brown fox jumps over y"), ("b", "the quick brown fox jumps"), ("c", "hi there"), ("d", "")], "src_id string, text string")
     asked = spark.createDataFrame([(1, "quick brown fox jumps"), (2, "hi"), (3, "own fox jumps over"), (4, "missing words are these")], "query_id int, question string")
     assert sorted(map(tuple, R.holders(asked, docs).collect())) == [(1, "a"), (1, "b"), (2, "c"), (3, "a")]
+
+
+def test_artifacts_are_chosen_before_sources_meet_them(spark):
+    rows = spark.createDataFrame([(f"SRC-{i:04}", "promoted" if i % 2 else "promoted_to_wiki", "same") for i in range(40)], "src_id string, status string, title string")
+    art = rows.select("title", F.when(F.col("status") == "promoted", "curated").otherwise("wiki").alias("layer"), F.concat("src_id", F.lit(" text")).alias("text"))
+    got = K.pushed(rows, art)
+    assert {(r.src_id, r.layer, r.file_name, r.text) for r in got.collect()} == {(f"SRC-{i:04}", "curated", "same", "SRC-0001 text") for i in range(40)} and got.count() == 40
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # copies of a title make no pairs
