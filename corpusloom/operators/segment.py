@@ -211,8 +211,8 @@ def breakpoints(vectors: DataFrame, share: float = 0.95) -> DataFrame:
 
 
 def long_sentences(docs: DataFrame, least: int = 20) -> DataFrame:
-    """src_id, place, sentence: sentences at 。！？!? with shorter ones than `least` joined to the one before."""
-    parts = F.filter(F.transform(F.split(strip(F.col("text")), r"(?<=[。！？!?])\s*"), strip), lambda s: s != "")
+    """src_id, place, sentence: sentences at runs of 。！？!? with shorter ones than `least` joined to the one before; a run belongs to its sentence, and counts in its length."""
+    parts = F.filter(F.transform(F.split(strip(F.col("text")), r"(?<=[。！？!?])(?![。！？!?])\s*"), strip), lambda s: s != "")
     rows = docs.select("src_id", F.posexplode(parts).alias("i", "s"))
     upto = Window.partitionBy("src_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("place", F.sum(((F.length("s") >= least) | (F.col("i") == 0)).cast("int")).over(upto) - 1)

@@ -384,3 +384,8 @@ def test_artifacts_are_chosen_before_sources_meet_them(spark):
     assert {(r.src_id, r.layer, r.file_name, r.text) for r in got.collect()} == {(f"SRC-{i:04}", "curated", "same", "SRC-0001 text") for i in range(40)} and got.count() == 40
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # copies of a title make no pairs
+
+
+def test_runs_of_terminators_stay_with_their_sentence(spark):
+    docs = spark.createDataFrame([("a", "ab!! " + "c" * 18 + "!!dd?! !e")], "src_id string, text string")
+    assert [(r.place, r.sentence) for r in S.long_sentences(docs).orderBy("place").collect()] == [(0, "ab!!"), (1, "c" * 18 + "!!dd?!!e")]
