@@ -35,7 +35,7 @@ def timed(events: DataFrame, late: str) -> DataFrame:
 
 
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """start, event_type, n for each hour, once it has closed; rows of hours that had closed when the batch before theirs ran are dropped."""
+    """start, event_type, n for each hour, once it has closed; rows of hours that had closed when the batch before theirs ran are dropped. In complete mode: every hour, open ones too, and no row is dropped."""
     rows = timed(events, late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import lifecycle as L
 from corpusloom.operators import ops as O
+from corpusloom.plans import ops_queries
 from corpusloom.streaming import jobs as J
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -108,3 +109,17 @@ def test_state_of_idle_sources_goes(spark, tmp_path):
         good = sum(r.event_type != "error" for r in every if r.user_id == u)
         assert got[u] == (good, bad, "compiled" if good else "failed")
     assert max(done.states) >= 20 and done.states[-1] < max(done.states) / 2
+
+
+def test_hourly_counts_of_the_query_are_whole(spark, tmp_path):
+    """Rows that come late and hours that are open at the end count too."""
+    rows = events(spark)
+    (tmp_path / "events.parquet").mkdir()
+    for i, part in enumerate((rows.where("event_id % 3 = 0"), rows.where("event_id % 3 = 1"), rows.where("event_id % 3 = 2"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/w{i}")
+        for name in os.listdir(f"{tmp_path}/w{i}"):
+            if name.startswith("part-"):
+                os.link(f"{tmp_path}/w{i}/{name}", f"{tmp_path}/events.parquet/{i}-{name}")
+    got = ops_queries.stream_hourly_counts(spark, str(tmp_path)).collect()
+    want = rows.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "event_type").count().collect()
+    assert {(r.start, r.event_type, r.n) for r in got} == {tuple(r) for r in want} and len(got) == len(want)
