@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import sentences, strip
+from corpusloom.functions.text import cut, sentences, strip
 from corpusloom.plugins import Registry
 
 # Fixed value: stands for an explanation that was not found.
@@ -28,7 +28,7 @@ def tfidf_terms(docs: DataFrame, top: int = 5) -> DataFrame:
     """
     words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("word"))
     tf = words.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    df = tf.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads the counts, so that both sides of the join are one shuffle
     n = docs.agg(F.count("*").alias("n"))
     scored = tf.join(df, "word").crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "word"))
@@ -37,7 +37,7 @@ def tfidf_terms(docs: DataFrame, top: int = 5) -> DataFrame:
 
 def context_parts(text: Column) -> Column:
     """array<string>: the parts of a text in which concepts are looked for."""
-    return F.filter(F.transform(F.split(text, r"[。！？\n]"), strip), lambda s: F.length(s) > 5)
+    return F.filter(F.transform(cut(text, r"[。！？\n]", r"\n"), strip), lambda s: F.length(s) > 5)
 
 
 def concept_context(name: Column, parts: Column, most: int = 200) -> Column:

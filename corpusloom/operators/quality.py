@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
 
@@ -41,7 +42,10 @@ TIERS = {
 
 
 def tier(value: Column, name: str) -> Column:
-    out = F.lit(0)
+    top, out = TIERS[name][0][0], F.lit(0)
+    if top <= 10:  # a look-up, which works the value out once
+        points = [next((p for least, p in TIERS[name] if i >= least), 0) for i in range(top + 1)]
+        return F.coalesce(F.get(F.array(*map(F.lit, points)), F.least(value, F.lit(top))), out)
     for least, points in reversed(TIERS[name]):
         out = F.when(value >= least, points).otherwise(out)
     return out
@@ -49,13 +53,15 @@ def tier(value: Column, name: str) -> Column:
 
 def keyword_hits(text: Column, words: list[str]) -> Column:
     """How many of the words a text holds, outside longer words: one pass that stands at every place where a word may begin, so words that share a letter all count; each counts once."""
-    begins = "".join(dict.fromkeys(w[0] for w in words))
+    first = sorted({w[0] for w in words})
+    wide = [c for c in first if c > "\xff"]
+    begins = "".join(c for c in first if c <= "\xff") + (f"{wide[0]}-{wide[-1]}" if wide else "")  # one range: a set of many letters is slow to test
     found = F.regexp_extract_all(text, F.lit(f"(?=[{begins}])(?=({'|'.join(words)})(?![{COMPOUND_SUFFIXES}]))"), F.lit(1))
     return F.size(F.array_distinct(found))
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+    return text.rlike("|".join(map(re.escape, words)))
 
 
 def dimensions() -> dict[str, Column]:

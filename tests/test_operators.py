@@ -1,6 +1,7 @@
 """Operators on small literal tables: cases that the test data do not hold."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -35,6 +36,13 @@ def one(df):
     return df.first()[0]
 
 
+def run_plan(df):
+    """The physical plan as it is after a run."""
+    done = df._jdf.queryExecution()
+    done.executedPlan().executeCollect()
+    return done.executedPlan().toString()
+
+
 def test_query_terms_have_cjk_grams(spark):
     assert sorted(one(spark.sql("SELECT '深度学习 RAG_2 a' AS q").select(X.query_terms(F.col("q"))))) == sorted({"深度学习", "深度", "度学", "学习", "深度学", "度学习", "rag_2", "a"})
 
@@ -396,3 +404,20 @@ def test_nearest_ranks_on_what_is_shown(spark):
     for kind in ("l2", "cosine"):
         got = R.nearest(vectors, F.col("vec_id") == 0, 2, kind, candidate_block=2).orderBy("rank").collect()
         assert [(r.vec_id, r.distance) for r in got] == [(1, 0.0), (2, 0.0)]
+
+
+def test_sentences_are_cut_as_they_are_matched(spark):
+    texts = ["", "a", "!!", "!! a", "a! !b.c", "a\n..b\n\n!?\n c。！d？ e.", " x \t.\r\n y\x85", "one. two three!?", "。a", "\n.\n", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.sentences(F.col("t"))).collect()]
+    want = [None if t is None else [s for m in re.finditer(X.SENTENCE, t) if (s := m.group().strip(" \t\n\f\r"))] for t in texts]
+    assert got == want
+
+
+def test_keyword_hits_and_term_counts_are_worked_out_once(spark):
+    """Each pattern stands once in the score's plan, and both sides of the join with document frequencies are one shuffle."""
+    plan = compiled(spark).select(Q.score().alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+    text = spark.createDataFrame([(1, "some words some"), (2, "other words")], "doc_id long, text string")
+    rows = C.tfidf_terms(text)
+    assert {(r.doc_id, r.word, r.tf) for r in rows.collect()} == {(1, "some", 2), (1, "words", 1), (2, "other", 1), (2, "words", 1)}
+    assert "ReusedExchange" in run_plan(rows)
