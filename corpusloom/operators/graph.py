@@ -137,8 +137,10 @@ def strongest(edges: DataFrame, k: int = 10, more: DataFrame | None = None) -> D
 
 def cooccurrences(compiled: DataFrame, least: int = 2) -> DataFrame:
     """a, b, n: concepts that occur together in at least `least` sources. A source has a handful of concepts, so its pairs are few."""
-    rows = concept_rows(compiled).select("src_id", "name").distinct()
-    pairs = rows.withColumnRenamed("name", "a").join(rows.withColumnRenamed("name", "b"), "src_id").where("a < b")
+    names = F.sort_array(F.array_distinct(F.filter(F.flatten(F.collect_list("concepts.name")), lambda x: x.isNotNull())))
+    rows = compiled.groupBy("src_id").agg(names.alias("names"))
+    each = F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    pairs = rows.select(F.inline(F.flatten(each)))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -156,13 +158,13 @@ def tags(compiled: DataFrame, most: int = 10, own_most: int = 5) -> DataFrame:
     of one concept can be among a source's tags, whatever its other concepts are.
     """
     own = concept_rows(compiled).where(F.col("place") < own_most).select("src_id", "name").distinct()
-    pairs = cooccurrences(compiled)
-    both = pairs.select(F.col("a").alias("name"), F.col("b").alias("tag")).union(pairs.select("b", "a"))
+    turned = F.array(F.struct(F.col("a").alias("name"), F.col("b").alias("tag")), F.struct(F.col("b").alias("name"), F.col("a").alias("tag")))
+    both = cooccurrences(compiled).select(F.inline(turned))
     few = both.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("tag"))).where(F.col("r") <= most + own_most)
-    found = own.join(few, "name").select("src_id", F.col("tag"), F.lit(2).alias("o")).union(own.select("src_id", "name", F.lit(1)))
-    best = found.groupBy("src_id", "tag").agg(F.min("o").alias("o"))
-    kept = best.withColumn("r", F.row_number().over(Window.partitionBy("src_id").orderBy("o", "tag"))).where(F.col("r") <= most)
-    return kept.groupBy("src_id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    few = few.groupBy("name").agg(F.collect_list("tag").alias("tags"))  # an array a concept: a source's rows are its own concepts
+    rows = own.join(few, "name", "left").groupBy("src_id").agg(F.sort_array(F.collect_list("name")).alias("own"), F.flatten(F.collect_list("tags")).alias("others"))
+    others = F.sort_array(F.array_except("others", "own"))
+    return rows.select("src_id", F.sort_array(F.slice(F.concat("own", others), 1, most)).alias("tags"))
 
 
 def tag_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -421,3 +421,13 @@ def test_keyword_hits_and_term_counts_are_worked_out_once(spark):
     rows = C.tfidf_terms(text)
     assert {(r.doc_id, r.word, r.tf) for r in rows.collect()} == {(1, "some", 2), (1, "words", 1), (2, "other", 1), (2, "words", 1)}
     assert "ReusedExchange" in run_plan(rows)
+
+
+def test_tags_meet_concepts_as_arrays(spark):
+    """A source's own concepts meet one row a concept, whose companions are listed in it; pairs are made inside a source's row."""
+    rows = [("a", ["x", "y", "z"]), ("b", ["y", "x", "x"]), ("c", ["x", "w"]), ("d", ["w", "x"]), ("e", ["q"]), ("f", [])]
+    table = spark.createDataFrame([(i, [(n, "") for n in names]) for i, names in rows], "src_id string, concepts array<struct<name:string,explanation:string>>")
+    assert {tuple(r) for r in G.cooccurrences(table).collect()} == {("x", "y", 2), ("w", "x", 2)}
+    got = G.tags(table, 3)
+    assert {r.src_id: r.tags for r in got.collect()} == {"a": ["x", "y", "z"], "b": ["w", "x", "y"], "c": ["w", "x", "y"], "d": ["w", "x", "y"], "e": ["q"]}
+    assert G.cooccurrences(table)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
