@@ -15,6 +15,7 @@ from corpusloom.operators import vector_index as V
 from corpusloom.plans.compile_queries import COMP, MAN, compiled, manifests
 from corpusloom.plans.manifest_queries import SRC, sources
 from corpusloom.plans.registry import query, table
+from corpusloom.sources.store import written
 
 # Abbreviations of the example plug-in.
 ABBREVIATIONS = {"kb": "knowledge base", "llm": "large language model", "rag": "retrieval augmented generation"}
@@ -323,11 +324,12 @@ def trusted_collections(spark, sf_dir):
 d AS (SELECT query_id, collection, id, document, round(list_sum(list_transform(list_zip(q.v, v.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 5) AS distance FROM q, v) SELECT query_id, collection, id, regexp_extract(id, '(SRC-\\d+)', 1) AS manifest_id, distance, left(document, 500) AS text, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, collection, id) AS rank FROM d) WHERE rank <= 5""")
 def multi_collection_search(spark, sf_dir):
     """The nearest documents of all collections, chunks of trusted sources alone; vectors are letter counts."""
-    store = R.trusted(store_rows(spark, sf_dir), "wiki").select("collection", "id", "document", S.letter_vector(F.col("document")).alias("embedding"))
+    store = R.trusted(store_rows(spark, sf_dir), "wiki").select("collection", "id", "document")
+    vectors = written(store.select("collection", "id", S.letter_vector(F.col("document")).alias("embedding")), "vectors")  # the search reads them several times
     asked = questions(spark, sf_dir).select(F.concat(F.lit("?"), F.col("query_id").cast("string")).alias("vec_id"), S.letter_vector(F.col("question")).alias("embedding"))
-    near = [R.nearest(asked.union(store.where(F.col("collection") == c).select("id", "embedding")), F.startswith("vec_id", F.lit("?")), 5, among=~F.startswith("vec_id", F.lit("?")), ids="string").withColumn("collection", F.lit(c)) for c in ("summaries", "chunks")]
+    near = [R.nearest(asked.union(vectors.where(F.col("collection") == c).select("id", "embedding")), F.startswith("vec_id", F.lit("?")), 5, among=~F.startswith("vec_id", F.lit("?")), ids="string").withColumn("collection", F.lit(c)) for c in ("summaries", "chunks")]
     rows = near[0].union(near[1]).select(F.substring("query_id", 2, 20).cast("long").alias("query_id"), "collection", F.col("vec_id").alias("id"), "distance")
-    best = R.across_collections(rows, 5).join(store.select("collection", "id", "document"), ["collection", "id"])
+    best = R.across_collections(rows, 5).join(store, ["collection", "id"])
     return best.select("query_id", "collection", "id", X.manifest_id(F.col("id")).alias("manifest_id"), "distance", F.left("document", F.lit(500)).alias("text"), "rank")
 
 

@@ -24,6 +24,8 @@ from corpusloom.operators import vector_index as V
 from corpusloom.plugins import Registry, backend, chosen
 from corpusloom.sources import files
 
+from .conftest import SMALL
+
 COMPILED = "src_id string, doc_id long, title string, type string, text string, one_line string, key_points array<string>, detailed_summary string, concepts array<struct<name:string,explanation:string>>"
 
 
@@ -431,3 +433,10 @@ def test_tags_meet_concepts_as_arrays(spark):
     got = G.tags(table, 3)
     assert {r.src_id: r.tags for r in got.collect()} == {"a": ["x", "y", "z"], "b": ["w", "x", "y"], "c": ["w", "x", "y"], "d": ["w", "x", "y"], "e": ["q"]}
     assert G.cooccurrences(table)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_collection_search_reads_written_vectors(spark):
+    from corpusloom.plans.retrieval_queries import multi_collection_search
+
+    found = multi_collection_search(spark, SMALL)
+    assert "replace(lower(document" not in found._jdf.queryExecution().optimizedPlan().toString()
