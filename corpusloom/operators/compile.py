@@ -8,29 +8,114 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import cut, sentences, strip
+from corpusloom.operators.retrieval import spread
 from corpusloom.plugins import Registry
+from corpusloom.sources.store import written
 
 # Fixed value: stands for an explanation that was not found.
 DEFAULT_EXPLANATION = "（详细解释请参阅原文）"
 # Fixed value: the section of chunks without a title.
 NO_SECTION = "未分类"
+#: What every task is told of document frequencies: those of so many words, and two numbers for each bucket of the others by hash (a power of two).
+FREQUENT, BUCKETS = 1 << 18, 1 << 20
 
 
-def tfidf_terms(docs: DataFrame, top: int = 5) -> DataFrame:
+def _words() -> Column:
+    """array<string>: the words of four letters or more of `text`."""
+    return F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}+"), F.lit(0))
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, terms (array<struct<word, tf>>): the words of each text, counted inside its row."""
+    rows = docs.select("doc_id", F.coalesce(F.sort_array(_words()), F.array().cast("array<string>")).alias("w"))
+    rows = rows.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (F.get("w", i - 1) != x), i)), lambda i: i.isNotNull()))
+    times = lambda i, k: F.coalesce(F.get("at", k + 1), F.size("w")) - i
+    return rows.select("doc_id", F.transform("at", lambda i, k: F.struct(F.get("w", i).alias("word"), times(i, k).cast("long").alias("tf"))).alias("terms"))
+
+
+def may_lead(df: DataFrame, n: int, top: int) -> Callable[[Column, Column], Column]:
+    """A function of a document's arrays of tf and of words' hashes that gives the places of the terms that can be among its `top` best.
+
+    df (word, df) becomes two tables of bounded size: the frequencies of up to FREQUENT words, the most
+    frequent ones, by hash, and for the others the least and the greatest of those whose hashes share a
+    bucket. So a term's score lies between two numbers; what cannot reach the score that `top` terms
+    have at least is left out.
+    """
+    sizes = sorted((r["df"], r["count"]) for r in df.groupBy("df").count().collect())  # a row for each frequency
+    words, bar = 0, 0  # words above the bar are in the first table
+    for times, count in reversed(sizes):
+        if words + count > FREQUENT:
+            bar = times
+            break
+        words += count
+    ends = (F.min("df").alias("least"), F.max("df").alias("most"))
+    hashed = df.withColumn("hash", F.xxhash64("word"))
+    often = hashed.groupBy("hash").agg(*ends).where(F.col("most") > bar).toArrow()
+    rest = hashed.where(F.col("df") <= bar).groupBy(F.expr(f"pmod(hash, {BUCKETS})").cast("int").alias("bucket")).agg(*ends).toArrow()
+    numbers = lambda rows, c: rows.column(c).to_numpy()
+    idf = lambda rows, c: np.log(n / numbers(rows, c)).astype(np.float32)
+    order = np.argsort(numbers(often, "hash"))
+    known = np.append(numbers(often, "hash")[order], 0)  # one more: a place behind the last one
+    known_low, known_high = (np.append(idf(often, c)[order], np.float32(0)) for c in ("most", "least"))
+    low, high = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    low[numbers(rest, "bucket")], high[numbers(rest, "bucket")] = idf(rest, "most"), idf(rest, "least")
+
+    @F.arrow_udf("array<int>")
+    def places(tf: pa.Array, hashes: pa.Array) -> pa.Array:
+        sizes = tf.value_lengths().to_numpy(zero_copy_only=False)
+        times, of = tf.flatten().to_numpy().astype(np.float64), hashes.flatten().to_numpy()
+        begins = np.cumsum(sizes) - sizes
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        at, bucket = np.searchsorted(known[:-1], of), of & (BUCKETS - 1)
+        held = known[at] == of
+        held &= at < len(known) - 1
+        least, most = times * np.where(held, known_low[at], low[bucket]), times * np.where(held, known_high[at], high[bucket])
+        ordered = least[np.lexsort((-least, doc))]
+        enough = np.full(len(sizes), -np.inf)
+        full = sizes >= top
+        enough[full] = ordered[begins[full] + top - 1]
+        # Bounds have 24 bits and scores 6 decimals: what is as near as that stays.
+        keep = most >= enough[doc] - np.abs(enough[doc]) * 1e-6 - 1e-5
+        offsets = np.append(0, np.cumsum(np.bincount(doc[keep], minlength=len(sizes))))
+        place = np.arange(len(doc)) - np.repeat(begins, sizes)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[keep], pa.int32()))
+
+    return places
+
+
+def tfidf_terms(docs: DataFrame, top: int = 5, most_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, word, tf, score, rank: the terms that tell a document from the others; ties by word.
 
-    Counting combines before each shuffle, and the join with document frequencies is one that Spark
-    splits where a word is in very many documents.
+    In a small input all counts meet the document frequencies, in one job. In a larger one words are
+    counted inside each text's row, and only words with their frequency are shuffled: tables of
+    frequencies of a bounded size tell every task which terms of a document cannot be among its best
+    (see may_lead), and the others meet their own frequency by a join.
     """
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("word"))
-    tf = words.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads the counts, so that both sides of the join are one shuffle
-    n = docs.agg(F.count("*").alias("n"))
-    scored = tf.join(df, "word").crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 62:  # not known to Spark
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size <= most_bytes:
+        words = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(_words()).alias("word"))
+        tf = words.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+        df = tf.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads the counts, so that both sides of the join are one shuffle
+        n = F.broadcast(docs.agg(F.count("*").alias("n")))
+        found = tf.crossJoin(n)
+    else:
+        n = docs.count()
+        if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows of one id are one document
+            docs = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+        terms = written(term_counts(docs), "terms")
+        df = written(terms.select(F.explode("terms.word").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "frequencies")
+        places = may_lead(df, max(n, 1), top)(F.col("terms.tf"), F.transform("terms.word", lambda x: F.xxhash64(x)))
+        found = terms.withColumn("places", places).select("doc_id", F.explode(F.transform("places", lambda i: F.get("terms", i))).alias("t"))
+        found = found.select("doc_id", "t.word", "t.tf", F.lit(n).alias("n"))
+    scored = found.join(df, "word").withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "word"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("doc_id", "word", "tf", "score", "rank")
 
@@ -45,11 +130,12 @@ def concept_context(name: Column, parts: Column, most: int = 200) -> Column:
     core = F.trim(F.element_at(F.split(name, r"[:：\-—–(（]"), 1))
 
     def shown(word: Column) -> Column:
-        found = F.slice(F.filter(parts, lambda s: F.contains(s, word)), 1, 2)
-        return F.when(F.size(found) > 0, F.left(F.array_join(found, "。"), F.lit(most)))
+        found = F.array(F.slice(F.filter(parts, lambda s: F.contains(s, word)), 1, 2))  # in an array, so that it is worked out once
+        return F.get(F.transform(found, lambda f: F.when(F.size(f) > 0, F.left(F.array_join(f, "。"), F.lit(most)))), F.lit(0))
 
     by_core = F.when((F.length(core) >= 2) & (core != name), shown(core))
-    return F.coalesce(shown(name), by_core, shown(F.replace(name, F.lit(" "), F.lit(""))), F.concat(name, F.lit(DEFAULT_EXPLANATION)))
+    bare = F.when(F.contains(name, F.lit(" ")), shown(F.replace(name, F.lit(" "), F.lit(""))))  # else it is the name again
+    return F.coalesce(shown(name), by_core, bare, F.concat(name, F.lit(DEFAULT_EXPLANATION)))
 
 
 def extractive(docs: DataFrame) -> DataFrame:

@@ -440,3 +440,28 @@ def test_collection_search_reads_written_vectors(spark):
 
     found = multi_collection_search(spark, SMALL)
     assert "replace(lower(document" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_of_larger_inputs_are_those_of_small_ones(spark, monkeypatch):
+    """Ranks by bounds of frequencies, with tables so small that words share buckets, and a whole join give the same rows; only what may lead is joined."""
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list("abcdeéжд"), 5)) for _ in range(3000)]
+    texts = [" ".join(names[int(i)] for i in rng.zipf(1.3, int(rng.integers(0, 200))) if i <= len(names)) for _ in range(300)]
+    rows = [*enumerate(texts), (400, None), (401, ""), (402, "Some some 1other éclat"), (402, "some éclat"), (403, "four some"), (404, " ".join(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in C.tfidf_terms(docs).collect())
+    for frequent, buckets in ((C.FREQUENT, C.BUCKETS), (50, 64), (0, 1)):
+        monkeypatch.setattr(C, "FREQUENT", frequent)
+        monkeypatch.setattr(C, "BUCKETS", buckets)
+        assert sorted(tuple(r) for r in C.tfidf_terms(docs, most_bytes=-1).collect()) == want
+    monkeypatch.undo()
+    one = docs.where("doc_id < 300")
+    df = spark.createDataFrame([("the", 300), ("rare", 1), ("seldom", 2)], "word string, df long")
+    led = C.may_lead(df, 300, 1)(F.array(*(F.lit(k).cast("long") for k in (90, 1, 2))), F.array(*(F.xxhash64(F.lit(w)) for w in ("the", "rare", "seldom"))))
+    assert one.limit(1).select(led.alias("p")).first().p == [2]
+
+
+def test_contexts_are_looked_for_once(spark):
+    """A name without blanks is not looked for twice, and what was found is not worked out again."""
+    plan = spark.range(1).select(C.concept_context(F.lit("x").alias("n"), F.array(F.lit("a x"))).alias("c"))._jdf.queryExecution().logical().toString()
+    assert plan.lower().count("contains(") <= 4
