@@ -80,14 +80,17 @@ def with_seeds(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seeds", F.transform("__at", lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1)).alias("hash"), i.alias("place")))).drop("__h", "__m", "__at")
 
 
-def pairs_near(text: Column, places: Column) -> Column:
-    """array<struct<place, body>>: the pairs of lines less than SPAN lines from the seeds at these places."""
+def with_pairs(rows: DataFrame) -> DataFrame:
+    """rows (text, places) with pairs: array<struct<place, body>>, the pairs of lines less than SPAN lines from the seeds at these places.
 
-    def shown(lines: Column) -> Column:
-        near = F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(F.greatest(i - (SPAN - 1), F.lit(0)), F.least(i + (SPAN - 1), F.size(lines) - 2)))))
-        return F.transform(near, lambda i: F.struct(i.alias("place"), F.concat(bare(F.get(lines, i)), F.lit("\n"), bare(F.get(lines, i + 1))).alias("body")))
-
-    return let(lines_of(text), shown)
+    Step by step in columns, as in `without`; a line is made bare once, not once for each pair that holds it.
+    """
+    lines = F.col("__lines")
+    rows = rows.withColumn("__lines", F.transform(lines_of(F.col("text")), bare)).withColumn("__last", F.size(lines) - 2)
+    near = F.transform("places", lambda i: F.sequence(F.greatest(i - (SPAN - 1), F.lit(0)), F.least(i + (SPAN - 1), F.col("__last"))))
+    rows = rows.withColumn("__near", F.array_distinct(F.flatten(near)))
+    pair = lambda i: F.struct(i.alias("place"), F.concat(F.get(lines, i), F.lit("\n"), F.get(lines, i + 1)).alias("body"))
+    return rows.withColumn("pairs", F.transform("__near", pair)).drop("__lines", "__last", "__near")
 
 
 KEY = ["doc_id", "row_key"]
@@ -113,8 +116,10 @@ def removals(docs: DataFrame) -> DataFrame:
     # Written first: then both sides of the joins are plain shuffles, and Spark can split a pair that has very many rows.
     often = written(seeds.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash"), "often", at["often"])
     wanted = seeds.join(often, "hash").groupBy(*KEY).agg(F.collect_set("place").alias("places"))
-    shown = texts.join(wanted, _same(texts, wanted)).select(texts["doc_id"], texts["row_key"], F.explode(pairs_near(F.col("text"), F.col("places"))).alias("p"))
-    shown = written(shown.select(*KEY, "p.*"), "pairs", at["pairs"])
+    shown = with_pairs(texts.join(wanted, _same(texts, wanted)).select(texts["doc_id"], texts["row_key"], "text", "places"))
+    # Outer: else a test of emptiness would be moved before the steps, and repeat them. Texts without pairs have null ones, which go.
+    shown = shown.select(*KEY, F.inline_outer("pairs")).where("body IS NOT NULL")
+    shown = written(shown.select(*KEY, "place", "body"), "pairs", at["pairs"])
     _drop(spark, at, "seeds", "often")
     again = shown.groupBy("body").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("times")).where("times > 1").drop("times")
     met = shown.join(written(again, "again", at["again"]), "body").withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("keeper")))

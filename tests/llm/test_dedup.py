@@ -302,3 +302,13 @@ def test_short_passages_go_whole(spark):
         want[i] = w
     out = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in out} == want
+
+
+def test_pairs_near_seeds(spark):
+    """Pairs less than SPAN lines from a seed, each once; a line is cut and made bare once a text."""
+    lines = [f"line {i} \n" for i in range(12)]
+    rows = L.with_pairs(spark.createDataFrame([("".join(lines), [0, 2, 10]), ("one\ntwo", [0])], "text string, places array<int>"))
+    got = [sorted((p.place, p.body) for p in r.pairs) for r in rows.collect()]
+    assert got == [[(i, f"line {i}\nline {i + 1}") for i in (0, 1, 2, 3, 4, 5, 7, 8, 9, 10)], [(0, "one\ntwo")]]
+    shown = rows.select(F.inline_outer("pairs")).where("body IS NOT NULL")
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2  # one for each set of marks
