@@ -77,6 +77,23 @@ def from_planes(data: bytes, kind: str = "<u8") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Numbers of 4 bytes, byte by byte of the same weight and packed: smaller the more of them are small."""
+    return zstandard.ZstdCompressor(1).compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def ranked(keys: np.ndarray) -> np.ndarray:
+    """The place of each of some distinct keys in their order."""
+    out = np.empty(len(keys), np.int64)
+    out[np.argsort(keys)] = np.arange(len(keys))
+    return out
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, a place of each, and each place's key."""
     order = np.argsort(keys)
@@ -98,10 +115,13 @@ def cut_blocks(texts: DataFrame, block_tokens: int) -> DataFrame:
             places, ids, out, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
             hashes = word_hashes([*numbers])
             words, _, place = distinct(hashes)
+            token = place[places]
+            # Frequent words get small numbers, which pack well; words that are as frequent stand in order, so that their steps pack.
+            often = np.argsort(-np.bincount(token, minlength=len(words)), kind="stable")
             null = np.array([i is None for i in ids])
             row = {
                 "block": (part << 32) + seq, "train_tokens": int(lengths[~out].sum()), "doc_ids": np.array([i or 0 for i in ids], "<i8").tobytes(), "no_ids": null.tobytes(), "held_out": out.tobytes(),
-                "lengths": lengths.astype("<i4").tobytes(), "words": words.tobytes(), "ids": place[places].astype("<i4").tobytes(),
+                "lengths": lengths.astype("<i4").tobytes(), "words": planes(np.diff(words[often], prepend=np.uint64(0))), "ids": packed_ids(np.argsort(often)[token]),
             }
             return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, pa.schema([("block", pa.int64()), ("train_tokens", pa.int64()), *((k, pa.binary()) for k in list(row)[2:])]))
 
@@ -140,7 +160,8 @@ class Block:
         self.name, self.settings = row["block"], settings
         self.doc_ids, self.no_ids, self.held_out = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["no_ids"], bool), np.frombuffer(row["held_out"], bool)
         lengths = np.frombuffer(row["lengths"], "<i4").astype(np.int64)
-        self.words, self.ids = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["ids"], "<i4").astype(np.int64)
+        words = np.cumsum(from_planes(row["words"]), dtype=np.uint64)
+        self.words, self.ids = np.sort(words), ranked(words)[unpacked_ids(row["ids"])]
         self.doc = np.repeat(np.arange(len(lengths)), lengths)
         self.train = ~self.held_out[self.doc]
         self.end = int(np.searchsorted(self.words, word_hashes([END])[0]))

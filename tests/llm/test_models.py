@@ -214,3 +214,17 @@ def test_packed_numbers():
     y = np.array([0.5, -1e300, 0.0])
     assert M.from_planes(M.planes(y), "<f8").tolist() == y.tolist()
     assert M.from_planes(M.planes(x)).tolist() == x.tolist() and M.from_planes(M.planes(x[:0])).tolist() == []
+
+
+def test_packed_word_numbers(spark):
+    """Words of a block are numbered by how often they occur, in the order of their hashes where that is the same, and come back as they were."""
+    ids = np.array([0, 3, 3, 70000, 255, 256])
+    assert M.unpacked_ids(M.packed_ids(ids)).tolist() == ids.tolist() and M.unpacked_ids(M.packed_ids(ids[:0])).tolist() == []
+    texts = ["b a b c", "b d a é", ""]
+    rows = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").coalesce(1)
+    (row,) = M.cut_blocks(rows, 10**6).collect()
+    flat = [w for t in texts for w in M.tokens(t)]
+    block = M.Block(row.asDict(), None, M.Settings(2, 2, 4, 0.6, 8.0, 1))
+    assert block.words.tolist() == sorted(M.word_hashes([*{*flat}]).tolist()) and block.words[block.ids].tolist() == M.word_hashes(flat).tolist()
+    stored = M.unpacked_ids(row.ids)
+    assert [flat[int(k)] for k in np.flatnonzero(stored < 2)] == [w for w in flat if w in (b"b", M.END)]
