@@ -31,6 +31,10 @@ def _words() -> Column:
     return F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}+"), F.lit(0))
 
 
+def _repeated(docs: DataFrame) -> bool:
+    return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, terms (array<struct<word, tf>>): the words of each text, counted inside its row."""
     rows = docs.select("doc_id", F.coalesce(F.sort_array(_words()), F.array().cast("array<string>")).alias("w"))
@@ -108,7 +112,7 @@ def tfidf_terms(docs: DataFrame, top: int = 5, most_bytes: int = 32 << 20) -> Da
         found = tf.crossJoin(n)
     else:
         n = docs.count()
-        if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows of one id are one document
+        if _repeated(docs):  # rows of one id are one document
             docs = docs.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
         terms = written(term_counts(docs), "terms")
         df = written(terms.select(F.explode("terms.word").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "frequencies")
@@ -141,12 +145,30 @@ def concept_context(name: Column, parts: Column, most: int = 200) -> Column:
 def extractive(docs: DataFrame) -> DataFrame:
     """docs (src_id, doc_id, title, type, text) with one_line, key_points, detailed_summary, concepts; explanations are looked for in the whole text."""
     found = tfidf_terms(docs).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("names"))
-    rows = docs.join(found, "doc_id", "left").withColumns({"s": sentences(F.col("text")), "parts": context_parts(F.col("text")), "detailed_summary": F.left("text", F.lit(1500))})
+    rows = docs.join(found, "doc_id", "left").withColumns({"s": sentences(F.col("text")), "parts": context_parts(F.col("text"))})
     concepts = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), concept_context(n, F.col("parts")).alias("explanation")))
-    return rows.select(
-        "src_id", "doc_id", "title", "type", "text", F.coalesce(F.get("s", F.lit(0)), F.lit("")).alias("one_line"),
-        F.slice(F.filter("s", lambda x: F.length(x) >= 15), 1, 5).alias("key_points"), "detailed_summary", concepts.alias("concepts"),
-    )
+    return rows.select("src_id", "doc_id", "title", "type", "text", *_extracts(), concepts.alias("concepts"))
+
+
+def _extracts() -> tuple[Column, ...]:
+    """What is taken from a text and its sentences `s`."""
+    points = F.slice(F.filter("s", lambda x: F.length(x) >= 15), 1, 5)
+    return F.coalesce(F.get("s", F.lit(0)), F.lit("")).alias("one_line"), points.alias("key_points"), F.left("text", F.lit(1500)).alias("detailed_summary")
+
+
+def outlined(docs: DataFrame, top: int = 5) -> DataFrame:
+    """What `extractive` gives, with the number of concepts (n_concepts) in place of them.
+
+    A document has as many concepts as it has different words, `top` at most, so the number needs no
+    frequencies of the corpus: it is counted inside the text's row, and nothing is shuffled.
+    """
+    words = F.array_distinct(_words())
+    rows = docs.withColumns({"s": sentences(F.col("text")), "n_words": F.size(words)})
+    if _repeated(docs):  # rows of one id are one document
+        whole = docs.groupBy("doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list(words)))).alias("n_words"))
+        rows = rows.drop("n_words").join(whole, "doc_id")
+    number = F.least(F.coalesce("n_words", F.lit(0)), F.lit(top))
+    return rows.select("src_id", "doc_id", "title", "type", "text", *_extracts(), F.greatest(number, F.lit(0)).alias("n_concepts"))
 
 
 def merged(parts: DataFrame) -> DataFrame:

@@ -64,11 +64,11 @@ def any_of(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike("|".join(map(re.escape, words)))
 
 
-def dimensions() -> dict[str, Column]:
-    """Points of each dimension of a compiled row; `overflow` is what a very long summary loses."""
+def dimensions(named: Column | None = None) -> dict[str, Column]:
+    """Points of each dimension of a compiled row; `overflow` is what a very long summary loses. named: the number of concepts, where they are not there by name."""
     low, n, line = F.lower("detailed_summary"), F.length("detailed_summary"), F.length("one_line")
     filled = F.size(F.filter("key_points", lambda k: F.trim(k) != ""))
-    named = F.size(F.filter("concepts", lambda c: F.trim(c["name"]) != ""))
+    named = F.size(F.filter("concepts", lambda c: F.trim(c["name"]) != "")) if named is None else named
     return {
         "detail_length": tier(n, "detail_length"),
         "key_points": tier(filled, "key_points"),
@@ -81,9 +81,9 @@ def dimensions() -> dict[str, Column]:
     }
 
 
-def score() -> Column:
-    """Quality of a compiled row, 0 to 100."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), reduce(add, dimensions().values())))
+def score(named: Column | None = None) -> Column:
+    """Quality of a compiled row, 0 to 100 (see dimensions)."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), reduce(add, dimensions(named).values())))
 
 
 def scored(compiled: DataFrame, plugins: Registry) -> DataFrame:

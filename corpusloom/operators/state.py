@@ -33,10 +33,14 @@ def compiled_state(compiled: DataFrame, wiki: int, curated: int) -> DataFrame:
     Texts that are too short and rows without key points fail; a later copy of a text stays ingested;
     the score of the others decides how far they are promoted.
     """
-    score, first = Q.score(), F.col("first_id") == F.col("doc_id")
     same = compiled.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("first_id"))
-    rows = compiled.withColumn("content_hash", F.sha2("text", 256)).join(same, "content_hash").withColumn("quality_score", score)
-    short, empty = ~meaningful(F.col("text")), F.size("key_points") == 0
+    rows = compiled.withColumn("content_hash", F.sha2("text", 256)).join(same, "content_hash").withColumn("quality_score", Q.score())
+    return _with_status(rows, ~meaningful(F.col("text")), F.size("key_points") == 0, wiki, curated)
+
+
+def _with_status(rows: DataFrame, short: Column, empty: Column, wiki: int, curated: int) -> DataFrame:
+    """rows (doc_id, first_id, quality_score) with status, error_message, promoted_to."""
+    first = F.col("first_id") == F.col("doc_id")
     good = F.when(F.col("quality_score") >= curated, "promoted").when(F.col("quality_score") >= wiki, "promoted_to_wiki").otherwise("compiled")
     status = F.when(short, "failed").when(~first, "ingested").when(empty, "failed").otherwise(good)
     rows = rows.withColumn("status", status)
@@ -45,6 +49,23 @@ def compiled_state(compiled: DataFrame, wiki: int, curated: int) -> DataFrame:
     return rows.withColumns({"error_message": error, "promoted_to": layer})
 
 
+def outlined_state(outlines: DataFrame, wiki: int, curated: int) -> DataFrame:
+    """compiled_state of outlined rows, without what was compiled: src_id, doc_id, type, n_chars, size_bytes, n_concepts, status, error_message, quality_score, promoted_to, and title and text of failed rows alone.
+
+    Texts meet their copies by their digests, so that no text is shuffled but of rows that may fail.
+    """
+    short, empty = ~meaningful(F.col("text")), F.size("key_points") == 0
+    kept = lambda c: F.when(short | empty, F.col(c)).alias(c)
+    facts = outlines.select(
+        "src_id", "doc_id", "type", F.length("text").alias("n_chars"), F.octet_length("text").cast("long").alias("size_bytes"), "n_concepts", kept("title"), kept("text"),
+        short.alias("short"), empty.alias("empty"), Q.score(F.col("n_concepts")).alias("quality_score"), F.sha2("text", 256).alias("content_hash"),
+    )
+    same = outlines.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("first_id"))
+    rows = _with_status(facts.join(same, "content_hash"), F.col("short"), F.col("empty"), wiki, curated)
+    failed = F.col("status") == "failed"
+    return rows.drop("short", "empty", "first_id", "content_hash").withColumns({c: F.when(failed, F.col(c)) for c in ("title", "text")})
+
+
 def failure_route(error: Column, kind: Column, extension: Column) -> Column:
     """Which recovery a failed source goes to: ebook, pdf, other or llm; null for those that none is made for."""
     low, none = F.lower(extension), error.contains("no_text")
@@ -64,8 +85,9 @@ def recoverable(failed: DataFrame, mode: str = "all", error: str | None = None)
 
 
 def missing_concepts(compiled: DataFrame) -> DataFrame:
-    """Compiled sources without any concept."""
-    return compiled.where((F.col("status") == "compiled") & (F.size(F.coalesce("concepts", F.array().cast("array<struct<name:string,explanation:string>>"))) == 0))
+    """Compiled sources without any concept; rows with the concepts themselves, or with their number (n_concepts)."""
+    number = F.col("n_concepts") if "n_concepts" in compiled.columns else F.size(F.coalesce("concepts", F.array().cast("array<struct<name:string,explanation:string>>")))
+    return compiled.where((F.col("status") == "compiled") & (number == 0))
 
 
 def failed_media(manifests: DataFrame) -> DataFrame:

@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 from corpusloom.operators import lifecycle as L
 from corpusloom.operators import quality as Q
 from corpusloom.operators import segment as S
-from corpusloom.plans.compile_queries import CURATED, MAN, PROV, TRUST, WIKI, compiled, manifests
+from corpusloom.plans.compile_queries import CURATED, MAN, PROV, TRUST, WIKI, compiled, manifests, states
 from corpusloom.plans.manifest_queries import sources
 from corpusloom.plans.registry import query, table
 
 
 @query(f"WITH {MAN} SELECT src_id, quality_score, 'promoted_to_wiki' AS status, 'wiki' AS promoted_to FROM man WHERE status = 'compiled' AND quality_score >= 55")
 def batch_promote(spark, sf_dir):
-    return L.promoted(manifests(spark, sf_dir), "wiki", 55)
+    return L.promoted(states(spark, sf_dir), "wiki", 55)
 
 
 @query(f"WITH {MAN} SELECT src_id, quality_score, 'promoted' AS status, 'curated' AS promoted_to FROM man WHERE status = 'promoted_to_wiki' AND quality_score >= 60 ORDER BY quality_score DESC, src_id LIMIT 20")
 def promote_to_curated(spark, sf_dir):
     """The best 20: the batch size is the feature."""
-    return L.promoted(manifests(spark, sf_dir), "curated", 60, 20)
+    return L.promoted(states(spark, sf_dir), "curated", 60, 20)
 
 
 @query(f"""WITH {MAN} SELECT src_id, status AS was, CASE status WHEN 'promoted' THEN 'promoted_to_wiki' ELSE 'compiled' END AS status, 'score ' || quality_score || ' < 65' AS reason
 FROM man WHERE status IN ('promoted', 'promoted_to_wiki') AND quality_score < 65""")
 def auto_downgrade(spark, sf_dir):
-    return L.downgraded(manifests(spark, sf_dir), 65)
+    return L.downgraded(states(spark, sf_dir), 65)
 
 
 @query(f"""WITH {MAN}, art AS (SELECT src_id, title || CASE WHEN doc_id % 3 = 0 THEN '_1' ELSE '' END AS stem FROM man WHERE status <> 'failed'), t AS (SELECT DISTINCT title FROM man WHERE status IN ('promoted_to_wiki', 'promoted'))
@@ -44,7 +44,7 @@ CONFIG = f"CASE WHEN status = 'failed' THEN NULL WHEN length(text) > 1500 THEN '
 
 @query(f"WITH {MAN} SELECT src_id, CASE WHEN {CONFIG} IS NULL THEN 'no_config' WHEN {CONFIG} = '{NOW}' THEN 'up_to_date' ELSE 'stale' END AS state FROM man")
 def stale_detection(spark, sf_dir):
-    return L.staleness(manifests(spark, sf_dir).select("src_id", F.expr(CONFIG).alias("config")), NOW)
+    return L.staleness(states(spark, sf_dir).select("src_id", F.expr(CONFIG.replace("length(text)", "n_chars")).alias("config")), NOW)
 
 
 VERSIONS = "SELECT src_id, v AS version, CAST((doc_id * 13 + v * 29) % 101 AS INT) AS score FROM man, (VALUES (1), (2), (3)) AS t(v)"
@@ -52,7 +52,7 @@ VERSIONS = "SELECT src_id, v AS version, CAST((doc_id * 13 + v * 29) % 101 AS IN
 
 @query(f"WITH {MAN}, ver AS ({VERSIONS}), l AS (SELECT *, lag(score) OVER (PARTITION BY src_id ORDER BY version) AS before FROM ver) SELECT src_id, version, score, before, coalesce(before - score > 10, false) AS rolled_back FROM l")
 def quality_rollback(spark, sf_dir):
-    rows = manifests(spark, sf_dir).select("src_id", "doc_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("version"))
+    rows = states(spark, sf_dir).select("src_id", "doc_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("version"))
     return L.rolled_back(rows.select("src_id", "version", ((F.col("doc_id") * 13 + F.col("version") * 29) % 101).cast("int").alias("score")))
 
 
@@ -83,7 +83,7 @@ def recovery_outcomes(spark, sf_dir):
     """Failed sources tried again: risky titles left out, text chosen and rewritten, outcomes counted by method."""
     from corpusloom.functions.text import rewrite_terms
 
-    rows = manifests(spark, sf_dir).where((F.col("status") == "failed") & ~F.lower("title").contains("idiot"))
+    rows = states(spark, sf_dir).where((F.col("status") == "failed") & ~F.lower("title").contains("idiot"))
     method = F.when(F.length("text") < 100, "no_text").when(F.col("error_message").contains("llm_failed"), "sanitised").otherwise("original")
     clean = rewrite_terms(F.col("text"), {"idiot": "***", "moron": "***", "scum": "***"})
     return rows.groupBy(method.alias("method")).agg(F.count("*").alias("n"), F.sum(F.length(clean)).alias("chars"))

@@ -465,3 +465,28 @@ def test_contexts_are_looked_for_once(spark):
     """A name without blanks is not looked for twice, and what was found is not worked out again."""
     plan = spark.range(1).select(C.concept_context(F.lit("x").alias("n"), F.array(F.lit("a x"))).alias("c"))._jdf.queryExecution().logical().toString()
     assert plan.lower().count("contains(") <= 4
+
+
+def test_states_without_what_was_compiled(spark):
+    """The narrow state is that of the compiled rows, also where rows share an id, a text or have few words; texts are outlined where they are, and the queries ask for no compiled table."""
+    from corpusloom.plans import registry
+    from corpusloom.sources import store
+
+    long = "学习方法，很重要。" + "Some words that are told apart by their letters. " * 40
+    texts = [long, long, "", None, "short text", "x " * 80, "word " * 40 + ". word", "four five sixty seven eight nines. " * 9, "one two Drei. " * 30, "Ünïted words and words here to be seen. " * 12]
+    rows = [(f"SRC-{i:04d}", i, "" if t is None else t[:9], "a", t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "src_id string, doc_id long, title string, type string, text string")
+    plain = ["src_id", "doc_id", "type", "status", "error_message", "quality_score", "promoted_to"]
+    shown = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    for d in (docs, docs.union(spark.createDataFrame([("SRC-0008", 8, "t", "a", "another second third. " * 20)], docs.schema))):
+        full, lean = T.compiled_state(C.extractive(d), 40, 60), T.outlined_state(C.outlined(d), 40, 60)
+        failed = lambda c: F.when(F.col("status") == "failed", F.col(c))
+        want = shown(full.select(*plain, F.size("concepts"), F.length("text"), failed("title"), failed("text")))
+        assert want == shown(lean.select(*plain, "n_concepts", "n_chars", "title", "text"))
+        assert len({r[3] for r in want}) > 2
+        assert shown(T.missing_concepts(lean).select("src_id")) == shown(T.missing_concepts(full).select("src_id"))
+    assert "Exchange" not in run_plan(C.outlined(docs))
+    store.forget(spark)
+    registry.QUERIES["reset_failed"](spark, SMALL).count()
+    names = {name for app, name in store._made if app == spark.sparkContext.applicationId}
+    assert names == {f"states {SMALL}"}
