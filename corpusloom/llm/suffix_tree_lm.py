@@ -15,7 +15,7 @@ follow. In the first, a block sends the codes of its runs and its counts, packed
 a task adds up one range over all blocks and answers each block, in the order in which it asked, with
 the runs' counts in the whole corpus and which of them the block is to speak for. In the second,
 blocks send for each of their contexts the sums over the followers that they speak for, and are told
-whether it is a state, and its weight. A run is asked for only if its parts occur often enough by
+whether it is a state, and its weight. Answers are added to one table, bucketed as the blocks are. A run is asked for only if its parts occur often enough by
 themselves. A block sends a run or context once however often it has it, so none is a hot spot.
 
 Words and runs are told apart by 64-bit hashes; two that share one are counted together.
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold_of, new_path, partitions, small_batches, written
+from corpusloom.llm.common import fold_of, new_path, partitions, small_batches
 
 #: Words hold no newline, so this stands for the end of a text.
 END = b"\n"
@@ -310,10 +310,16 @@ def scored(texts: DataFrame, depth: int = 2, least_count: int = 2, least_context
     """texts (doc_id, held_out, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learnt from the texts that are not held out."""
     spark = texts.sparkSession
     small_batches(spark, 1000)
-    n, name, path = partitions(spark), f"corpusloom_blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
-    # Bucketed as groups by block are dealt: no stage moves the texts again.
-    cut_blocks(texts, block_tokens).write.bucketBy(n, "block").option("compression", "zstd").option("path", path).saveAsTable(name)
-    blocks = spark.table(name)
+    n, tag = partitions(spark), uuid.uuid4().hex
+
+    def put(rows: DataFrame, kind: str) -> str:
+        """Add rows to a table that is bucketed as groups by block are dealt: what it holds is not moved again by any step."""
+        name = f"corpusloom_{kind}_{tag}"
+        rows.write.mode("append").bucketBy(n, "block").option("compression", "zstd").option("path", paths[kind]).saveAsTable(name)
+        return name
+
+    paths = {kind: new_path(spark, kind) for kind in ("blocks", "told")}
+    blocks = spark.table(put(cut_blocks(texts, block_tokens), "blocks"))
     count, train = blocks.agg(F.count("*"), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
     settings = Settings(depth, least_count, least_context, discount, least_bits, max(n, count // 4))
     settings.train_tokens = train
@@ -323,20 +329,23 @@ def scored(texts: DataFrame, depth: int = 2, least_count: int = 2, least_context
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_pylist(Block(row, None, settings).ask_words(), schema=_ASKED)
 
-    def answered(asked: DataFrame, tag: str) -> DataFrame:
-        return written(asked.groupBy("kind", "length", "bucket").applyInArrow(lambda t: told_of(t, settings), TOLD), tag)
+    def answered(asked: DataFrame) -> DataFrame:
+        """Everything told so far, the answers to these questions among it; they are dealt by block once, as they are written."""
+        told = asked.groupBy("kind", "length", "bucket").applyInArrow(lambda t: told_of(t, settings), TOLD)
+        name = put(told.repartition(n, "block"), "told")
+        spark.catalog.refreshTable(name)
+        return spark.table(name)
 
     def step(told: DataFrame, f: Callable[[Block], pa.Table], schema: str) -> DataFrame:
         def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
             return f(Block(rows.to_pylist()[0], answers, settings)) if rows.num_rows else empty
 
         empty = pa.table({c.name: pa.array([], c.type) for c in (_ASKED if schema == ASKED else _SCORED)})
-        return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+        return blocks.groupBy("block").cogroup(told.where(F.col("block") != ALL).groupBy("block")).applyInArrow(run, schema)
 
-    told = answered(blocks.mapInArrow(words, ASKED), "told-words")
+    told = answered(blocks.mapInArrow(words, ASKED))
     of_ranges = told.where(F.col("block") == ALL).select("told").toArrow().column("told").to_pylist()  # a number for each range of codes
     settings.distinct = int(sum(from_planes(x)[0] for x in of_ranges))
-    told = told.where(F.col("block") != ALL)
     for length in range(1, depth + 2):
 
         def ask(block: Block, length: int = length) -> pa.Table:
@@ -345,7 +354,7 @@ def scored(texts: DataFrame, depth: int = 2, least_count: int = 2, least_context
             rows += block.ask_contexts(length - 1) if length > 1 else []
             return pa.Table.from_pylist(rows, schema=_ASKED)
 
-        told = told.union(answered(step(told, ask, ASKED), f"told-{length}"))
+        told = answered(step(told, ask, ASKED))
 
     def final(block: Block) -> pa.Table:
         block.levels(depth, depth)

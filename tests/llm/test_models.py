@@ -228,3 +228,9 @@ def test_packed_word_numbers(spark):
     assert block.words.tolist() == sorted(M.word_hashes([*{*flat}]).tolist()) and block.words[block.ids].tolist() == M.word_hashes(flat).tolist()
     stored = M.unpacked_ids(row.ids)
     assert [flat[int(k)] for k in np.flatnonzero(stored < 2)] == [w for w in flat if w in (b"b", M.END)]
+
+
+def test_suffix_tree_answers_meet_their_blocks_where_they_are(docs):
+    """What blocks were told is bucketed as they are: the last step moves neither, and only the questions and answers of each step were dealt."""
+    plan = M.score(docs, F.lit(False), block_tokens=300)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("Bucketed: true") == 2 and "Exchange" not in plan
