@@ -18,7 +18,10 @@ blocks send for each of their contexts the sums over the followers that they spe
 whether it is a state, and its weight. Answers are added to one table, bucketed as the blocks are. A run is asked for only if its parts occur often enough by
 themselves. A block sends a run or context once however often it has it, so none is a hot spot.
 
-Words and runs are told apart by 64-bit hashes; two that share one are counted together.
+Words are told apart by 64-bit hashes; two that share one are counted together. With its count a word
+that may be in a run, or a run that may be a context, is told a number of its own, smaller the more
+often it occurs. A run is named by the numbers of its context and its last word, and a context by its
+number, which take less than half of what hashes take.
 
 Cases: a null or empty text is its end alone; rows that repeat count and are scored each; a null
 doc_id is kept; an unknown word has count 0; without training texts every probability is that of an
@@ -45,9 +48,10 @@ from corpusloom.llm.common import fold_of, new_path, partitions, small_batches
 END = b"\n"
 WORDS, RUNS, CONTEXTS = 0, 1, 2  # what is asked about
 ALL = -1  # the block that stands for the whole corpus
+HALF, LOW = np.uint64(32), np.uint64((1 << 32) - 1)  # a run's name: its context's number above its last word's
 BLOCK = "block long, train_tokens long, doc_ids binary, no_ids binary, held_out binary, lengths binary, words binary, ids binary"
 ASKED = "kind int, length int, bucket int, block long, codes binary, at binary, sums binary"
-TOLD = "block long, kind int, length int, bucket int, told binary"
+TOLD = "block long, kind int, length int, bucket int, told binary, ids binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -60,11 +64,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Code of a run from the code of its context and the hash of its last word."""
-    x = context * np.uint64(0x9E3779B97F4A7C15) + word
+def dealt(names: np.ndarray, buckets: int) -> np.ndarray:
+    """The range that each run falls to, by a hash of its name."""
+    x = names * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    return (((x ^ (x >> np.uint64(32))) & LOW) * np.uint64(buckets)) >> HALF
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -148,6 +152,10 @@ class Settings:
         self.depth, self.least_count, self.least_context, self.discount, self.least_bits, self.buckets = depth, least_count, least_context, discount, least_bits, buckets
         self.train_tokens = self.distinct = 0
 
+    def least(self, kind: int) -> int:
+        """Occurrences from which a word or run has a number."""
+        return min(self.least_count, self.least_context) if kind == WORDS else self.least_context
+
     def root(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the smoothed share of symbols with these counts."""
         return np.log10((counts + 0.5) / (self.train_tokens + 0.5 * (self.distinct + 1)))
@@ -166,8 +174,10 @@ class Block:
         self.train = ~self.held_out[self.doc]
         self.end = int(np.searchsorted(self.words, word_hashes([END])[0]))
         self.told: dict[tuple[int, int], list] = {}
+        self.told_ids: dict[tuple[int, int], list] = {}
         for r in sorted(told.to_pylist(), key=lambda r: r["bucket"]) if told is not None else ():
             self.told.setdefault((r["kind"], r["length"]), []).append(from_planes(r["told"], "<f8" if r["kind"] == CONTEXTS else "<u8"))
+            self.told_ids.setdefault((r["kind"], r["length"]), []).append(from_planes(r["ids"]))
 
     def answer(self, kind: int, length: int, order: np.ndarray) -> np.ndarray:
         """What was told of the codes that were asked for in this order, back in their own."""
@@ -176,12 +186,28 @@ class Block:
         out[order] = np.concatenate(found) if found else out[:0]
         return out
 
+    def numbers(self, kind: int, length: int, order: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The numbers of the codes that occur often enough to have one; 0 for the others."""
+        found = self.told_ids.get((kind, length), [])
+        out = np.zeros(len(order), np.uint64)
+        if found and (kind == WORDS or length < self.settings.depth):
+            out[order[counts[order] >= self.settings.least(kind)]] = np.concatenate(found)
+        return out
+
     def ask(self, kind: int, length: int, codes: np.ndarray, order: np.ndarray, at: np.ndarray, sums: np.ndarray) -> list[dict]:
-        """Rows of one question, a row per range of codes: the sorted codes, and what is known of those at these places (of contexts) or of each (their counts)."""
+        """Rows of one question, a row per range of codes: the codes in `order` (by range, then by code), and what is known of those at these places (of contexts) or of each (their counts); of runs `at` has the last words' numbers."""
         codes, s = codes[order], self.settings
-        width = (1 << 64) // s.buckets + 1
-        cuts = np.searchsorted(codes, np.array([width * b for b in range(1, s.buckets)], np.uint64))
+        if kind == WORDS:
+            width = (1 << 64) // s.buckets + 1
+            cuts = np.searchsorted(codes, np.array([width * b for b in range(1, s.buckets)], np.uint64))
+        else:
+            cuts = np.searchsorted(dealt(codes, s.buckets) if kind == RUNS else codes % np.uint64(s.buckets), np.arange(1, s.buckets, dtype=np.uint64))
         inner = np.searchsorted(at, cuts) if kind == CONTEXTS else cuts
+        if kind == RUNS:
+            return [
+                {"kind": kind, "length": length, "bucket": b, "block": self.name, "codes": planes(np.diff(codes[i:j] >> HALF, prepend=np.uint64(0))), "at": planes(codes[i:j] & LOW), "sums": planes(sums[i:j])}
+                for b, (i, j) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(codes)], strict=True)) if j > i
+            ]
         bounds = zip([0, *cuts.tolist()], [*cuts.tolist(), len(codes)], [0, *inner.tolist()], [*inner.tolist(), len(sums)], strict=True)
         return [
             {"kind": kind, "length": length, "bucket": b, "block": self.name, "codes": planes(np.diff(codes[i:j], prepend=np.uint64(0))), "at": planes(at[k:m] - i), "sums": planes(sums[k:m].T.ravel())}
@@ -199,7 +225,8 @@ class Block:
         """
         s = self.settings
         counts = (self.answer(WORDS, 0, np.arange(len(self.words))) >> np.uint64(1)).astype(np.int64)
-        self.counts, run, codes = counts, self.ids, self.words
+        self.counts, run, ids = counts, self.ids, self.numbers(WORDS, 0, np.arange(len(counts)), counts)
+        words, buckets = ids, np.uint64(s.buckets)
         self.base = logs = s.root(counts)[self.ids]
         begins = np.append(0, np.flatnonzero(self.ids[:-1] == self.end) + 1)
         self.order: dict[int, dict] = {}
@@ -217,18 +244,19 @@ class Block:
             ok = np.flatnonzero((own >= 0) & often[run])
             key, first, inverse = distinct(own[ok] * len(self.words) + self.ids[ok])
             holder = key // max(len(self.words), 1)
-            run_codes = mixed(codes[known][holder], self.words[key - holder * len(self.words)])
-            by_code, total = np.argsort(codes[known]), counts[known].astype(float)
+            contexts = ids[known]
+            names = (contexts[holder] << HALF) | words[key - holder * len(self.words)]
+            by_code, total = np.lexsort((contexts, contexts % buckets)), counts[known].astype(float)
             run = np.full(len(run), -1)
             run[ok] = inverse
-            here = {"contexts": codes[known], "by_code": by_code, "total": total, "holder": holder, "first": ok[first], "codes": run_codes, "order": np.argsort(run_codes), "logs": logs}
+            here = {"contexts": contexts, "by_code": by_code, "total": total, "holder": holder, "first": ok[first], "codes": names, "order": np.lexsort((names, dealt(names, s.buckets))), "logs": logs}
             self.order[length] = here
             if (RUNS, length) not in self.told and len(key) and length == upto:
                 here["local"] = np.bincount(inverse, self.train[ok], len(key))
                 return  # these are to be asked for
             answer = self.answer(RUNS, length, here["order"])
             here["counts"], here["mine"] = (answer >> np.uint64(1)).astype(np.int64), (answer & np.uint64(1)).astype(bool)
-            counts, codes = here["counts"], run_codes
+            counts, ids = here["counts"], self.numbers(RUNS, length, here["order"], here["counts"])
             if length <= weights:
                 weight = self.answer(CONTEXTS, length, by_code)
                 state = ~np.isnan(weight)
@@ -269,7 +297,9 @@ def told_of(asked: pa.Table, settings: Settings) -> pa.Table:
     """Answers to all blocks' questions about one range of codes."""
     rows = sorted(asked.to_pylist(), key=lambda r: r["block"])
     kind, length, bucket = (rows[0][c] for c in ("kind", "length", "bucket"))
-    codes = [np.cumsum(from_planes(r["codes"])) for r in rows]
+    codes = [np.cumsum(from_planes(r["codes"]), dtype=np.uint64) for r in rows]
+    if kind == RUNS:
+        codes = [(c << HALF) | from_planes(r["at"]) for c, r in zip(codes, rows, strict=True)]
     sizes = [len(c) for c in codes]
     codes, start = np.concatenate(codes), np.append(0, np.cumsum(sizes))
     order = np.argsort(codes, kind="stable")
@@ -290,17 +320,24 @@ def told_of(asked: pa.Table, settings: Settings) -> pa.Table:
             state = (followers > 0) & (total * (bits + left * np.log2(left / rest)) >= settings.least_bits)
             # Rounded to what a 4-byte number holds: the other bytes pack to nothing.
             out = np.where(state, np.log10(left / rest), np.nan).astype(np.float32).astype(np.float64)[group]
-        out = [planes(out[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)]
+        out, ids = [planes(out[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)], [planes(out[:0])] * len(rows)
     else:
         counts = np.bincount(group, np.concatenate([from_planes(r["sums"]) for r in rows]), n).astype(np.uint64)
         first = np.zeros(len(codes), np.uint64)
         first[order[begins]] = 1
         out = (counts[group] << np.uint64(1)) | first
         out = [planes(out[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)]
+        often = np.flatnonzero(counts >= settings.least(kind)) if kind == WORDS or length < settings.depth else group[:0]
+        often = often[np.argsort(-counts[often].astype(np.int64), kind="stable")]
+        if len(often) * settings.buckets > int(LOW):
+            raise ValueError("more numbers of words or runs than 32 bits hold")
+        number, has = np.zeros(n, np.uint64), np.zeros(n, bool)
+        number[often], has[often] = np.arange(len(often)) * settings.buckets + bucket, True
+        ids = [planes(number[g[has[g]]]) for g in np.split(group, start[1:-1])]
     blocks = [r["block"] for r in rows]
     if kind == WORDS:
-        blocks, out = [*blocks, ALL], [*out, planes(np.array([(counts > 0).sum()]))]
-    return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([kind] * len(out), pa.int32()), "length": pa.array([length] * len(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "told": pa.array(out, pa.binary())})
+        blocks, out, ids = [*blocks, ALL], [*out, planes(np.array([(counts > 0).sum()]))], [*ids, planes(number[:0])]
+    return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([kind] * len(out), pa.int32()), "length": pa.array([length] * len(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "told": pa.array(out, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
 
 _ASKED = pa.schema([("kind", pa.int32()), ("length", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("codes", pa.binary()), ("at", pa.binary()), ("sums", pa.binary())])
