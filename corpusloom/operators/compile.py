@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import cut, sentences, strip
+from corpusloom.functions.text import cut, first_sentences, strip
 from corpusloom.operators.retrieval import spread
 from corpusloom.plugins import Registry
 from corpusloom.sources.store import written
@@ -22,13 +22,15 @@ from corpusloom.sources.store import written
 DEFAULT_EXPLANATION = "（详细解释请参阅原文）"
 # Fixed value: the section of chunks without a title.
 NO_SECTION = "未分类"
+# How many key points a summary has at most, and a key point's letters at least.
+POINTS, POINT_LETTERS = 5, 15
 #: What every task is told of document frequencies: those of so many words, and two numbers for each bucket of the others by hash (a power of two).
 FREQUENT, BUCKETS = 1 << 18, 1 << 20
 
 
-def _words() -> Column:
+def _words(text: Column | None = None) -> Column:
     """array<string>: the words of four letters or more of `text`."""
-    return F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}+"), F.lit(0))
+    return F.regexp_extract_all(F.lower("text" if text is None else text), F.lit(r"\p{L}{4,}+"), F.lit(0))
 
 
 def _repeated(docs: DataFrame) -> bool:
@@ -145,14 +147,19 @@ def concept_context(name: Column, parts: Column, most: int = 200) -> Column:
 def extractive(docs: DataFrame) -> DataFrame:
     """docs (src_id, doc_id, title, type, text) with one_line, key_points, detailed_summary, concepts; explanations are looked for in the whole text."""
     found = tfidf_terms(docs).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("names"))
-    rows = docs.join(found, "doc_id", "left").withColumns({"s": sentences(F.col("text")), "parts": context_parts(F.col("text"))})
+    rows = docs.join(found, "doc_id", "left").withColumns({"s": _first(), "parts": context_parts(F.col("text"))})
     concepts = F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), concept_context(n, F.col("parts")).alias("explanation")))
     return rows.select("src_id", "doc_id", "title", "type", "text", *_extracts(), concepts.alias("concepts"))
 
 
+def _first() -> Column:
+    """The sentences that _extracts needs."""
+    return first_sentences(F.col("text"), POINTS, POINT_LETTERS)
+
+
 def _extracts() -> tuple[Column, ...]:
     """What is taken from a text and its sentences `s`."""
-    points = F.slice(F.filter("s", lambda x: F.length(x) >= 15), 1, 5)
+    points = F.slice(F.filter("s", lambda x: F.length(x) >= POINT_LETTERS), 1, POINTS)
     return F.coalesce(F.get("s", F.lit(0)), F.lit("")).alias("one_line"), points.alias("key_points"), F.left("text", F.lit(1500)).alias("detailed_summary")
 
 
@@ -160,10 +167,13 @@ def outlined(docs: DataFrame, top: int = 5) -> DataFrame:
     """What `extractive` gives, with the number of concepts (n_concepts) in place of them.
 
     A document has as many concepts as it has different words, `top` at most, so the number needs no
-    frequencies of the corpus: it is counted inside the text's row, and nothing is shuffled.
+    frequencies of the corpus: it is counted inside the text's row, and nothing is shuffled. Where a
+    text's first 1000 letters hold more than enough, the rest is not cut into words. (Two more than
+    `top`: a beginning may end in a part of a word, or after a sigma that is no word's last letter.)
     """
     words = F.array_distinct(_words())
-    rows = docs.withColumns({"s": sentences(F.col("text")), "n_words": F.size(words)})
+    many = F.size(F.array_distinct(_words(F.left("text", F.lit(1000))))) >= top + 2
+    rows = docs.withColumns({"s": _first(), "n_words": F.when(many, top).otherwise(F.size(words))})
     if _repeated(docs):  # rows of one id are one document
         whole = docs.groupBy("doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list(words)))).alias("n_words"))
         rows = rows.drop("n_words").join(whole, "doc_id")

@@ -490,3 +490,25 @@ def test_states_without_what_was_compiled(spark):
     registry.QUERIES["reset_failed"](spark, SMALL).count()
     names = {name for app, name in store._made if app == spark.sparkContext.applicationId}
     assert names == {f"states {SMALL}"}
+
+
+def test_state_step_cuts_texts_no_further_than_it_needs(spark):
+    """Where a text's beginning holds enough sentences and words the rest is not cut, and what is taken is that of the whole text, wherever the beginning ends."""
+    import random
+
+    from corpusloom.functions.text import first_sentences, sentences
+
+    rng, bits = random.Random(7), ["a", "bc", "word", "Σοφος", "ΟΔΟΣ'", "İstanbul", "ʰʰʰʰ", ".", "!", "?", "...", "。", "！", "\n", " ", "\t", "’", "𝐱𝐲𝐳𝐱", "longer phrases here", "ß"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(60))) for _ in range(400)] + ["", None, "." * 30, "same words " * 200, "One sentence is like the next. " * 5000]
+    docs = spark.createDataFrame([(f"SRC-{i:04d}", i, "t", "a", t) for i, t in enumerate(texts)], "src_id string, doc_id long, title string, type string, text string").cache()
+    whole, long = sentences(F.col("text")), lambda c: F.slice(F.filter(c, lambda x: F.length(x) >= 6), 1, 2)
+    for head in (1, 7, 20, 60):
+        part = first_sentences(F.col("text"), 2, 6, head)
+        assert docs.where(~F.get(part, F.lit(0)).eqNullSafe(F.get(whole, F.lit(0))) | ~long(part).eqNullSafe(long(whole))).count() == 0
+    assert docs.where("doc_id = 404").select(F.size(first_sentences(F.col("text"), 5, 15)), F.size(whole)).first() == (33, 5000)
+    padded = docs.withColumn("text", F.concat(F.lit(" " * 960), "text"))  # the first 1000 letters end inside the made part
+    for d in (docs, padded):
+        full = d.select("doc_id", F.least(F.lit(5), F.coalesce(F.size(F.array_distinct(C._words())), F.lit(0))).alias("n"))
+        assert C.outlined(d).join(full, "doc_id").where("n_concepts <> n").count() == 0
+    plan = run_plan(C.outlined(docs))
+    assert "CASE WHEN (size(array_distinct(regexp_extract_all(lower(substring(text" in plan.replace("left(", "substring(")
