@@ -16,7 +16,9 @@ a task adds up one range over all blocks and answers each block, in the order in
 the runs' counts in the whole corpus and which of them the block is to speak for. In the second,
 blocks send for each of their contexts the sums over the followers that they speak for, and are told
 whether it is a state, and its weight. Answers are added to one table, bucketed as the blocks are. A run is asked for only if its parts occur often enough by
-themselves. A block sends a run or context once however often it has it, so none is a hot spot.
+themselves. A block sends a run or context once however often it has it, so none is a hot spot. With
+the counts a block is told the numbers, within the range, of those that occur often enough for a
+context. It names contexts by them, which takes a byte or two where a hash takes six.
 
 Words and runs are told apart by 64-bit hashes; two that share one are counted together.
 
@@ -47,7 +49,7 @@ WORDS, RUNS, CONTEXTS = 0, 1, 2  # what is asked about
 ALL = -1  # the block that stands for the whole corpus
 BLOCK = "block long, train_tokens long, doc_ids binary, no_ids binary, held_out binary, lengths binary, words binary, ids binary"
 ASKED = "kind int, length int, bucket int, block long, codes binary, at binary, sums binary"
-TOLD = "block long, kind int, length int, bucket int, told binary"
+TOLD = "block long, kind int, length int, bucket int, told binary, numbers binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -166,8 +168,10 @@ class Block:
         self.train = ~self.held_out[self.doc]
         self.end = int(np.searchsorted(self.words, word_hashes([END])[0]))
         self.told: dict[tuple[int, int], list] = {}
+        self.numbers: dict[tuple[int, int], list] = {}
         for r in sorted(told.to_pylist(), key=lambda r: r["bucket"]) if told is not None else ():
             self.told.setdefault((r["kind"], r["length"]), []).append(from_planes(r["told"], "<f8" if r["kind"] == CONTEXTS else "<u8"))
+            self.numbers.setdefault((r["kind"], r["length"]), []).append(r["numbers"])
 
     def answer(self, kind: int, length: int, order: np.ndarray) -> np.ndarray:
         """What was told of the codes that were asked for in this order, back in their own."""
@@ -176,15 +180,23 @@ class Block:
         out[order] = np.concatenate(found) if found else out[:0]
         return out
 
-    def ask(self, kind: int, length: int, codes: np.ndarray, order: np.ndarray, at: np.ndarray, sums: np.ndarray) -> list[dict]:
-        """Rows of one question, a row per range of codes: the sorted codes, and what is known of those at these places (of contexts) or of each (their counts)."""
+    def numbers_of(self, kind: int, length: int, order: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The numbers in their ranges of the codes that were asked for in this order, of those that may be contexts."""
+        out = np.zeros(len(order), np.uint64)
+        found = [np.cumsum(from_planes(x), dtype=np.uint64) for x in self.numbers.get((kind, length), [])]
+        out[order[counts[order] >= self.settings.least_context]] = np.concatenate(found) if found else out[:0]
+        return out
+
+    def ask(self, kind: int, length: int, codes: np.ndarray, order: np.ndarray, at: np.ndarray, sums: np.ndarray, names: np.ndarray | None = None) -> list[dict]:
+        """Rows of one question, a row per range of codes: the sorted codes (or the names that go with them), and what is known of those at these places (of contexts) or of each (their counts)."""
         codes, s = codes[order], self.settings
         width = (1 << 64) // s.buckets + 1
         cuts = np.searchsorted(codes, np.array([width * b for b in range(1, s.buckets)], np.uint64))
         inner = np.searchsorted(at, cuts) if kind == CONTEXTS else cuts
+        sent = codes if names is None else names[order]
         bounds = zip([0, *cuts.tolist()], [*cuts.tolist(), len(codes)], [0, *inner.tolist()], [*inner.tolist(), len(sums)], strict=True)
         return [
-            {"kind": kind, "length": length, "bucket": b, "block": self.name, "codes": planes(np.diff(codes[i:j], prepend=np.uint64(0))), "at": planes(at[k:m] - i), "sums": planes(sums[k:m].T.ravel())}
+            {"kind": kind, "length": length, "bucket": b, "block": self.name, "codes": planes(np.diff(sent[i:j], prepend=np.uint64(0))), "at": planes(at[k:m] - i), "sums": planes(sums[k:m].T.ravel())}
             for b, (i, j, k, m) in enumerate(bounds) if j > i
         ]
 
@@ -221,7 +233,7 @@ class Block:
             by_code, total = np.argsort(codes[known]), counts[known].astype(float)
             run = np.full(len(run), -1)
             run[ok] = inverse
-            here = {"contexts": codes[known], "by_code": by_code, "total": total, "holder": holder, "first": ok[first], "codes": run_codes, "order": np.argsort(run_codes), "logs": logs}
+            here = {"known": known, "contexts": codes[known], "by_code": by_code, "total": total, "holder": holder, "first": ok[first], "codes": run_codes, "order": np.argsort(run_codes), "logs": logs}
             self.order[length] = here
             if (RUNS, length) not in self.told and len(key) and length == upto:
                 here["local"] = np.bincount(inverse, self.train[ok], len(key))
@@ -254,7 +266,11 @@ class Block:
         # Sums with 24 bits: the other bytes pack to nothing.
         sums = np.concatenate([whole, parts.astype(np.float32).astype(np.float64).view(np.uint64)]).T[x["by_code"]]
         at = np.flatnonzero(sums[:, 0] > 0)
-        return self.ask(CONTEXTS, length, x["contexts"], x["by_code"], at, sums[at])
+        if length == 1:
+            names = self.numbers_of(WORDS, 0, np.arange(len(self.words)), self.counts)
+        else:
+            names = self.numbers_of(RUNS, length - 1, self.order[length - 1]["order"], self.order[length - 1]["counts"])
+        return self.ask(CONTEXTS, length, x["contexts"], x["by_code"], at, sums[at], names[x["known"]])
 
     def scores(self) -> pa.Table:
         n, s = len(self.doc_ids), self.settings
@@ -276,7 +292,7 @@ def told_of(asked: pa.Table, settings: Settings) -> pa.Table:
     begins = np.append(True, codes[order][1:] != codes[order][:-1])
     group = np.empty(len(codes), np.int64)
     group[order] = np.cumsum(begins) - 1
-    n = int(begins.sum())
+    n, numbers = int(begins.sum()), [None] * len(rows)
     if kind == CONTEXTS:
         at = np.concatenate([from_planes(r["at"]).astype(np.int64) + i for r, i in zip(rows, start[:-1].tolist(), strict=True)])
         sums = np.concatenate([from_planes(r["sums"]).reshape(5, -1) for r in rows], axis=1)
@@ -297,10 +313,15 @@ def told_of(asked: pa.Table, settings: Settings) -> pa.Table:
         first[order[begins]] = 1
         out = (counts[group] << np.uint64(1)) | first
         out = [planes(out[a:b]) for a, b in zip(start[:-1], start[1:], strict=True)]
+        if length < settings.depth:
+            often = counts >= settings.least_context
+            number = np.cumsum(often) - 1
+            parts = (group[a:b] for a, b in zip(start[:-1], start[1:], strict=True))
+            numbers = [planes(np.diff(number[g[often[g]]], prepend=0)) for g in parts]
     blocks = [r["block"] for r in rows]
     if kind == WORDS:
-        blocks, out = [*blocks, ALL], [*out, planes(np.array([(counts > 0).sum()]))]
-    return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([kind] * len(out), pa.int32()), "length": pa.array([length] * len(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "told": pa.array(out, pa.binary())})
+        blocks, out, numbers = [*blocks, ALL], [*out, planes(np.array([(counts > 0).sum()]))], [*numbers, None]
+    return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([kind] * len(out), pa.int32()), "length": pa.array([length] * len(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "told": pa.array(out, pa.binary()), "numbers": pa.array(numbers, pa.binary())})
 
 
 _ASKED = pa.schema([("kind", pa.int32()), ("length", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("codes", pa.binary()), ("at", pa.binary()), ("sums", pa.binary())])

@@ -5,6 +5,8 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +236,27 @@ def test_suffix_tree_answers_meet_their_blocks_where_they_are(docs):
     """What blocks were told is bucketed as they are: the last step moves neither, and only the questions and answers of each step were dealt."""
     plan = M.score(docs, F.lit(False), block_tokens=300)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and plan.count("Bucketed: true") == 2 and "Exchange" not in plan
+
+
+def test_suffix_tree_contexts_are_named_by_numbers(spark):
+    """Blocks are told the numbers of what may be a context; they ask for contexts by these, in the same ranges as by hash, in less room."""
+    words = [f"w{i}" for i in range(3000)]
+    settings = M.Settings(2, 2, 4, 0.6, 8.0, 2)
+    rows = spark.createDataFrame([(i, False, " ".join(words[i * 500 : i * 500 + 2000] * 3)) for i in range(3)], "doc_id long, held_out boolean, text string")
+    blocks = [r.asDict() for r in M.cut_blocks(rows.coalesce(1), 1).collect()]
+    asked = [r for b in blocks for r in M.Block(b, None, settings).ask_words()]
+    settings.train_tokens = sum(b["train_tokens"] for b in blocks)
+    told = pa.concat_tables(M.told_of(pa.Table.from_pylist([r for r in asked if r["bucket"] == k], schema=M._ASKED), settings) for k in (0, 1))
+    meant: dict[tuple[int, int], set[int]] = {}
+    for b in blocks:
+        block = M.Block(b, told.filter(pc.equal(told["block"], b["block"])), settings)
+        counts = block.answer(M.WORDS, 0, np.arange(len(block.words))) >> np.uint64(1)
+        names = block.numbers_of(M.WORDS, 0, np.arange(len(block.words)), counts.astype(np.int64))
+        known = counts >= 4
+        for code, name in zip(block.words[known].tolist(), names[known].tolist(), strict=True):
+            meant.setdefault((code >> 63, name), set()).add(code)
+        none, order = np.empty(0, np.int64), np.arange(int(known.sum()))
+        whole, short = (block.ask(M.CONTEXTS, 1, block.words[known], order, none, np.empty((0, 5), np.uint64), x) for x in (None, names[known]))
+        assert [r["bucket"] for r in whole] == [r["bucket"] for r in short] == [0, 1]
+        assert 4 * sum(len(r["codes"]) for r in short) < sum(len(r["codes"]) for r in whole)
+    assert len(meant) >= 2000 and all(len(x) == 1 for x in meant.values())
