@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold_of, new_path, partitions, small_batches
+from corpusloom.llm.common import fold_of, new_path, partitions, shuffles_dropped, small_batches
 
 #: Words hold no newline, so this stands for the end of a text.
 END = b"\n"
@@ -353,7 +353,8 @@ def scored(texts: DataFrame, depth: int = 2, least_count: int = 2, least_context
     def answered(asked: DataFrame) -> DataFrame:
         """Everything told so far, the answers to these questions among it; they are dealt by block once, as they are written."""
         told = asked.groupBy("kind", "length", "bucket").applyInArrow(lambda t: told_of(t, settings), TOLD)
-        name = put(told.repartition(n, "block"), "told")
+        with shuffles_dropped(spark):
+            name = put(told.repartition(n, "block"), "told")
         spark.catalog.refreshTable(name)
         return spark.table(name)
 

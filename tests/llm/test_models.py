@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -260,3 +261,13 @@ def test_suffix_tree_contexts_are_named_by_numbers(spark):
         assert [r["bucket"] for r in whole] == [r["bucket"] for r in short] == [0, 1]
         assert 4 * sum(len(r["codes"]) for r in short) < sum(len(r["codes"]) for r in whole)
     assert len(meant) >= 2000 and all(len(x) == 1 for x in meant.values())
+
+
+def test_suffix_tree_steps_leave_no_shuffle_files(spark, docs):
+    """Questions and answers of a step go with it, and the session's setting is as it was."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, tracker = spark.conf.get(key), spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    held = lambda: set(re.findall(r"(\d+) ->", tracker.shuffleStatuses().keySet().mkString(" ->", " ->", " ->")))
+    there = held()
+    M.score(docs, F.lit(False), block_tokens=300)
+    assert len(held() - there) <= 1 and spark.conf.get(key) == before  # the number of tokens is no step's
